@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets, sharding
+from . import exact_dedup, fingerprints, packing, secrets, sharding, substring_dedup
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op7_secrets": secrets.op7_secrets,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 
 ORACLE_SQL = {
