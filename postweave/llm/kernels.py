@@ -14,6 +14,9 @@ import pyarrow.compute as pc
 U64 = np.uint64
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: Also ASCII punctuation, for terms of models.
+BREAKS = SPACES.copy()
+BREAKS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A"): ord("Z") + 1] += 32
 #: Null document ids sort after all others.
@@ -67,20 +70,20 @@ def pieces(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 class Words:
     """doc (index), start, end (bytes) of each word, and one hash for each seed."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool, seeds: tuple[int, ...] = (1,), limit: int = 1 << 21):
-        parts = [self._some(data, offsets, lo, hi, fold, seeds) for lo, hi in pieces(offsets, limit)]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool, seeds: tuple[int, ...] = (1,), limit: int = 1 << 21, breaks: np.ndarray = SPACES):
+        parts = [self._some(data, offsets, lo, hi, fold, seeds, breaks) for lo, hi in pieces(offsets, limit)]
         empty = [np.empty(0, np.int64)] * 3 + [np.empty(0, U64)] * len(seeds)
         self.doc, self.start, self.end, *self.hashes = [np.concatenate(x) for x in zip(*parts)] if parts else empty
         self.n_docs = len(offsets) - 1
 
     @staticmethod
-    def _some(data, offsets, lo, hi, fold, seeds):
+    def _some(data, offsets, lo, hi, fold, seeds, breaks):
         a = int(offsets[lo])
         part, at = data[a: int(offsets[hi])], offsets[lo: hi + 1] - a
         if fold:
             part = FOLD[part]
         n = len(part)
-        inside = ~SPACES[part]
+        inside = ~breaks[part]
         opens = np.empty(n + 1, bool)  # a new document, or a space before
         opens[0], opens[n] = True, True
         opens[1:n] = ~inside[: n - 1]

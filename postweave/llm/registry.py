@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, jaccard_join, packing, secrets, sharding, substring_dedup
+from . import exact_dedup, fingerprints, jaccard_join, language, mixing, packing, secrets, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "op4_mixing": mixing.op4_mixing,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_secrets": secrets.op7_secrets,
+    "op8_language": language.op8_language,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
