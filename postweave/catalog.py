@@ -1,6 +1,775 @@
-"""Registered queries over the driver's tables and their oracle SQL, by inventory id."""
+"""Registered queries over the driver's tables, and their oracle SQL, by inventory id.
+
+There is no mailbox among the tables, so messages are derived from conversations (and lines from
+documents) by the same rule on both sides: here with DataFrame functions, in SQL by MESSAGES_SQL.
+Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import dates, mail, quotes, text
+from .operators import dedup, filters, indexes, lines, ranking, search, threads
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def messages(spark: SparkSession, sf_dir: str, only: bool = True) -> DataFrame:
+    """Messages of five lists. Positions are counted by pieces of conv_id."""
+    c = read(spark, sf_dir, "conversations")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    rows = c.select("conv_id", "turn", "role", F.col("text").alias("body_text"), F.concat(F.lit("list-"), (conv % 5).cast("string")).alias("list_id"))
+    rows = ranking.positions(rows, ["list_id"], ["conv_id", "turn"], F.floor(conv / 4096))
+    subject = F.concat(F.when(turn == 0, "").when(turn % 2 == 1, "Re: ").otherwise("AW: Re: "), F.when(conv % 11 == 0, "Request ").otherwise("Topic "), (conv % 40).cast("string"))
+    reply = F.when((turn > 0) & ((conv + turn) % 3 == 0), F.concat(F.lit(" <"), conv.cast("string"), F.lit("."), (turn - 1).cast("string"), F.lit("@List.Example>")))
+    reply = reply.when((conv * 7 + turn) % 29 == 0, F.lit("<missing@elsewhere>"))
+    out = rows.select(
+        "list_id", "pos", F.col("pos").cast("int").alias("msgnum"), "conv_id", "turn",
+        F.concat(F.lit("<"), conv.cast("string"), F.lit("."), turn.cast("string"), F.lit("@list.example>")).alias("msgid"), reply.alias("inreplyto"),
+        subject.alias("subject"), F.concat("role", F.lit(" "), (conv % 17).cast("string")).alias("name"),
+        F.concat("role", (conv % 17).cast("string"), F.lit("@host"), (conv % 3).cast("string"), F.lit(".example.org")).alias("email_addr"),
+        F.when((conv + turn) % 41 == 0, 0).otherwise(F.lit(1_600_000_000).cast("bigint") + conv % 900 * 200_000 + turn * 3600).cast("bigint").alias("date"), "body_text")
+    return out.withColumn("unre_subject", text.unre(F.col("subject")))
+
+
+MESSAGES_SQL = """
+m0 AS (SELECT conv_id, turn, role, text AS body_text, concat('list-', conv_id % 5) AS list_id FROM conversations),
+m AS (SELECT *, CAST(pos AS INTEGER) AS msgnum,
+    trim(regexp_replace(subject, '^(\\s*(re|fwd?|aw|ang|sv|vs|odp|antw)\\s*[\\[:\\]>#]*\\s*)+', '', 'i')) AS unre_subject FROM (
+  SELECT list_id, row_number() OVER (PARTITION BY list_id ORDER BY conv_id, turn) - 1 AS pos, conv_id, turn, body_text,
+    concat('<', conv_id, '.', turn, '@list.example>') AS msgid,
+    CASE WHEN turn > 0 AND (conv_id + turn) % 3 = 0 THEN concat(' <', conv_id, '.', turn - 1, '@List.Example>')
+         WHEN (conv_id * 7 + turn) % 29 = 0 THEN '<missing@elsewhere>' END AS inreplyto,
+    concat(CASE WHEN turn = 0 THEN '' WHEN turn % 2 = 1 THEN 'Re: ' ELSE 'AW: Re: ' END,
+           CASE WHEN conv_id % 11 = 0 THEN 'Request ' ELSE 'Topic ' END, conv_id % 40) AS subject,
+    concat(role, ' ', conv_id % 17) AS name, concat(role, conv_id % 17, '@host', conv_id % 3, '.example.org') AS email_addr,
+    CAST(CASE WHEN (conv_id + turn) % 41 = 0 THEN 0 ELSE 1600000000 + conv_id % 900 * 200000 + turn * 3600 END AS BIGINT) AS date
+  FROM m0))"""
+
+EDGES_SQL = """
+n AS (SELECT *, lower(unre_subject) AS key, length(unre_subject) < length(subject) AS is_re FROM m),
+w AS (SELECT *, min({'r': CAST(is_re AS INTEGER), 'p': pos}) OVER (PARTITION BY list_id, key ORDER BY pos RANGE BETWEEN 500 PRECEDING AND 1 PRECEDING) AS best FROM n),
+edges AS (
+  SELECT c.list_id, p.msgnum AS parent_msgnum, c.msgnum AS child_msgnum, 0 AS maybe_reply, 'header' AS kind, c.pos AS seq
+  FROM m c JOIN m p ON c.list_id = p.list_id AND lower(trim(c.inreplyto)) = lower(trim(p.msgid))
+  UNION ALL
+  SELECT list_id, CAST(best.p AS INTEGER), msgnum, 1, 'subject', 1099511627776 + pos
+  FROM w WHERE inreplyto IS NULL AND is_re AND unre_subject <> '' AND best IS NOT NULL)"""
+
+# --- joins and threads -------------------------------------------------------------------------
+
+
+@query("j_reply_edges", f"WITH {MESSAGES_SQL}, {EDGES_SQL} SELECT * FROM edges")
+def _reply_edges(spark, d):
+    return threads.reply_edges(messages(spark, d))
+
+
+@query("j1_header_edges", f"WITH {MESSAGES_SQL}, {EDGES_SQL} SELECT * FROM edges WHERE kind = 'header'")
+def _header_edges(spark, d):
+    return threads.header_edges(messages(spark, d))
+
+
+@query("j2_unresolved_replies", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, inreplyto FROM m c WHERE inreplyto IS NOT NULL
+ AND NOT EXISTS (SELECT 1 FROM m p WHERE p.list_id = c.list_id AND lower(trim(p.msgid)) = lower(trim(c.inreplyto)))""")
+def _unresolved(spark, d):
+    return threads.unresolved_replies(messages(spark, d)).select("list_id", "msgnum", "inreplyto")
+
+
+@query("j3_subject_look_back", f"WITH {MESSAGES_SQL}, {EDGES_SQL} SELECT * FROM edges WHERE kind = 'subject'")
+def _subject_edges(spark, d):
+    return threads.subject_edges(messages(spark, d))
+
+
+QUOTING_SQL = """q AS (SELECT *, concat(body_text, chr(10), 'see <', conv_id, '.', CASE WHEN turn > 1 THEN turn - 2 ELSE turn END, '@list.example> and <x y>') AS quoted FROM m)"""
+
+
+def _quoting(spark, d):
+    m = messages(spark, d)
+    back = F.when(F.col("turn") > 1, F.col("turn") - 2).otherwise(F.col("turn"))
+    tail = F.concat(F.lit("\nsee <"), F.col("conv_id").cast("string"), F.lit("."), back.cast("string"), F.lit("@list.example> and <x y>"))
+    return m, lines.explode_lines(m.withColumn("body_text", F.concat("body_text", tail)))
+
+
+@query("j4_quoted_id_edges", f"""WITH {MESSAGES_SQL}, {QUOTING_SQL},
+t AS (SELECT list_id, pos, msgnum, unnest(regexp_extract_all(quoted, '<[^>\\n]*>')) AS tok FROM q)
+SELECT t.list_id, p.msgnum AS parent_msgnum, t.msgnum AS child_msgnum, 1 AS maybe_reply, 'quoted' AS kind, 2199023255552 + t.pos AS seq
+FROM t JOIN m p ON p.list_id = t.list_id AND p.msgid = t.tok WHERE p.msgnum <> t.msgnum""")
+def _quoted(spark, d):
+    return threads.quoted_edges(*_quoting(spark, d))
+
+
+@query("j5_children", f"""WITH {MESSAGES_SQL}, {EDGES_SQL} SELECT e.list_id, e.parent_msgnum, e.child_msgnum, e.seq, m.subject, m.name
+FROM edges e JOIN m ON m.list_id = e.list_id AND m.msgnum = e.child_msgnum""")
+def _children(spark, d):
+    m = messages(spark, d)
+    return threads.children_of(m, threads.reply_edges(m)).select("list_id", "parent_msgnum", "child_msgnum", "seq", "subject", "name")
+
+
+@query("j6_roots", f"""WITH {MESSAGES_SQL}, {EDGES_SQL} SELECT list_id, msgnum, date FROM m
+WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.list_id = m.list_id AND e.child_msgnum = m.msgnum)""")
+def _roots(spark, d):
+    m = messages(spark, d)
+    return threads.roots(m, threads.reply_edges(m)).select("list_id", "msgnum", "date")
+
+
+@query("j6_replies", f"""WITH {MESSAGES_SQL}, {EDGES_SQL} SELECT list_id, msgnum, date FROM m
+WHERE EXISTS (SELECT 1 FROM edges e WHERE e.list_id = m.list_id AND e.child_msgnum = m.msgnum)""")
+def _replies(spark, d):
+    m = messages(spark, d)
+    return threads.replies(m, threads.reply_edges(m)).select("list_id", "msgnum", "date")
+
+
+@query("j7_folder_edges", f"""WITH {MESSAGES_SQL}, {EDGES_SQL} SELECT list_id, parent_msgnum, child_msgnum, kind, CAST(parent_msgnum // 50 AS VARCHAR) AS folder
+FROM edges WHERE parent_msgnum // 50 = child_msgnum // 50""")
+def _folder_edges(spark, d):
+    m = messages(spark, d)
+    return threads.folder_edges(threads.reply_edges(m), indexes.with_folder(m, 50)).select("list_id", "parent_msgnum", "child_msgnum", "kind", "folder")
+
+
+REPEATED_SQL = "r AS (SELECT * EXCLUDE (msgid), CASE WHEN conv_id % 13 = 0 THEN NULL WHEN conv_id % 7 = 0 THEN ' ' WHEN turn % 3 = 1 THEN upper(concat('<', conv_id, '.0@list.example>')) ELSE msgid END AS msgid FROM m)"
+
+
+def _repeated(spark, d):
+    conv = F.col("conv_id")
+    first = F.upper(F.concat(F.lit("<"), conv.cast("string"), F.lit(".0@list.example>")))
+    return messages(spark, d).withColumn("msgid", F.when(conv % 13 == 0, None).when(conv % 7 == 0, " ").when(F.col("turn") % 3 == 1, first).otherwise(F.col("msgid")))
+
+
+@query("j8_first_by_msgid", f"""WITH {MESSAGES_SQL}, {REPEATED_SQL}, k AS (SELECT *, lower(trim(msgid)) AS msgid_key FROM r)
+SELECT list_id, pos, msgnum, msgid_key FROM k WHERE coalesce(msgid_key, '') = ''
+   OR pos = (SELECT min(pos) FROM k k2 WHERE k2.list_id = k.list_id AND k2.msgid_key = k.msgid_key)""")
+def _first_by_msgid(spark, d):
+    return dedup.first_by_msgid(_repeated(spark, d)).select("list_id", "pos", "msgnum", "msgid_key")
+
+
+@query("f12_require_msgids", f"WITH {MESSAGES_SQL}, {REPEATED_SQL} SELECT list_id, msgnum FROM r WHERE msgid IS NOT NULL")
+def _with_ids(spark, d):
+    return filters.with_ids(_repeated(spark, d)).select("list_id", "msgnum")
+
+
+@query("j10_localized_words", """WITH w(lang, key, value) AS (VALUES ('en','Author','Author'),('en','Subject','Subject'),('de','Author','Autor'),('de','Subject','Betreff'),
+ ('fr','Author','Auteur'),('fr','Subject','Sujet'),('es','Author','Autor'),('es','Subject','Asunto'))
+SELECT doc_id, k.key, coalesce(w.value, e.value, k.key) AS value FROM documents CROSS JOIN (VALUES ('Author'),('Subject'),('Unknown')) k(key)
+LEFT JOIN w ON w.lang = documents.lang AND w.key = k.key LEFT JOIN w e ON e.lang = 'en' AND e.key = k.key""")
+def _localized(spark, d):
+    from .sources.locale import locale_table, localized
+
+    rows = read(spark, d, "documents").select("doc_id", "lang", F.explode(F.array(*map(F.lit, ("Author", "Subject", "Unknown")))).alias("key"))
+    return localized(rows, locale_table(spark)).select("doc_id", "key", "value")
+
+
+@query("j11_probe_overlap", f"WITH {MESSAGES_SQL} SELECT list_id, count(*) AS n_known FROM m WHERE pos = 0 AND lower(msgid) IN (SELECT lower(msgid) FROM m WHERE conv_id % 2 = 0) GROUP BY list_id")
+def _probe(spark, d):
+    m = messages(spark, d).withColumn("msgid_key", mail.normalize_msgid(F.col("msgid")))
+    old = m.filter("conv_id % 2 = 0").select("list_id", "msgid_key")
+    return m.filter("pos = 0").join(old, ["list_id", "msgid_key"], "left_semi").groupBy("list_id").agg(F.count(F.lit(1)).alias("n_known"))
+
+
+@query("t1_thread_walk", f"""WITH RECURSIVE {MESSAGES_SQL}, {EDGES_SQL},
+walk AS (
+  SELECT list_id, msgnum AS root, msgnum, 0 AS depth, CAST([] AS BIGINT[]) AS path FROM m
+  WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.list_id = m.list_id AND e.child_msgnum = m.msgnum)
+  UNION ALL
+  SELECT w.list_id, w.root, e.child_msgnum, w.depth + 1, list_append(w.path, e.seq) FROM walk w JOIN edges e ON e.list_id = w.list_id AND e.parent_msgnum = w.msgnum)
+SELECT list_id, root, msgnum, depth, CAST(row_number() OVER (PARTITION BY list_id, root ORDER BY path) - 1 AS INTEGER) AS ord, depth <= 50 AS shown FROM walk""")
+def _thread_walk(spark, d):
+    m = messages(spark, d)
+    return threads.thread_walk(spark, m, threads.reply_edges(m))
+
+
+@query("t1_thread_walk_general", ORACLE_SQL["t1_thread_walk"])
+def _thread_walk_general(spark, d):
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}")
+    m = messages(spark, d)
+    return threads.thread_walk_general(m, threads.reply_edges(m))
+
+
+# --- sorts, ranks, groups ----------------------------------------------------------------------
+
+
+@query("w1_message_numbers", f"WITH {MESSAGES_SQL} SELECT list_id, pos, CAST(100 + 2 * pos AS INTEGER) AS msgnum FROM m")
+def _numbers(spark, d):
+    return ranking.number_messages(messages(spark, d).select("list_id", "pos"), 100, 2)
+
+
+@query("w2_dense_positions", f"WITH {MESSAGES_SQL} SELECT list_id, msgnum, row_number() OVER (PARTITION BY list_id ORDER BY pos) - 1 AS pos FROM m WHERE conv_id % 3 <> 0")
+def _dense(spark, d):
+    return ranking.dense_positions(messages(spark, d).filter("conv_id % 3 <> 0").select("list_id", "pos", "msgnum"))
+
+
+def _index_sql(key: str, desc: str = "") -> str:
+    return f"WITH {MESSAGES_SQL} SELECT list_id, msgnum, row_number() OVER (PARTITION BY list_id ORDER BY {key} {desc}, msgnum {desc}) - 1 AS ord FROM m"
+
+
+for _n, _f, _k in (("date", indexes.date_index, "date"), ("subject", indexes.subject_index, "lower(coalesce(unre_subject, subject, ''))"), ("author", indexes.author_index, "lower(coalesce(name, email_addr, ''))")):
+    for _r in (False, True):
+        def _index(spark, d, f=_f, r=_r):
+            return f(messages(spark, d), r).select("list_id", "msgnum", "ord")
+
+        query(f"o_{_n}_index{'_reversed' if _r else ''}", _index_sql(_k, "DESC" if _r else ""))(_index)
+
+
+@query("o8_largest_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def _top(spark, d):
+    return ranking.top(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), "o_orderkey", n=20)
+
+
+@query("a1_archive_stats", f"WITH {MESSAGES_SQL} SELECT list_id, min(date) AS first_date, max(date) AS last_date, count(*) AS n_messages FROM m GROUP BY list_id")
+def _stats(spark, d):
+    return indexes.archive_stats(messages(spark, d))
+
+
+@query("a2_folder_stats", f"""WITH {MESSAGES_SQL} SELECT list_id, CASE WHEN date > 0 THEN strftime(to_timestamp(date), '%Y/%m') ELSE '' END AS folder,
+count(*) AS n_messages, min(date) AS first_date, max(date) AS last_date FROM m GROUP BY 1, 2""")
+def _folders(spark, d):
+    return indexes.folder_stats(indexes.with_folder(messages(spark, d), folder_by_date="%Y/%m"))
+
+
+@query("a3_monthly", f"""WITH {MESSAGES_SQL} SELECT list_id, strftime(to_timestamp(date), '%Y-%m') AS month, concat(strftime(to_timestamp(date), '%Y-%m'), '.html') AS file,
+count(*) AS n_messages, min(date) AS first_date, max(date) AS last_date FROM m GROUP BY ALL""")
+def _monthly(spark, d):
+    return indexes.monthly(messages(spark, d), utc=True)
+
+
+@query("a4_yearly", f"""WITH {MESSAGES_SQL} SELECT list_id, strftime(to_timestamp(date), '%Y') AS year, concat('year-', strftime(to_timestamp(date), '%Y'), '.html') AS file,
+count(*) AS n_messages, min(date) AS first_date, max(date) AS last_date FROM m GROUP BY ALL""")
+def _yearly(spark, d):
+    return indexes.yearly(messages(spark, d), utc=True)
+
+
+@query("a34_calendar_rollup", f"""WITH {MESSAGES_SQL}, c AS (SELECT list_id, strftime(to_timestamp(date), '%Y') AS year, strftime(to_timestamp(date), '%Y-%m') AS month FROM m)
+SELECT list_id, year, month, count(*) AS n_messages FROM c GROUP BY GROUPING SETS ((list_id, year, month), (list_id, year), (list_id))""")
+def _calendar(spark, d):
+    return indexes.calendar_rollup(messages(spark, d), utc=True)
+
+
+@query("a3_events_by_month", "SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n, sum(value) AS total FROM events GROUP BY 1")
+def _events(spark, d):
+    return read(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@query("a5_folders", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, CAST(msgnum // 20 AS VARCHAR) AS folder, '../' AS rel_path_to_top FROM m""")
+def _folder_of(spark, d):
+    return indexes.with_folder(messages(spark, d), 20).select("list_id", "msgnum", "folder", "rel_path_to_top")
+
+
+@query("a6_latest_folder", f"""WITH {MESSAGES_SQL}, f AS (SELECT list_id, date, pos, CASE WHEN date > 0 THEN strftime(to_timestamp(date), '%Y-%m') END AS folder FROM m)
+SELECT list_id, coalesce((SELECT folder FROM f g WHERE g.list_id = f.list_id ORDER BY date DESC, pos DESC LIMIT 1), '.') AS latest_folder FROM f GROUP BY list_id""")
+def _latest(spark, d):
+    return indexes.latest_folder(indexes.with_folder(messages(spark, d), folder_by_date="%Y-%m"))
+
+
+@query("a7_largest_msgnum", f"WITH {MESSAGES_SQL} SELECT coalesce(max(msgnum), -1) AS max_msgnum FROM m")
+def _largest(spark, d):
+    return indexes.largest_msgnum(messages(spark, d))
+
+
+# --- lines and text ----------------------------------------------------------------------------
+
+# every third line of a document becomes a quotation, by its number
+LINES_SQL = """l0 AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS raw, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) - 1 AS line_no
+  FROM documents WHERE text <> ''),
+l AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, concat(CASE line_no % 6 WHEN 1 THEN '> ' WHEN 2 THEN '>> ' WHEN 3 THEN '| > ' WHEN 4 THEN ':' ELSE '' END, raw) AS line FROM l0)"""
+
+
+def doc_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "documents").select(F.lit("docs").alias("list_id"), F.col("doc_id").alias("msgnum"), F.col("text").alias("body_text"))
+    n = F.col("line_no") % 6
+    mark = F.when(n == 1, "> ").when(n == 2, ">> ").when(n == 3, "| > ").when(n == 4, ":").otherwise("")
+    return lines.explode_lines(rows).withColumn("line", F.concat(mark, "line"))
+
+
+@query("m_body_lines", f"WITH {LINES_SQL} SELECT doc_id, line_no, line FROM l")
+def _lines(spark, d):
+    return doc_lines(spark, d).select(F.col("msgnum").alias("doc_id"), "line_no", "line")
+
+
+@query("q_quote_lines", f"""WITH {LINES_SQL} SELECT doc_id, line_no, regexp_matches(line, '^[>|:]') AS quoted, regexp_replace(line, '^[>|:] ?', '') AS unquoted,
+ CAST(length(replace(regexp_extract(line, '^([>|:] ?)+'), ' ', '')) AS INTEGER) AS depth,
+ CASE WHEN regexp_matches(line, '^[>|:]') THEN concat('hm-quote-', least(9, length(replace(regexp_extract(line, '^([>|:] ?)+'), ' ', '')))) ELSE '' END AS css FROM l""")
+def _quote_lines(spark, d):
+    c = F.col("line")
+    return doc_lines(spark, d).select(F.col("msgnum").alias("doc_id"), "line_no", quotes.is_quote(c).alias("quoted"), quotes.unquote(c).alias("unquoted"), quotes.quote_depth(c).alias("depth"), quotes.quote_class(c).alias("css"))
+
+
+@query("q5_usual_quote_prefix", f"""WITH {LINES_SQL}, p AS (SELECT doc_id, regexp_extract(line, '^[>|:] ?') AS p FROM l WHERE regexp_matches(line, '^[>|:]')),
+c AS (SELECT doc_id, p, count(*) AS n, list_position(['> ', '>', '| ', '|', ': ', ':'], p) AS o FROM p GROUP BY 1, 2)
+SELECT doc_id, max_by(p, n * 100 + o) AS quote_prefix FROM c GROUP BY doc_id""")
+def _usual_prefix(spark, d):
+    return lines.usual_quote_prefix(doc_lines(spark, d)).select(F.col("msgnum").alias("doc_id"), "quote_prefix")
+
+
+@query("q7_quoted_percent", f"WITH {LINES_SQL} SELECT doc_id, CAST(count(*) FILTER (WHERE regexp_matches(line, '^[>|:]')) * 100 // count(*) AS INTEGER) AS quoted_percent FROM l GROUP BY doc_id")
+def _quoted_percent(spark, d):
+    return lines.quoted_percent(doc_lines(spark, d)).select(F.col("msgnum").alias("doc_id"), "quoted_percent")
+
+
+@query("q10_signature_state", f"""WITH {LINES_SQL}, s AS (SELECT doc_id, line_no, CASE WHEN line_no = 3 THEN '-- ' ELSE line END AS line FROM l)
+SELECT doc_id, line_no, max(CAST(line IN ('-- ', '--') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) = 1 AS in_signature FROM s""")
+def _signature(spark, d):
+    rows = doc_lines(spark, d).withColumn("line", F.when(F.col("line_no") == 3, "-- ").otherwise(F.col("line")))
+    return lines.render_lines(rows, 0).select(F.col("msgnum").alias("doc_id"), "line_no", "in_signature")
+
+
+@query("q14_line_runs", f"""WITH {LINES_SQL}, c AS (SELECT doc_id, line_no, CASE WHEN trim(line) = '' THEN 'hm-blank' WHEN line IN ('-- ', '--') THEN 'hm-sig' WHEN line LIKE '>%' THEN
+ concat('hm-quote-', least(9, length(replace(regexp_extract(line, '^([>|:] ?)+'), ' ', '')))) ELSE 'hm-pg' END AS css FROM l),
+g AS (SELECT *, CASE WHEN css = lag(css) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 0 ELSE 1 END AS new FROM c),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT doc_id, CAST(run AS BIGINT) AS run, css, count(*) AS n_lines FROM r GROUP BY doc_id, run, css""")
+def _runs(spark, d):
+    return lines.coalesce_runs(lines.render_lines(doc_lines(spark, d), 2)).select(F.col("msgnum").alias("doc_id"), "run", "css", "n_lines")
+
+
+HTML_SQL = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '{1}')"
+
+
+@query("c5_c12_c13_escapes", f"""SELECT page_id, {HTML_SQL.format('html', '&#39;')} AS attr, replace({HTML_SQL.format('html', '&#39;')}, chr(9), '        ') AS body,
+ {HTML_SQL.format('html', '&apos;')} AS xml FROM pages""")
+def _escapes(spark, d):
+    c = F.col("html")
+    return read(spark, d, "pages").select("page_id", text.escape_html_attr(c).alias("attr"), text.escape_html(c).alias("body"), text.escape_xml(c).alias("xml"))
+
+
+URL_SQL = r"""((https?|ftp)://[^\s<>"'']+|www\.[^\s<>"'']+)"""
+
+
+@query("c4_urls", f"SELECT page_id, regexp_extract(html, '(?i){URL_SQL}', 0) AS first_url, regexp_extract_all(html, '(?i){URL_SQL}', 0) AS urls FROM pages")
+def _urls(spark, d):
+    return read(spark, d, "pages").select("page_id", text.find_url(F.col("html")).alias("first_url"), text.find_urls(F.col("html")).alias("urls"))
+
+
+@query("c3_linked_urls", f"""WITH t AS (SELECT page_id, concat('go to ', url, ' or www.', page_id, '.example.org <now>') AS line FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(https?://[^\\s]+)', '<a href="\\1" rel="noopener noreferrer">\\1</a>', 'g'),
+ ' (www\\.[^\\s]+)', ' <a href="https://\\1" rel="noopener noreferrer">\\1</a>', 'g') AS html FROM t""")
+def _linked(spark, d):
+    line = F.concat(F.lit("go to "), "url", F.lit(" or www."), F.col("page_id").cast("string"), F.lit(".example.org <now>"))
+    return read(spark, d, "pages").select("page_id", text.link_urls(line).alias("html"))
+
+
+@query("c1_bare_subjects", f"WITH {MESSAGES_SQL} SELECT list_id, msgnum, subject, unre_subject, trim(regexp_replace(subject, '^\\s*(re|fwd?|aw|ang|sv|vs|odp|antw)\\s*[\\[:\\]>#]*\\s*', '', 'i')) AS once FROM m")
+def _unre(spark, d):
+    return messages(spark, d).select("list_id", "msgnum", "subject", "unre_subject", text.oneunre(F.col("subject")).alias("once"))
+
+
+@query("c8_spamified", r"SELECT doc_id, regexp_replace(text, '([a-zA-Z0-9._%+-]+)@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})', '\1_at_\2', 'g') AS shown, regexp_replace(text, '([a-zA-Z0-9._%+-]+)@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})', '\1@hidden.example', 'g') AS moved FROM documents")
+def _spamified(spark, d):
+    c = F.col("text")
+    return read(spark, d, "documents").select("doc_id", text.spamify(c).alias("shown"), text.spamify(c, domain="hidden.example").alias("moved"))
+
+
+@query("c6_obfuscated", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, array_to_string(list_transform(string_split(email_addr, ''),
+ lambda c: CASE WHEN regexp_matches(c, '[a-zA-Z0-9@]') THEN concat('&#', ascii(c), ';') ELSE c END), '') AS hidden, email_addr AS shown FROM m""")
+def _obfuscated(spark, d):
+    hidden = text.obfuscate(F.col("email_addr"))
+    return messages(spark, d).select("list_id", "msgnum", hidden.alias("hidden"), text.unobfuscate(hidden).alias("shown"))
+
+
+@query("c9_c10_c11_cleanups", """SELECT p_partkey, translate(p_name, ' #', '__') AS conv, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_brand END AS value FROM part""")
+def _cleanups(spark, d):
+    value = F.when(F.col("p_size") % 4 == 0, "none").when(F.col("p_size") % 2 == 0, " ").otherwise(F.col("p_brand"))
+    return read(spark, d, "part").select("p_partkey", text.convchars(F.col("p_name"), " #").alias("conv"), text.getvalue(value).alias("value"))
+
+
+@query("c14_search_text", r"SELECT doc_id, regexp_replace(regexp_replace(text, '[^\p{L}\p{N}\s.@-]', '', 'g'), '\s', ' ', 'g') AS clean FROM documents")
+def _clean(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.sanitize_for_search(F.col("text")).alias("clean"))
+
+
+@query("c16_message_names", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, lpad(CAST(msgnum AS VARCHAR), greatest(4, length(CAST(msgnum AS VARCHAR)))::INTEGER, '0') AS name FROM m""")
+def _names(spark, d):
+    return messages(spark, d).select("list_id", "msgnum", text.message_name(F.col("msgnum"), F.col("msgid"), F.col("date")).alias("name"))
+
+
+@query("c16_fnv32", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, CAST(list_reduce(list_transform(string_split(msgid, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+ lambda h, b: (xor(h, b) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)) AS BIGINT) AS fnv FROM m""")
+def _fnv(spark, d):
+    return messages(spark, d).select("list_id", "msgnum", text.fnv32(F.col("msgid").cast("binary")).alias("fnv"))
+
+
+@query("c17_c19_paths", f"""WITH {MESSAGES_SQL}, f AS (SELECT *, CAST(msgnum // 20 AS VARCHAR) AS folder, concat(lpad(CAST(msgnum AS VARCHAR), greatest(4, length(CAST(msgnum AS VARCHAR)))::INTEGER, '0'), '.html') AS file FROM m)
+SELECT list_id, msgnum, concat(folder, '/', file) AS path, CASE WHEN folder = '1' THEN file ELSE concat(folder, '/', file) END AS url, false AS rooted FROM f""")
+def _paths(spark, d):
+    m = indexes.with_folder(messages(spark, d), 20)
+    name = text.message_name(F.col("msgnum"), F.col("msgid"), F.col("date"))
+    return m.select("list_id", "msgnum", text.message_path(F.col("folder"), name).alias("path"), text.message_url(F.col("folder"), F.lit("1"), name).alias("url"), text.is_rooted_path(F.col("folder")).alias("rooted"))
+
+
+@query("c21_array_helpers", """SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') AS urgent, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE -1 END AS at,
+ CASE WHEN o_orderpriority LIKE '%LOW%' THEN 0 WHEN o_orderpriority LIKE '%H%' THEN 1 ELSE -1 END AS pattern_at, list_sort(list_distinct(['O', 'F', o_orderstatus])) AS merged FROM orders""")
+def _arrays(spark, d):
+    c = F.col("o_orderpriority")
+    items = F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))
+    merged = F.array_sort(text.add_to_list(F.array(F.lit("O"), F.lit("F")), F.array("o_orderstatus")))
+    return read(spark, d, "orders").select("o_orderkey", text.inlist(items, c).alias("urgent"), text.inlist_pos(items, c).alias("at"), text.inlist_regex_pos(["LOW", "H"], c).alias("pattern_at"), merged.alias("merged"))
+
+
+@query("m12_unflowed", """WITH t AS (SELECT doc_id, CASE WHEN text = '' THEN '' ELSE concat(regexp_replace(text, '\\n$', ''), chr(10)) END AS t FROM documents)
+SELECT doc_id, regexp_replace(t, ' +\\n', ' ', 'g') AS flowed FROM t""")
+def _unflowed(spark, d):
+    return read(spark, d, "documents").select("doc_id", mail.unflow(F.col("text")).alias("flowed"))
+
+
+@query("m13_safe_images", "SELECT page_id, page_id % 3 = 0 AS safe FROM pages")
+def _images(spark, d):
+    kind = F.when(F.col("page_id") % 3 == 0, "image/png").when(F.col("page_id") % 3 == 1, "image/svg+xml").otherwise("text/html")
+    return read(spark, d, "pages").select("page_id", kind.isin(*quotes.SAFE_IMAGES).alias("safe"))
+
+
+# --- headers, addresses, dates -----------------------------------------------------------------
+
+HEADERS_SQL = """hd AS (SELECT *, [{'name': 'from', 'value': concat('"', name, '" <', email_addr, '>')}, {'name': 'subject', 'value': subject}, {'name': 'x-no-archive', 'value': CASE WHEN conv_id % 9 = 0 THEN 'YES' ELSE 'no' END}] AS headers FROM m)"""
+
+
+def _with_headers(spark, d):
+    m = messages(spark, d)
+    raw = F.concat(F.lit('From: "'), "name", F.lit('" <'), "email_addr", F.lit(">\nSubject: "), "subject", F.lit("\nno colon here\nX-No-Archive:\n "),
+                   F.when(F.col("conv_id") % 9 == 0, "YES").otherwise("no"), F.lit("\n\nBody: x\n"))
+    return m.withColumn("headers", mail.parse_headers(raw))
+
+
+@query("p1_p2_p3_headers", f"WITH {MESSAGES_SQL}, {HEADERS_SQL} SELECT list_id, msgnum, list_transform(headers, lambda h: concat(h.name, '=', h.value)) AS headers, subject AS found, CAST([subject] AS VARCHAR[]) AS every FROM hd")
+def _headers(spark, d):
+    flat = F.transform("headers", lambda h: F.concat(h["name"], F.lit("="), h["value"]))
+    return _with_headers(spark, d).select("list_id", "msgnum", flat.alias("headers"), mail.find_header(F.col("headers"), "Subject").alias("found"), mail.find_headers(F.col("headers"), "subject").alias("every"))
+
+
+@query("p5_addresses", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, CASE turn % 4 WHEN 0 THEN name WHEN 1 THEN name WHEN 2 THEN NULL ELSE name END AS name,
+ CASE turn % 4 WHEN 3 THEN NULL ELSE email_addr END AS email FROM m""")
+def _addresses(spark, d):
+    k = F.col("turn") % 4
+    form = (F.when(k == 0, F.concat(F.lit('"'), "name", F.lit('" <'), "email_addr", F.lit(">"))).when(k == 1, F.concat("email_addr", F.lit(" ("), "name", F.lit(")")))
+            .when(k == 2, F.col("email_addr")).otherwise(F.col("name")))
+    who = mail.address(form)
+    return messages(spark, d).select("list_id", "msgnum", who["name"].alias("name"), who["email"].alias("email"))
+
+
+@query("p12_p13_reply_ids", f"WITH {MESSAGES_SQL} SELECT list_id, msgnum, coalesce(inreplyto, msgid) AS irt, lower(trim(coalesce(inreplyto, msgid))) AS key FROM m")
+def _reply_ids(spark, d):
+    irt = mail.in_reply_to(F.col("inreplyto"), F.concat(F.lit("<first@x> "), "msgid", F.lit(" tail")))
+    return messages(spark, d).select("list_id", "msgnum", irt.alias("irt"), mail.normalize_msgid(irt).alias("key"))
+
+
+@query("p4_unfolded", "SELECT p_partkey, concat(p_name, ' ', p_brand, p_type) AS unfolded FROM part")
+def _unfolded(spark, d):
+    return read(spark, d, "part").select("p_partkey", mail.unfold(F.concat("p_name", F.lit("\r\n\t "), "p_brand", F.lit("\n"), "p_type")).alias("unfolded"))
+
+
+@query("d1_d2_d3_parsed_dates", """SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) - CASE o_orderkey % 6 WHEN 0 THEN 7200 WHEN 2 THEN 19800 WHEN 4 THEN -18000 ELSE 0 END AS secs
+FROM orders WHERE o_orderdate IS NOT NULL""")
+def _parsed(spark, d):
+    k, ts = F.col("o_orderkey") % 6, F.col("o_orderdate")
+    at = lambda p: F.date_format(ts, p)
+    form = (F.when(k == 0, F.concat(at("EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0200 (CEST)"))).when(k == 1, F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+            .when(k == 2, F.concat(at("d MMM yyyy HH:mm:ss"), F.lit(" GMT+5:30"))).when(k == 3, at("EEE MMM d HH:mm:ss yyyy"))
+            .when(k == 4, F.concat(at("EEE, dd MMM yyyy HH:mm:ss"), F.lit(" EST"))).otherwise(F.concat(at("d MMM yy HH:mm:ss"), F.lit(" GMT"))))
+    return read(spark, d, "orders").filter("o_orderdate IS NOT NULL").select("o_orderkey", dates.parse_mail_date(form).alias("secs"))
+
+
+@query("d4_iso_dates", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, CAST(floor(epoch(ts)) AS BIGINT) AS secs FROM events")
+def _iso(spark, d):
+    iso = dates.secs_to_iso(F.unix_timestamp("ts"))
+    return read(spark, d, "events").select("event_id", iso.alias("iso"), dates.iso_to_secs(iso).alias("secs"))
+
+
+@query("d5_date_formats", """SELECT o_orderkey, strftime(o_orderdate, '%a %d %b %Y %H:%M:%S +0000') AS euro, strftime(o_orderdate, '%a %b %d %Y %H:%M:%S +0000') AS us,
+ strftime(o_orderdate, '%Y-%m-%d %H:%M:%SZ') AS iso, strftime(o_orderdate, '%d.%m.%y') AS own FROM orders""")
+def _formats(spark, d):
+    ts = F.unix_timestamp("o_orderdate")
+    return read(spark, d, "orders").select("o_orderkey", dates.format_date(ts, gmtime=True).alias("euro"), dates.format_date(ts, gmtime=True, eurodate=False).alias("us"),
+                                           dates.format_date(ts, gmtime=True, isodate=True).alias("iso"), dates.format_date(ts, "%d.%m.%y", True).alias("own"))
+
+
+@query("d6_d7_calendar", """SELECT DISTINCT year(o_orderdate) AS y, (year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) OR year(o_orderdate) % 400 = 0 AS leap,
+ CAST(month(o_orderdate) AS INTEGER) AS month, CAST(253402300799 AS BIGINT) AS clamped FROM orders""")
+def _leap(spark, d):
+    o = read(spark, d, "orders")
+    return o.select(F.year("o_orderdate").cast("bigint").alias("y"), dates.is_leap(F.year("o_orderdate")).alias("leap"), dates.month_number(F.date_format("o_orderdate", "MMM")).alias("month"),
+                    dates.clamp(F.unix_timestamp("o_orderdate") + F.lit(1 << 50)).alias("clamped")).distinct()
+
+
+@query("c20_localized_dates", """SELECT o_orderkey, concat(CASE strftime(o_orderdate, '%a') WHEN 'Mon' THEN 'Mo' WHEN 'Tue' THEN 'Di' WHEN 'Wed' THEN 'Mi' WHEN 'Thu' THEN 'Do' WHEN 'Fri' THEN 'Fr' WHEN 'Sat' THEN 'Sa' ELSE 'So' END,
+ strftime(o_orderdate, ' %d '), CASE strftime(o_orderdate, '%b') WHEN 'Mar' THEN 'Mär' WHEN 'May' THEN 'Mai' WHEN 'Oct' THEN 'Okt' WHEN 'Dec' THEN 'Dez' ELSE strftime(o_orderdate, '%b') END) AS local FROM orders""")
+def _local_dates(spark, d):
+    from .sources.locale import words_of
+
+    return read(spark, d, "orders").select("o_orderkey", dates.localize(F.date_format("o_orderdate", "EEE dd MMM"), words_of("de")).alias("local"))
+
+
+# --- filters -----------------------------------------------------------------------------------
+
+RULES = filters.Rules(delete_msgnum=(3, 5), delete_older=1_600_500_000, delete_newer=1_700_000_000, filter_out=("^subject: .*Topic 7$",), filter_require=("Topic|Request 1",),
+                      filter_out_full_body=("zzzz",), filter_require_full_body=("[a-e]",), now=1_650_000_000)
+
+
+@query("f10_verdicts", f"""WITH {MESSAGES_SQL}, {HEADERS_SQL} SELECT list_id, msgnum,
+ CAST((CASE WHEN conv_id % 9 = 0 OR msgnum IN (3, 5) THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(concat('subject: ', subject), '^subject: .*Topic 7$') OR regexp_matches(body_text, 'zzzz') THEN 4 ELSE 0 END)
+ + (CASE WHEN date > 0 AND date < 1600500000 THEN 16 ELSE 0 END) + (CASE WHEN date > 1700000000 THEN 32 ELSE 0 END)
+ + (CASE WHEN regexp_matches(subject, 'Topic|Request 1') AND regexp_matches(body_text, '[a-e]') THEN 0 ELSE 8 END) AS INTEGER) AS mask FROM hd""")
+def _verdicts(spark, d):
+    m = _with_headers(spark, d)
+    return m.select("list_id", "msgnum", filters.verdict(RULES, F.col("msgnum"), F.col("headers"), F.col("body_text"), F.col("date")).alias("mask"))
+
+
+@query("f3_f4_pattern_hits", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, CASE WHEN regexp_matches(subject, 'Topic 1') THEN 0 WHEN regexp_matches(name, '^user') OR regexp_matches(concat('"', name), '"user') THEN 1 END AS header_hit,
+ list_filter([CASE WHEN regexp_matches(body_text, 'the') THEN 0 END, CASE WHEN regexp_matches(body_text, 'Q[0-9]') THEN 1 END], lambda x: x IS NOT NULL) AS body_hits FROM m""")
+def _hits(spark, d):
+    m = _with_headers(spark, d)
+    return m.select("list_id", "msgnum", filters.first_header_match(F.col("headers"), ["Topic 1", '"user']).alias("header_hit"), filters.body_match_indices(mail.body_lines(F.col("body_text")), ["the", "Q[0-9]"]).alias("body_hits"))
+
+
+@query("f5_f6_marks", f"WITH {MESSAGES_SQL} SELECT list_id, msgnum, conv_id % 9 = 0 AS deleted, date > 0 AND date < 1650000000 AS expired FROM m")
+def _marks(spark, d):
+    m = _with_headers(spark, d)
+    h = F.concat("headers", F.array(F.struct(F.lit("expires").alias("name"), F.when(F.col("date") > 0, dates.secs_to_iso(F.col("date"))).otherwise("never").alias("value"))))
+    return m.select("list_id", "msgnum", filters.marked_deleted(F.col("headers"), ("X-No-Archive",)).alias("deleted"), filters.expired(h, ("Expires",), 1_650_000_000).alias("expired"))
+
+
+@query("f7_age_mask", f"WITH {MESSAGES_SQL} SELECT list_id, msgnum, CASE WHEN date > 0 AND date < 1610000000 THEN 16 ELSE 0 END + CASE WHEN date > 1700000000 THEN 32 ELSE 0 END AS mask FROM m")
+def _age(spark, d):
+    return messages(spark, d).select("list_id", "msgnum", filters.age_mask(F.col("date"), 1_610_000_000, 1_700_000_000).alias("mask"))
+
+
+@query("f13_article_states", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, CASE WHEN conv_id % 9 = 0 THEN 'none' ELSE 'full' END AS level0, CASE WHEN conv_id % 9 = 0 THEN 'stub' ELSE 'full' END AS level1, 'full' AS level3 FROM m""")
+def _states(spark, d):
+    gone = F.when(F.col("conv_id") % 9 == 0, 1).otherwise(0)
+    return messages(spark, d).select("list_id", "msgnum", *[filters.article_state(gone, n).alias(f"level{n}") for n in (0, 1, 3)])
+
+
+@query("f14_a11_attachments", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, conv_id % 4 = 0 AS has_attachment FROM m""")
+def _attachments(spark, d):
+    m = messages(spark, d).withColumn("body_text", F.concat("body_text", F.when(F.col("conv_id") % 4 == 0, "\n[Attachment: a.pdf]").otherwise("")))
+    return indexes.attachment_flags(m, lines.explode_lines(m)).select("list_id", "msgnum", "has_attachment")
+
+
+@query("k5_attachment_index", f"WITH {MESSAGES_SQL} SELECT list_id, msgnum, row_number() OVER (PARTITION BY list_id ORDER BY date, msgnum) - 1 AS ord FROM m WHERE conv_id % 4 = 0")
+def _attachment_index(spark, d):
+    m = messages(spark, d).withColumn("body_text", F.concat("body_text", F.when(F.col("conv_id") % 4 == 0, "\n[Attachment: a.pdf]").otherwise("")))
+    return indexes.attachment_index(m, lines.explode_lines(m)).select("list_id", "msgnum", "ord")
+
+
+@query("f15_f16_f17_gates", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum FROM m WHERE msgnum > 10 AND date > 0 AND msgnum % 5 <> 0""")
+def _gates(spark, d):
+    m = indexes.with_folder(messages(spark, d), folder_by_date="%Y").withColumn("path", F.concat_ws("/", "list_id", F.col("msgnum").cast("string")))
+    there = m.filter("msgnum % 5 = 0").select("path")
+    return filters.not_written(filters.in_folders(filters.after_high_water(m, 10)), there).select("list_id", "msgnum")
+
+
+@query("u_set_operations", """SELECT n_name AS name, 'nation' AS kind FROM nation UNION ALL SELECT r_name, 'region' FROM region""")
+def _union(spark, d):
+    n = read(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit("nation").alias("kind"))
+    return n.unionByName(read(spark, d, "region").select(F.col("r_name").alias("name"), F.lit("region").alias("kind")))
+
+
+# --- search ------------------------------------------------------------------------------------
+
+GRAMS_SQL = r"""t AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}\s]', '', 'g') AS t FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(t)), lambda i: substring(t, i, 2))) AS bigram FROM t WHERE length(t) >= 2)"""
+
+
+def _postings(spark, d):
+    return search.postings(read(spark, d, "documents").select("doc_id", "text"), "doc_id", F.col("text"))
+
+
+@query("a8_bigram_postings", f"WITH {GRAMS_SQL} SELECT bigram, doc_id FROM g")
+def _bigrams(spark, d):
+    return _postings(spark, d)
+
+
+@query("a8_bigram_frequencies", f"WITH {GRAMS_SQL} SELECT bigram, count(*) AS n_docs FROM g GROUP BY bigram")
+def _frequencies(spark, d):
+    return _postings(spark, d).groupBy("bigram").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@query("a9_search", f"""WITH {GRAMS_SQL} SELECT doc_id, CAST(count(*) AS INTEGER) AS score FROM g WHERE bigram IN ('an', 'nd', 'd ', ' t', 'th', 'he', 'e ', ' z') GROUP BY doc_id HAVING count(*) >= 7""")
+def _search(spark, d):
+    return search.search(_postings(spark, d), "doc_id", "and the z")
+
+
+@query("a9_search_many", rf"""WITH {GRAMS_SQL}, q0 AS (SELECT item_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\s]', '', 'g') AS t FROM benchmark),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(list_transform(range(1, length(t)), lambda i: substring(t, i, 2))) AS bigram FROM q0 WHERE length(t) >= 2),
+n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1)
+SELECT q.query_id, g.doc_id, CAST(count(*) AS INTEGER) AS score FROM q JOIN g USING (bigram) JOIN n USING (query_id) GROUP BY q.query_id, g.doc_id, n.n HAVING count(*) >= n.n - 1""")
+def _search_many(spark, d):
+    wanted = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.search_many(_postings(spark, d), "doc_id", wanted)
+
+
+@query("k10_search_lines", rf"""WITH {MESSAGES_SQL} SELECT concat(msgnum, '|', regexp_replace(regexp_replace(concat_ws(' ', subject, name, email_addr, body_text), '[^\p{{L}}\p{{N}}\s.@-]', '', 'g'), '\s', ' ', 'g')) AS value FROM m""")
+def _search_lines(spark, d):
+    return search.search_lines(messages(spark, d))
+
+
+# --- sources, MIME, sinks ----------------------------------------------------------------------
+
+
+def raw_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages as raw bytes: encoded subjects, base64 and quoted-printable bodies by turn."""
+    m = messages(spark, d)
+    b64, qp = F.base64(F.col("body_text").cast("binary")), F.regexp_replace(F.regexp_replace("body_text", "=", "=3D"), "_", "=5F")
+    k = F.col("turn") % 3
+    kind = F.when(k == 0, "base64").when(k == 1, "quoted-printable").otherwise("8bit")
+    head = F.concat(F.lit("From: "), "name", F.lit(" <"), "email_addr", F.lit(">\nSubject: "), "subject", F.lit("\nMessage-ID: "), "msgid",
+                    F.when(F.col("inreplyto").isNotNull(), F.concat(F.lit("\nIn-Reply-To: "), F.trim("inreplyto"))).otherwise(""),
+                    F.when(F.col("date") > 0, F.concat(F.lit("\nDate: "), dates.format_date(F.col("date"), "%a, %d %b %Y %H:%M:%S %z", True))).otherwise(""),
+                    F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: "), kind, F.lit("\n"))
+    body = F.when(k == 0, b64).when(k == 1, qp).otherwise(F.col("body_text"))
+    return m.select("list_id", "pos", F.lit("From sender@example.org Thu Jan  1 00:00:00 1970").alias("from_line"), head.cast("binary").alias("headers"), body.cast("binary").alias("body"))
+
+
+@query("p10_parsed_messages", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, name, email_addr, subject, unre_subject, msgid, trim(inreplyto) AS inreplyto, date, 'utf-8' AS charset, body_text FROM m""")
+def _parsed_messages(spark, d):
+    from .plans.messages import parse_messages
+
+    return parse_messages(raw_messages(spark, d)).select("list_id", "msgnum", "name", "email_addr", "subject", "unre_subject", "msgid", "inreplyto", "date", "charset", "body_text")
+
+
+@query("s1_mailbox_scan", f"""WITH {MESSAGES_SQL} SELECT list_id, pos, msgid, subject, CAST(length(regexp_replace(body_text, '(^|\\n)From ', '\\1>From ', 'g')) + 1 AS INTEGER) AS n_chars FROM m""")
+def _mailbox_scan(spark, d):
+    """Writes each list as a mailbox to the shared folder and scans it."""
+    from uuid import uuid4
+
+    from .sources.mbox import read_mailboxes
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        import tempfile
+
+        shared = f"file://{tempfile.mkdtemp(prefix='postweave-')}"
+    at = f"{shared}/postweave/mail_{uuid4().hex[:12]}"
+    m = messages(spark, d)
+    body = F.regexp_replace(F.regexp_replace("body_text", "(?m)^From ", ">From "), "\r", "")
+    whole = F.concat(F.lit("From a@b Thu Jan  1 00:00:00 1970\nMessage-ID: "), "msgid", F.lit("\nSubject: "), "subject", F.lit("\n\n"), body)
+    m.select(whole.alias("value"), "list_id", "pos").repartition("list_id").sortWithinPartitions("list_id", "pos").select("value", "list_id").write.partitionBy("list_id").text(at)
+    # each list is one or more files; their order is that of their names
+    raw = read_mailboxes(spark, f"{at}/*")
+    head = mail.parse_headers(F.decode("headers", "ISO-8859-1"))
+    got = raw.select(mail.find_header(head, "message-id").alias("msgid"), mail.find_header(head, "subject").alias("subject"), F.length(F.decode("body", "UTF-8")).alias("n_chars"))
+    return got.join(m.select("msgid", "list_id", "pos"), "msgid").select("list_id", "pos", "msgid", "subject", "n_chars")
+
+
+@query("p6_decoded_words", "SELECT p_partkey, p_name AS plain, concat(p_name, p_brand) AS joined FROM part")
+def _words(spark, d):
+    from .functions.register import decode_mime_words
+
+    word = lambda c, tail="": F.concat(F.lit("=?utf-8?B?"), F.base64(F.col(c).cast("binary")), F.lit("?=" + tail))
+    return read(spark, d, "part").select("p_partkey", decode_mime_words(word("p_name")).alias("plain"), decode_mime_words(F.concat(word("p_name", " "), word("p_brand"))).alias("joined"))
+
+
+@query("m1_content_types", "SELECT page_id, 'text' AS type, 'html' AS subtype, 'utf-8' AS charset, concat('b', page_id) AS boundary FROM pages")
+def _content_types(spark, d):
+    kind = mail.content_type(F.concat(F.lit('Text/HTML; Charset=latin1; charset="utf-8"; boundary=\'b'), F.col("page_id").cast("string"), F.lit("'")))
+    return read(spark, d, "pages").select("page_id", kind["type"].alias("type"), kind["subtype"].alias("subtype"), kind["params"]["charset"].alias("charset"), kind["params"]["boundary"].alias("boundary"))
+
+
+@query("m3_base64", "SELECT doc_id, text AS decoded FROM documents")
+def _base64(spark, d):
+    folded = F.regexp_replace(F.base64(F.col("text").cast("binary")), "(.{60})", "$1\n")
+    return read(spark, d, "documents").select("doc_id", F.decode(F.try_to_binary(F.regexp_replace(folded, r"\s", ""), F.lit("base64")), "UTF-8").alias("decoded"))
+
+
+@query("m10_multipart_bodies", "SELECT doc_id, concat(text, chr(10), '[Attachment: x.pdf]', chr(10)) AS body FROM documents")
+def _multipart(spark, d):
+    from .functions.register import parse_rfc822
+
+    head = F.lit("Content-Type: multipart/mixed; boundary=XX\n").cast("binary")
+    body = F.concat(F.lit("--XX\nContent-Type: multipart/alternative;\n boundary=YY\n\n--YY\nContent-Type: text/html\n\n<b>no</b>\n--YY\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"),
+                    F.base64(F.col("text").cast("binary")), F.lit("\n--YY--\n--XX\nContent-Type: application/pdf; name=x.pdf\n\nzz\n--XX--\n")).cast("binary")
+    return read(spark, d, "documents").select("doc_id", parse_rfc822(head, body)["body_text"].alias("body"))
+
+
+@query("s8_s9_page_metadata", """SELECT page_id, CAST(page_id AS INTEGER) AS msgnum, concat('id', page_id) AS meta_id, url AS meta_subject, CAST(1700000000 + page_id AS BIGINT) AS date FROM pages WHERE page_id % 3 <> 0""")
+def _page_metadata(spark, d):
+    from .sources.archive import page_metadata
+
+    n = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<article id="msg'), n, F.lit('"><!-- subject="'), "url", F.lit('" --><!-- sent="'), dates.secs_to_iso(F.lit(1_700_000_000).cast("bigint") + F.col("page_id")), F.lit('" -->'))
+    head = F.when(F.col("page_id") % 3 == 0, head).otherwise(F.concat(head, F.lit('<!-- id="id'), n, F.lit('" -->')))
+    pages = read(spark, d, "pages").select("page_id", F.concat(head, "html").alias("html"))
+    return page_metadata(pages).select("page_id", "msgnum", "meta_id", "meta_subject", "date")
+
+
+@query("k3_index_rows")
+def _index_rows(spark, d):
+    from .config import Config
+    from .plans.render import index_rows
+
+    return index_rows(indexes.date_index(messages(spark, d)), Config())
+
+
+@query("k1_articles")
+def _articles(spark, d):
+    from .config import Config
+    from .plans.render import articles
+
+    m = messages(spark, d).withColumn("is_deleted", F.when(F.col("conv_id") % 9 == 0, 1).otherwise(0))
+    return articles(m, lines.explode_lines(m), threads.reply_edges(m), Config())
+
+
+@query("k9_overview", f"""WITH {MESSAGES_SQL} SELECT list_id, pos, concat('<mail><file>', msgnum, '</file><date>', date, '</date><fromname>', name, '</fromname><fromemail>', email_addr, '</fromemail><subject>', subject,
+ '</subject><msgid>', replace(replace(msgid, '<', '&lt;'), '>', '&gt;'), '</msgid></mail>') AS xml FROM m""")
+def _overview(spark, d):
+    from .plans.render import overview_xml
+
+    return overview_xml(messages(spark, d))
+
+
+@query("k12_message_index", f"""WITH {MESSAGES_SQL} SELECT -1 AS at, concat('0000 ', max(msgnum)) AS value FROM m WHERE list_id = 'list-0' UNION ALL
+ SELECT msgnum, concat(lpad(CAST(msgnum AS VARCHAR), greatest(4, length(CAST(msgnum AS VARCHAR)))::INTEGER, '0'), ' ', msgid) FROM m WHERE list_id = 'list-0'""")
+def _message_index(spark, d):
+    from .plans.sinks import message_index_lines
+
+    return message_index_lines(messages(spark, d).filter("list_id = 'list-0'"), F.col("msgid"))
+
+
+@query("k6_folder_indexes", f"""WITH {MESSAGES_SQL}, f AS (SELECT *, concat(list_id, '/', CAST(msgnum // 20 AS VARCHAR)) AS own FROM m)
+SELECT own AS list_id, msgnum, row_number() OVER (PARTITION BY own ORDER BY date, msgnum) - 1 AS ord FROM f""")
+def _folder_indexes(spark, d):
+    from .plans.archive import folder_archive
+
+    m = indexes.with_folder(messages(spark, d), 20)
+    return folder_archive(m, threads.reply_edges(m))["date_index"].select("list_id", "msgnum", "ord")
+
+
+@query("i3_incremental_edges", f"WITH {MESSAGES_SQL}, {EDGES_SQL} SELECT * FROM edges WHERE child_msgnum > 20")
+def _incremental(spark, d):
+    """Threads over old and new rows; only edges of new messages."""
+    m = messages(spark, d)
+    both = filters.after_high_water(m, 20).unionByName(m.filter("msgnum <= 20"))
+    return threads.reply_edges(both).filter("child_msgnum > 20")
+
+
+@query("stream_monthly_counts", f"""WITH {MESSAGES_SQL} SELECT list_id, strftime(to_timestamp(date), '%Y-%m') AS month, count(*) AS n_messages FROM m GROUP BY ALL""")
+def _stream_counts(spark, d):
+    """A stream over the conversations table, run to its end."""
+    from uuid import uuid4
+
+    name, c = f"counts_{uuid4().hex[:8]}", read(spark, d, "conversations")
+    stream = spark.readStream.schema(c.schema).parquet(f"{d}/conversations.parquet*")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    date = F.when((conv + turn) % 41 == 0, 0).otherwise(F.lit(1_600_000_000).cast("bigint") + conv % 900 * 200_000 + turn * 3600)
+    rows = stream.select(F.concat(F.lit("list-"), (conv % 5).cast("string")).alias("list_id"), dates.folder_month(date, True).alias("month"))
+    run = rows.groupBy("list_id", "month").agg(F.count(F.lit(1)).alias("n_messages")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
