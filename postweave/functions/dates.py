@@ -5,6 +5,8 @@ Seconds since 1970 as bigint; 0 stands for no date, as everywhere in the data mo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 RFC2822 = r"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)\s*,\s*)?(\d{1,2})\s+([a-z]{3})\s+(\d{2,4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([+-]\d{4}|[a-z]+)$"
 RFC3339 = r"(?i)^(\d{4})-(\d{2})-(\d{2})[t ](\d{2}):(\d{2}):(\d{2})(?:\.\d+)?(z|[+-]\d{2}:?\d{2})$"
 CTIME = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)\s+([a-z]{3})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})\s+(\d{4})$"
+DAY = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
 
 
 def month_number(name: Column) -> Column:
@@ -49,20 +52,28 @@ def _offset(zone: Column) -> Column:
     return F.when(ok, F.when(F.startswith(numeric, F.lit("-")), -secs).otherwise(secs))
 
 
-def _field(c: Column, pattern: str, k: int) -> Column:
-    return F.nullif(F.regexp_extract(c, pattern, k), F.lit(""))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once; also keeps generated code small."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _parts(c: Column, pattern: str, n: int) -> Column:
+    """Array of the pattern's n groups, by one match and one replacement; null if it doesn't match."""
+    return F.when(c.rlike(pattern), F.split(F.regexp_replace(c, pattern, "\u0001".join(f"${k}" for k in range(1, n + 1))), "\u0001", -1))
 
 
 def _rfc2822(c: Column) -> Column:
-    part = lambda k: _field(c, RFC2822, k)
-    year = part(3).try_cast("int")
-    year = F.when(F.length(part(3)) == 2, year + F.when(year < 50, 2000).otherwise(1900)).when(F.length(part(3)) == 3, year + 1900).otherwise(year)
-    return _epoch(year, month_number(part(2)), part(1), part(4), part(5), F.coalesce(part(6), F.lit("0")), _offset(part(7)))
+    def read(p: Column) -> Column:
+        part = lambda k: F.get(p, F.lit(k - 1))
+        year = part(3).try_cast("int")
+        year = F.when(F.length(part(3)) == 2, year + F.when(year < 50, 2000).otherwise(1900)).when(F.length(part(3)) == 3, year + 1900).otherwise(year)
+        return _epoch(year, month_number(part(2)), part(1), part(4), part(5), F.coalesce(F.nullif(part(6), F.lit("")), F.lit("0")), _offset(part(7)))
+
+    return let(_parts(c, RFC2822, 7), read)
 
 
 def _rfc3339(c: Column) -> Column:
-    part = lambda k: _field(c, RFC3339, k)
-    return _epoch(*[part(k) for k in range(1, 7)], _offset(part(7)))
+    return let(_parts(c, RFC3339, 7), lambda p: _epoch(*[F.get(p, F.lit(k)) for k in range(6)], _offset(F.get(p, F.lit(6)))))
 
 
 def normalize_zone(c: Column) -> Column:
@@ -81,14 +92,18 @@ def without_comments(c: Column) -> Column:
 def parse_mail_date(c: Column, local_offset: int = 0) -> Column:
     """Seconds, or null if the text is no date. local_offset: seconds east that dates without a
     zone are taken in."""
-    text = without_comments(strip(c))
-    ctime = lambda k: _field(text, CTIME, k)
-    day = lambda k: _field(text, r"^(\d{4})-(\d{1,2})-(\d{1,2})$", k)
     zero, east = F.lit("0"), F.lit(local_offset)
-    return F.coalesce(
-        _rfc2822(text), _rfc3339(text), _rfc2822(normalize_zone(text)),
-        _epoch(ctime(6), month_number(ctime(1)), ctime(2), ctime(3), ctime(4), ctime(5), east),
-        _epoch(day(1), day(2), day(3), zero, zero, zero, east))
+
+    def ctime(p: Column) -> Column:
+        at = lambda k: F.get(p, F.lit(k))
+        return _epoch(at(5), month_number(at(0)), at(1), at(2), at(3), at(4), east)
+
+    def read(text: Column) -> Column:
+        return F.coalesce(
+            _rfc2822(text), _rfc3339(text), _rfc2822(normalize_zone(text)), let(_parts(text, CTIME, 6), ctime),
+            let(_parts(text, DAY, 3), lambda p: _epoch(*[F.get(p, F.lit(k)) for k in range(3)], zero, zero, zero, east)))
+
+    return let(without_comments(strip(c)), read)
 
 
 def iso_to_secs(c: Column) -> Column:
