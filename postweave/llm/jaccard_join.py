@@ -4,13 +4,15 @@
    count-min sketch by exchange (sketch.py) gives each shingle an estimate that is never too low;
    a set with too few shingles of estimate 2 or more has no partner and sends nothing on.
 2. Equal sets collapse to one, however many copies there are (combined before the shuffle).
-3. Groups. Sets with the same least token form groups, cut into blocks of bounded size; each block
-   links its own sets, and the block's sets with the group's first set.
-4. Token-group matrix. Sets are regrouped by component and least token. Each group keeps the union
-   of its sets' tokens; the matrix holds its rows for the rare prefix tokens that a partner must
-   share (prefix filter: tokens in ascending estimate). A set is a query against the groups of
-   other components that share a prefix token and whose sizes fit; a group is opened only where
-   the query's overlap with the union reaches the least overlap of a link.
+3. Groups. Each set has a few minimum hashes, as keys; its group is that of its key which most sets
+   have, so that a family of near copies is one or few groups. Groups are cut into blocks of bounded
+   size; each block links its own sets, and the block's sets with the group's first set.
+4. Token-group matrix. The groups are these blocks; a large component's sets are apart from others,
+   so that its own sets needn't ask its groups. Each group keeps the union of its sets' tokens; the
+   matrix holds its rows for the rare prefix tokens that a partner must share (prefix filter: tokens
+   in ascending estimate). A set is a query against the groups that share a prefix token and whose
+   sizes fit; a group is opened only where the query's overlap with the union reaches the least
+   overlap of a link.
 5. Components of all links.
 
 Within a block, sets that are already connected aren't compared again, and what leaves a task is
@@ -39,7 +41,9 @@ from .sketch import Chunk, Exchange, Layout
 
 #: Sets in one block of a group.
 BLOCK_SETS = 1024
-SET_SCHEMA = "doc_id bigint, n bigint, set_hash binary, tokens binary, singles int, least bigint"
+SET_SCHEMA = "doc_id bigint, n bigint, set_hash binary, tokens binary, singles int, keys array<bigint>"
+#: Minimum hashes of a set, and the weight from which a component has groups of its own.
+KEYS, LARGE = 8, 256
 #: Queries that one task puts to one group.
 QUERY_SETS = 2048
 EDGE_SCHEMA = "a bigint, b bigint"
@@ -71,15 +75,16 @@ def describe(batches: Iterator[pa.RecordBatch], k: int, percent: int, layout: La
             at, out = np.concatenate([[0], np.cumsum(sizes)]), []
             for i, own in enumerate(sets):
                 level = levels[at[i]: at[i + 1]]
-                hashed = tokens = singles = least = None
+                hashed = tokens = singles = keys = None
                 if len(own) and np.count_nonzero(level >= 2) >= least_overlap(len(own), percent):
                     ordered = own[np.lexsort((own, level))]
-                    tokens, singles, least = ordered.tobytes(), int(np.count_nonzero(level < 2)), int(own[:1].astype(np.int64)[0])
+                    tokens, singles = ordered.tobytes(), int(np.count_nonzero(level < 2))
+                    keys = [int(mix(own + U64(j << 40)).min().astype(np.int64)) ^ j for j in range(1, KEYS + 1)]
                     hashed = b"".join(int(x).to_bytes(8, "little") for x in (np.bitwise_xor.reduce(mix(own)), own.sum(dtype=U64)))
                 doc_id = int(chunk.doc_ids[i])
-                out.append((None if doc_id == NULL_ID else doc_id, int(sizes[i]), hashed, tokens, singles, least))
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "n", "set_hash", "tokens", "singles", "least"])
+                out.append((None if doc_id == NULL_ID else doc_id, int(sizes[i]), hashed, tokens, singles, keys))
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "n", "set_hash", "tokens", "singles", "keys"])
 
 
 class Forest:
@@ -154,17 +159,17 @@ def link_block(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def link_queries(queries: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Queries against one group: one edge for each component that a query reaches."""
-    if not len(queries) or not len(members):
-        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    index = Postings([np.frombuffer(t, U64) for t in members["tokens"]])
-    ids, a, b = members["rep"].to_numpy(), [], []
-    for rep, tokens in zip(queries["q_rep"], queries["q_tokens"]):
-        found = probe(index, np.frombuffer(tokens, U64), percent)
-        if len(found):  # the group's sets are one component: one link joins them all
-            a.append(rep)
-            b.append(ids[found[0]])
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    """Queries against one group: one edge for each component of the group that a query reaches."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(queries) and len(members):
+        index = Postings([np.frombuffer(t, U64) for t in members["tokens"]])
+        ids, component = members["rep"].to_numpy(), members["component"].to_numpy()
+        for rep, tokens in zip(queries["q_rep"], queries["q_tokens"]):
+            found = probe(index, np.frombuffer(tokens, U64), percent)
+            found = found[np.unique(component[found], return_index=True)[1]]
+            a.append(np.full(len(found), rep))
+            b.append(ids[found])
+    return pd.DataFrame({"a": np.concatenate(a).astype(np.int64), "b": np.concatenate(b).astype(np.int64)})
 
 
 def prefix_tokens(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -186,49 +191,62 @@ def blocks_of(sets: DataFrame, keys: list[str], size: int) -> DataFrame:
     return sets.join(n, keys).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int")).drop("_parts")
 
 
-def first_links(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Links within the blocks of each least-token group."""
-    blocks = scratch.save(blocks_of(sets, ["least"], BLOCK_SETS), "blocks").select("least", "block", "rep", "n", "tokens")
+def grouped(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """sets with pivot, the key of each that most sets have, and block."""
+    keyed = sets.select("rep", F.explode("keys").alias("key"))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_c"))
+    pivots = keyed.join(counts, "key").groupBy("rep").agg(F.max_by("key", F.struct("_c", "key")).alias("pivot"))
+    own = scratch.save(sets.drop("keys").join(pivots, "rep"), "pivots")
+    return scratch.save(blocks_of(own, ["pivot"], BLOCK_SETS), "blocks")
+
+
+def first_links(blocks: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links within the blocks of each group."""
+    own = blocks.select("pivot", "block", "rep", "n", "tokens")
     # the first set of a group joins all its blocks, so that blocks of near copies meet in it
-    heads = blocks.groupBy("least").agg(F.min("rep").alias("rep"), F.max("block").alias("last")).filter("last > 0")
-    heads = heads.join(sets.select("rep", "n", "tokens"), "rep").select("least", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), "rep", "n", "tokens")
-    both = blocks.unionByName(heads)
-    return scratch.save(both.groupBy("least", "block").applyInPandas(lambda p: link_block(p, percent), EDGE_SCHEMA), "near")
+    heads = blocks.groupBy("pivot").agg(F.min("rep").alias("rep"), F.max("block").alias("last")).filter("last > 0")
+    heads = heads.join(blocks.select("rep", "n", "tokens"), "rep").select("pivot", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), "rep", "n", "tokens")
+    both = own.unionByName(heads)
+    return scratch.save(both.groupBy("pivot", "block").applyInPandas(lambda p: link_block(p, percent), EDGE_SCHEMA), "near")
 
 
 def group_links(own: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """The token-group matrix: links of queries with groups of other components.
+    """The token-group matrix: links of queries with groups.
 
-    own: rep, n, tokens, singles, and component, weight, least, block, which name a set's group.
+    own: rep, n, tokens, singles, component, weight, and large, of, pivot, block, which name a set's
+    group: with large 1 it is of one large component (of), else it holds sets of small ones.
     """
-    group = ["component", "least", "block"]
-    names = "n bigint, component bigint, weight bigint, least bigint, block int"
-    spread = own.select("tokens", "singles", "rep", "n", "component", "weight", "least", "block")
+    group = ["large", "of", "pivot", "block"]
+    names = "n bigint, component bigint, weight bigint, large int, of bigint, pivot bigint, block int"
+    spread = own.select("tokens", "singles", "rep", "n", "component", "weight", *group)
     spread = scratch.save(spread.mapInArrow(lambda b: prefix_tokens(b, percent), f"token bigint, rep bigint, {names}"), "prefixes")
-    matrix = spread.groupBy("token", *group).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.first("weight").alias("g_weight"))
     g_group = [f"g_{c}" for c in group]
-    matrix = matrix.select("token", *[F.col(c).alias(f"g_{c}") for c in group], "n_min", "n_max", "g_weight")
-    # of two components the lighter one's sets are the queries
-    lighter = F.struct("weight", "component") < F.struct("g_weight", "g_component")
+    matrix = spread.groupBy("token", *[F.col(c).alias(f"g_{c}") for c in group]).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("weight").alias("g_weight"))
+    # each pair of groups is met once: of two components, the lighter one's sets ask the heavier
+    # one's groups; small ones ask groups after their own (within one, all links are known)
+    lighter = F.struct("weight", "component") < F.struct("g_weight", "g_of")
+    after = F.struct("pivot", "block") < F.struct("g_pivot", "g_block")
+    once = F.when(F.col("g_large") == 1, lighter).otherwise((F.col("large") == 0) & after)
     fits = (F.col("n_max") * 100 >= F.col("n") * percent) & (F.col("n_min") * percent <= F.col("n") * 100)
-    pairs = spread.select("token", "rep", "n", "component", "weight").join(matrix, "token").filter(lighter & fits)
+    pairs = spread.select("token", "rep", "n", "component", "weight", *group).join(matrix, "token").filter(once & fits)
     pairs = scratch.save(blocks_of(pairs.select("rep", *g_group).distinct(), g_group, QUERY_SETS).withColumnRenamed("block", "part"), "pairs")
     asked = pairs.join(own.select("rep", "tokens"), "rep").select(*[F.col(c).alias(f"q_{c}") for c in (*g_group, "part", "rep", "tokens")])
-    names_of = [F.col(c).alias(f"g_{c}") for c in group]
-    members = own.select(*names_of, "rep", "tokens").join(pairs.select(*g_group, "part").distinct(), g_group)
+    members = own.select(*[F.col(c).alias(f"g_{c}") for c in group], "rep", "component", "tokens").join(pairs.select(*g_group, "part").distinct(), g_group)
     far = asked.groupBy(*[f"q_{c}" for c in (*g_group, "part")]).cogroup(members.groupBy(*g_group, "part")).applyInPandas(
         lambda q, m: link_queries(q, m, percent), EDGE_SCHEMA)
     return scratch.save(far, "far")
 
 
 def components_of(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """sets: rep, n, tokens, singles, least of distinct sets. Returns (node, component) of linked ones."""
-    near = first_links(sets, scratch, percent)
+    """sets: rep, n, tokens, singles, keys of distinct sets. Returns (node, component) of linked ones."""
+    blocks = grouped(sets, scratch)
+    near = first_links(blocks, scratch, percent)
     labels = connected(scratch, near, "round1")
-    own = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    own = blocks.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     weights = own.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
-    # all sets of a group are one component
-    own = scratch.save(blocks_of(own.join(weights, "component"), ["component", "least"], BLOCK_SETS), "own")
+    large = (F.col("weight") >= LARGE).cast("int")
+    own = own.join(weights, "component").withColumn("large", large).withColumn("of", F.when(large == 1, F.col("component")).otherwise(F.lit(0).cast("bigint")))
+    own = scratch.save(own, "own")
     return connected(scratch, near.unionByName(group_links(own, scratch, percent)), "round2")
 
 
@@ -245,7 +263,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, de
     counts, layout = ex.estimate(tokens, depth)
     described = scratch.save(ex.joined(counts).mapInArrow(lambda b: describe(b, k, percent, layout), SET_SCHEMA), "sets")
     may = described.filter("tokens IS NOT NULL AND doc_id IS NOT NULL")
-    first = [F.first(c).alias(c) for c in ("n", "tokens", "singles", "least")]
+    first = [F.first(c).alias(c) for c in ("n", "tokens", "singles", "keys")]
     distinct = scratch.save(may.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), *first), "distinct")
     labels = components_of(distinct.drop("set_hash"), scratch, percent)
     reps = distinct.select("set_hash", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
