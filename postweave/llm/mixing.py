@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import Scratch, documents, text_or_empty
 
 MAX_CELLS = 200_000
 MARGINS = ("source", "lang", "topic")
@@ -99,7 +99,11 @@ def cells_of(docs: DataFrame) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     """docs with topic, tokens, factor, probability and sampled added (as _topic and so on)."""
-    rows = cells_of(docs)
+    return assign(spark, cells_of(docs), how)
+
+
+def assign(spark: SparkSession, rows: DataFrame, how: Mix = Mix()) -> DataFrame:
+    """The same for rows of cells_of; reads them twice."""
     keys = [f"_{m}" for m in MARGINS]
     counted = rows.groupBy(*keys).agg(F.sum("_tokens").alias("mass"))
     cells = counted.limit(MAX_CELLS + 1).collect()
@@ -126,6 +130,9 @@ def mix(spark: SparkSession, docs: DataFrame, how: Mix = Mix()) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(spark, documents(spark, sf_dir))
+    columns = ["doc_id", *[f"_{m}" for m in MARGINS], "_tokens"]
+    # the texts are read once; what is kept of them are counts and cells
+    rows = Scratch(spark, "mixing").save(cells_of(documents(spark, sf_dir)).select(columns), "cells")
+    mixed = assign(spark, rows)
     return mixed.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"),
                         F.col("_factor").alias("factor"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
