@@ -69,9 +69,10 @@ def dedup(spark: SparkSession, docs: DataFrame, batches: int = 2) -> DataFrame:
     if own.filter("doc_id IS NULL").limit(1).count():
         index.add(own.filter("doc_id IS NULL"))
     sizes = own.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-    groups = index.entries().join(sizes.hint("merge"), "digest")
+    # written, so that neither side of the last join is fixed to buckets and a large group can be split
+    groups = scratch.save(index.entries().join(sizes.hint("merge"), "digest"), "groups")
     same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return own.join(groups.hint("merge"), "digest").select(
+    return own.join(groups, "digest").select(
         "doc_id", "keep_id", F.col("group_size"), same_id.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
