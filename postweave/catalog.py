@@ -198,10 +198,6 @@ def _thread_walk(spark, d):
 
 @query("t1_thread_walk_general", ORACLE_SQL["t1_thread_walk"])
 def _thread_walk_general(spark, d):
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}")
     m = messages(spark, d)
     return threads.thread_walk_general(m, threads.reply_edges(m))
 
@@ -718,6 +714,16 @@ def _index_rows(spark, d):
     return index_rows(indexes.date_index(messages(spark, d)), Config())
 
 
+@query("k8_index_pages")
+def _index_pages(spark, d):
+    from .config import Config
+    from .plans.render import index_rows
+    from .plans.site import pages_of
+
+    m = messages(spark, d)
+    return pages_of(index_rows(indexes.subject_index(m), Config()), "subject", indexes.archive_stats(m), Config(), 50)
+
+
 @query("k1_articles")
 def _articles(spark, d):
     from .config import Config

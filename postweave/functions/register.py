@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 from . import mime
 
-PARSED = "headers array<struct<name:string,value:string>>, body_text string, charset string, subject_raw string, from_raw string"
+HEADERS = ArrayType(StructType([StructField("name", StringType()), StructField("value", StringType())]))
+PARSED = StructType([StructField("headers", HEADERS), *[StructField(n, StringType()) for n in ("body_text", "charset", "subject_raw", "from_raw")]])
 
 
 @pandas_udf(PARSED)
@@ -22,17 +24,17 @@ def parse_rfc822(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.DataFrame(rows, columns=["headers", "body_text", "charset", "subject_raw", "from_raw"])
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decode_mime_words(values: pd.Series) -> pd.Series:
     return values.map(mime.decode_words, na_action="ignore")
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def decode_quoted_printable(values: pd.Series) -> pd.Series:
     return values.map(lambda b: mime.quoted_printable(bytes(b)), na_action="ignore")
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def decode_uuencode(values: pd.Series) -> pd.Series:
     return values.map(lambda b: mime.uudecode(bytes(b)), na_action="ignore")
 

@@ -27,6 +27,17 @@ def positions(rows: DataFrame, group: list[str], order: list, part: str | Column
             .withColumn(name, F.col("_before") + F.col("_rank") - 1).drop("_rank", "_before", "_part", "_g_part", *[f"_g_{g}" for g in group]))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the folder that executors share: computed once, and not lost with
+    an executor. Only where no folder is set (local tests) a temporary one is used."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='postweave-')}")
+    return df.checkpoint()
+
+
 def number_messages(rows: DataFrame, start: int = 0, step: int = 1) -> DataFrame:
     """msgnum from the source position; rows that are dropped later keep their number used."""
     return rows.withColumn("msgnum", (F.lit(start) + F.lit(max(1, step)) * F.col("pos")).cast("int"))

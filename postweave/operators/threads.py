@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mail import bracketed_ids, normalize_msgid
 from ..functions.text import ascii_lower, unre
+from .ranking import written
 
 LOOK_BACK = 500
 #: Edges of a later pass come after all of an earlier one.
@@ -152,12 +153,14 @@ def components(messages: DataFrame, edges: DataFrame, rounds: int = 60) -> DataF
     pointer jumping; checkpointed each round."""
     both = edges.select("list_id", F.col("parent_msgnum").alias("a"), F.col("child_msgnum").alias("b"))
     both = both.unionByName(both.select("list_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = written(both)
     labels, before = messages.select("list_id", "msgnum", F.col("msgnum").alias("component")), None
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("msgnum", "a"), ["list_id", "a"]).groupBy("list_id", F.col("b").alias("msgnum")).agg(F.min("component").alias("_near"))
         step = labels.join(near, ["list_id", "msgnum"], "left").withColumn("component", F.least("component", F.coalesce("_near", "component"))).drop("_near")
         jump = step.select("list_id", F.col("msgnum").alias("component"), F.col("component").alias("_up"))
-        labels = step.join(jump, ["list_id", "component"]).select("list_id", "msgnum", F.col("_up").alias("component")).checkpoint()
+        labels = step.join(jump, ["list_id", "component"]).select("list_id", "msgnum", F.col("_up").alias("component"))
+        labels = written(labels)
         total = labels.agg(F.sum("component")).first()[0]
         if total == before:
             break

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, check
 from ..operators import indexes, lines as line_ops, search, threads
-from ..operators.ranking import positions
+from ..operators.ranking import positions, written
 from ..sources.archive import STATE, read_state
 from ..sources.mbox import read_mailboxes
 from .messages import parse_messages
@@ -17,9 +17,10 @@ STATE_COLUMNS = [c.split()[0] for c in STATE.split(", ")]
 
 def derive(spark: SparkSession, messages: DataFrame, config: Config) -> dict[str, DataFrame]:
     """All tables that follow from messages."""
+    messages = written(messages)  # parsed once, whatever is derived
     body = line_ops.explode_lines(messages)
     foldered = indexes.with_folder(messages, config.msgsperfolder, config.folder_by_date)
-    edges = threads.reply_edges(messages, body if config.linkquotes else None, config.searchbackmsgnum)
+    edges = written(threads.reply_edges(messages, body if config.linkquotes else None, config.searchbackmsgnum))
     depth = config.thrdlevels if 1 <= config.thrdlevels <= 99 else threads.MAX_DEPTH
     out = {
         "messages": foldered, "body_lines": body, "reply_edges": edges, "unresolved": threads.unresolved_replies(messages),

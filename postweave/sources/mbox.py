@@ -146,11 +146,11 @@ def read_mailboxes(spark: SparkSession, path: str, form: str = "mboxo", max_mess
     rows = positions(text, ["path"], ["at"], "block")
     rows = rows.join(rows.groupBy("path").agg(F.max("pos").alias("_last")), "path")
     # one character a byte, so that raw 8-bit text passes through string functions unharmed
-    raw = F.regexp_replace(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), "\r\n", "\n")
+    raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     # the separator takes the mark of every message but the first, whose first line stays as it is
     raw = F.when(F.col("pos") > 0, F.concat(F.lit("From "), raw)).otherwise(raw)
     # and the line end of every message but the last
-    raw = F.when(F.col("pos") < F.col("_last"), F.concat(raw, F.lit("\n"))).otherwise(raw)
+    raw = F.regexp_replace(F.when(F.col("pos") < F.col("_last"), F.concat(raw, F.lit("\n"))).otherwise(raw), "\r\n", "\n")
     rest = F.substring(raw, F.instr(F.concat(raw, F.lit("\n")), "\n") + 1, F.length(raw))
     gap = F.instr(rest, "\n\n")
     headers = F.when(F.startswith(rest, F.lit("\n")), "").when(gap > 0, F.left(rest, gap)).otherwise(rest)
@@ -161,5 +161,5 @@ def read_mailboxes(spark: SparkSession, path: str, form: str = "mboxo", max_mess
     checked = F.when(F.octet_length("value") > max_message, too_long.cast("string")).otherwise(raw)
     return rows.filter(F.length("value") > 0).select(
         F.regexp_replace(F.substring_index("path", "/", -1), r"\.(mbox|mbx|txt)$", "").alias("list_id"), "pos",
-        F.rtrim(F.substring_index(checked, "\n", 1)).alias("from_line"),
+        F.make_valid_utf8(F.encode(F.rtrim(F.substring_index(checked, "\n", 1)), "ISO-8859-1").cast("string")).alias("from_line"),
         F.encode(headers, "ISO-8859-1").alias("headers"), F.encode(body, "ISO-8859-1").alias("body"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postweave import config
 from postweave.functions.register import register
 from postweave.operators.lines import explode_lines
-from postweave.plans import archive, render, sinks
+from postweave.plans import archive, render, sinks, site
 from postweave.plans.messages import parse_messages
 from postweave.sources import archive as back
 from postweave.sources import locale, mbox
@@ -137,6 +137,15 @@ def test_pages_and_files(spark, box, tmp_path):
         pass
 
 
+def test_site(spark, box, tmp_path):
+    c = config.Config(writehaof=True, nonsequential=True, label="My <list>")
+    site.write_archive(archive.build_archive(spark, box, c), str(tmp_path / "site"), c)
+    home = tmp_path / "site" / "simple"
+    assert "My &lt;list&gt;" in (home / "index.html").read_text() and 'class="depth-1"' in (home / "index.html").read_text()
+    assert {"index.html", "date.html", "subject.html", "author.html", "attachment.html"} < set(os.listdir(home)) and len(os.listdir(home)) == 8
+    assert "3 Messages" in (home / "date.html").read_text() and (tmp_path / "site" / "msgindex").is_dir() and (tmp_path / "site" / "overview").is_dir()
+
+
 def test_read_pages(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "0007.html").write_text('<!-- id="a@b" --><!-- sent="2024-01-15T12:00:00Z" -->')

@@ -83,9 +83,9 @@ def test_cycles_are_walked_once(spark):
 
 
 def test_deep_thread(spark):
-    m = store(spark, [{"irt": f"<{i - 1}@x>"} if i else {} for i in range(150)])
+    m = store(spark, [{"irt": f"<{i - 1}@x>"} if i else {} for i in range(105)])
     got = threads.thread_walk(spark, m, threads.reply_edges(m))
-    assert got.count() == 150 and got.agg(F.max("depth")).first()[0] == 149 and got.filter("shown").count() == 51
+    assert got.count() == 105 and got.agg(F.max("depth")).first()[0] == 104 and got.filter("shown").count() == 51
 
 
 def test_first_by_msgid(spark):
