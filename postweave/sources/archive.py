@@ -50,8 +50,10 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 def read_message_index(spark: SparkSession, path: str) -> DataFrame:
     """(msgnum, name) of a message list file; its first line is `0000 MAX`, from 0 to 100 million."""
-    rows = spark.read.text(path).select(F.split("value", " ", 2).alias("p")).select(F.get("p", F.lit(0)).alias("num"), F.get("p", F.lit(1)).alias("name"))
-    rows = rows.select(F.col("num").try_cast("bigint").alias("msgnum"), "name", (F.col("num") == "0000").alias("_head"))
+    rows = spark.read.text(path).select(F.split("value", " ", 2).alias("p"), (F.monotonically_increasing_id() == 0).alias("_first"))
+    rows = rows.select(F.get("p", F.lit(0)).alias("num"), F.get("p", F.lit(1)).alias("name"), "_first")
+    # message 0 has the number of the first line too
+    rows = rows.select(F.col("num").try_cast("bigint").alias("msgnum"), "name", (F.col("_first") & (F.col("num") == "0000")).alias("_head"))
     top = rows.filter("_head").agg(F.max(F.col("name").try_cast("bigint")).alias("_max"))
     legal = rows.join(F.broadcast(top), F.col("_max").between(0, 100_000_000)).filter("NOT _head AND msgnum IS NOT NULL AND msgnum BETWEEN 0 AND _max AND name <> ''")
     return legal.select(F.col("msgnum").cast("int").alias("msgnum"), "name")
