@@ -108,8 +108,9 @@ def thread_walk(spark: SparkSession, messages: DataFrame, edges: DataFrame, max_
     shown is false where depth exceeds max_depth. Messages on a cycle have no root and aren't
     reached; thread_walk_general takes them.
     """
-    messages.createOrReplaceTempView("_pw_messages")
-    edges.createOrReplaceTempView("_pw_edges")
+    # written: each level of the recursion reads them again
+    written(messages.select("list_id", "msgnum")).createOrReplaceTempView("_pw_messages")
+    written(edges.select("list_id", "parent_msgnum", "child_msgnum", "seq")).createOrReplaceTempView("_pw_edges")
     before = spark.conf.get("spark.sql.cteRecursionLevelLimit")
     spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(int(before), levels)))
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
