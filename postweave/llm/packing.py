@@ -13,6 +13,7 @@ null doc_id stays null; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,9 +31,15 @@ PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, do
 CACHE_WORDS = 400_000
 
 
+#: A space beside other white space: such runs are one piece of the vocabulary's own pattern.
+RUN = re.compile(r"\s | \s")
+LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+
+
 class Tokens(dict):
-    """Ids, as little-endian bytes, of a space and a word; split at spaces, as the vocabulary's own
-    pattern does, since a piece of it never spans a single space between other characters."""
+    """Ids, as little-endian bytes, of a space and a word; split at single spaces between characters
+    that aren't white space of any kind, where the vocabulary's own pattern always begins a piece.
+    Special tokens in a text are plain characters: the end id is the packer's alone."""
 
     def __init__(self, path: str):
         import base64
@@ -56,9 +63,9 @@ class Tokens(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        first, *words = text.split(" ")
-        if "" in words:  # runs of spaces belong together
+        if not text or text[0] == " " or text[-1] == " ":
             return self.ids(text)
+        first, *words = LONE_SPACE.split(text) if RUN.search(text) else text.split(" ")
         return self.ids(first) + b"".join(map(self.__getitem__, words))
 
 

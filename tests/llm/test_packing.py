@@ -30,6 +30,17 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert np.frombuffer(own.encode(text), np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ids_beside_any_white_space(tokenizer):
+    """A space beside white space of any kind belongs to its run, whose merges may span it."""
+    own = Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert np.frombuffer(own.encode("Hello. \xa0 \xa0 World"), np.uint32).tolist() == [15496, 13, 11504, 2159]
+    rng = random.Random(7)
+    bits = ["a", "the", " ", " ", "\xa0", "\u3000", "\u2009", "\n", "\t", "\x85", "\x1c", ".", "'s", "7"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 14)))
+        assert np.frombuffer(own.encode(text), np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_best_fill_is_best():
     rng = random.Random(2)
     for _ in range(200):
