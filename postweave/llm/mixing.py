@@ -1,13 +1,16 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are counted, with their tokens, in cells of (source, language, topic). Token weights are
-raked until each of the three margins meets its target; a cell's factor, fitted over present
-weight, gives its documents' sampling probability, and a document stays if a hash of its doc_id
-falls below it, so that the same row is decided alike in every run and on every machine.
+raked until each of the three margins meets its target; a cell's factor is fitted over present
+weight. Its documents' sampling probability comes from raking again with no cell above 1, and a document
+stays if a hash of its doc_id falls below it, so that the same row is decided alike in every run and on
+every machine.
 
 Targets: shares by value, or by default each margin's present shares flattened by `power` (1: as they are,
-0: uniform). Probabilities are the factors times one rate, capped at 1, with the rate set so that
-the expected tokens are `keep` of all.
+0: uniform). The expected tokens are `keep` of all. Sampling repeats no document, so that at a given keep a
+value can't have more than share / keep: one whose target is above that is kept whole and falls short, and
+what it lacks goes to the others in proportion. `margins` reports the expected share of each value beside its
+target; with keep at most 1 / (largest factor) no cell is bounded and all targets are met.
 
 Defined results: a null source or language is a value of its own (""); null and empty texts have no
 tokens and the factor of their cell (1 before the rate, if the cell has no tokens); rows repeated
@@ -77,16 +80,54 @@ def margin_target(mass: np.ndarray, names: list[str], own: dict[str, float] | No
     return share / share.sum()
 
 
-def rates(factor: np.ndarray, mass: np.ndarray, keep: float) -> np.ndarray:
-    """min(1, c * factor) with the c at which the expected mass is keep of all."""
-    reach = mass[factor > 0].sum()
-    goal, low, high = min(keep * mass.sum(), reach), 0.0, 1.0
-    while (np.minimum(1, high * factor) * mass).sum() < goal * (1 - 1e-12) and high < 1e12:
-        high *= 2
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (np.minimum(1, mid * factor) * mass).sum() < goal else (low, mid)
-    return np.minimum(1, high * factor)
+def within(target: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """target where no value can have more than most: what is over goes to the others in proportion."""
+    out, full = np.minimum(target, most), target > most
+    while full.any() and not full.all():
+        rest = 1 - most[full].sum()
+        out[full], out[~full] = most[full], target[~full] * max(0.0, rest) / max(target[~full].sum(), 1e-300)
+        over = ~full & (out > most)
+        if not over.any():
+            break
+        full |= over
+    return out
+
+
+def scale_to(weight: np.ndarray, cap: np.ndarray, goal: float) -> float:
+    """The s at which min(cap, s * weight) sums to goal, or at which all are at their caps."""
+    if goal <= 0 or not (weight > 0).any():
+        return 0.0
+    own = weight > 0
+    weight, cap = weight[own], cap[own]
+    turn = cap / weight
+    order = np.argsort(turn)
+    capped = np.concatenate([[0.0], np.cumsum(cap[order])])
+    free = np.concatenate([np.cumsum(weight[order][::-1])[::-1], [0.0]])
+    reach = capped[:-1] + turn[order] * free[:-1]  # the sum at each turn
+    k = int(np.searchsorted(reach, goal))
+    return float(turn[order[-1]]) if k == len(order) else (goal - capped[k]) / free[k]
+
+
+def rates(weight: np.ndarray, mass: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], how: Mix) -> np.ndarray:
+    """Sampling probabilities, at most 1, that keep how.keep of the mass in expectation with the
+    margins at their targets: raked again under that bound, cells at 1 being fixed and the others
+    refitted. A value whose whole mass is below its target at this keep is kept whole."""
+    share = mass / mass.sum()
+    keep = min(how.keep, share[weight > 0].sum())
+    cap, own = np.where(weight > 0, share / keep, 0.0), weight.copy()
+    goals = [within(t, np.bincount(c, cap, len(t))) for c, t in zip(codes, targets)]
+    groups = [[np.flatnonzero(c == v) for v in range(len(t))] for c, t in zip(codes, targets)]
+    for _ in range(how.rounds):
+        worst = 0.0
+        for goal, group in zip(goals, groups):
+            for v, cells in enumerate(group):
+                worst = max(worst, abs(np.minimum(cap[cells], own[cells]).sum() - goal[v]))
+                own[cells] *= scale_to(own[cells], cap[cells], goal[v])
+        if worst < how.tolerance:
+            break
+    # keep holds exactly, also where the margins' goals contradict each other under the bound
+    out = np.minimum(cap, own * scale_to(own, cap, 1.0))
+    return np.minimum(1, np.divide(out, cap, out=np.ones(len(mass)) * (mass <= 0), where=cap > 0))
 
 
 def cells_of(docs: DataFrame) -> DataFrame:
@@ -120,7 +161,7 @@ def assign(spark: SparkSession, rows: DataFrame, how: Mix = Mix()) -> DataFrame:
             targets.append(margin_target(np.bincount(code, mass, len(names)), list(names), how.targets.get(margin), how.power))
         weight = rake(mass, codes, targets, how.rounds, how.tolerance)
         factor = np.divide(weight * mass.sum(), mass, out=np.ones(len(cells)), where=mass > 0)
-        rate = rates(factor, mass, how.keep)
+        rate = rates(weight, mass, codes, targets, how)
     table = spark.createDataFrame(
         [(*[r[k] for k in keys], float(f), float(p)) for r, f, p in zip(cells, factor, rate)] or [("", "", "", 1.0, 1.0)],
         ", ".join(f"{k} string" for k in keys) + ", _factor double, _probability double")
@@ -129,6 +170,21 @@ def assign(spark: SparkSession, rows: DataFrame, how: Mix = Mix()) -> DataFrame:
     return rows.join(F.broadcast(table), keys).withColumn("_sampled", draw < F.col("_probability"))
 
 
+def margins(mixed: DataFrame, how: Mix = Mix()) -> DataFrame:
+    """For rows of mix or assign: margin, value, and its share of tokens present, targeted and expected
+    in the sample; at most as many rows as the margins have values."""
+    cells = mixed.groupBy(*[f"_{m}" for m in MARGINS]).agg(
+        F.sum("_tokens").cast("double").alias("mass"), F.sum(F.col("_tokens") * F.col("_probability")).alias("kept")).collect()
+    total, kept = sum(r["mass"] for r in cells), sum(r["kept"] for r in cells)
+    rows = []
+    for m in MARGINS if total > 0 else ():
+        names, code = np.unique([r[f"_{m}"] for r in cells], return_inverse=True)
+        mass = np.bincount(code, [r["mass"] for r in cells], len(names))
+        target, got = margin_target(mass, list(names), how.targets.get(m), how.power), np.bincount(code, [r["kept"] for r in cells], len(names))
+        rows += [(m, str(n), float(a / total), float(t), float(g / max(kept, 1e-300))) for n, a, t, g in zip(names, mass, target, got)]
+    return mixed.sparkSession.createDataFrame(rows, "margin string, value string, present double, target double, expected double")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", *[f"_{m}" for m in MARGINS], "_tokens"]
     # the texts are read once; what is kept of them are counts and cells

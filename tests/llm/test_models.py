@@ -150,6 +150,22 @@ def test_mixing_meets_targets(spark):
     assert got.filter("_sampled").count() == again.filter("_sampled").count()
 
 
+def test_mixing_meets_targets_with_cells_kept_whole(spark):
+    """Some cells are wanted more than whole; the other cells of their margins make up for them."""
+    rows = [(i, "w w w", "en" if i % 10 < 7 else "de", "s0" if i % 10 not in (0, 7) else "s1") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    how = Mix(keep=0.8, targets={"lang": {"en": 0.65, "de": 0.35}, "source": {"s0": 0.76, "s1": 0.24}})
+    got = mix(spark, docs, how)
+    report = {(r.margin, r.value): r for r in mixing.margins(got, how).collect()}
+    assert got.agg(F.max("_probability")).first()[0] == 1 and got.agg(F.max("_factor")).first()[0] * how.keep > 1
+    assert all(abs(r.expected - r.target) < 1e-6 for r in report.values())
+    assert abs(got.agg(F.avg("_probability")).first()[0] - 0.8) < 1e-6
+    # out of reach: 0.2 of the tokens are at most 0.25 of the sample, and the report says so
+    far = Mix(keep=0.8, targets={"source": {"s0": 0.6, "s1": 0.4}})
+    report = {(r.margin, r.value): r for r in mixing.margins(mix(spark, docs, far), far).collect()}
+    assert abs(report["source", "s1"].expected - 0.25) < 1e-6 and abs(report["source", "s1"].target - 0.4) < 1e-9
+
+
 def test_mixing_of_odd_rows(spark, monkeypatch):
     assert mix(spark, odd(spark)).count() == len(ODD)
     assert mix(spark, empty(spark)).collect() == []
