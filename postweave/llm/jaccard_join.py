@@ -6,22 +6,22 @@
 2. Equal sets collapse to one, however many copies there are (combined before the shuffle).
 3. Groups. Each set has a few minimum hashes, as keys; its group is that of its key which most sets
    have, so that a family of near copies is one or few groups. Groups are cut into blocks of bounded
-   size; each block links its own sets, and the block's sets with the group's first set.
-4. Token-group matrix. The groups are these blocks; a large component's sets are apart from others,
-   so that its own sets needn't ask its groups. Each group keeps the union of its sets' tokens; the
+   size; each block links its own sets.
+4. Token-group matrix. The groups are these blocks. Each group keeps the union of its sets' tokens; the
    matrix holds its rows for the rare prefix tokens that a partner must share (prefix filter: tokens
-   in ascending estimate). A set is a query against the groups that share a prefix token and whose
-   sizes fit; a group is opened only where the query's overlap with the union reaches the least
-   overlap of a link.
-5. Components of all links.
+   in ascending estimate). A set is a query against the groups after its own that share a prefix
+   token and whose sizes fit; a group is opened only where the query's overlap with the union
+   reaches the least overlap of a link.
+5. Components of all links, and how many links each document has.
 
-Within a block, sets that are already connected aren't compared again, and what leaves a task is
-at most one row for each set: pairs are never listed.
+Every pair that may link is met once, within families too, and counts for both of its sets, weighted
+by copies. Counts are summed in the task: what leaves it is at most one edge and one count for each
+set. Pairs are listed only by `links`.
 
 Defined results: a null or empty text, or one without words, has the empty set and links with
 nothing; with fewer words than a shingle the whole sequence is the one shingle; rows repeated
 with one doc_id are one document in components; a null doc_id stays null, apart from all others;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns are ignored. Rows without a doc_id or a set have no links.
 """
 
 from __future__ import annotations
@@ -42,11 +42,11 @@ from .sketch import Chunk, Exchange, Layout
 #: Sets in one block of a group.
 BLOCK_SETS = 1024
 SET_SCHEMA = "doc_id bigint, n bigint, set_hash binary, tokens binary, singles int, keys array<bigint>"
-#: Minimum hashes of a set, and the weight from which a component has groups of its own.
+#: Minimum hashes of a set. LARGE isn't read any more: links within large components are met too.
 KEYS, LARGE = 8, 256
 #: Queries that one task puts to one group.
 QUERY_SETS = 2048
-EDGE_SCHEMA = "a bigint, b bigint"
+LINK_SCHEMA, PAIR_SCHEMA = "rep bigint, other bigint, n_links bigint", "rep bigint, other bigint"
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -145,31 +145,56 @@ def edges_of(ids: np.ndarray, roots: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[own].astype(np.int64), "b": ids[roots[own]].astype(np.int64)})
 
 
-def link_block(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links within one block, as at most one edge for each set."""
-    pdf = pdf.drop_duplicates("rep").sort_values(["n", "rep"])
+def rows_of(edges: pd.DataFrame, ids: np.ndarray, n_links: np.ndarray) -> pd.DataFrame:
+    """Edges (rep, other) and counts (rep, n_links) as rows of one table."""
+    own = n_links > 0
+    return pd.concat([
+        pd.DataFrame({"rep": edges["a"], "other": edges["b"], "n_links": np.zeros(len(edges), np.int64)}),
+        pd.DataFrame({"rep": ids[own].astype(np.int64), "other": ids[own].astype(np.int64), "n_links": n_links[own].astype(np.int64)})])
+
+
+def pairs_of(pairs: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
+    found = [np.empty(0, np.int64), *[f for _, f in pairs]]
+    return pd.DataFrame({"rep": np.repeat(np.array([-1, *[r for r, _ in pairs]], np.int64), [len(f) for f in found]), "other": np.concatenate(found).astype(np.int64)})
+
+
+def link_block(pdf: pd.DataFrame, percent: int, listed: bool = False) -> pd.DataFrame:
+    """Links within one block: every set is probed, and what leaves is at most one edge and one
+    count for each set (or, listed, all its links once)."""
+    pdf = pdf.sort_values(["n", "rep"])
     sets = [np.frombuffer(t, U64) for t in pdf["tokens"]]
-    index, forest = Postings(sets), Forest(len(sets))
+    ids, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
+    index, forest, n_links, pairs = Postings(sets), Forest(len(sets)), np.zeros(len(sets), np.int64), []
     for i, query in enumerate(sets):
-        if forest.root(i) == 0 and i:
-            continue  # a set in the first one's component has met all that it can still join
-        for j in probe(index, query, percent):
-            forest.join(i, int(j))
-    return edges_of(pdf["rep"].to_numpy(), forest.roots())
-
-
-def link_queries(queries: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Queries against one group: one edge for each component of the group that a query reaches."""
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    if len(queries) and len(members):
-        index = Postings([np.frombuffer(t, U64) for t in members["tokens"]])
-        ids, component = members["rep"].to_numpy(), members["component"].to_numpy()
-        for rep, tokens in zip(queries["q_rep"], queries["q_tokens"]):
-            found = probe(index, np.frombuffer(tokens, U64), percent)
-            found = found[np.unique(component[found], return_index=True)[1]]
-            a.append(np.full(len(found), rep))
-            b.append(ids[found])
-    return pd.DataFrame({"a": np.concatenate(a).astype(np.int64), "b": np.concatenate(b).astype(np.int64)})
+        found = probe(index, query, percent)
+        n_links[i] = copies[found].sum() - copies[i]
+        if listed:
+            pairs.append((ids[i], ids[found[found > i]]))
+            continue
+        for r in {forest.root(int(j)) for j in found}:
+            forest.join(i, r)
+    return pairs_of(pairs) if listed else rows_of(edges_of(ids, forest.roots()), ids, n_links)
+
+
+def link_queries(queries: pd.DataFrame, members: pd.DataFrame, percent: int, listed: bool = False) -> pd.DataFrame:
+    """Queries against one group: every link counts for both of its sets; at most one edge and one
+    count leave for each set of either side (or, listed, all links)."""
+    if not len(queries) or not len(members):
+        return pairs_of([]) if listed else rows_of(pd.DataFrame({"a": [], "b": []}, dtype=np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+    index = Postings([np.frombuffer(t, U64) for t in members["tokens"]])
+    ids, copies, asks, weight = (members["rep"].to_numpy(), members["copies"].to_numpy(), queries["q_rep"].to_numpy(), queries["q_copies"].to_numpy())
+    both, forest, pairs = np.concatenate([ids, asks]), Forest(len(ids) + len(asks)), []
+    n_links = np.zeros(len(both), np.int64)
+    for i, tokens in enumerate(queries["q_tokens"]):
+        found = probe(index, np.frombuffer(tokens, U64), percent)
+        if listed:
+            pairs.append((asks[i], ids[found]))
+            continue
+        n_links[found] += weight[i]
+        n_links[len(ids) + i] = copies[found].sum()
+        for r in {forest.root(int(j)) for j in found}:
+            forest.join(len(ids) + i, r)
+    return pairs_of(pairs) if listed else rows_of(edges_of(both, forest.roots()), both, n_links)
 
 
 def prefix_tokens(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -200,59 +225,43 @@ def grouped(sets: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(blocks_of(own, ["pivot"], BLOCK_SETS), "blocks")
 
 
-def first_links(blocks: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def first_links(blocks: DataFrame, percent: int, listed: bool) -> DataFrame:
     """Links within the blocks of each group."""
-    own = blocks.select("pivot", "block", "rep", "n", "tokens")
-    # the first set of a group joins all its blocks, so that blocks of near copies meet in it
-    heads = blocks.groupBy("pivot").agg(F.min("rep").alias("rep"), F.max("block").alias("last")).filter("last > 0")
-    heads = heads.join(blocks.select("rep", "n", "tokens"), "rep").select("pivot", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), "rep", "n", "tokens")
-    both = own.unionByName(heads)
-    return scratch.save(both.groupBy("pivot", "block").applyInPandas(lambda p: link_block(p, percent), EDGE_SCHEMA), "near")
+    own = blocks.select("pivot", "block", "rep", "n", "tokens", "copies")
+    return own.groupBy("pivot", "block").applyInPandas(lambda p: link_block(p, percent, listed), PAIR_SCHEMA if listed else LINK_SCHEMA)
 
 
-def group_links(own: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def group_links(own: DataFrame, scratch: Scratch, percent: int, listed: bool) -> DataFrame:
     """The token-group matrix: links of queries with groups.
 
-    own: rep, n, tokens, singles, component, weight, and large, of, pivot, block, which name a set's
-    group: with large 1 it is of one large component (of), else it holds sets of small ones.
+    own: rep, n, tokens, singles, copies, and pivot and block, which name a set's group.
     """
-    group = ["large", "of", "pivot", "block"]
-    names = "n bigint, component bigint, weight bigint, large int, of bigint, pivot bigint, block int"
-    spread = own.select("tokens", "singles", "rep", "n", "component", "weight", *group)
-    spread = scratch.save(spread.mapInArrow(lambda b: prefix_tokens(b, percent), f"token bigint, rep bigint, {names}"), "prefixes")
+    group = ["pivot", "block"]
+    spread = own.select("tokens", "singles", "rep", "n", *group)
+    spread = scratch.save(spread.mapInArrow(lambda b: prefix_tokens(b, percent), "token bigint, rep bigint, n bigint, pivot bigint, block int"), "prefixes")
     g_group = [f"g_{c}" for c in group]
-    matrix = spread.groupBy("token", *[F.col(c).alias(f"g_{c}") for c in group]).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("weight").alias("g_weight"))
-    # each pair of groups is met once: of two components, the lighter one's sets ask the heavier
-    # one's groups; small ones ask groups after their own (within one, all links are known)
-    lighter = F.struct("weight", "component") < F.struct("g_weight", "g_of")
-    after = F.struct("pivot", "block") < F.struct("g_pivot", "g_block")
-    once = F.when(F.col("g_large") == 1, lighter).otherwise((F.col("large") == 0) & after)
+    matrix = spread.groupBy("token", *[F.col(c).alias(f"g_{c}") for c in group]).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+    # each pair of groups is met once: sets ask groups after their own
+    once = F.struct("pivot", "block") < F.struct("g_pivot", "g_block")
     fits = (F.col("n_max") * 100 >= F.col("n") * percent) & (F.col("n_min") * percent <= F.col("n") * 100)
-    pairs = spread.select("token", "rep", "n", "component", "weight", *group).join(matrix, "token").filter(once & fits)
+    pairs = spread.select("token", "rep", "n", *group).join(matrix, "token").filter(once & fits)
     pairs = scratch.save(blocks_of(pairs.select("rep", *g_group).distinct(), g_group, QUERY_SETS).withColumnRenamed("block", "part"), "pairs")
-    asked = pairs.join(own.select("rep", "tokens"), "rep").select(*[F.col(c).alias(f"q_{c}") for c in (*g_group, "part", "rep", "tokens")])
-    members = own.select(*[F.col(c).alias(f"g_{c}") for c in group], "rep", "component", "tokens").join(pairs.select(*g_group, "part").distinct(), g_group)
-    far = asked.groupBy(*[f"q_{c}" for c in (*g_group, "part")]).cogroup(members.groupBy(*g_group, "part")).applyInPandas(
-        lambda q, m: link_queries(q, m, percent), EDGE_SCHEMA)
-    return scratch.save(far, "far")
+    asked = pairs.join(own.select("rep", "tokens", "copies"), "rep").select(*[F.col(c).alias(f"q_{c}") for c in (*g_group, "part", "rep", "tokens", "copies")])
+    members = own.select(*[F.col(c).alias(f"g_{c}") for c in group], "rep", "tokens", "copies").join(pairs.select(*g_group, "part").distinct(), g_group)
+    return asked.groupBy(*[f"q_{c}" for c in (*g_group, "part")]).cogroup(members.groupBy(*g_group, "part")).applyInPandas(
+        lambda q, m: link_queries(q, m, percent, listed), PAIR_SCHEMA if listed else LINK_SCHEMA)
 
 
-def components_of(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """sets: rep, n, tokens, singles, keys of distinct sets. Returns (node, component) of linked ones."""
+def links_of(sets: DataFrame, scratch: Scratch, percent: int, listed: bool = False) -> DataFrame:
+    """sets: rep, n, tokens, singles, keys, copies of distinct sets. Edges and counts of all links
+    (LINK_SCHEMA), or, listed, every link once (PAIR_SCHEMA)."""
     blocks = grouped(sets, scratch)
-    near = first_links(blocks, scratch, percent)
-    labels = connected(scratch, near, "round1")
-    own = blocks.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    weights = own.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
-    large = (F.col("weight") >= LARGE).cast("int")
-    own = own.join(weights, "component").withColumn("large", large).withColumn("of", F.when(large == 1, F.col("component")).otherwise(F.lit(0).cast("bigint")))
-    own = scratch.save(own, "own")
-    return connected(scratch, near.unionByName(group_links(own, scratch, percent)), "round2")
+    near = scratch.save(first_links(blocks, percent, listed), "near")
+    return near.unionByName(scratch.save(group_links(blocks, scratch, percent, listed), "far"))
 
 
-def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, depth: int = 1) -> DataFrame:
-    """doc_id, n_shingles, component_id: the least doc_id reachable by links of a Jaccard
-    similarity of percent/100 or more between sets of k-word shingles."""
+def distinct_sets(spark: SparkSession, docs: DataFrame, k: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame, Scratch]:
+    """All documents, and the distinct sets that may have a partner with their copies."""
     ex = Exchange(spark, docs, "jaccard")
     scratch = ex.scratch
 
@@ -264,12 +273,32 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, de
     described = scratch.save(ex.joined(counts).mapInArrow(lambda b: describe(b, k, percent, layout), SET_SCHEMA), "sets")
     may = described.filter("tokens IS NOT NULL AND doc_id IS NOT NULL")
     first = [F.first(c).alias(c) for c in ("n", "tokens", "singles", "keys")]
-    distinct = scratch.save(may.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), *first), "distinct")
-    labels = components_of(distinct.drop("set_hash"), scratch, percent)
-    reps = distinct.select("set_hash", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
+    return described, scratch.save(may.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *first), "distinct"), scratch
+
+
+def links(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, depth: int = 1) -> DataFrame:
+    """(rep, other): every link between distinct sets once, each named by its least doc_id; copies
+    of one set, which all link with each other, aren't listed."""
+    _, distinct, scratch = distinct_sets(spark, docs, k, percent, depth)
+    return links_of(distinct.drop("set_hash"), scratch, percent, True)
+
+
+def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, depth: int = 1) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links of a Jaccard similarity
+    of percent/100 or more between sets of k-word shingles) and n_links: how many other rows with a
+    doc_id this one links with, rows of an equal set included."""
+    described, distinct, scratch = distinct_sets(spark, docs, k, percent, depth)
+    found = links_of(distinct.drop("set_hash"), scratch, percent)
+    labels = connected(scratch, found.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")), "links").withColumnRenamed("node", "rep")
+    counts = found.groupBy("rep").agg(F.sum("n_links").alias("n_far"))
+    reps = distinct.select("set_hash", "rep", "copies").join(labels, "rep", "left").join(counts, "rep", "left").select(
+        "set_hash", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_far", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     reps = scratch.save(reps, "reps")
     own = described.select("doc_id", F.col("n").alias("n_shingles"), "set_hash")
-    return own.join(reps, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked_row = F.when(F.col("doc_id").isNotNull(), F.col("n_links"))
+    return own.join(reps, "set_hash", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce(linked_row, F.lit(0).cast("bigint")).alias("n_links"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

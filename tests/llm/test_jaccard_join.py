@@ -82,3 +82,18 @@ def test_bounds():
     for n in range(1, 300):
         assert least_overlap(n, 85) * 100 >= 85 * n > (least_overlap(n, 85) - 1) * 100
         assert 1 <= prefix_length(n, 85) <= n
+
+
+def test_every_link_is_counted(spark, monkeypatch):
+    """Links within a family of near copies, in one block and across blocks, and copies."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard_join, "QUERY_SETS", 3)
+    rows = corpus(3, 12, 14)
+    sets = {i: shingles(t, 4) for i, t in rows}
+    pairs = {(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: sum(i in p for p in pairs) for i in sets}
+    assert {r.doc_id: r.n_links for r in join(spark, docs, k=4, percent=85).collect()} == want and max(want.values()) > 4
+    first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    listed = [tuple(sorted(p)) for p in jaccard_join.links(spark, docs, k=4, percent=85).select("rep", "other").collect()]
+    assert len(listed) == len(set(listed)) and set(listed) == {tuple(sorted((first[i], first[j]))) for i, j in pairs if first[i] != first[j]}
