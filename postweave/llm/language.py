@@ -6,9 +6,10 @@ Forward-backward gives each word's distribution, so that code-switched text is l
 word; a document's language is the one with the largest mean.
 
 Learned from text and lang of rows whose crc32(doc_id) mod 4 is not 2. Training sequences join runs
-of words from rows of different languages, so that switches are seen. Bounds: about SAMPLE_ROWS rows
-a language, SAMPLE_WORDS consecutive words of each, LANGUAGES languages (the most frequent). All
-rows are labelled, whole: long texts go through the chain in segments whose transfer matrices are
+of words from rows of different languages, so that switches are seen. Every language
+that these rows have is a label. Bounds: about SAMPLE_ROWS rows a language, fewer beyond LANGUAGES
+languages so that the sample stays as large, and SAMPLE_WORDS consecutive words of each; beyond
+MAX_LANGUAGES, where the model would outgrow a driver, an error is raised, not a cut. All rows are labelled, whole: long texts go through the chain in segments whose transfer matrices are
 combined exactly.
 
 Defined results: `und` with score 0 for a null text, one without letters, and where nothing could
@@ -31,7 +32,7 @@ from .toxicity import fold
 
 BITS = 17
 FOLDS, HELD = 4, 2
-SAMPLE_ROWS, SAMPLE_WORDS, LANGUAGES = 600, 160, 64
+SAMPLE_ROWS, SAMPLE_WORDS, LANGUAGES, MAX_LANGUAGES = 600, 160, 64, 256
 NGRAMS = (2, 3, 4)
 SEGMENT = 128
 RUNS = (4, 30)
@@ -183,12 +184,16 @@ def label_batch(chain: Chain, column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def sample(docs: DataFrame, rows: int, languages: int) -> tuple[list[str], list[tuple[str, str]]]:
-    """Languages, and (lang, some consecutive words) of a bounded sample of rows to learn from."""
+    """All languages, and (lang, some consecutive words) of a sample of rows to learn from: about
+    `rows` a language, and no more in all than so many for `languages` of them."""
     may = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD))
-    found = may.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    found = may.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if not found:
         return [], []
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = min(rows, rows * languages / len(found))
     share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
     some = may.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000)
 

@@ -78,6 +78,19 @@ def test_language_on_held_out_rows(spark):
     assert sum(out) / len(out) > 0.97 and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_every_language_is_a_label(spark, monkeypatch):
+    """Rare ones too; the sample stays bounded, and what can't be held is an error."""
+    rows = [(i, f"wort{i % 80} text", f"l{i % 80 if i % 3 else i % 2}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {lang for i, _, lang in rows if held(i, 4) != 2}
+    labels, got = language.sample(docs, 600, language.LANGUAGES)
+    assert len(want) > language.LANGUAGES and set(labels) == want == {lang for lang, _ in got}
+    assert len(language.sample(docs, 8, 10)[1]) < 300
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 70)
+    with pytest.raises(ValueError):
+        language.sample(docs, 600, language.LANGUAGES)
+
+
 def test_words_of_mixed_text():
     """Code switching: the labels of words follow the languages within one text."""
     rng, labels = random.Random(3), ["aa", "bb"]
