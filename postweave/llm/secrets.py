@@ -1,8 +1,8 @@
 """Secret scans: known shapes, and a sliding window of Shannon entropy over candidate strings.
 
-Native. A candidate is a maximal run of token characters; its class (hex, upper, mixed) sets the
-window and the threshold. The entropy of each window follows from that of the one before by the
-counts of the character that leaves and of the one that enters. Runs on the allow-list give no
+Native. A candidate is a maximal run of token characters, split at '=' and, where it is a path or holds a
+placeholder, at '/'; the class of each part (hex, upper, mixed, letters) sets the window and the threshold. The entropy of each window follows from that of the one before by the
+counts of the character that leaves and of the one that enters. Parts on the allow-list give no
 entropy span; base spans always stay.
 
 Defined results: a null or empty text has no spans (the digest of the empty string); offsets are
@@ -34,15 +34,21 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 CLASSES = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$", 16, 2.6),
     ("upper", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", 16, 3.1),
-    ("mixed", r"^(?=.*[0-9])(?=.*[A-Za-z]).+$", 20, 3.5),
+    ("mixed", r"^(?=.*[0-9])(?=.*[A-Za-z]).+$", 16, 3.5),
+    ("letters", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", 16, 3.5),
 )
-#: Runs that look random and are no secrets: ids, paths, digests of pages, alphabets, placeholders.
-ALLOWED = (
+#: Values that look random and are no secrets, as a whole: ids and digests of pages.
+IDS = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^sha(256|384|512)-",
+)
+#: The same for values that are judged by their parts between slashes then: alphabets, placeholders, paths.
+PARTED = (
     r"(?i)example|placeholder|x{6,}|abcdefghij|0123456789",
-    r"^[A-Za-z0-9_=-]*(/[a-z]{2,}[A-Za-z0-9_=-]*){2,}/?$",
+    r"^[A-Za-z0-9_=-]*(/[a-z]{2,}[A-Za-z0-9_=-]*){1,}(/[A-Za-z0-9_+-]*)*$",
 )
+#: Names made of words, such as CamelCase.
+NAME = r"^[A-Z]{0,4}[a-z]{2,}([A-Z]{1,4}[a-z]{2,})*[A-Z]{0,4}$"
 BLOCK = 256
 
 
@@ -121,8 +127,36 @@ def hot_window(value: Column, window: int, bits: float) -> Column:
         lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.lit(window).alias("window"))))
 
 
+def matches_any(v: Column, patterns: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for pattern in patterns:
+        found = found | v.rlike(pattern)
+    return found
+
+
+def parts_of(x: Column, mark: str) -> Column:
+    """The parts of at least 16 characters of x (start, end, value) between marks, in place."""
+    def placed(parts: Column) -> Column:
+        steps = F.transform(parts, lambda p: F.length(p) + 1)
+        return let(prefix_sums_of(steps), lambda s: F.transform(parts, lambda p, i: F.struct(
+            (x["start"] + F.get(s, i)).alias("start"), (x["start"] + F.get(s, i) + F.length(p)).alias("end"), p.alias("value"))))
+
+    return F.filter(let(F.split(x["value"], mark, -1), placed), lambda p: F.length(p["value"]) >= 16)
+
+
+def values_of(candidates: Column) -> Column:
+    """What is judged of each run: its values between '='; of a path or a value with a placeholder its
+    parts between '/'. Ids aren't judged."""
+    def values(x: Column) -> Column:
+        own = F.filter(parts_of(x, "="), lambda v: ~matches_any(v["value"], IDS))
+        return F.flatten(F.transform(own, lambda v: F.when(
+            v["value"].contains("/") & matches_any(v["value"], PARTED), parts_of(v, "/")).otherwise(F.array(v))))
+
+    return F.flatten(F.transform(candidates, values))
+
+
 def entropy_spans(candidates: Column) -> Column:
-    """From the first to the end of the last hot window of each candidate that isn't allowed."""
+    """From the first to the end of the last hot window of each value that isn't allowed."""
     def judged(x: Column) -> Column:
         v = x["value"]
         chain = None
@@ -131,14 +165,12 @@ def entropy_spans(candidates: Column) -> Column:
             hot = hot_window(v, window, bits)
             test = v.rlike(shape) & (F.length(v) >= window)
             chain = F.when(test, hot) if chain is None else chain.when(test, hot)
-        allowed = F.lit(False)
-        for pattern in ALLOWED:
-            allowed = allowed | v.rlike(pattern)
+        allowed = matches_any(v, (*IDS, PARTED[0], NAME))
         return let(F.when(allowed, none).otherwise(chain.otherwise(none)), lambda h: F.struct(
             (x["start"] + h["first"]).alias("start"), (x["start"] + h["last"] + h["window"]).alias("end"),
             F.when(h["first"] >= 0, v).alias("value")))
 
-    return F.filter(F.transform(candidates, judged), lambda x: x["value"].isNotNull())
+    return F.filter(F.transform(values_of(candidates), judged), lambda x: x["value"].isNotNull())
 
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -163,8 +195,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         where(text.rlike(ASSIGN_HINT), assign).alias("assign"),
         where(long_run & text.contains("AKIA"), located(text, ACCESS)).alias("access"),
         where(long_run & text.rlike(HEX), located(text, HEX)).alias("hex"),
-        # only runs with a digit can belong to a class
-        where(text.rlike(r"[A-Za-z+/_=-][0-9]|[0-9][A-Za-z+/_=-]") & long_run, entropy_spans(F.filter(located(text, CANDIDATE), lambda x: x["value"].rlike("[0-9]")))).alias("entropy"),
+        # only runs with a digit, or with letters of both cases, can belong to a class
+        where(long_run, entropy_spans(F.filter(located(text, CANDIDATE), lambda x: x["value"].rlike("[0-9]|^(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])")))).alias("entropy"),
     )
     return found
 

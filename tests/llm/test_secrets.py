@@ -66,6 +66,13 @@ def test_allow_list_and_plain_words(spark):
     assert [got[i] for i in range(len(quiet))] == [0] * len(quiet) and all(got[len(quiet) + i] for i in range(len(loud)))
 
 
+def test_entropy_of_short_parts_and_letters(spark):
+    loud = {"aB3dE5fG7hJ9kL1mP2": (0, 18), "config/prod/key=9fA8bC7dE6fG5hJ4kL3mN2": (16, 38), "kQzWvXbNmTrYpLsDfGhJ": (0, 20), "see example/kJ8s0dQ2mZ7xY4pL9vB3": (12, 32)}
+    quiet = ["AbstractSingletonProxyFactory", "id=123e4567-e89b-12d3-a456-426614174000", "config/prod/key/of/service", "example9fA8bC7dE6fG5"]
+    got = find_secrets(spark.createDataFrame(list(enumerate([*loud, *quiet])), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[(x.start, x.end) for x in r.entropy] for r in got] == [[v] for v in loud.values()] + [[]] * len(quiet)
+
+
 def test_odd_rows(spark):
     got = find_secrets(odd(spark)).collect()
     assert len(got) == len(ODD) and not any(r.assign or r.access or r.hex for r in got)
