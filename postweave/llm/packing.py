@@ -8,7 +8,8 @@ counts last. Pieces then find their window by their rank among pieces of their l
 
 Defined results: null and empty texts are the end id alone; a text of any length is cut into
 gapless pieces; rows repeated with one doc_id are packed each; an empty table gives no rows; a
-null doc_id stays null; other columns are ignored.
+null doc_id stays null; other columns are ignored. Ids are the tokenizer file's at its own settings:
+where a text holds the string of one of the file's added tokens, that is its id.
 """
 
 from __future__ import annotations
@@ -31,28 +32,36 @@ PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, do
 CACHE_WORDS = 400_000
 
 
-#: A space beside other white space: such runs are one piece of the vocabulary's own pattern.
-RUN = re.compile(r"\s | \s")
-LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: A space beside other white space (or beside a character that some tables count as such): a run,
+#: which is one piece of the vocabulary's own pattern.
+RUN = re.compile(r"[\s\u180e\u200b\ufeff] | [\s\u180e\u200b\ufeff]|^ | $")
+LONE_SPACE = re.compile(r"(?<=[^\s\u180e\u200b\ufeff]) (?=[^\s\u180e\u200b\ufeff])")
 
 
 class Tokens(dict):
-    """Ids, as little-endian bytes, of a space and a word; split at single spaces between characters
-    that aren't white space of any kind, where the vocabulary's own pattern always begins a piece.
-    Special tokens in a text are plain characters: the end id is the packer's alone."""
+    """Ids, as little-endian bytes, by a tokenizer file, with its own settings: encode() is what the
+    tokenizer gives for the whole text, added tokens of the file included.
+
+    The ids of a space and a word are kept: texts are split at single spaces between characters that
+    aren't white space of any kind, where the pattern of a byte-level vocabulary always begins a piece.
+    Any other pre-tokenizer, or a normalizer, gets whole texts."""
 
     def __init__(self, path: str):
-        import base64
+        import json
 
-        import tiktoken
-        from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        before = own.get("pre_tokenizer") or {}
+        self.by_words = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not own.get("normalizer")
+        added = [t["content"] for t in own.get("added_tokens") or []]
+        self.by_words &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in own.get("added_tokens") or [])
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), np.uint32).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
@@ -63,8 +72,13 @@ class Tokens(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        if not text or text[0] == " " or text[-1] == " ":
+        if not text or not self.by_words:
             return self.ids(text)
+        if self.added and self.added.search(text):  # its pieces are tokens, and texts of their own
+            return b"".join(self.ids(part) if i % 2 else self.words(part) for i, part in enumerate(self.added.split(text)))
+        return self.words(text)
+
+    def words(self, text: str) -> bytes:
         first, *words = LONE_SPACE.split(text) if RUN.search(text) else text.split(" ")
         return self.ids(first) + b"".join(map(self.__getitem__, words))
 
@@ -75,7 +89,7 @@ _TOKENS: dict[str, Tokens] = {}
 def cut(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     import public_tokenizers
 
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
     if path not in _TOKENS:
         _TOKENS[path] = Tokens(path)
     tokens, end, step = _TOKENS[path], np.array([END_ID], np.uint32).tobytes(), 4 * capacity
@@ -162,7 +176,7 @@ def ranked(pieces: DataFrame, parts: int) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    tokenizer: a file of BPE ranks; by default the public 50k byte-level vocabulary.
+    tokenizer: a file of the tokenizers library; by default the public 50k byte-level vocabulary.
     """
     arrow_limits(spark)
     scratch = Scratch(spark, "pack")
