@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -15,14 +16,16 @@ ARROW_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    Only where that is unset (local tests) a temporary folder of this machine is used.
+    Where that is unset, the folder set by SparkContext.setCheckpointDir. Only if there is none either and all
+    tasks run on this machine (local tests) a temporary folder is used; on a cluster that is an error, since
+    executors would write to folders that the others can't read.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.postweave.scratch", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.conf.get("spark.postweave.scratch", None)
-        if not found:
-            found = f"file://{tempfile.mkdtemp(prefix='postweave-')}"
-            spark.conf.set("spark.postweave.scratch", found)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='postweave-')}"
+        spark.conf.set("spark.postweave.scratch", found)
     return found.rstrip("/")
 
 
@@ -33,10 +36,19 @@ def arrow_limits(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Written intermediate tables of one query: they cut lineage and survive lost executors."""
+    """Written intermediate tables of one query: they cut lineage and survive lost executors.
+
+    A returned DataFrame reads them when it is run, so that they stay until the Spark application ends:
+    then the folders and the catalog's tables are dropped.
+    """
+
+    _open: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        if not Scratch._open:
+            atexit.register(Scratch.drop_all)
+        Scratch._open.append(self)
+        self.spark, self.tables = spark, []
         self.tag = f"{name}_{uuid.uuid4().hex[:12]}"
         self.root = f"{shared_dir(spark)}/postweave/{self.tag}"
 
@@ -50,10 +62,28 @@ class Scratch:
     def load(self, df: DataFrame, name: str) -> DataFrame:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def bucketed(self, df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+        """Saved as a table bucketed by key, whose joins by key don't move it."""
+        table = f"{name}_{self.tag}"
+        (df.write.format("parquet").option("compression", "uncompressed").bucketBy(buckets, key)
+         .option("path", self.path(name)).saveAsTable(table))
+        self.tables.append(table)
+        return self.spark.table(table)
+
+    @classmethod
+    def drop_all(cls) -> None:
+        """Drops what all queries of this process have written, where their session still lives."""
+        while cls._open:
+            scratch = cls._open.pop()
+            if scratch.spark.sparkContext._jsc is not None:
+                for table in scratch.tables:
+                    scratch.spark.sql(f"DROP TABLE IF EXISTS {table}")
+                scratch.drop("")
+
     def drop(self, name: str) -> None:
         """Deletes a table that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        path = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

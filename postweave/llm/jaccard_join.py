@@ -1,27 +1,31 @@
 """N-gram Jaccard join by a token-group matrix, exact.
 
-1. Repeated tokens. A set that links with another shares at least `percent` of its shingles. A
-   count-min sketch by exchange (sketch.py) gives each shingle an estimate that is never too low;
-   a set with too few shingles of estimate 2 or more has no partner and sends nothing on.
+1. Repeated tokens. A set that links with another shares at least `percent` of its shingles. Merged
+   count-min sketches (sketch.py) give each sampled shingle (one in SAMPLE, by its hash, the same in
+   every set) an estimate that is never too low; a set with more shingles of estimate 1 than a link
+   may miss has no partner and sends nothing on.
 2. Equal sets collapse to one, however many copies there are (combined before the shuffle).
-3. Groups. Each set has a few minimum hashes, as keys; its group is that of its key which most sets
-   have, so that a family of near copies is one or few groups. Groups are cut into blocks of bounded
-   size; each block links its own sets.
-4. Token-group matrix. The groups are these blocks. Each group keeps the union of its sets' tokens; the
-   matrix holds its rows for the rare prefix tokens that a partner must share (prefix filter: tokens
-   in ascending estimate). A set is a query against the groups after its own that share a prefix
-   token and whose sizes fit; a group is opened only where the query's overlap with the union
-   reaches the least overlap of a link.
+3. Groups. Each set has a few minimum hashes, as keys; its pivot is that of its keys which most sets
+   have, so that a family of near copies has one or few pivots. The sets of a pivot are cut into groups
+   of bounded size. Each group links its own sets and stores the union of their tokens.
+4. Token-group matrix. Its rows are the rare prefix tokens that a partner must share (prefix filter:
+   sampled tokens first, in ascending estimate), its columns pivots: one entry for a token and a pivot,
+   however many sets have it. Pivots that share a token and whose sizes fit meet, and so do the groups
+   of one pivot; only these pairs are expanded to groups. Each set of the one group is a query: its
+   overlap with the other group's stored union is bounded first, and only where it reaches the least
+   overlap of a link the group is opened, that is, its members are read and compared.
 5. Components of all links, and how many links each document has.
 
 Every pair that may link is met once, within families too, and counts for both of its sets, weighted
 by copies. Counts are summed in the task: what leaves it is at most one edge and one count for each
-set. Pairs are listed only by `links`.
+set. Pairs are listed only by `links`. Counting all links of a family of M distinct near copies compares
+M * M / 2 sets; what is shuffled for it are M / (size of a group) times its tokens.
 
 Defined results: a null or empty text, or one without words, has the empty set and links with
 nothing; with fewer words than a shingle the whole sequence is the one shingle; rows repeated
-with one doc_id are one document in components; a null doc_id stays null, apart from all others;
-an empty table gives no rows; other columns are ignored. Rows without a doc_id or a set have no links.
+with one doc_id are judged each by its own text; a null doc_id stays null, apart from all others;
+any other 64-bit doc_id is legal; an empty table gives no rows; other columns are ignored. Rows
+without a doc_id or a set have no links.
 """
 
 from __future__ import annotations
@@ -31,22 +35,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
 from .components import connected
-from .kernels import NULL_ID, U64, Words, mix, shingle_sets
-from .sketch import Chunk, Exchange, Layout
+from .kernels import U64, Words, mix, shingle_sets
+from .sketch import Chunk, Exchange, Layout, int_list
 
-#: Sets in one block of a group.
-BLOCK_SETS = 1024
+#: Sets in one group, and queries that one task puts to a group: at most, and at least before it is cut.
+BLOCK_SETS, QUERY_SETS, LEAST_SETS = 1024, 2048, 128
 SET_SCHEMA = "doc_id bigint, n bigint, set_hash binary, tokens binary, singles int, keys array<bigint>"
-#: Minimum hashes of a set. LARGE isn't read any more: links within large components are met too.
-KEYS, LARGE = 8, 256
-#: Queries that one task puts to one group.
-QUERY_SETS = 2048
-LINK_SCHEMA, PAIR_SCHEMA = "rep bigint, other bigint, n_links bigint", "rep bigint, other bigint"
+#: Minimum hashes of a set; one in 2^SAMPLE_BITS shingles is counted.
+KEYS, SAMPLE_BITS = 8, 2
+GROUP = ("pivot", "block")
+LINK_SCHEMA = "sid bigint, other bigint, n_links bigint"
+#: Also, with sid null, each group's union and sizes.
+BLOCK_SCHEMA = f"{LINK_SCHEMA}, pivot bigint, block int, n_min bigint, n_max bigint, tokens binary"
+OPEN_SCHEMA = "g_pivot bigint, g_block int, part int, sid bigint"
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -62,29 +68,39 @@ def linked(common, n, m, percent: int):
     return 100 * common >= percent * (n + m - common)
 
 
+def sampled(tokens: np.ndarray) -> np.ndarray:
+    return tokens >> U64(64 - SAMPLE_BITS) == 0
+
+
+def sets_of(chunk: Chunk, k: int) -> list[np.ndarray]:
+    return shingle_sets(Words(chunk.data, chunk.offsets, fold=True), k)
+
+
 def describe(batches: Iterator[pa.RecordBatch], k: int, percent: int, layout: Layout) -> Iterator[pa.RecordBatch]:
     """All documents with their set's size; sets that may have a partner with their tokens in
-    ascending order of (estimate, hash), the same order in every set."""
+    ascending order of (not sampled, estimate, hash), the same order in every set."""
     for batch in batches:
-        for row in batch.to_pylist():
-            chunk = Chunk.of(row)
-            sets = shingle_sets(Words(chunk.data, chunk.offsets, fold=True), k)
+        for row in range(batch.num_rows):
+            chunk = Chunk.of(batch, row)
+            sets = sets_of(chunk, k)
             sizes = np.array([len(s) for s in sets], np.int64)
             every = np.concatenate(sets) if sets else np.empty(0, U64)
-            levels = layout.estimates(every, row["a0"])
+            some = sampled(every)
+            estimates = np.full(len(every), np.iinfo(np.int64).max)
+            estimates[some] = layout.estimates(every[some], int_list(batch, "cells", row), int_list(batch, "estimates", row))
             at, out = np.concatenate([[0], np.cumsum(sizes)]), []
             for i, own in enumerate(sets):
-                level = levels[at[i]: at[i + 1]]
+                estimate = estimates[at[i]: at[i + 1]]
                 hashed = tokens = singles = keys = None
-                if len(own) and np.count_nonzero(level >= 2) >= least_overlap(len(own), percent):
-                    ordered = own[np.lexsort((own, level))]
-                    tokens, singles = ordered.tobytes(), int(np.count_nonzero(level < 2))
+                alone = int(np.count_nonzero(estimate < 2))
+                if len(own) and alone <= len(own) - least_overlap(len(own), percent):
+                    tokens, singles = own[np.lexsort((own, estimate))].tobytes(), alone
                     keys = [int(mix(own + U64(j << 40)).min().astype(np.int64)) ^ j for j in range(1, KEYS + 1)]
                     hashed = b"".join(int(x).to_bytes(8, "little") for x in (np.bitwise_xor.reduce(mix(own)), own.sum(dtype=U64)))
-                doc_id = int(chunk.doc_ids[i])
-                out.append((None if doc_id == NULL_ID else doc_id, int(sizes[i]), hashed, tokens, singles, keys))
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "n", "set_hash", "tokens", "singles", "keys"])
+                out.append((hashed, tokens, singles, keys))
+            types = [pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [chunk.ids(), pa.array(sizes), *[pa.array(c, t) for c, t in zip(zip(*out), types)]], ["doc_id", "n", "set_hash", "tokens", "singles", "keys"])
 
 
 class Forest:
@@ -146,24 +162,25 @@ def edges_of(ids: np.ndarray, roots: np.ndarray) -> pd.DataFrame:
 
 
 def rows_of(edges: pd.DataFrame, ids: np.ndarray, n_links: np.ndarray) -> pd.DataFrame:
-    """Edges (rep, other) and counts (rep, n_links) as rows of one table."""
+    """Edges (sid, other) and counts (sid, sid, n_links) as rows of one table."""
     own = n_links > 0
     return pd.concat([
-        pd.DataFrame({"rep": edges["a"], "other": edges["b"], "n_links": np.zeros(len(edges), np.int64)}),
-        pd.DataFrame({"rep": ids[own].astype(np.int64), "other": ids[own].astype(np.int64), "n_links": n_links[own].astype(np.int64)})])
+        pd.DataFrame({"sid": edges["a"], "other": edges["b"], "n_links": np.zeros(len(edges), np.int64)}),
+        pd.DataFrame({"sid": ids[own].astype(np.int64), "other": ids[own].astype(np.int64), "n_links": n_links[own].astype(np.int64)})])
 
 
 def pairs_of(pairs: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
     found = [np.empty(0, np.int64), *[f for _, f in pairs]]
-    return pd.DataFrame({"rep": np.repeat(np.array([-1, *[r for r, _ in pairs]], np.int64), [len(f) for f in found]), "other": np.concatenate(found).astype(np.int64)})
+    sids = np.repeat(np.array([-1, *[r for r, _ in pairs]], np.int64), [len(f) for f in found])
+    return pd.DataFrame({"sid": sids, "other": np.concatenate(found).astype(np.int64), "n_links": np.zeros(len(sids), np.int64)})
 
 
 def link_block(pdf: pd.DataFrame, percent: int, listed: bool = False) -> pd.DataFrame:
-    """Links within one block: every set is probed, and what leaves is at most one edge and one
-    count for each set (or, listed, all its links once)."""
-    pdf = pdf.sort_values(["n", "rep"])
+    """Links within one group: every set is probed, and what leaves is at most one edge and one
+    count for each set (or, listed, all its links once); and the group's union."""
+    pdf = pdf.sort_values(["n", "sid"])
     sets = [np.frombuffer(t, U64) for t in pdf["tokens"]]
-    ids, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
+    ids, copies = pdf["sid"].to_numpy(), pdf["copies"].to_numpy()
     index, forest, n_links, pairs = Postings(sets), Forest(len(sets)), np.zeros(len(sets), np.int64), []
     for i, query in enumerate(sets):
         found = probe(index, query, percent)
@@ -173,19 +190,36 @@ def link_block(pdf: pd.DataFrame, percent: int, listed: bool = False) -> pd.Data
             continue
         for r in {forest.root(int(j)) for j in found}:
             forest.join(i, r)
-    return pairs_of(pairs) if listed else rows_of(edges_of(ids, forest.roots()), ids, n_links)
+    links = pairs_of(pairs) if listed else rows_of(edges_of(ids, forest.roots()), ids, n_links)
+    union = pd.DataFrame({"pivot": [pdf["pivot"].iat[0]], "block": [pdf["block"].iat[0]], "n_min": [index.n.min()], "n_max": [index.n.max()], "tokens": [index.union.tobytes()]})
+    names = [f.split()[0] for f in BLOCK_SCHEMA.split(", ")]
+    return pd.concat([links.reindex(columns=names).astype(object), union.reindex(columns=names).astype(object)]).where(lambda x: x.notna(), None)
+
+
+def open_groups(queries: pd.DataFrame, unions: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Queries whose overlap with the group's union lets a link be: only for them it is opened."""
+    out = pd.DataFrame({"g_pivot": queries["g_pivot"], "g_block": queries["g_block"], "part": queries["part"], "sid": queries["sid"]})
+    if not len(queries) or not len(unions):
+        return out.iloc[:0]
+    union = np.frombuffer(unions["g_tokens"].iat[0], U64)
+    keep = np.zeros(len(queries), bool)
+    for i, tokens in enumerate(queries["tokens"]):
+        query = np.frombuffer(tokens, U64)
+        at = np.minimum(np.searchsorted(union, query), len(union) - 1)
+        keep[i] = np.count_nonzero(union[at] == query) >= least_overlap(len(query), percent)
+    return out[keep]
 
 
 def link_queries(queries: pd.DataFrame, members: pd.DataFrame, percent: int, listed: bool = False) -> pd.DataFrame:
-    """Queries against one group: every link counts for both of its sets; at most one edge and one
-    count leave for each set of either side (or, listed, all links)."""
+    """Queries against one opened group: every link counts for both of its sets; at most one edge and
+    one count leave for each set of either side (or, listed, all links)."""
     if not len(queries) or not len(members):
-        return pairs_of([]) if listed else rows_of(pd.DataFrame({"a": [], "b": []}, dtype=np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        return pairs_of([])
     index = Postings([np.frombuffer(t, U64) for t in members["tokens"]])
-    ids, copies, asks, weight = (members["rep"].to_numpy(), members["copies"].to_numpy(), queries["q_rep"].to_numpy(), queries["q_copies"].to_numpy())
+    ids, copies, asks, weight = (members["sid"].to_numpy(), members["copies"].to_numpy(), queries["sid"].to_numpy(), queries["copies"].to_numpy())
     both, forest, pairs = np.concatenate([ids, asks]), Forest(len(ids) + len(asks)), []
     n_links = np.zeros(len(both), np.int64)
-    for i, tokens in enumerate(queries["q_tokens"]):
+    for i, tokens in enumerate(queries["tokens"]):
         found = probe(index, np.frombuffer(tokens, U64), percent)
         if listed:
             pairs.append((asks[i], ids[found]))
@@ -209,55 +243,94 @@ def prefix_tokens(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *rest], ["token", *rows.schema.names[2:]])
 
 
-def blocks_of(sets: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Adds block: parts of at most about size sets for each key. Counts combine before their
-    shuffle, and the join back may be split, so that a key with a third of the sets is no hot task."""
-    n = sets.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
-    return sets.join(n, keys).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int")).drop("_parts")
+def parts_of(count: Column, most: int) -> Column:
+    """How many parts: of at most `most` rows, and smaller where that gives more tasks something to do."""
+    size = F.least(F.lit(most), F.greatest(F.lit(LEAST_SETS), 4 * F.sqrt(count)))
+    return F.ceil(count / size)
+
+
+def blocks_of(sets: DataFrame, keys: list[str], most: int, name: str) -> DataFrame:
+    """Adds the part of its key in which each row is. Counts combine before their shuffle, and the join
+    back may be split, so that a key with a third of the sets is no hot task."""
+    n = sets.groupBy(*keys).agg(parts_of(F.count(F.lit(1)), most).alias("_parts"))
+    return sets.join(n, keys).withColumn(name, F.pmod(F.xxhash64("sid"), F.col("_parts")).cast("int")).drop("_parts")
 
 
 def grouped(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """sets with pivot, the key of each that most sets have, and block."""
-    keyed = sets.select("rep", F.explode("keys").alias("key"))
+    keyed = sets.select("sid", F.explode("keys").alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_c"))
-    pivots = keyed.join(counts, "key").groupBy("rep").agg(F.max_by("key", F.struct("_c", "key")).alias("pivot"))
-    own = scratch.save(sets.drop("keys").join(pivots, "rep"), "pivots")
-    return scratch.save(blocks_of(own, ["pivot"], BLOCK_SETS), "blocks")
+    pivots = keyed.join(counts, "key").groupBy("sid").agg(F.max_by("key", F.struct("_c", "key")).alias("pivot"))
+    own = scratch.save(sets.drop("keys").join(pivots, "sid"), "pivots")
+    return scratch.save(blocks_of(own, ["pivot"], BLOCK_SETS, "block"), "blocks")
 
 
 def first_links(blocks: DataFrame, percent: int, listed: bool) -> DataFrame:
-    """Links within the blocks of each group."""
-    own = blocks.select("pivot", "block", "rep", "n", "tokens", "copies")
-    return own.groupBy("pivot", "block").applyInPandas(lambda p: link_block(p, percent, listed), PAIR_SCHEMA if listed else LINK_SCHEMA)
+    """Links within each group, and its union."""
+    own = blocks.select(*GROUP, "sid", "n", "tokens", "copies")
+    return own.groupBy(*GROUP).applyInPandas(lambda p: link_block(p, percent, listed), BLOCK_SCHEMA)
+
+
+def renamed(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of df, those named with g_ before them."""
+    return [F.col(c).alias(f"g_{c}") if c in names else F.col(c) for c in df.columns]
 
 
-def group_links(own: DataFrame, scratch: Scratch, percent: int, listed: bool) -> DataFrame:
+def fits(percent: int) -> Column:
+    """Whether some size of the one side can link with some size of the other."""
+    return (F.col("g_n_max") * 100 >= F.col("n_min") * percent) & (F.col("g_n_min") * percent <= F.col("n_max") * 100)
+
+
+def met_groups(own: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs of groups that may have a link between them, each once: (pivot, block, g_pivot, g_block).
+
+    own: sid, n, tokens, singles, pivot and block; groups: pivot, block, n_min, n_max."""
+    spread = own.select("tokens", "singles", "pivot", "n").mapInArrow(lambda b: prefix_tokens(b, percent), "token bigint, pivot bigint, n bigint")
+    matrix = scratch.save(spread.groupBy("token", "pivot").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max")), "matrix")
+    other = matrix.select(*renamed(matrix, "pivot", "n_min", "n_max"))
+    pivots = matrix.join(other, "token").filter((F.col("pivot") < F.col("g_pivot")) & fits(percent)).select("pivot", "g_pivot").distinct()
+    groups = groups.select("pivot", "block", "n_min", "n_max")
+    others = groups.select(*renamed(groups, *groups.columns))
+    apart = pivots.join(groups, "pivot").join(others, "g_pivot")
+    together = groups.join(others, F.col("pivot") == F.col("g_pivot")).filter("block < g_block")
+    names = ["pivot", "block", "g_pivot", "g_block"]
+    return scratch.save(apart.filter(fits(percent)).select(names).unionByName(together.filter(fits(percent)).select(names)), "met")
+
+
+def group_links(own: DataFrame, unions: DataFrame, scratch: Scratch, percent: int, listed: bool) -> DataFrame:
     """The token-group matrix: links of queries with groups.
 
-    own: rep, n, tokens, singles, copies, and pivot and block, which name a set's group.
+    own: sid, n, tokens, singles, copies, and pivot and block, which name a set's group; unions: a row
+    a group with its sizes and its union.
     """
-    group = ["pivot", "block"]
-    spread = own.select("tokens", "singles", "rep", "n", *group)
-    spread = scratch.save(spread.mapInArrow(lambda b: prefix_tokens(b, percent), "token bigint, rep bigint, n bigint, pivot bigint, block int"), "prefixes")
-    g_group = [f"g_{c}" for c in group]
-    matrix = spread.groupBy("token", *[F.col(c).alias(f"g_{c}") for c in group]).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    # each pair of groups is met once: sets ask groups after their own
-    once = F.struct("pivot", "block") < F.struct("g_pivot", "g_block")
-    fits = (F.col("n_max") * 100 >= F.col("n") * percent) & (F.col("n_min") * percent <= F.col("n") * 100)
-    pairs = spread.select("token", "rep", "n", *group).join(matrix, "token").filter(once & fits)
-    pairs = scratch.save(blocks_of(pairs.select("rep", *g_group).distinct(), g_group, QUERY_SETS).withColumnRenamed("block", "part"), "pairs")
-    asked = pairs.join(own.select("rep", "tokens", "copies"), "rep").select(*[F.col(c).alias(f"q_{c}") for c in (*g_group, "part", "rep", "tokens", "copies")])
-    members = own.select(*[F.col(c).alias(f"g_{c}") for c in group], "rep", "tokens", "copies").join(pairs.select(*g_group, "part").distinct(), g_group)
-    return asked.groupBy(*[f"q_{c}" for c in (*g_group, "part")]).cogroup(members.groupBy(*g_group, "part")).applyInPandas(
-        lambda q, m: link_queries(q, m, percent, listed), PAIR_SCHEMA if listed else LINK_SCHEMA)
+    g_group, key = ["g_pivot", "g_block"], ["g_pivot", "g_block", "part"]
+    met = met_groups(own, unions, scratch, percent)
+    ids = scratch.save(blocks_of(met.join(own.select(*GROUP, "sid"), list(GROUP)).select("sid", *g_group), g_group, QUERY_SETS, "part"), "queries")
+    sets, stored = own.select("sid", "tokens", "copies"), unions.select(*renamed(unions, *GROUP, "tokens")).select(*g_group, "g_tokens")
+    # read anew, so that the two sides of a cogroup have columns of their own
+    bounds = stored.join(scratch.load(ids, "queries").select(*key).distinct(), g_group)
+    opened = scratch.save(ids.join(sets.drop("copies"), "sid").groupBy(*key).cogroup(bounds.groupBy(*key)).applyInPandas(
+        lambda q, u: open_groups(q, u, percent), OPEN_SCHEMA), "opened")
+    again = scratch.load(own, "blocks")
+    members = again.select(*renamed(again, *GROUP)).select(*g_group, "sid", "tokens", "copies").join(scratch.load(opened, "opened").select(*key).distinct(), g_group)
+    return opened.join(sets, "sid").groupBy(*key).cogroup(members.groupBy(*key)).applyInPandas(
+        lambda q, m: link_queries(q, m, percent, listed), LINK_SCHEMA)
 
 
 def links_of(sets: DataFrame, scratch: Scratch, percent: int, listed: bool = False) -> DataFrame:
-    """sets: rep, n, tokens, singles, keys, copies of distinct sets. Edges and counts of all links
-    (LINK_SCHEMA), or, listed, every link once (PAIR_SCHEMA)."""
+    """sets: sid, n, tokens, singles, keys, copies of distinct sets. Edges and counts of all links
+    (LINK_SCHEMA), or, listed, every link once."""
     blocks = grouped(sets, scratch)
     near = scratch.save(first_links(blocks, percent, listed), "near")
-    return near.unionByName(scratch.save(group_links(blocks, scratch, percent, listed), "far"))
+    unions = near.filter("sid IS NULL").select(*GROUP, "n_min", "n_max", "tokens")
+    far = scratch.save(group_links(blocks, unions, scratch, percent, listed), "far")
+    return near.filter("sid IS NOT NULL").select("sid", "other", "n_links").unionByName(far)
+
+
+def report(scratch: Scratch) -> dict[str, int]:
+    """After a join: distinct sets, entries of the matrix, pairs of groups met, queries put to a group's
+    union, and queries for which the group was opened."""
+    return {n: scratch.spark.read.parquet(scratch.path(n)).count() for n in ("distinct", "matrix", "met", "queries", "opened")}
 
 
 def distinct_sets(spark: SparkSession, docs: DataFrame, k: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame, Scratch]:
@@ -266,39 +339,46 @@ def distinct_sets(spark: SparkSession, docs: DataFrame, k: int, percent: int, de
     scratch = ex.scratch
 
     def tokens(chunk: Chunk) -> np.ndarray:
-        sets = shingle_sets(Words(chunk.data, chunk.offsets, fold=True), k)
-        return np.concatenate(sets) if sets else np.empty(0, U64)
+        sets = sets_of(chunk, k)
+        every = np.concatenate(sets) if sets else np.empty(0, U64)
+        return every[sampled(every)]
 
-    counts, layout = ex.estimate(tokens, depth)
+    counts, layout = ex.estimate(tokens, depth, 2.0 ** -SAMPLE_BITS)
     described = scratch.save(ex.joined(counts).mapInArrow(lambda b: describe(b, k, percent, layout), SET_SCHEMA), "sets")
     may = described.filter("tokens IS NOT NULL AND doc_id IS NOT NULL")
     first = [F.first(c).alias(c) for c in ("n", "tokens", "singles", "keys")]
-    return described, scratch.save(may.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *first), "distinct"), scratch
+    distinct = may.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *first)
+    # numbered as written: two sets may share a doc_id
+    return described, scratch.save(distinct.withColumn("sid", F.monotonically_increasing_id()), "distinct"), scratch
 
 
 def links(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, depth: int = 1) -> DataFrame:
     """(rep, other): every link between distinct sets once, each named by its least doc_id; copies
     of one set, which all link with each other, aren't listed."""
     _, distinct, scratch = distinct_sets(spark, docs, k, percent, depth)
-    return links_of(distinct.drop("set_hash"), scratch, percent, True)
+    found, names = links_of(distinct.drop("set_hash", "rep"), scratch, percent, True), distinct.select("sid", "rep")
+    return found.join(names, "sid").join(names.select(F.col("sid").alias("other"), F.col("rep").alias("_rep")), "other").select("rep", F.col("_rep").alias("other"))
 
 
-def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, depth: int = 1) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, depth: int = 1, counts: dict[str, int] | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links of a Jaccard similarity
     of percent/100 or more between sets of k-word shingles) and n_links: how many other rows with a
-    doc_id this one links with, rows of an equal set included."""
+    doc_id this one links with, rows of an equal set included. counts, if given, gets the report."""
     described, distinct, scratch = distinct_sets(spark, docs, k, percent, depth)
-    found = links_of(distinct.drop("set_hash"), scratch, percent)
-    labels = connected(scratch, found.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")), "links").withColumnRenamed("node", "rep")
-    counts = found.groupBy("rep").agg(F.sum("n_links").alias("n_far"))
-    reps = distinct.select("set_hash", "rep", "copies").join(labels, "rep", "left").join(counts, "rep", "left").select(
-        "set_hash", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_far", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    reps = scratch.save(reps, "reps")
+    found = links_of(distinct.drop("set_hash", "rep"), scratch, percent)
+    labels = connected(scratch, found.filter("sid <> other").select(F.col("sid").alias("a"), F.col("other").alias("b")), "links").withColumnRenamed("node", "sid")
+    far = found.groupBy("sid").agg(F.sum("n_links").alias("n_far"))
+    reps = scratch.save(distinct.select("set_hash", "sid", "rep", "copies").join(labels, "sid", "left").join(far, "sid", "left").select(
+        "set_hash", "rep", F.coalesce("component", "sid").alias("component"), (F.coalesce("n_far", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labelled")
+    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
+    reps = scratch.save(reps.join(least, "component").select("set_hash", "component_id", "n_links"), "reps")
+    if counts is not None:
+        counts.update(report(scratch))
     own = described.select("doc_id", F.col("n").alias("n_shingles"), "set_hash")
-    linked_row = F.when(F.col("doc_id").isNotNull(), F.col("n_links"))
+    has_id = F.col("doc_id").isNotNull()
     return own.join(reps, "set_hash", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(linked_row, F.lit(0).cast("bigint")).alias("n_links"))
+        "doc_id", "n_shingles", F.when(has_id, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce(F.when(has_id, F.col("n_links")), F.lit(0).cast("bigint")).alias("n_links"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,6 @@ BREAKS = SPACES.copy()
 BREAKS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A"): ord("Z") + 1] += 32
-#: Null document ids sort after all others.
-NULL_ID = np.iinfo(np.int64).max
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,12 +50,6 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0]: at[-1]], at - at[0]
 
 
-def doc_ids(column: pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.int64()), NULL_ID).to_numpy(zero_copy_only=False)
-
-
 def pieces(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of documents of at most limit bytes together; a longer document stands alone."""
     lo, n = 0, len(offsets) - 1
@@ -67,44 +59,77 @@ def pieces(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
+def next_break(data: np.ndarray, at: int, end: int, breaks: np.ndarray, step: int) -> int:
+    """Where the first break from at on stands, or end."""
+    for lo in range(at, end, step):
+        found = breaks[data[lo: min(end, lo + step)]]
+        if found.any():
+            return lo + int(found.argmax())
+    return end
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray, limit: int, breaks: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of bytes of at most limit that cut no word; a longer word is a range of its own."""
+    for lo, hi in pieces(offsets, limit):
+        at, end = int(offsets[lo]), int(offsets[hi])
+        while end - at > limit:  # one long document
+            tail = breaks[data[at: at + limit]][::-1]
+            to = at + limit - int(tail.argmax()) if tail.any() else next_break(data, at + limit, end, breaks, limit)
+            yield at, to
+            at = to
+        if end > at:
+            yield at, end
+
+
 class Words:
-    """doc (index), start, end (bytes) of each word, and one hash for each seed."""
+    """doc (index), start, end (bytes) of each word, and one hash for each seed.
+
+    Texts are worked through in stretches of at most limit bytes, so that what is held beside the
+    words themselves doesn't grow with the longest text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool, seeds: tuple[int, ...] = (1,), limit: int = 1 << 21, breaks: np.ndarray = SPACES):
-        parts = [self._some(data, offsets, lo, hi, fold, seeds, breaks) for lo, hi in pieces(offsets, limit)]
-        empty = [np.empty(0, np.int64)] * 3 + [np.empty(0, U64)] * len(seeds)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool, seeds: tuple[int, ...] = (1,), limit: int = 1 << 20, breaks: np.ndarray = SPACES):
+        index = np.int32 if len(data) < 1 << 31 else np.int64
+        parts = [self._some(data, offsets, a, b, fold, seeds, breaks, index, limit) for a, b in stretches(data, offsets, limit, breaks)]
+        empty = [np.empty(0, index)] * 3 + [np.empty(0, U64)] * len(seeds)
         self.doc, self.start, self.end, *self.hashes = [np.concatenate(x) for x in zip(*parts)] if parts else empty
         self.n_docs = len(offsets) - 1
 
     @staticmethod
-    def _some(data, offsets, lo, hi, fold, seeds, breaks):
-        a = int(offsets[lo])
-        part, at = data[a: int(offsets[hi])], offsets[lo: hi + 1] - a
+    def _some(data, offsets, a, b, fold, seeds, breaks, index, limit):
+        bases = [0x100000001B3 + (seed << 21) for seed in seeds]
+        if b - a > limit:  # one word
+            doc, sums = int(np.searchsorted(offsets, a, "right")) - 1, [U64(0)] * len(seeds)
+            for lo in range(a, b, limit):
+                part = data[lo: min(b, lo + limit)]
+                part = FOLD[part] if fold else part
+                for i, (seed, base) in enumerate(zip(seeds, bases)):
+                    own = (table(seed)[part] * powers(base, len(part))).sum(dtype=U64)
+                    sums[i] = U64((int(sums[i]) + int(own) * pow(base, lo - a, 1 << 64)) & 0xFFFFFFFFFFFFFFFF)
+            size = np.array([b - a]).astype(U64)
+            return [np.array([x], index) for x in (doc, a, b)] + [mix(np.array([x], U64) ^ size) for x in sums]
+        part = data[a:b]
         if fold:
             part = FOLD[part]
         n = len(part)
+        at = offsets[np.searchsorted(offsets, a): np.searchsorted(offsets, b, "right")] - a  # where documents begin or end
         inside = ~breaks[part]
         opens = np.empty(n + 1, bool)  # a new document, or a space before
         opens[0], opens[n] = True, True
         opens[1:n] = ~inside[: n - 1]
-        opens[at[at <= n]] = True
+        opens[at] = True
         start = np.flatnonzero(inside & opens[:n])
-        shuts = np.empty(n, bool)
-        if n:
-            shuts[: n - 1] = ~inside[1:]
-            shuts[n - 1] = True
-            ends = at[1:] - 1
-            shuts[ends[ends >= 0]] = True
+        shuts = opens[1:].copy()
+        shuts[: n - 1] |= ~inside[1:]
         end = np.flatnonzero(inside & shuts) + 1
-        doc = np.searchsorted(at, start, "right") - 1 + lo
-        out = [doc, start + a, end + a]
+        doc = np.searchsorted(offsets, start + a, "right") - 1
+        out = [x.astype(index) for x in (doc, start + a, end + a)]
         if len(start) == 0:
             return out + [np.empty(0, U64)] * len(seeds)
         where = np.arange(n)
         local = where - np.maximum.accumulate(np.where(inside & opens[:n], where, 0))
         local[~inside] = 0
-        for seed in seeds:
-            each = table(seed)[part] * powers(0x100000001B3 + (seed << 21), int((end - start).max()) + 1)[local]
+        for seed, base in zip(seeds, bases):
+            each = table(seed)[part] * powers(base, int((end - start).max()) + 1)[local]
             each[~inside] = 0
             out.append(mix(np.add.reduceat(each, start) ^ (end - start).astype(U64)))
         return out
@@ -137,6 +162,14 @@ def windows(words: Words, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarra
     return at, h[at]
 
 
+def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n consecutive values, by doubling."""
+    out, length = values, 1
+    while length * 2 <= n:
+        out, length = np.minimum(out[: len(out) - length], out[length:]), length * 2
+    return np.minimum(out[: len(out) - (n - length)], out[n - length:]) if length < n else out
+
+
 def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     """Sorted distinct k-word shingle hashes of each document; fewer words are one shingle."""
     at, h = windows(words, k)

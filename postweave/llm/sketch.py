@@ -1,36 +1,38 @@
-"""Count-min sketch by exchange: partition sketches merged cell by cell, answers sent back.
+"""Count-min sketches of partitions, merged cell by cell; only cells of 2 or more come back.
 
 A sketch of fixed size either grows too full for the corpus or must be broadcast at the corpus's
-size. Here each chunk of documents sends the sketch cells that it touches, sorted and delta-coded
-(about two bytes a cell), to the task that owns the block of cells; that task merges the chunks'
-sketches by adding counts and sends each chunk its merged counts. The width follows the corpus,
-no task holds more than one block, and nothing is collected or broadcast.
-
-An estimate is the least of the item's cells, one in each of depth rows: never below the true count.
+size. Here each chunk of documents makes its own sketch and sends the cells that it touches, with
+their counts, as plain rows; a shuffle by block of cells merges the chunks' sketches by adding
+counts, and the cells that reached 2 go back to the chunks that named them. Rows are at most the
+items of the corpus, whatever the number of chunks or tasks; a cell that every chunk has is one row
+a chunk; sums are spillable windows; nothing is collected or broadcast.
+
+The sketch is blocked: an item's cells in all depth rows lie in one block of 2^16 cells a row, so
+that an item travels once. An estimate is the least of the item's cells, never below the true count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ARROW_BYTES, Scratch, arrow_limits, partitions
-from .kernels import U64, doc_ids, mix, pieces, text_buffer
+from .common import Scratch, arrow_limits, partitions
+from .kernels import U64, mix, pieces, text_buffer
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 8 << 20
-#: Sketch cells that one block may receive; bounds the memory of a merging task.
-BLOCK_CELLS = 4_000_000
-CHUNK_SCHEMA = "chunk_id bigint, n_bytes bigint, doc_ids binary, offsets binary, body binary"
-CELL_SCHEMA = "block int, chunk_id bigint, n int, cells binary, counts binary"
-COUNT_SCHEMA = "chunk_id bigint, block int, counts binary"
-TOP = 255
+CHUNK_SCHEMA = "chunk_id bigint, n_bytes bigint, doc_ids binary, no_id binary, offsets binary, body binary"
+CELL_SCHEMA = "cell bigint, chunk_id bigint, n int"
+#: Bits of a position within a block, and of the number of a block.
+POSITION, BLOCK = 16, 31
+#: Chunks that one task may make; chunk_id is its number and the chunk's.
+MADE_BITS = 24
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -41,147 +43,140 @@ def unsqueeze(x: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype)
 
 
-def encode(cells: np.ndarray) -> bytes:
-    """Sorted distinct cells: gaps of 16 bits, larger gaps apart."""
-    gaps = np.diff(cells, prepend=U64(0))
-    large = gaps >= 65535
-    return np.where(large, 65535, gaps).astype(np.uint16).tobytes() + gaps[large].tobytes()
-
-
-def decode(data: bytes, n: int) -> np.ndarray:
-    gaps = np.frombuffer(data, np.uint16, n).astype(U64)
-    gaps[gaps == 65535] = np.frombuffer(data, U64, offset=2 * n)
-    return np.cumsum(gaps, dtype=U64)
+def batch_of(schema: str, columns: list) -> pa.RecordBatch:
+    """Columns (arrays or sequences) as a batch of a DDL schema of plain types."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays(
+        [c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
-def level(counts: np.ndarray) -> np.ndarray:
-    """Counts in a byte: exact below 128, then eight steps to each doubling. Monotonic."""
-    high = 128 + 8 * np.log2(np.maximum(counts, 128) / 128)
-    return np.where(counts < 128, counts, np.minimum(high, TOP)).astype(np.uint8)
+def int_list(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    """The list of integers in a column's row; empty for null."""
+    found = batch.column(batch.schema.names.index(name))[row].values
+    return np.empty(0, np.int64) if found is None else found.to_numpy(zero_copy_only=False)
 
 
 class Chunk:
-    def __init__(self, doc_ids: np.ndarray, offsets: np.ndarray, data: np.ndarray):
-        self.doc_ids, self.offsets, self.data = doc_ids, offsets, data
+    """Documents' ids (0 where no_id), texts one after another, and their offsets."""
+
+    def __init__(self, doc_ids: np.ndarray, no_id: np.ndarray, offsets: np.ndarray, data: np.ndarray):
+        self.doc_ids, self.no_id, self.offsets, self.data = doc_ids, no_id, offsets, data
 
     @classmethod
-    def of(cls, row: dict) -> Chunk:
-        return cls(np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["offsets"], np.int64), unsqueeze(row["body"], np.uint8))
+    def of(cls, batch: pa.RecordBatch, row: int) -> Chunk:
+        own = {n: batch.column(batch.schema.names.index(n))[row].as_py() for n in ("doc_ids", "no_id", "offsets", "body")}
+        return cls(np.frombuffer(own["doc_ids"], np.int64), np.frombuffer(own["no_id"], bool), np.frombuffer(own["offsets"], np.int64), unsqueeze(own["body"], np.uint8))
+
+    def ids(self) -> pa.Array:
+        return pa.array(self.doc_ids, mask=self.no_id)
 
 
 def pack_chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    schema = pa.schema([("chunk_id", pa.int64()), ("n_bytes", pa.int64()), ("doc_ids", pa.binary()), ("offsets", pa.binary()), ("body", pa.binary())])
     task, made = TaskContext.get().partitionId(), 0
 
     def out(held: list) -> pa.RecordBatch:
         nonlocal made
-        data = np.concatenate([d for _, _, d in held])
-        sizes = np.concatenate([np.diff(o) for _, o, _ in held])
-        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        row = ((task << 32) + made, len(data), np.concatenate([i for i, _, _ in held]).tobytes(), at.tobytes(), squeeze(data))
+        ids, no_id, offsets, data = zip(*held)
+        data = np.concatenate(data)
+        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for o in offsets]))]).astype(np.int64)
+        row = ((task << MADE_BITS) + made, len(data), np.concatenate(ids).tobytes(), np.concatenate(no_id).tobytes(), at.tobytes(), squeeze(data))
         made += 1
-        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+        if made >> MADE_BITS:
+            raise ValueError("too many chunks in one task: read the documents in more partitions")
+        return batch_of(CHUNK_SCHEMA, [[x] for x in row])
 
     held, n = [], 0
     for batch in batches:
-        ids = doc_ids(batch.column(0))
+        ids, no_id = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False)
         data, offsets = text_buffer(batch.column(1))
         for lo, hi in pieces(offsets, limit):
             size = int(offsets[hi] - offsets[lo])
             if held and n + size > limit:
                 yield out(held)
                 held, n = [], 0
-            held.append((ids[lo:hi], offsets[lo: hi + 1] - offsets[lo], data[offsets[lo]: offsets[hi]]))
+            held.append((ids[lo:hi], no_id[lo:hi], offsets[lo: hi + 1] - offsets[lo], data[offsets[lo]: offsets[hi]]))
             n += size
     if held:
         yield out(held)
 
 
+class Layout:
+    """depth rows of cells, cut into blocks; a packed cell is its block's number and a position
+    in each row."""
+
+    def __init__(self, depth: int, blocks: int):
+        if not 1 <= depth <= 2:
+            raise ValueError("one or two rows of cells")
+        self.depth, self.blocks = depth, min(blocks, 1 << BLOCK)
+
+    def pack(self, items: np.ndarray) -> np.ndarray:
+        """The packed cell of each item, as signed integers that aren't negative."""
+        h, spot = mix(items ^ U64(0xA5A5)), mix(items ^ U64(0x5A5A5A))
+        block = (h >> U64(64 - BLOCK)) * U64(self.blocks) >> U64(BLOCK)
+        low = spot >> U64(64 - POSITION * self.depth)
+        return (block << U64(POSITION * self.depth) | low).astype(np.int64)
+
+    def merged(self, sent: DataFrame) -> DataFrame:
+        """sent (CELL_SCHEMA) with estimate, where it is 2 or more: in each row the counts of all
+        chunks for the cell are added up; the least of these sums counts."""
+        block = F.shiftright("cell", POSITION * self.depth)
+        dealt = sent.repartition(block).withColumn("block", block)
+        sums = []
+        for r in range(self.depth):
+            place = F.shiftright("cell", POSITION * r).bitwiseAND(F.lit((1 << POSITION) - 1))
+            dealt = dealt.withColumn(f"place_{r}", place)
+            dealt = dealt.withColumn(f"sum_{r}", F.sum("n").over(W.partitionBy("block", f"place_{r}")))
+            sums.append(F.col(f"sum_{r}"))
+        estimate = F.least(*sums) if len(sums) > 1 else sums[0]
+        return dealt.filter(estimate >= 2).select("chunk_id", "cell", estimate.alias("estimate"))
+
+    def estimates(self, items: np.ndarray, cells: np.ndarray, estimates: np.ndarray) -> np.ndarray:
+        """The estimate of each item, from the cells that came back; 1 for all others."""
+        if not len(cells) or not len(items):
+            return np.ones(len(items), np.int64)
+        order = np.argsort(cells)
+        cells, own = cells[order], self.pack(items)
+        at = np.minimum(np.searchsorted(cells, own), len(cells) - 1)
+        return np.where(cells[at] == own, estimates[order][at], 1)
+
+
 class Exchange:
     """The chunks of a corpus, bucketed by chunk so that answers join them without moving texts."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES):
         self.spark, self.scratch = spark, Scratch(spark, name)
         arrow_limits(spark)
-        self.buckets = partitions(spark)
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        table = f"chunks_{self.scratch.tag}"
-        (rows.mapInArrow(lambda b: pack_chunks(b, chunk_bytes), CHUNK_SCHEMA).write.format("parquet").option("compression", "uncompressed")
-         .bucketBy(self.buckets, "chunk_id").option("path", self.scratch.path("chunks")).saveAsTable(table))
-        self.chunks = spark.table(table)
+        self.chunks = self.scratch.bucketed(rows.mapInArrow(lambda b: pack_chunks(b, chunk_bytes), CHUNK_SCHEMA), "chunks", partitions(spark), "chunk_id")
         self.n_bytes = self.chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
 
-    def blocks(self, items: int) -> int:
-        return max(1, -(-items // BLOCK_CELLS))
+    def estimate(self, items_of: Callable[[Chunk], np.ndarray], depth: int, share: float, slack_bits: int = 4) -> tuple[DataFrame, Layout]:
+        """items_of(chunk) -> 64-bit hashes with repeats, about `share` of its words. Returns
+        (chunk_id, cells, estimates), lists of the cells of estimate 2 or more, and the layout.
 
-    def estimate(self, items_of, depth: int, slack_bits: int = 4) -> tuple[DataFrame, Layout]:
-        """items_of(chunk) -> 64-bit hashes with repeats; returns (chunk_id, answers) and the layout."""
-        most = max(1, self.n_bytes // 4)  # items: words are rarely shorter with their space
-        layout = Layout(depth, max(16, most.bit_length() + slack_bits), self.blocks(most * depth))
+        The width follows the corpus: 2^slack_bits cells a row for each item."""
+        items = int(self.n_bytes // 4 * share)  # words are rarely shorter with their space
+        layout = Layout(depth, max(256, items << slack_bits >> POSITION))
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
-                    yield from layout.rows(row["chunk_id"], items_of(Chunk.of(row)))
+                for row in range(batch.num_rows):
+                    cells, n = np.unique(layout.pack(items_of(Chunk.of(batch, row))), return_counts=True)
+                    chunk_id = batch.column(batch.schema.names.index("chunk_id"))[row].as_py()
+                    for i in range(0, len(cells), 1 << 17):
+                        part = cells[i: i + (1 << 17)]
+                        yield batch_of(CELL_SCHEMA, [part, np.full(len(part), chunk_id), n[i: i + (1 << 17)].astype(np.int32)])
 
-        cells = self.chunks.mapInArrow(send, CELL_SCHEMA)
-        answers = cells.groupBy("block").applyInPandas(merge, COUNT_SCHEMA)
-        return self.scratch.save(answers, "counts"), layout
+        merged = layout.merged(self.chunks.mapInArrow(send, CELL_SCHEMA))
+        lists = merged.groupBy("chunk_id").agg(F.collect_list("cell").alias("cells"), F.collect_list("estimate").alias("estimates"))
+        return self.scratch.save(lists, "counts"), layout
 
     def joined(self, *answers: DataFrame) -> DataFrame:
-        """Each chunk with the arrays of its answers; only the answers are shuffled."""
+        """Each chunk with the columns of its answers, at most a row a chunk each; only the answers are shuffled."""
         out = self.chunks
-        for k, a in enumerate(answers):
-            cols = [c for c in a.columns if c != "chunk_id"]
-            own = a.groupBy("chunk_id").agg(F.collect_list(F.struct(*cols)).alias(f"a{k}"))
-            out = out.join(own.hint("merge"), "chunk_id", "left")
+        for a in answers:
+            out = out.join(a.hint("merge"), "chunk_id", "left")
         return out
-
-
-class Layout:
-    """depth rows of 2^bits cells, cut into equal blocks of consecutive cells."""
-
-    def __init__(self, depth: int, bits: int, blocks: int):
-        self.depth, self.bits, self.blocks = depth, bits, blocks
-        self.span = -(-depth * (1 << bits) // blocks)
-
-    def cells(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct sorted cells, their counts, and the index of each item's cell in each row."""
-        all_rows = np.concatenate([(mix(items ^ U64(0xA5A5 * r)) >> U64(64 - self.bits)) + U64(r << self.bits) for r in range(self.depth)])
-        cells, where, counts = np.unique(all_rows, return_inverse=True, return_counts=True)
-        return cells, where.reshape(self.depth, -1), counts
-
-    def rows(self, chunk_id: int, items: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cells, _, counts = self.cells(items)
-        if not len(cells):
-            return
-        block = (cells // U64(self.span)).astype(np.int32)
-        own, at = np.unique(block, return_index=True)
-        ends = np.append(at[1:], len(cells))
-        counts = np.minimum(counts, 65535).astype(np.uint16)
-        parts = [(int(b), chunk_id, int(e - a), encode(cells[a:e] - U64(int(b) * self.span)), squeeze(counts[a:e])) for b, a, e in zip(own, at, ends)]
-        names = ["block", "chunk_id", "n", "cells", "counts"]
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        step = max(1, ARROW_BYTES // max(1, sum(len(p[3]) for p in parts) // len(parts) + 1))
-        for i in range(0, len(parts), step):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts[i: i + step]), types)], names)
-
-    def estimates(self, items: np.ndarray, answers: list[dict] | None) -> np.ndarray:
-        """The estimated level of each item."""
-        if not len(items):
-            return np.empty(0, np.uint8)
-        _, where, _ = self.cells(items)
-        merged = np.concatenate([unsqueeze(a["counts"], np.uint8) for a in sorted(answers, key=lambda a: a["block"])])
-        return merged[where].min(axis=0)
-
-
-def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Adds the chunks' sketches of one block; each chunk gets the sums of the cells it named."""
-    cells = np.concatenate([decode(c, n) for c, n in zip(pdf["cells"], pdf["n"])])
-    counts = np.concatenate([unsqueeze(c, np.uint16) for c in pdf["counts"]])
-    _, where = np.unique(cells, return_inverse=True)
-    total = level(np.bincount(where, weights=counts))[where]
-    at = np.concatenate([[0], np.cumsum(pdf["n"])])
-    return pd.DataFrame({"chunk_id": pdf["chunk_id"], "block": pdf["block"], "counts": [squeeze(total[a:b]) for a, b in zip(at, at[1:])]})

@@ -1,14 +1,17 @@
 """Substring dedup: a count-min prefilter, then exact groups of the windows estimated repeated.
 
-Pass 1 merges partition sketches of window counts (sketch.py). Pass 2 groups, by 128-bit hash, only
-windows whose estimate is 2 or more; a count-min estimate is never too low, so that none is lost.
-Each chunk sends such a window once, with its least doc_id, to the window's group, and gets back
-the least doc_id of all: a window that a third of the corpus holds is one entry for each chunk.
-What is removed follows from the windows of the input alone.
+Pass 1 estimates in how many documents each window occurs, by merged sketches (sketch.py). What is
+counted is a window's least k-gram (k two thirds of the window): neighbouring windows mostly share it,
+so that about a quarter of the windows are items, and any document with the window has the k-gram,
+so that an estimate is never below the window's number of documents. Pass 2 groups, by 128-bit hash,
+only windows whose estimate is 2 or more; none is lost. Each chunk sends such a window once, with
+its least doc_id, and gets the least doc_id of all back where that is smaller: a window that a third
+of the corpus holds is one row a chunk. What is removed follows from the windows of the input alone.
 
 Defined results: null and empty texts have no words; texts shorter than a window are kept whole;
 rows repeated with one doc_id don't remove each other (no doc_id is smaller); a null doc_id counts
-as larger than all others; an empty table gives no rows; other columns are ignored.
+as larger than all others; any other 64-bit doc_id is legal; an empty table gives no rows; other
+columns are ignored. A document of any length is one chunk: a worker holds about 15 times its bytes.
 """
 
 from __future__ import annotations
@@ -17,77 +20,82 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents
-from .kernels import NULL_ID, U64, Words, windows
-from .sketch import Chunk, Exchange, Layout, squeeze, unsqueeze
+from .kernels import U64, Words, rolling, sliding_min
+from .sketch import Chunk, Exchange, Layout, batch_of, int_list, squeeze, unsqueeze
 
-#: bucket -1: where in the chunk its candidate windows start, and which of its keys each has.
-KEY_SCHEMA = "bucket int, chunk_id bigint, n int, a binary, b binary, c binary"
-LEAST_SCHEMA = "chunk_id bigint, bucket int, least binary"
+#: key -1: the words where the chunk's candidate windows start, and which of its keys each has.
+KEY_SCHEMA = "chunk_id bigint, key int, h1 bigint, h2 bigint, doc_id bigint, places binary, keys binary"
 RESULT_SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text binary"
+NO_ID = np.iinfo(np.int64).max
 
 
-def window_hashes(chunk: Chunk, size: int) -> np.ndarray:
-    return windows(Words(chunk.data, chunk.offsets, fold=False), size)[1]
+def least_grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window's first word, run, item of each run): the least k-gram of each window in one document;
+    windows side by side with one least k-gram are a run."""
+    k = max(1, 2 * size // 3)
+    grams = rolling(words.hashes[0], k)
+    if len(words.doc) < size:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U64)
+    least = sliding_min(grams, size - k + 1)
+    at = np.flatnonzero(words.doc[: len(least)] == words.doc[size - 1:])
+    least, doc = least[at], words.doc[at]
+    new = np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))[: len(at)]
+    return at, np.cumsum(new) - 1, least[new]
 
 
-def candidates(row: dict, size: int, layout: Layout) -> tuple:
-    """Word index and hashes of the windows that the sketch calls repeated, and their doc_ids."""
-    chunk = Chunk.of(row)
-    words = Words(chunk.data, chunk.offsets, fold=False, seeds=(1, 2))
-    at, h1 = windows(words, size)
-    hot = layout.estimates(h1, row["a0"]) >= 2
-    at, h1 = at[hot], h1[hot]
-    return at, h1, windows(words, size, 1)[1][hot], chunk.doc_ids[words.doc[at]]
+def items(chunk: Chunk, size: int) -> np.ndarray:
+    """Each document's least k-grams once: what is counted are documents."""
+    words = Words(chunk.data, chunk.offsets, fold=False)
+    at, run, least = least_grams(words, size)
+    doc = words.doc[at[np.append(True, run[1:] != run[:-1])[: len(run)]]]
+    order = np.lexsort((least, doc))
+    least, doc = least[order], doc[order]
+    return least[np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))[: len(least)]]
 
 
 def send_keys(batches: Iterator[pa.RecordBatch], size: int, layout: Layout) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("bucket", pa.int32()), ("chunk_id", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+    """Of each chunk's candidate windows the distinct ones, with their least doc_id."""
     for batch in batches:
-        for row in batch.to_pylist():
-            at, h1, h2, ids = candidates(row, size, layout)
+        for row in range(batch.num_rows):
+            chunk, chunk_id = Chunk.of(batch, row), batch.column(batch.schema.names.index("chunk_id"))[row].as_py()
+            words = Words(chunk.data, chunk.offsets, fold=False, seeds=(1, 2))
+            at, run, least = least_grams(words, size)
+            hot = layout.estimates(least, int_list(batch, "cells", row), int_list(batch, "estimates", row))[run] >= 2
+            at = at[hot]
             if not len(at):
                 continue
-            order = np.lexsort((ids, h2, h1))
-            h1, h2, ids, at = h1[order], h2[order], ids[order], at[order]
-            new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
-            key = np.cumsum(new) - 1
-            by_place = np.argsort(at)
-            rows = [(-1, row["chunk_id"], len(at), squeeze(np.diff(at[by_place], prepend=0).astype(np.int32)), squeeze(key[by_place].astype(np.int32)), None)]
-            h1, h2, ids = h1[new], h2[new], ids[new]  # sorted by doc_id within a key: the least
-            bucket = ((h1 >> U64(32)) * U64(layout.blocks) >> U64(32)).astype(np.int32)
-            own, first = np.unique(bucket, return_index=True)
-            for b, lo, hi in zip(own, first, np.append(first[1:], len(h1))):
-                rows.append((int(b), row["chunk_id"], int(hi - lo), h1[lo:hi].tobytes(), h2[lo:hi].tobytes(), squeeze(ids[lo:hi])))
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i: i + 64]), schema)], schema=schema)
-
-
-def least_ids(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact groups: the least doc_id of each window over all chunks."""
-    h1, h2 = (np.concatenate([np.frombuffer(x, U64) for x in pdf[c]]) for c in "ab")
-    ids = np.concatenate([unsqueeze(x, np.int64) for x in pdf["c"]])
-    order = np.lexsort((h2, h1))
-    new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))
-    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-    back = np.empty_like(ids)
-    back[order] = least
-    at = np.concatenate([[0], np.cumsum(pdf["n"])])
-    return pd.DataFrame({"chunk_id": pdf["chunk_id"], "bucket": pdf["bucket"], "least": [squeeze(back[a:b]) for a, b in zip(at, at[1:])]})
-
-
-def removed_words(row: dict, words: Words, chunk: Chunk, size: int) -> np.ndarray:
+            h1, h2 = (rolling(words.hashes[j], size)[at].view(np.int64) for j in (0, 1))
+            no_id, ids = chunk.no_id[words.doc[at]], chunk.doc_ids[words.doc[at]]
+            order = np.lexsort((ids, no_id, h2, h1))
+            new = np.append(True, (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0))
+            key = np.empty(len(at), np.int32)
+            key[order] = np.cumsum(new) - 1
+            first = order[new]  # sorted by doc_id within a key: the least
+            yield batch_of(KEY_SCHEMA, [[chunk_id], [-1], [None], [None], [None], [squeeze(np.diff(at, prepend=0).astype(np.int32))], [squeeze(key)]])
+            for i in range(0, len(first), 1 << 16):
+                own = first[i: i + (1 << 16)]
+                none = pa.nulls(len(own), pa.binary())
+                yield batch_of(KEY_SCHEMA, [np.full(len(own), chunk_id), np.arange(i, i + len(own), dtype=np.int32), h1[own], h2[own], pa.array(ids[own], mask=no_id[own]), none, none])
+
+
+def removed_words(batch: pa.RecordBatch, row: int, words: Words, chunk: Chunk, size: int) -> np.ndarray:
     gone = np.zeros(len(words.doc) + 1, np.int64)
-    if row["a0"]:
-        own = row["a0"][0]
-        at = np.cumsum(unsqueeze(own["a"], np.int32))
-        least = np.concatenate([unsqueeze(x["least"], np.int64) for x in sorted(row["a1"], key=lambda x: x["bucket"])])
-        at = at[least[unsqueeze(own["b"], np.int32)] < chunk.doc_ids[words.doc[at]]]
+    places, keys = (batch.column(batch.schema.names.index(n))[row].as_py() for n in ("places", "keys"))
+    if places:
+        at, key = np.cumsum(unsqueeze(places, np.int32)), unsqueeze(keys, np.int32)
+        no_id, ids = chunk.no_id[words.doc[at]], chunk.doc_ids[words.doc[at]]
+        least, held = np.full(int(key.max()) + 1, NO_ID), np.zeros(int(key.max()) + 1, bool)
+        np.minimum.at(least, key[~no_id], ids[~no_id])
+        held[key[~no_id]] = True  # some document with an id has it
+        answered = int_list(batch, "answered", row)
+        least[answered], held[answered] = int_list(batch, "least", row), True
+        at = at[held[key] & (no_id | (least[key] < ids))]
         np.add.at(gone, at, 1)
         np.add.at(gone, at + size, -1)
     return np.cumsum(gone[:-1]) > 0
@@ -95,36 +103,39 @@ def removed_words(row: dict, words: Words, chunk: Chunk, size: int) -> np.ndarra
 
 def remove(batches: Iterator[pa.RecordBatch], size: int, texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            chunk = Chunk.of(row)
+        for row in range(batch.num_rows):
+            chunk = Chunk.of(batch, row)
             words = Words(chunk.data, chunk.offsets, fold=False, seeds=())
-            gone = removed_words(row, words, chunk, size)
+            gone = removed_words(batch, row, words, chunk, size)
             first = np.searchsorted(words.doc, np.arange(words.n_docs + 1))
-            data, out = chunk.data.tobytes(), []
-            for i, doc_id in enumerate(chunk.doc_ids):
-                lo, hi = first[i], first[i + 1]
-                own = data[chunk.offsets[i]: chunk.offsets[i + 1]].split()
-                n = int(gone[lo:hi].sum())
+            sums = np.concatenate([[0], np.cumsum(gone)])
+            n_removed = sums[first[1:]] - sums[first[:-1]]
+            shas, kept_texts = [], []
+            for i, n in enumerate(n_removed.tolist()):
+                own = chunk.data[chunk.offsets[i]: chunk.offsets[i + 1]].tobytes().split()
                 if n:
-                    own = [w for w, g in zip(own, gone[lo:hi].tolist()) if not g]
+                    own = [w for w, g in zip(own, gone[first[i]: first[i + 1]].tolist()) if not g]
                 kept = b" ".join(own)
-                out.append((None if doc_id == NULL_ID else int(doc_id), int(hi - lo), n, hashlib.sha256(kept).hexdigest(), kept if texts else None))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()])],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                shas.append(hashlib.sha256(kept).hexdigest())
+                kept_texts.append(kept if texts else None)
+            yield batch_of(RESULT_SCHEMA, [chunk.ids(), np.diff(first), n_removed, shas, kept_texts])
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, size: int = 13, depth: int = 2, texts: bool = False) -> DataFrame:
     """Removes each word covered by a window of size words that starts in a smaller doc_id too.
 
-    Returns doc_id, n_words, n_removed, kept_sha256, and with texts the kept text in UTF-8.
+    depth: rows of the sketch. Returns doc_id, n_words, n_removed, kept_sha256, and with texts the
+    kept text in UTF-8.
     """
     ex = Exchange(spark, docs, "substring")
-    counts, layout = ex.estimate(lambda chunk: window_hashes(chunk, size), depth)
+    counts, layout = ex.estimate(lambda chunk: items(chunk, size), depth, 0.3)
     keys = ex.scratch.save(ex.joined(counts).mapInArrow(lambda b: send_keys(b, size, layout), KEY_SCHEMA), "keys")
-    least = keys.filter("bucket >= 0").groupBy("bucket").applyInPandas(least_ids, LEAST_SCHEMA)
-    own = keys.filter("bucket < 0").select("chunk_id", "a", "b")
-    return ex.joined(own, least).mapInArrow(lambda b: remove(b, size, texts), RESULT_SCHEMA)
+    # exact groups; nulls aren't less than any id
+    sent = keys.filter("key >= 0").select("chunk_id", "key", "h1", "h2", "doc_id").withColumn("least", F.min("doc_id").over(W.partitionBy("h1", "h2")))
+    back = sent.filter("least IS NOT NULL AND (doc_id IS NULL OR least < doc_id)").groupBy("chunk_id").agg(
+        F.collect_list(F.col("key").cast("bigint")).alias("answered"), F.collect_list("least").alias("least"))
+    own = keys.filter("key < 0").select("chunk_id", "places", "keys")
+    return ex.joined(own, back).mapInArrow(lambda b: remove(b, size, texts), RESULT_SCHEMA)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 
 from postweave.llm import sketch
-from postweave.llm.kernels import Words, rolling
-from postweave.llm.sketch import Layout, decode, encode, level
+from postweave.llm.kernels import SPACES, Words, rolling, sliding_min, stretches
+from postweave.llm.sketch import Layout
 from postweave.llm.substring_dedup import dedup_substrings
 
 from .helpers import ODD, empty, odd
@@ -34,7 +34,7 @@ def brute(rows, size):
 @pytest.mark.parametrize("size,depth,chunk", [(13, 2, 2000), (5, 1, 8 << 20)])
 def test_matches_brute_force(spark, monkeypatch, size, depth, chunk):
     monkeypatch.setattr(sketch.Exchange.__init__, "__defaults__", (chunk,))
-    monkeypatch.setattr(sketch, "BLOCK_CELLS", 700)  # many blocks
+    monkeypatch.setattr(sketch, "POSITION", 4)  # narrow: many collisions, which cost no result
     rng = random.Random(size)
     vocabulary = [f"w{i}" for i in range(150)] + ["É", "x y"]
     passages = [rng.choices(vocabulary, k=rng.randint(10, 60)) for _ in range(4)]
@@ -42,7 +42,8 @@ def test_matches_brute_force(spark, monkeypatch, size, depth, chunk):
     for i in rng.sample(range(10_000), 80):
         parts = [rng.choice(passages) if rng.random() < 0.5 else rng.choices(vocabulary, k=rng.randint(0, 40)) for _ in range(rng.randint(0, 4))]
         rows.append((i, rng.choice((" ", "\n", " \t ")).join(w for p in parts for w in p)))
-    rows += [(20_000, None), (20_001, ""), (None, " ".join(passages[0])), rows[0]]
+    rows += [(20_000, None), (20_001, ""), (None, " ".join(passages[0])), (None, " ".join(passages[0])), rows[0]]
+    rows += [(2**63 - 1, " ".join(passages[1])), (-2**63, " ".join(passages[2] + ["own"])), (20_002, "a " * 40), (20_003, "a " * 30 + "b")]
     got = dedup_substrings(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=size, depth=depth, texts=True).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute(rows, size)
     assert all(hashlib.sha256(bytes(r.kept_text)).hexdigest() == r.kept_sha256 for r in got)
@@ -54,27 +55,45 @@ def test_odd_rows(spark):
     assert dedup_substrings(spark, empty(spark)).collect() == []
 
 
-def test_estimates_are_never_low():
+@pytest.mark.parametrize("depth", [1, 2])
+def test_estimates_are_never_low(spark, monkeypatch, depth):
+    monkeypatch.setattr(sketch, "POSITION", 3)
     rng = np.random.default_rng(0)
-    layout = Layout(2, 9, 3)  # far too narrow: many collisions
+    layout = Layout(depth, 20)  # far too narrow: many collisions
     chunks = [rng.integers(0, 300, 200).astype(np.uint64) for _ in range(4)]
-    merged = {}
-    for items in chunks:
-        cells, _, counts = layout.cells(items)
-        for c, n in zip(cells.tolist(), counts.tolist()):
-            merged[c] = merged.get(c, 0) + n
+    sent = []
+    for k, items in enumerate(chunks):
+        cells, n = np.unique(layout.pack(items), return_counts=True)
+        sent += [(int(c), k, int(x)) for c, x in zip(cells, n)]
+    back = layout.merged(spark.createDataFrame(sent, sketch.CELL_SCHEMA)).collect()
     true = np.bincount(np.concatenate(chunks).astype(int), minlength=300)
-    for items in chunks:
-        cells, where, _ = layout.cells(items)
-        estimate = np.array([merged[c] for c in cells.tolist()])[where].min(axis=0)
-        assert (estimate >= true[items.astype(int)]).all()
+    for k, items in enumerate(chunks):
+        own = [r for r in back if r.chunk_id == k]
+        found = layout.estimates(items, np.array([r.cell for r in own]), np.array([r.estimate for r in own]))
+        assert (found >= true[items.astype(int)]).all()
 
 
-def test_codes():
-    rng = np.random.default_rng(1)
-    cells = np.unique(rng.integers(0, 1 << 40, 5000).astype(np.uint64))
-    assert (decode(encode(cells), len(cells)) == cells).all()
-    assert (np.diff(level(np.arange(1 << 16)).astype(int)) >= 0).all() and level(np.array([1]))[0] == 1 and level(np.array([2]))[0] == 2
+def test_one_shuffle_merges_all_rows_of_the_sketch(spark):
+    plan = Layout(2, 300).merged(spark.createDataFrame([(1, 1, 1)], sketch.CELL_SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window") >= 2
+
+
+def test_long_texts_in_stretches():
+    """Words and hashes don't depend on where stretches end, one long word included."""
+    rng = random.Random(3)
+    text = " ".join(rng.choice(("a", "bcd", "x" * 40, "é")) for _ in range(400)).encode() + b" " + b"y" * 900 + b"z tail"
+    data, offsets = np.frombuffer(text + b"next doc", np.uint8), np.array([0, 0, len(text), len(text) + 8])
+    whole, cut = Words(data, offsets, True, (1, 2)), Words(data, offsets, True, (1, 2), limit=64)
+    for name in ("doc", "start", "end"):
+        assert (getattr(whole, name) == getattr(cut, name)).all()
+    assert all((a == b).all() for a, b in zip(whole.hashes, cut.hashes))
+    assert max(b - a for a, b in stretches(data, offsets, 64, SPACES)) == 901 and len(whole.doc) == 404
+
+
+def test_sliding_min():
+    x = np.random.default_rng(1).integers(0, 99, 50)
+    for n in (1, 2, 3, 6, 7):
+        assert sliding_min(x, n).tolist() == [x[i: i + n].min() for i in range(51 - n)]
 
 
 def test_rolling_is_by_content():
