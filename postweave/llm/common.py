@@ -87,6 +87,16 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of docs in one, `doc`, so that names added beside it can't clash with them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("doc")
+
+
+def released(rows: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select("doc.*")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

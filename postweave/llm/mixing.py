@@ -12,11 +12,14 @@ value can't have more than share / keep: one whose target is above that is kept
 what it lacks goes to the others in proportion. `margins` reports the expected share of each value beside its
 target; with keep at most 1 / (largest factor) no cell is bounded and all targets are met.
 
-Defined results: a null source or language is a value of its own (""); null and empty texts have no
+The topic is a column of the documents, or any expression over them; `surface_topic` is only the default,
+a coarse rule by patterns.
+
+Defined results: a null source, language or topic is a value of its own (""); null and empty texts have no
 tokens and the factor of their cell (1 before the rate, if the cell has no tokens); rows repeated
 with one doc_id are decided alike; a null doc_id counts as 0; an empty table gives no rows; other
-columns pass through. Cells are counted in a distributed way; only these counts, at most MAX_CELLS
-rows (beyond it an error is raised, not a cut), go to the driver.
+columns pass through in `doc`, whatever their names. Cells are counted in a distributed way; up to MAX_CELLS
+rows of counts are raked on the driver, more by the same steps over DataFrames.
 """
 
 from __future__ import annotations
@@ -27,18 +30,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, text_or_empty
+from .common import Scratch, documents, text_or_empty, whole
+from .toxicity import below
 
+#: Cells raked on the driver and broadcast; beyond it nothing is collected.
 MAX_CELLS = 200_000
 MARGINS = ("source", "lang", "topic")
 
 
 def tokens(text: Column) -> Column:
     """Words: runs of characters other than 0x20 and 0x09-0x0D."""
-    return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("bigint")
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
-def topic(text: Column) -> Column:
+def surface_topic(text: Column) -> Column:
     """A coarse topic by surface: legal lines, contacts, shouting or symbols, lists, prose."""
     return (F.when(text.rlike(r"(?i)\blicen[sc]e|copyright|all rights reserved"), "legal")
             .when(text.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}"), "contact")
@@ -130,65 +135,141 @@ def rates(weight: np.ndarray, mass: np.ndarray, codes: list[np.ndarray], targets
     return np.minimum(1, np.divide(out, cap, out=np.ones(len(mass)) * (mass <= 0), where=cap > 0))
 
 
-def cells_of(docs: DataFrame) -> DataFrame:
-    """docs with _source, _lang, _topic and _tokens."""
+def flattened(cells: DataFrame, margin: str, how: Mix) -> DataFrame:
+    """(margin, target): as margin_target, over a DataFrame."""
+    shares = cells.groupBy(margin).agg(F.sum("mass").cast("double").alias("mass"))
+    if own := how.targets.get(margin):
+        named = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in own.items()], f"{margin} string, target double")
+        shares = shares.join(named, margin, "left").select(margin, F.coalesce("target", F.lit(0.0)).alias("target"))
+    else:
+        total = shares.agg(F.sum("mass")).first()[0]
+        shares = shares.select(margin, F.when(F.col("mass") > 0, F.pow(F.col("mass") / total, how.power)).otherwise(0.0).alias("target"))
+    whole = shares.agg(F.sum("target")).first()[0]
+    if whole <= 0:
+        raise ValueError("the targets name no value that has tokens")
+    return shares.withColumn("target", F.col("target") / whole)
+
+
+def within_frame(shares: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(value, goal) of shares (value, target, most): as `within`, over a DataFrame."""
+    now, k = scratch.save(shares.withColumns({"goal": F.least("target", "most"), "full": F.col("target") > F.col("most")}), f"{name}_0"), 0
+    while True:
+        full, free, n_full, n = now.agg(
+            F.sum(F.when(F.col("full"), F.col("most"))), F.sum(F.when(~F.col("full"), F.col("target"))), F.count_if("full"), F.count(F.lit(1))).first()
+        if not n_full or n_full == n:
+            return now
+        goal = F.when(F.col("full"), F.col("most")).otherwise(F.col("target") * max(0.0, 1 - full) / max(free, 1e-300))
+        k, now = k + 1, scratch.save(now.withColumn("goal", goal).withColumn("full", F.col("full") | (F.col("goal") > F.col("most"))), f"{name}_{k + 1}")
+        if now.filter("full").count() == n_full:
+            return now
+
+
+def rake_frame(cells: DataFrame, how: Mix, scratch: Scratch) -> DataFrame:
+    """cells (margins, mass) with factor and probability: the driver's steps over DataFrames. A value's
+    scale under the bound takes a step in each round; rounds are written."""
+    total = float(cells.agg(F.sum("mass")).first()[0] or 0)
+    if total <= 0:
+        return cells.withColumns({"factor": F.lit(1.0), "probability": F.lit(1.0)})
+    targets = {m: scratch.save(flattened(cells, m, how), f"target_{m}") for m in MARGINS}
+
+    def rounds(now: DataFrame, goals: dict[str, DataFrame], goal: str, free: Column, name: str) -> DataFrame:
+        """free: whether a cell isn't at its cap. The scale is exact where it changes no cell from the one to the other."""
+        now, k = scratch.save(now, f"{name}_0"), 0
+        part = [F.sum(F.when(free, F.col("own")).otherwise(0.0)).alias("free"), F.sum(F.when(free, 0.0).otherwise(F.col("cap"))).alias("full")]
+        left = F.col("aim") - F.col("full")
+        scale = F.when((F.col("free") > 0) & (left > 0), left / F.col("free")).when(F.col("free") + F.col("full") > 0, F.least(F.lit(1.0), F.col("aim") / (F.col("free") + F.col("full")))).otherwise(0.0)
+        while k < how.rounds:
+            misses = []
+            for m in MARGINS:
+                sums = now.groupBy(m).agg(*part).join(goals[m].select(m, F.col(goal).alias("aim")), m)
+                sums = scratch.save(sums.select(m, scale.alias("scale"), F.abs(left - F.col("free")).alias("miss")), f"{name}_{k}_{m}")
+                misses.append(sums.agg(F.max("miss")).first()[0])
+                now = now.join(sums.drop("miss"), m).withColumn("own", F.col("own") * F.col("scale")).drop("scale")
+            k, now = k + 1, scratch.save(now, f"{name}_{k + 1}")
+            scratch.drop(f"{name}_{k - 1}")
+            if max(misses) < how.tolerance:
+                break
+        return now
+
+    share = F.col("mass") / total
+    raked = rounds(cells.withColumns({"own": share, "cap": F.lit(0.0)}), targets, "target", F.lit(True), "raked")
+    raked = raked.withColumn("factor", F.when(F.col("mass") > 0, F.col("own") / share).otherwise(1.0))
+    keep = min(how.keep, raked.agg(F.sum(F.when(F.col("own") > 0, share))).first()[0])
+    bounded = scratch.save(raked.withColumn("cap", F.when(F.col("own") > 0, share / keep).otherwise(0.0)), "bounded")
+    goals = {m: within_frame(bounded.groupBy(m).agg(F.sum("cap").alias("most")).join(targets[m], m), scratch, f"goal_{m}") for m in MARGINS}
+    now = rounds(bounded, goals, "goal", F.col("own") < F.col("cap"), "rates")
+    scale = 1.0
+    for _ in range(how.rounds):  # keep holds exactly
+        got = now.agg(F.sum(F.least(F.col("cap"), F.col("own") * scale))).first()[0]
+        if abs(got - 1) < how.tolerance or got <= 0:
+            break
+        scale /= got
+    rate = F.when(F.col("cap") > 0, F.least(F.lit(1.0), F.least(F.col("cap"), F.col("own") * scale) / F.col("cap")))
+    return now.select(*MARGINS, "mass", "factor", rate.otherwise(F.when(F.col("mass") > 0, 0.0).otherwise(1.0)).alias("probability"))
+
+
+def cells_of(docs: DataFrame, topic: Column | str | None = None) -> DataFrame:
+    """doc (all columns of docs), doc_id, source, lang, topic and tokens."""
     text = text_or_empty()
-    return docs.withColumns({
-        "_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-        "_topic": topic(text), "_tokens": tokens(text)})
+    named = F.col(topic) if isinstance(topic, str) else surface_topic(text) if topic is None else topic
+    value = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return docs.select(whole(docs), F.col("doc_id").cast("bigint").alias("doc_id"), value(F.col("source")).alias("source"),
+                       value(F.col("lang")).alias("lang"), value(named).alias("topic"), tokens(text).alias("tokens"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """docs with topic, tokens, factor, probability and sampled added (as _topic and so on)."""
-    return assign(spark, cells_of(docs), how)
+def mix(spark: SparkSession, docs: DataFrame, how: Mix = Mix(), topic: Column | str | None = None) -> DataFrame:
+    """doc, a struct of all columns of docs, with source, lang, topic, tokens, factor, probability and
+    sampled. topic: a column of docs or an expression over them."""
+    return assign(spark, Scratch(spark, "mixing").save(cells_of(docs, topic), "cells"), how)
 
 
 def assign(spark: SparkSession, rows: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """The same for rows of cells_of; reads them twice."""
-    keys = [f"_{m}" for m in MARGINS]
-    counted = rows.groupBy(*keys).agg(F.sum("_tokens").alias("mass"))
+    """Adds factor, probability and sampled to rows of cells_of; reads them twice."""
+    counted = rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("mass"))
     cells = counted.limit(MAX_CELLS + 1).collect()
     if len(cells) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic")
-    cells.sort(key=lambda r: tuple(r[k] for k in keys))
+        scratch = Scratch(spark, "raking")
+        table = rake_frame(scratch.save(counted, "cells"), how, scratch).drop("mass")
+    else:
+        table = F.broadcast(raked_cells(spark, cells, how))  # at most MAX_CELLS rows
+    drawn = below(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(4)), F.col("probability"))
+    return rows.join(table, list(MARGINS)).withColumn("sampled", drawn)
+
+
+def raked_cells(spark: SparkSession, cells: list, how: Mix) -> DataFrame:
+    """Margins, factor and probability of each cell, fitted on the driver."""
+    cells.sort(key=lambda r: tuple(r[k] for k in MARGINS))
     mass = np.array([r["mass"] for r in cells], float)
     factor = rate = np.ones(len(cells))
     if mass.sum() > 0:
         codes, targets = [], []
-        for margin, key in zip(MARGINS, keys):
-            names, code = np.unique([r[key] for r in cells], return_inverse=True)
+        for margin in MARGINS:
+            names, code = np.unique([r[margin] for r in cells], return_inverse=True)
             codes.append(code)
             targets.append(margin_target(np.bincount(code, mass, len(names)), list(names), how.targets.get(margin), how.power))
         weight = rake(mass, codes, targets, how.rounds, how.tolerance)
         factor = np.divide(weight * mass.sum(), mass, out=np.ones(len(cells)), where=mass > 0)
         rate = rates(weight, mass, codes, targets, how)
-    table = spark.createDataFrame(
-        [(*[r[k] for k in keys], float(f), float(p)) for r, f, p in zip(cells, factor, rate)] or [("", "", "", 1.0, 1.0)],
-        ", ".join(f"{k} string" for k in keys) + ", _factor double, _probability double")
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), F.lit(4)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # at most MAX_CELLS rows
-    return rows.join(F.broadcast(table), keys).withColumn("_sampled", draw < F.col("_probability"))
+    return spark.createDataFrame(
+        [(*[r[k] for k in MARGINS], float(f), float(p)) for r, f, p in zip(cells, factor, rate)] or [("", "", "", 1.0, 1.0)],
+        ", ".join(f"{k} string" for k in MARGINS) + ", factor double, probability double")
 
 
 def margins(mixed: DataFrame, how: Mix = Mix()) -> DataFrame:
     """For rows of mix or assign: margin, value, and its share of tokens present, targeted and expected
-    in the sample; at most as many rows as the margins have values."""
-    cells = mixed.groupBy(*[f"_{m}" for m in MARGINS]).agg(
-        F.sum("_tokens").cast("double").alias("mass"), F.sum(F.col("_tokens") * F.col("_probability")).alias("kept")).collect()
-    total, kept = sum(r["mass"] for r in cells), sum(r["kept"] for r in cells)
-    rows = []
-    for m in MARGINS if total > 0 else ():
-        names, code = np.unique([r[f"_{m}"] for r in cells], return_inverse=True)
-        mass = np.bincount(code, [r["mass"] for r in cells], len(names))
-        target, got = margin_target(mass, list(names), how.targets.get(m), how.power), np.bincount(code, [r["kept"] for r in cells], len(names))
-        rows += [(m, str(n), float(a / total), float(t), float(g / max(kept, 1e-300))) for n, a, t, g in zip(names, mass, target, got)]
-    return mixed.sparkSession.createDataFrame(rows, "margin string, value string, present double, target double, expected double")
+    in the sample."""
+    cells = mixed.groupBy(*MARGINS).agg(F.sum("tokens").cast("double").alias("mass"), F.sum(F.col("tokens") * F.col("probability")).alias("kept"))
+    total, kept = cells.agg(F.sum("mass"), F.sum("kept")).first()
+    out = None
+    for m in MARGINS if total else ():
+        own = cells.groupBy(m).agg((F.sum("mass") / total).alias("present"), (F.sum("kept") / max(kept, 1e-300)).alias("expected")).join(flattened(cells, m, how), m)
+        own = own.select(F.lit(m).alias("margin"), F.col(m).alias("value"), "present", "target", "expected")
+        out = own if out is None else out.unionByName(own)
+    return out if out is not None else mixed.sparkSession.createDataFrame([], "margin string, value string, present double, target double, expected double")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["doc_id", *[f"_{m}" for m in MARGINS], "_tokens"]
+    docs = documents(spark, sf_dir)
     # the texts are read once; what is kept of them are counts and cells
-    rows = Scratch(spark, "mixing").save(cells_of(documents(spark, sf_dir)).select(columns), "cells")
-    mixed = assign(spark, rows)
-    return mixed.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"),
-                        F.col("_factor").alias("factor"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
+    rows = Scratch(spark, "mixing").save(cells_of(docs).drop("doc"), "cells")
+    return assign(spark, rows).select("doc_id", "topic", "tokens", "factor", "probability", "sampled")

@@ -1,17 +1,18 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A document is the set of its lower-cased words and their first bytes, hashed. Of these, the terms that go with the label
-(chi-square over the sampled labelled rows) get a weight and a vector each; the score is
+A document is the set of its lower-cased words and their first bytes, hashed. The terms that most sampled
+documents have, and those that go with the label by themselves, get a weight and a vector each; the score is
 sigmoid(w0 + sum of weights + sum over pairs of dot products), so that a pair such as an insult and
 a mention of a group counts beyond its two words. Labels are learned from rows whose crc32(doc_id)
 mod 5 is not 0; nothing but text enters a score.
 
 Bounds: at most about sample_rows labelled rows are fitted (chosen by a hash of doc_id), with at
-most `terms` terms; the model is as large as that and no larger. All rows are scored, whole.
+most `terms` + `common` terms; the model is as large as that and no larger. All rows are scored, whole.
 
 Defined results: null and empty texts get the score of no terms; rows repeated with one doc_id are
 scored each; a null doc_id is held out; a null label isn't learned from; without labels every score
-is the prior, below 0.5; an empty table gives no rows; other columns are ignored.
+is the prior, below 0.5; an empty table gives no rows; other columns pass through in `doc`, whatever
+their names. Texts of any length are scored; their terms are worked through in stretches.
 """
 
 from __future__ import annotations
@@ -24,21 +25,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_limits, documents
+from .common import Scratch, arrow_limits, documents, whole
 from .kernels import BREAKS, FOLD, U64, Words, mix, text_buffer
 
 BITS = 20
 PREFIXES = (4, 5, 6)
 FOLDS = 5
 SAMPLE_ROWS = 20_000
-TERMS = 2048
-LEAST_CHI2 = 20.0
+#: Terms of the machine: by their own statistic, and by how many documents have them.
+TERMS, COMMON = 2048, 2048
+LEAST_CHI2, LEAST_SHARE = 20.0, 0.001
 
 
 def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % folds
 
 
+def below(hashed: Column, share: Column) -> Column:
+    """Whether a 64-bit hash falls below a share, with 53 bits: no share above 1e-15 is lost."""
+    return F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53)) < share
+
+
 def terms_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(document, hashed term) of each text, with repeats: words, and their first 4, 5 and 6 bytes,
     which inflected forms share."""
@@ -89,8 +96,17 @@ class Machine:
     def scores(self, doc: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(doc, at, n)[0], -35, 35)))
 
-    def fit(self, doc: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 30, batch: int = 512, rate: float = 0.1, decay: float = 1e-4) -> Machine:
-        """Adagrad on the log loss; doc is ascending."""
+    def only(self, keep: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose term is one of keep (a mask)."""
+        own = keep[at]
+        return doc[own], at[own]
+
+    def loss(self, doc: np.ndarray, at: np.ndarray, y: np.ndarray) -> float:
+        p = np.clip(self.scores(doc, at, len(y)), 1e-9, 1 - 1e-9)
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    def fit(self, doc: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 30, batch: int = 512, rate: float = 0.1, decay: float = 1e-4, watch=None) -> Machine:
+        """Adagrad on the log loss; doc is ascending. watch(machine) is called after each epoch."""
         n, rng = len(y), np.random.default_rng(2)
         prior = (y.sum() + 0.5) / (n + 10)
         self.w0 = float(np.log(prior / (1 - prior)))
@@ -114,9 +130,33 @@ class Machine:
                 self.w0 -= rate * g0 / np.sqrt(seen[0])
                 self.w -= rate * gw / np.sqrt(seen[1])
                 self.v -= rate * gv / np.sqrt(seen[2])
+            if watch:
+                watch(self)
         return self
 
 
+def chosen(terms: np.ndarray, telling: np.ndarray, factors: int, doc: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 30) -> Machine:
+    """The machine over the telling terms alone or over all of them, with the decay and as many epochs
+    as do best on a fifth of the rows, fitted again on all rows. terms is sorted."""
+    mine = mix(np.arange(len(y)).astype(U64)) % U64(5) != 0
+    place = np.where(mine, np.cumsum(mine), np.cumsum(~mine)) - 1
+    best = (np.inf, np.ones(len(terms), bool), 1e-4, epochs)
+    for keep, decay in ((np.isin(terms, telling), 1e-4), (np.ones(len(terms), bool), 1e-4), (np.ones(len(terms), bool), 3e-3)):
+        machine, losses = Machine(terms, factors), []
+        own_doc, own_at = machine.only(keep, doc, at)
+        fit_on, other = mine[own_doc], ~mine[own_doc]
+        rest = (place[own_doc[other]], own_at[other], y[~mine])
+        if keep.any() and mine.any() and not mine.all():
+            machine.fit(place[own_doc[fit_on]], own_at[fit_on], y[mine], epochs, decay=decay, watch=lambda m: losses.append(m.loss(*rest)))
+        if losses and min(losses) < best[0] * 0.98:
+            best = (min(losses), keep, decay, int(np.argmin(losses)) + 1)
+    _, keep, decay, n = best
+    machine = Machine(terms, factors)
+    machine.fit(*machine.only(keep, doc, at), y, n, decay=decay)
+    machine.w[~keep], machine.v[~keep] = 0, 0
+    return machine
+
+
 def chi2(pos, neg, n_pos: int, n_neg: int):
     """Pearson's statistic of a term's presence with the label, from counts (columns or arrays)."""
     n, have = n_pos + n_neg, pos + neg
@@ -129,12 +169,17 @@ def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
     may = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter(
         F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0))
     share = min(1.0, sample_rows / max(1, may.count()))
-    some = may.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    some = may.filter(below(F.xxhash64("doc_id"), F.lit(share))).groupBy("doc_id").agg(F.max("y").alias("y"))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("y", "text")
 
 
-def train(rows: DataFrame, terms: int = TERMS, factors: int = 8) -> Machine:
-    """rows: (y, text), bounded by the caller."""
+def train(rows: DataFrame, terms: int = TERMS, common: int = COMMON, factors: int = 8) -> Machine:
+    """rows: (y, text), bounded by the caller.
+
+    The terms on offer are the `common` ones that most documents have (those in more than half left
+    out), whatever their labels, since a term may count only together with another; and `terms` more
+    that go with the label by themselves, which may be rare. What a fifth of the rows says decides
+    whether the common ones stay."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int32)
@@ -150,9 +195,13 @@ def train(rows: DataFrame, terms: int = TERMS, factors: int = 8) -> Machine:
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     counted = rows.mapInArrow(count, "term bigint, pos int, neg int").groupBy("term").agg(
         F.sum("pos").cast("double").alias("pos"), F.sum("neg").cast("double").alias("neg"))
+    # at most one row for each of 2^BITS hashed terms
+    have, size = F.col("pos") + F.col("neg"), n_pos + n_neg
     score = chi2(F.col("pos"), F.col("neg"), n_pos, n_neg)
-    best = counted.withColumn("s", score).filter(F.col("s") >= LEAST_CHI2).orderBy(F.desc("s"), "term").limit(terms).collect()
-    machine = Machine(np.array([r["term"] for r in best], np.int64), factors)
+    telling = counted.withColumn("s", score).filter(F.col("s") >= LEAST_CHI2).orderBy(F.desc("s"), "term").limit(terms).select("term")
+    frequent = counted.filter((have >= max(3.0, LEAST_SHARE * size)) & (have <= size / 2)).orderBy(have.desc(), "term").limit(common).select("term")
+    found = [np.array([r["term"] for r in t.collect()], np.int64) for t in (telling, frequent)]
+    machine = Machine(np.unique(np.concatenate(found)), factors)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,29 +214,31 @@ def train(rows: DataFrame, terms: int = TERMS, factors: int = 8) -> Machine:
     got.sort(key=lambda r: (r["y"], bytes(r["at"])))  # the same model whatever the order of tasks
     sets = [np.frombuffer(r["at"], np.int16) for r in got]
     doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    return machine.fit(doc, np.concatenate([*sets, np.empty(0, np.int16)]).astype(np.int64), np.array([r["y"] for r in got], float))
+    at = np.concatenate([*sets, np.empty(0, np.int16)]).astype(np.int64)
+    return chosen(machine.terms, found[0], factors, doc, at, np.array([r["y"] for r in got], float))
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """Adds toxic_score to docs (doc_id, text)."""
+def scored(docs: DataFrame, machine: Machine) -> DataFrame:
+    """doc, a struct of all columns of docs, and score; extra columns may have any name."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, at = machine.kept(*terms_of(b.column(b.schema.names.index("text"))))
-            s = machine.scores(doc, at, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, "toxic_score"])
+            texts = b.column(0).field("text")
+            doc, at = machine.kept(*terms_of(texts))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(machine.scores(doc, at, b.num_rows))], ["doc", "score"])
 
-    return docs.mapInArrow(apply, StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())]))
+    rows = docs.select(whole(docs))
+    return rows.mapInArrow(apply, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
 
 
 def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
+    """The labelled sample is written first, so that docs are read once for it."""
     arrow_limits(spark)
-    return train(labelled(docs, labels, sample_rows))
+    return train(Scratch(spark, "toxicity").save(labelled(docs, labels, sample_rows), "sample"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     machine = fit_toxicity(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return score(rows, machine).select(
-        "doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), F.col("toxic_score").alias("score"),
-        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+    found = scored(rows, machine).select("doc.doc_id", "score")
+    return found.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

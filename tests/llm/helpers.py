@@ -12,10 +12,27 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, SCHEMA).withColumn("n_chars", F.length("text").cast("long"))
-    for name in ("shard", "digest", "pid", "length", "score", "tokens", "rank", "_part", "size"):
-        df = df.withColumn(name, F.lit("clash"))
+    for name in ("shard", "digest", "pid", "length", "score", "tokens", "rank", "_part", "size", *sorted(internal_names())):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit("clash"))
     return df
 
 
+def internal_names():
+    """Each column name that the sources of the operators and of the pipeline give to a column."""
+    import glob
+    import os
+    import re
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = set()
+    for path in [*glob.glob(f"{root}/postweave/llm/*.py"), *glob.glob(f"{root}/corpus_pipeline.py")]:
+        with open(path) as f:
+            text = f.read()
+        found |= set(re.findall(r"""(?:alias|withColumn|withColumnRenamed)\(f?["']([A-Za-z_]\w*)["']""", text))
+        found |= set(re.findall(r"(\w+) (?:bigint|string|double|int|binary|array<bigint>)\b", text))
+    return found - {"doc_id", "text", "lang", "source", "n_chars"}
+
+
 def empty(spark):
     return odd(spark).filter("false")
