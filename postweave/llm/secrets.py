@@ -1,9 +1,10 @@
 """Secret scans: known shapes, and a sliding window of Shannon entropy over candidate strings.
 
 Native. A candidate is a maximal run of token characters, split at '=' and, where it is a path or holds a
-placeholder, at '/'; the class of each part (hex, upper, mixed, letters) sets the window and the threshold. The entropy of each window follows from that of the one before by the
-counts of the character that leaves and of the one that enters. Parts on the allow-list give no
-entropy span; base spans always stay.
+placeholder, at '/'; the class of each part (hex, upper, mixed, letters) sets the window and the threshold. The fold over a candidate holds the window's counts: the entropy of each window
+follows from that of the one before by the counts of the character that leaves and of the one that enters.
+A candidate gives one span, from the first to the end of the last window over the threshold; what lies
+between them belongs to it, cold or not. Parts on the allow-list give no entropy span; base spans always stay.
 
 Defined results: a null or empty text has no spans (the digest of the empty string); offsets are
 code points, ends exclusive; repeated rows give repeated results; an empty table gives no rows;
@@ -99,32 +100,34 @@ def where(hint: Column, spans: Column) -> Column:
 def hot_window(value: Column, window: int, bits: float) -> Column:
     """(first, last, window): starts of the first and last windows with so many bits; -1 if none.
 
-    With S the sum of n*log2(n) over the window's counts n, its entropy is log2(window) - S/window.
+    With S the sum of n*log2(n) over the window's counts n, its entropy is log2(window) - S/window. The
+    state holds the count of each character of the value: a step adds one to that which enters and takes
+    one from that which leaves, and S follows from these two counts.
     """
-    g = F.array(*[F.lit(0.0 if n == 0 else n * log2(n)) for n in range(window + 1)])
+    g = F.array(*[F.lit(0.0 if n == 0 else n * log2(n)) for n in range(window + 2)])
     most = (log2(window) - bits) * window + 1e-9
 
-    def count(of: Column, c: Column) -> Column:
-        return F.size(F.filter(of, lambda x: x == c))
-
-    def step(s: Column, i: Column, chars: Column) -> Column:
-        c = F.get(chars, i)
-        full = i >= window
-        held = F.slice(chars, F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)))
-        gone = F.get(chars, F.when(full, i - window).otherwise(F.lit(0)))
-        n_gone = count(held, gone)
-        less = F.when(full, F.get(g, n_gone) - F.get(g, n_gone - F.lit(1))).otherwise(F.lit(0.0))
-        n_in = count(held, c) - F.when(full & (gone == c), 1).otherwise(0)
-        total = s["s"] - less + F.get(g, n_in + 1) - F.get(g, n_in)
-        return let(total, lambda t: let((i >= window - 1) & (t <= F.lit(most)), lambda hot: F.struct(
-            t.alias("s"),
+    def step(s: Column, i: Column, codes: Column) -> Column:
+        enters = F.get(codes, i)
+        leaves = F.when(i >= window, F.get(codes, F.greatest(i - window, F.lit(0)))).otherwise(F.lit(-1))
+        counts = s["counts"]
+        n_in, n_out = F.get(counts, enters), F.when(leaves >= 0, F.get(counts, F.greatest(leaves, F.lit(0))))
+        change = F.when(enters == leaves, F.lit(0.0)).otherwise(
+            F.get(g, n_in + 1) - F.get(g, n_in) + F.coalesce(F.get(g, n_out - F.lit(1)) - F.get(g, n_out), F.lit(0.0)))
+        after = F.transform(counts, lambda n, k: n + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
+        return let(s["s"] + change, lambda t: let((i >= window - 1) & (t <= F.lit(most)), lambda hot: F.struct(
+            t.alias("s"), after.alias("counts"),
             F.when(hot & (s["first"] < 0), i - window + 1).otherwise(s["first"]).alias("first"),
             F.when(hot, i - window + 1).otherwise(s["last"]).alias("last"))))
 
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return let(F.split(value, ""), lambda chars: F.aggregate(
-        F.sequence(F.lit(0), F.length(value) - 1), zero, lambda s, i: step(s, i, chars),
-        lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.lit(window).alias("window"))))
+    def walked(chars: Column) -> Column:
+        return let(F.array_distinct(chars), lambda own: let(F.transform(chars, lambda c: (F.array_position(own, c) - 1).cast("int")), lambda codes: F.aggregate(
+            F.sequence(F.lit(0), F.size(codes) - 1),
+            F.struct(F.lit(0.0).alias("s"), F.array_repeat(F.lit(0), F.size(own)).alias("counts"), F.lit(-1).alias("first"), F.lit(-1).alias("last")),
+            lambda s, i: step(s, i, codes),
+            lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.lit(window).alias("window")))))
+
+    return let(F.split(value, ""), lambda chars: walked(F.filter(chars, lambda c: c != "")))
 
 
 def matches_any(v: Column, patterns: tuple[str, ...]) -> Column:
