@@ -6,11 +6,12 @@ Forward-backward gives each word's distribution, so that code-switched text is l
 word; a document's language is the one with the largest mean.
 
 Learned from text and lang of rows whose crc32(doc_id) mod 4 is not 2. Training sequences join runs
-of words from rows of different languages, so that switches are seen. Every language
-that these rows have is a label. Bounds: about SAMPLE_ROWS rows a language, fewer beyond LANGUAGES
-languages so that the sample stays as large, and SAMPLE_WORDS consecutive words of each; beyond
-MAX_LANGUAGES, where the model would outgrow a driver, an error is raised, not a cut. All rows are labelled, whole: long texts go through the chain in segments whose transfer matrices are
-combined exactly.
+of words from rows of different languages, so that switches are seen. Every language that these rows
+have is a label. Bounds of the fit: about SAMPLE_ROWS rows a language, fewer beyond LANGUAGES languages
+so that the sample stays as large, and SAMPLE_WORDS words a row on average, taken as runs from anywhere
+in the whole texts; beyond MAX_LANGUAGES, where the model would outgrow a driver, an error is raised,
+not a cut. All rows are labelled, whole: long texts go through the chain in segments whose transfer
+matrices are combined exactly; a worker holds a few hundred bytes for each word of a batch of texts.
 
 Defined results: `und` with score 0 for a null text, one without letters, and where nothing could
 be learned; repeated rows are labelled each; a null doc_id isn't held out nor learned from; an
@@ -26,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, documents
+from .common import Scratch, arrow_limits, documents
 from .kernels import FOLD, U64, Words, mix, text_buffer
-from .toxicity import fold
+from .toxicity import below, fold
 
 BITS = 17
 FOLDS, HELD = 4, 2
 SAMPLE_ROWS, SAMPLE_WORDS, LANGUAGES, MAX_LANGUAGES = 600, 160, 64, 256
+#: What a word with its space is taken to have, where words are bounded by bytes.
+WORD_BYTES = 6
 NGRAMS = (2, 3, 4)
 SEGMENT = 128
 RUNS = (4, 30)
@@ -183,9 +186,10 @@ def label_batch(chain: Chain, column: pa.Array) -> tuple[list[str], np.ndarray]:
     return [chain.labels[b] if ok else "und" for b, ok in zip(best, known)], np.where(known, np.clip(mean.max(1), 0, 1), 0.0)
 
 
-def sample(docs: DataFrame, rows: int, languages: int) -> tuple[list[str], list[tuple[str, str]]]:
-    """All languages, and (lang, some consecutive words) of a sample of rows to learn from: about
-    `rows` a language, and no more in all than so many for `languages` of them."""
+def sample(spark: SparkSession, docs: DataFrame, rows: int, languages: int) -> tuple[list[str], list[tuple[str, str]]]:
+    """All languages, and (lang, run of words) to learn from. About `rows` rows a language, and no more in
+    all than so many for `languages` of them, are written once; of their whole texts, cut into runs, so many
+    runs are taken by a hash that SAMPLE_WORDS words a row are expected."""
     may = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD))
     found = may.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
@@ -195,35 +199,34 @@ def sample(docs: DataFrame, rows: int, languages: int) -> tuple[list[str], list[
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rows = min(rows, rows * languages / len(found))
     share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
-    some = may.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000)
+    some = Scratch(spark, "language").save(may.filter(below(F.xxhash64("doc_id"), F.try_element_at(share, F.col("lang")))), "sample")
+    sizes = some.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).collect()
+    take = {r["lang"]: min(1.0, rows * SAMPLE_WORDS * WORD_BYTES / max(1, r["size"])) for r in sizes}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = text.split()
-                at = doc_id * 2654435761 % max(1, len(words) - SAMPLE_WORDS + 1)
-                out.append(" ".join(words[at: at + SAMPLE_WORDS]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.string())], ["doc_id", "lang", "words"])
+            for doc_id, text, lang in zip(*(c.to_pylist() for c in b.columns)):
+                words, at, rng = text.split(), 0, np.random.default_rng(doc_id & 0xFFFFFFFFFFFFFFFF)
+                while at < len(words):
+                    n = int(rng.integers(*RUNS))
+                    if rng.random() < take[lang]:
+                        out.append((lang, doc_id, at, " ".join(words[at: at + n])))
+                    at += n
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["lang", "doc_id", "at", "words"])
 
-    got = some.mapInArrow(cut, "doc_id bigint, lang string, words string").collect()
-    return sorted(r["lang"] for r in found), [(r["lang"], r["words"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["words"]))]
+    got = some.mapInArrow(cut, "lang string, doc_id bigint, at bigint, words string").collect()
+    return sorted(r["lang"] for r in found), [(r["lang"], r["words"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["at"], r["lang"], r["words"]))]
 
 
 def fit_language(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_ROWS, languages: int = LANGUAGES, length: int = 40) -> Chain:
     arrow_limits(spark)
-    labels, got = sample(docs, rows, languages)
-    chain, rng = Chain(labels), np.random.default_rng(4)
+    labels, got = sample(spark, docs, rows, languages)
     # runs of words, dealt so that neighbouring runs are of different rows and often languages
-    runs = []
-    for lang, text in got:
-        words, at = text.split(), 0
-        while at < len(words):
-            n = int(rng.integers(*RUNS))
-            runs.append((labels.index(lang), words[at: at + n]))
-            at += n
-    order = rng.permutation(len(runs))
-    words = [(w, runs[i][0]) for i in order for w in runs[i][1]]
+    place = {x: k for k, x in enumerate(labels)}
+    runs = [(place[lang], text.split()) for lang, text in got]
+    words = [(w, runs[i][0]) for i in np.random.default_rng(4).permutation(len(runs)) for w in runs[i][1]]
     if not words or not labels:
         return Chain([])
     words = words * -(-length // len(words)) if len(words) < length else words
@@ -231,7 +234,7 @@ def fit_language(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_ROWS,
     sizes = np.array([len(w) for w in encoded])
     end = np.cumsum(sizes + 1) - 1
     data = np.frombuffer(b" ".join(encoded), np.uint8)
-    return chain.fit(data, end - sizes, end, np.array([y for _, y in words]), length)
+    return Chain(labels).fit(data, end - sizes, end, np.array([y for _, y in words]), length)
 
 
 def identify(spark: SparkSession, docs: DataFrame, chain: Chain) -> DataFrame:

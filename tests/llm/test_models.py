@@ -135,12 +135,20 @@ def test_every_language_is_a_label(spark, monkeypatch):
     rows = [(i, f"wort{i % 80} text", f"l{i % 80 if i % 3 else i % 2}") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     want = {lang for i, _, lang in rows if held(i, 4) != 2}
-    labels, got = language.sample(docs, 600, language.LANGUAGES)
+    labels, got = language.sample(spark, docs, 600, language.LANGUAGES)
     assert len(want) > language.LANGUAGES and set(labels) == want == {lang for lang, _ in got}
-    assert len(language.sample(docs, 8, 10)[1]) < 300
+    assert len(language.sample(spark, docs, 8, 10)[1]) < 300
     monkeypatch.setattr(language, "MAX_LANGUAGES", 70)
     with pytest.raises(ValueError):
-        language.sample(docs, 600, language.LANGUAGES)
+        language.sample(spark, docs, 600, language.LANGUAGES)
+
+
+def test_sampled_words_are_of_whole_texts(spark):
+    """Runs come from all parts of long texts, and about as many words as the bound names."""
+    rows = [(i, " ".join(f"w{j}" for j in range(4000)), "aa") for i in range(60)]
+    _, got = language.sample(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), 30, 64)
+    at = np.array([int(w[1:]) for _, run in got for w in run.split()])
+    assert 30 * 160 * 0.5 < len(at) < 30 * 160 * 2 and all(((lo <= at) & (at < lo + 1000)).mean() > 0.1 for lo in range(0, 4000, 1000))
 
 
 def test_words_of_mixed_text():
