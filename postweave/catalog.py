@@ -600,7 +600,7 @@ def _frequencies(spark, d):
 
 @query("a9_search", f"""WITH {GRAMS_SQL} SELECT doc_id, CAST(count(*) AS INTEGER) AS score FROM g WHERE bigram IN ('an', 'nd', 'd ', ' t', 'th', 'he', 'e ', ' z') GROUP BY doc_id HAVING count(*) >= 7""")
 def _search(spark, d):
-    return search.search(_postings(spark, d), "doc_id", "and the z")
+    return search.search_texts(read(spark, d, "documents"), "doc_id", F.col("text"), "and the z")
 
 
 @query("a9_search_many", rf"""WITH {GRAMS_SQL}, q0 AS (SELECT item_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\s]', '', 'g') AS t FROM benchmark),
@@ -609,7 +609,7 @@ n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1)
 SELECT q.query_id, g.doc_id, CAST(count(*) AS INTEGER) AS score FROM q JOIN g USING (bigram) JOIN n USING (query_id) GROUP BY q.query_id, g.doc_id, n.n HAVING count(*) >= n.n - 1""")
 def _search_many(spark, d):
     wanted = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.search_many(_postings(spark, d), "doc_id", wanted)
+    return search.search_many(read(spark, d, "documents"), "doc_id", F.col("text"), wanted)
 
 
 @query("k10_search_lines", rf"""WITH {MESSAGES_SQL} SELECT concat(msgnum, '|', regexp_replace(regexp_replace(concat_ws(' ', subject, name, email_addr, body_text), '[^\p{{L}}\p{{N}}\s.@-]', '', 'g'), '\s', ' ', 'g')) AS value FROM m""")

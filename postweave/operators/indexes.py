@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import folder_month, folder_year, strftime_pattern
 from ..functions.text import safe_folder
-from .ranking import positions
+from .ranking import ordered_positions, positions
 
 RANGE = 30 * 86400
 
@@ -25,24 +25,28 @@ def author_key() -> Column:
     return F.lower(F.coalesce("name", "email_addr", F.lit("")))
 
 
-def _index(messages: DataFrame, key: Column, part: Column, tie: str, reverse: bool) -> DataFrame:
-    """ord: exact reversal, ties included, where reverse."""
-    keyed = messages.withColumn("_key", key)
-    order = [F.col("_key"), F.col("msgnum"), F.col(tie)]
-    ranked = positions(keyed, ["list_id"], [c.desc() for c in order] if reverse else order, part, "ord", reverse)
-    return ranked.drop("_key")
+def _order(key: Column, tie: str, reverse: bool) -> list[Column]:
+    """Exact reversal, ties included, where reverse."""
+    order = [key, F.col("msgnum"), F.col(tie)]
+    return [c.desc() for c in order] if reverse else order
 
 
 def date_index(messages: DataFrame, reverse: bool = False) -> DataFrame:
-    return _index(messages, F.col("date"), F.floor(F.col("date") / RANGE), "pos", reverse)
+    return positions(messages, ["list_id"], _order(F.col("date"), "pos", reverse), F.floor(F.col("date") / RANGE), "ord", reverse)
+
+
+def _by_text(messages: DataFrame, key: Column, reverse: bool) -> DataFrame:
+    """Texts have no pieces that hold for all lists ("[list] ..."), so that ranges come from a sample."""
+    keyed = messages.withColumn("_key", key)
+    return ordered_positions(keyed, ["list_id"], _order(F.col("_key"), "pos", reverse), "ord").drop("_key")
 
 
 def subject_index(messages: DataFrame, reverse: bool = False) -> DataFrame:
-    return _index(messages, subject_key(), F.left(F.col("_key"), F.lit(3)), "pos", reverse)
+    return _by_text(messages, subject_key(), reverse)
 
 
 def author_index(messages: DataFrame, reverse: bool = False) -> DataFrame:
-    return _index(messages, author_key(), F.left(F.col("_key"), F.lit(3)), "pos", reverse)
+    return _by_text(messages, author_key(), reverse)
 
 
 def archive_stats(messages: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,15 +31,43 @@ def positions(rows: DataFrame, group: list[str], order: list, part: str | Column
             .withColumn(name, F.col("_before") + F.col("_rank") - 1).drop("_rank", "_before", "_part", "_g_part", *[f"_g_{g}" for g in group]))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the folder of
+    SparkContext.setCheckpointDir. Only where there is none and all tasks run on this machine (local
+    tests) a temporary one is used; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.postweave.shared", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        found = f"file://{tempfile.mkdtemp(prefix='postweave-')}"
+        spark.conf.set("spark.postweave.shared", found)
+    return found.rstrip("/")
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that executors share: computed once, and not lost with
-    an executor. Only where no folder is set (local tests) a temporary one is used."""
+    """df from a table in the shared folder: computed once, and not lost with an executor."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
+    path = f"{shared_dir(spark)}/postweave/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='postweave-')}")
-    return df.checkpoint()
+def ordered_positions(rows: DataFrame, group: list[str], order: list, name: str = "pos") -> DataFrame:
+    """As positions, for orders without pieces that are known beforehand: rows are sorted over all
+    groups by ranges that Spark takes from a sample, so that no group and no key is one task, and
+    numbered in that order; a group's first number is taken away."""
+    numbered = written(rows.orderBy(*group, *order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33).alias("_part")
+    sizes = numbered.groupBy(part).agg((F.max("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_n"))
+    # one row for each task that sorted
+    before = sizes.select(F.col("_part"), F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = numbered.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    first = placed.groupBy(*group).agg(F.min(name).alias("_first")).select(*[F.col(g).alias(f"_g_{g}") for g in group], "_first")
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group])
+    return placed.join(first, same).withColumn(name, F.col(name) - F.col("_first")).drop("_id", "_part", "_before", "_first", *[f"_g_{g}" for g in group])
 
 
 def number_messages(rows: DataFrame, start: int = 0, step: int = 1) -> DataFrame:

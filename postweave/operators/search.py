@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, sanitize_for_search
+from .ranking import written
 
 
 def searchable_text(subject: Column, name: Column, email: Column, body: Column) -> Column:
     return F.concat_ws(" ", subject, name, email, body)
 
 
+def kept_text(text: Column) -> Column:
+    """The lower-cased letters, digits and white space."""
+    return F.regexp_replace(F.lower(text), r"[^\p{IsAlphabetic}\p{N}" + SPACE[1:-1] + "]", "")
+
+
 def bigrams(text: Column) -> Column:
-    """Distinct pairs of neighbouring characters of the lower-cased letters, digits and white
-    space; linear in the text."""
-    kept = F.regexp_replace(F.lower(text), r"[^\p{IsAlphabetic}\p{N}" + SPACE[1:-1] + "]", "")
-    chars = F.split(kept, "")
-    n = F.length(kept)
-    pairs = F.zip_with(F.slice(chars, F.lit(1), n - 1), F.slice(chars, F.lit(2), n - 1), lambda a, b: F.concat(a, b))
-    return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    """Distinct pairs of neighbouring characters of the kept text, in one pass."""
+    return F.array_distinct(F.regexp_extract_all(kept_text(text), F.lit(r"(?s)(?=(..))."), F.lit(1)))
 
 
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -27,11 +32,6 @@ def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return docs.select(F.explode(bigrams(text)).alias("bigram"), key)
 
 
-def inverted_lists(index: DataFrame, key: str) -> DataFrame:
-    """bigram -> sorted keys. For stores of moderate size; `postings` is the form that scales."""
-    return index.groupBy("bigram").agg(F.array_sort(F.collect_list(key)).alias("keys"))
-
-
 def query_bigrams(query: str) -> list[str]:
     kept = "".join(c for c in query.lower() if c.isalnum() or c.isspace())
     return sorted({kept[i: i + 2] for i in range(len(kept) - 1)})
@@ -46,11 +46,31 @@ def search(index: DataFrame, key: str, query: str) -> DataFrame:
     return scored.filter(F.col("score") >= len(grams) - 1).orderBy(F.desc("score"), key)
 
 
-def search_many(index: DataFrame, key: str, queries: DataFrame) -> DataFrame:
-    """queries: (query_id, query). Scores of all of them by a join on bigrams."""
-    grams = queries.select("query_id", bigrams(F.col("query")).alias("_grams"))
-    wanted = grams.select("query_id", F.size("_grams").alias("_n"), F.explode("_grams").alias("bigram"))
-    scored = index.join(wanted, "bigram").groupBy("query_id", "_n", key).agg(F.count(F.lit(1)).cast("int").alias("score"))
+def search_texts(docs: DataFrame, key: str, text: Column, query: str) -> DataFrame:
+    """As search, over texts without a stored index: each is looked through in place, and only hits
+    are sorted."""
+    grams = query_bigrams(query)
+    kept = docs.select(key, kept_text(text).alias("_kept"))
+    score = reduce(add, [F.col("_kept").contains(g).cast("int") for g in grams]) if grams else F.lit(0)
+    scored = kept.select(key, score.alias("score"))
+    return scored.filter((F.col("score") >= len(grams) - 1) & (F.col("score") > 0)).orderBy(F.desc("score"), key)
+
+
+def search_many(docs: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFrame:
+    """queries: (query_id, query). Scores of all of them over texts, all but one bigram at least.
+
+    A hit lacks one bigram at most, so that it has one of any two: only texts with one of a query's two
+    rarest bigrams are candidates, whose scores are then counted."""
+    grams = written(docs.select(key, bigrams(text).alias("_own")))
+    wanted = written(queries.select("query_id", bigrams(F.col("query")).alias("_wanted")))
+    asked = wanted.select("query_id", F.explode("_wanted").alias("bigram"))
+    found = grams.select(key, F.explode("_own").alias("bigram"))
+    # counts combine before their shuffle: a row for each bigram and task
+    frequency = found.groupBy("bigram").agg(F.count(F.lit(1)).alias("_n"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.coalesce("_n", F.lit(0)), "bigram"))
+    rare = asked.join(frequency, "bigram", "left").withColumn("_rank", rank).filter("_rank <= 2").select("query_id", "bigram")
+    pairs = found.join(rare, "bigram").select("query_id", key).distinct()
+    scored = pairs.join(grams, key).join(wanted, "query_id").select("query_id", key, F.size("_wanted").alias("_n"), F.size(F.array_intersect("_own", "_wanted")).alias("score"))
     return scored.filter(F.col("score") >= F.col("_n") - 1).drop("_n")
 
 

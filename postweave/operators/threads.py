@@ -101,29 +101,51 @@ def folder_edges(edges: DataFrame, folders: DataFrame) -> DataFrame:
     return edges.join(a, ["list_id", "parent_msgnum"]).join(b, ["list_id", "child_msgnum"]).filter("folder = _folder").drop("_folder")
 
 
-def thread_walk(spark: SparkSession, messages: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, levels: int = 1000) -> DataFrame:
+def _tour(messages: DataFrame, edges: DataFrame) -> DataFrame:
+    """(list_id, at, next, n_enter, level): the steps of a walk round each tree. Node m is entered at
+    2 m and left at 2 m + 1; next is the step that follows, null after a root is left."""
+    child = edges.filter("parent_msgnum >= 0").select("list_id", F.col("parent_msgnum").cast("bigint").alias("p"), F.col("child_msgnum").cast("bigint").alias("c"), "seq")
+    child = child.withColumn("_next", F.lead("c").over(W.partitionBy("list_id", "p").orderBy("seq", "c")))
+    first = child.groupBy("list_id", F.col("p").alias("m")).agg(F.min_by("c", F.struct("seq", "c")).alias("_first"))
+    nodes = messages.select("list_id", F.col("msgnum").cast("bigint").alias("m"))
+    enter = nodes.join(first, ["list_id", "m"], "left").select(
+        "list_id", (F.col("m") * 2).alias("at"), F.coalesce(F.col("_first") * 2, F.col("m") * 2 + 1).alias("next"), F.lit(1).cast("bigint").alias("n_enter"), F.lit(1).cast("bigint").alias("level"))
+    after = child.select("list_id", F.col("c").alias("m"), F.coalesce(F.col("_next") * 2, F.col("p") * 2 + 1).alias("next"))
+    leave = nodes.join(after, ["list_id", "m"], "left").select(
+        "list_id", (F.col("m") * 2 + 1).alias("at"), "next", F.lit(0).cast("bigint").alias("n_enter"), F.lit(-1).cast("bigint").alias("level"))
+    return enter.unionByName(leave)
+
+
+def thread_walk(spark: SparkSession, messages: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Pre-order walk of a forest (each child has one parent): list_id, root, msgnum, depth, ord,
     shown. ord counts within the thread; threads follow their root's (date, msgnum).
 
-    shown is false where depth exceeds max_depth. Messages on a cycle have no root and aren't
-    reached; thread_walk_general takes them.
+    By list ranking: a tour round each tree is a list of steps, whose sums to the end are taken by
+    doubling. A chain of n messages takes log2(2 n) rounds of one join each, every round is written, and
+    no tree is one task. shown is false where depth exceeds max_depth. Messages on a cycle have no
+    root and aren't reached; thread_walk_general takes them.
     """
-    # written: each level of the recursion reads them again
-    written(messages.select("list_id", "msgnum")).createOrReplaceTempView("_pw_messages")
-    written(edges.select("list_id", "parent_msgnum", "child_msgnum", "seq")).createOrReplaceTempView("_pw_edges")
-    before = spark.conf.get("spark.sql.cteRecursionLevelLimit")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(int(before), levels)))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    walked = spark.sql("""
-        WITH RECURSIVE walk AS (
-          SELECT m.list_id, m.msgnum AS root, m.msgnum, 0 AS depth, CAST(array() AS array<bigint>) AS path
-          FROM _pw_messages m LEFT ANTI JOIN _pw_edges e ON e.list_id = m.list_id AND e.child_msgnum = m.msgnum AND e.parent_msgnum >= 0
-          UNION ALL
-          SELECT w.list_id, w.root, e.child_msgnum, w.depth + 1, concat(w.path, array(e.seq))
-          FROM walk w JOIN _pw_edges e ON e.list_id = w.list_id AND e.parent_msgnum = w.msgnum)
-        SELECT * FROM walk""")
-    order = F.row_number().over(W.partitionBy("list_id", "root").orderBy("path")) - 1
-    return walked.withColumn("ord", order).withColumn("shown", F.col("depth") <= max_depth).drop("path")
+    # end: the last step reached so far; done where it is the end of the list
+    active = written(_tour(messages, edges).withColumn("end", F.col("at")))
+    done = written(active.filter("next IS NULL"))
+    active, finished = active.filter("next IS NOT NULL"), done
+    n = active.count()
+    while n:
+        every = active.unionByName(finished).select(
+            "list_id", F.col("at").alias("next"), F.col("next").alias("_next"), F.col("n_enter").alias("_n"), F.col("level").alias("_level"), F.col("end").alias("_end"))
+        stepped = written(active.join(every, ["list_id", "next"]).select(
+            "list_id", "at", F.col("_next").alias("next"), (F.col("n_enter") + F.col("_n")).alias("n_enter"), (F.col("level") + F.col("_level")).alias("level"), F.col("_end").alias("end")))
+        fresh, active = stepped.filter("next IS NULL"), stepped.filter("next IS NOT NULL")
+        left = active.count()
+        if left == n:
+            break  # cycles
+        finished, n = finished.unionByName(fresh), left
+    entered = finished.filter("at % 2 = 0").select("list_id", F.shiftright("end", 1).alias("root"), F.shiftright("at", 1).alias("msgnum"), (-F.col("level")).cast("int").alias("depth"), "n_enter")
+    size = entered.filter("root = msgnum").select("list_id", "root", F.col("n_enter").alias("_size"))
+    walked = entered.join(size, ["list_id", "root"])
+    kind = messages.schema["msgnum"].dataType
+    return walked.select("list_id", F.col("root").cast(kind).alias("root"), F.col("msgnum").cast(kind).alias("msgnum"), "depth",
+                         (F.col("_size") - F.col("n_enter")).cast("int").alias("ord"), (F.col("depth") <= max_depth).alias("shown"))
 
 
 def _walk_component(nodes: pd.DataFrame, edges: pd.DataFrame, max_depth: int) -> pd.DataFrame:
@@ -149,33 +171,40 @@ def _walk_component(nodes: pd.DataFrame, edges: pd.DataFrame, max_depth: int) ->
     return result
 
 
-def components(messages: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(messages: DataFrame, edges: DataFrame) -> DataFrame:
     """list_id, msgnum, component: the least msgnum that edges connect, by label propagation with
-    pointer jumping; checkpointed each round."""
+    pointer jumping, until no label changes; written each round."""
     both = edges.select("list_id", F.col("parent_msgnum").alias("a"), F.col("child_msgnum").alias("b"))
-    both = both.unionByName(both.select("list_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = written(both)
-    labels, before = messages.select("list_id", "msgnum", F.col("msgnum").alias("component")), None
-    for _ in range(rounds):
+    both = written(both.unionByName(both.select("list_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, changed = messages.select("list_id", "msgnum", F.col("msgnum").alias("component")), 1
+    while changed:
         near = both.join(labels.withColumnRenamed("msgnum", "a"), ["list_id", "a"]).groupBy("list_id", F.col("b").alias("msgnum")).agg(F.min("component").alias("_near"))
-        step = labels.join(near, ["list_id", "msgnum"], "left").withColumn("component", F.least("component", F.coalesce("_near", "component"))).drop("_near")
+        step = labels.withColumn("_old", F.col("component")).join(near, ["list_id", "msgnum"], "left").withColumn("component", F.least("component", F.coalesce("_near", "component"))).drop("_near")
         jump = step.select("list_id", F.col("msgnum").alias("component"), F.col("component").alias("_up"))
-        labels = step.join(jump, ["list_id", "component"]).select("list_id", "msgnum", F.col("_up").alias("component"))
-        labels = written(labels)
-        total = labels.agg(F.sum("component")).first()[0]
-        if total == before:
-            break
-        before = total
+        labels = written(step.join(jump, ["list_id", "component"]).select("list_id", "msgnum", F.col("_up").alias("component"), "_old"))
+        changed = labels.filter("component <> _old").count()
+        labels = labels.drop("_old")
     return labels
 
 
 def thread_walk_general(messages: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """As thread_walk, also for cycles and for messages with several parents (each is visited once).
-    One task takes one connected thread."""
+
+    Connected threads in which each message has one parent and which have a root are trees and walked as
+    such, however large. Only the others, where a message is visited first depends on the whole walk
+    before it, are taken by one task each."""
     part = components(messages, edges)
-    nodes = messages.select("list_id", "msgnum", "date").join(part, ["list_id", "msgnum"])
-    own = edges.join(part.withColumnRenamed("msgnum", "child_msgnum"), ["list_id", "child_msgnum"]).select(
+    real = edges.filter("parent_msgnum >= 0").select("list_id", F.col("child_msgnum").alias("msgnum")).groupBy("list_id", "msgnum").agg(F.count(F.lit(1)).alias("_n"))
+    counted = part.join(real, ["list_id", "msgnum"], "left")
+    odd = written(counted.groupBy("list_id", "component").agg(
+        F.coalesce(F.max("_n"), F.lit(0)).alias("_most"), F.count_if(F.col("_n").isNull()).alias("_roots")).filter("_most > 1 OR _roots <> 1").select("list_id", "component"))
+    is_odd = written(part.join(odd, ["list_id", "component"]).select("list_id", "msgnum", "component"))
+    out = messages.join(is_odd.select("list_id", "msgnum"), ["list_id", "msgnum"], "left_anti")
+    trees = thread_walk(messages.sparkSession, out, edges.join(is_odd.select("list_id", F.col("msgnum").alias("child_msgnum")), ["list_id", "child_msgnum"], "left_anti"), max_depth)
+    nodes = messages.select("list_id", "msgnum", "date").join(is_odd, ["list_id", "msgnum"])
+    own = edges.join(is_odd.withColumnRenamed("msgnum", "child_msgnum"), ["list_id", "child_msgnum"]).select(
         *[F.col(c).alias(f"e_{c}") for c in ("list_id", "component")], "parent_msgnum", "child_msgnum", "seq")
     walk = lambda n, e: _walk_component(n, e, max_depth)
-    return nodes.groupBy("list_id", "component").cogroup(own.groupBy("e_list_id", "e_component")).applyInPandas(
+    rest = nodes.groupBy("list_id", "component").cogroup(own.groupBy("e_list_id", "e_component")).applyInPandas(
         walk, "list_id string, root int, msgnum int, depth int, ord int, shown boolean")
+    return trees.select(rest.columns).unionByName(rest)

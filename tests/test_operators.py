@@ -160,5 +160,5 @@ def test_search(spark):
     index = search.postings(docs, "k", F.col("t"))
     assert [(r.k, r.score) for r in search.search(index, "k", "hello").collect()] == [(1, 4), (4, 4)]
     assert search.search(index, "k", "h").collect() == [] and search.query_bigrams("ab ab") == ["ab", "b ", " a"] or sorted(search.query_bigrams("ab ab")) == [" a", "ab", "b "]
-    many = search.search_many(index, "k", spark.createDataFrame([(1, "hello")], "query_id int, query string"))
+    many = search.search_many(docs, "k", F.col("t"), spark.createDataFrame([(1, "hello")], "query_id int, query string"))
     assert {(r.k, r.score) for r in many.collect()} == {(1, 4), (4, 4)}
