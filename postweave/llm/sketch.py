@@ -26,7 +26,7 @@ from .common import Scratch, arrow_limits, partitions
 from .kernels import U64, mix, pieces, text_buffer
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 CHUNK_SCHEMA = "chunk_id bigint, n_bytes bigint, doc_ids binary, no_id binary, offsets binary, body binary"
 CELL_SCHEMA = "cell bigint, chunk_id bigint, n int"
 #: Bits of a position within a block, and of the number of a block.

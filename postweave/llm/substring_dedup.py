@@ -29,7 +29,7 @@ from .common import documents
 from .kernels import U64, Words, rolling, sliding_min
 from .sketch import Chunk, Exchange, Layout, batch_of, int_list, squeeze, unsqueeze
 
-#: key -1: the words where the chunk's candidate windows start, and which of its keys each has.
+#: key -1, with the chunk's number for a hash: the words where the chunk's candidate windows start, and which of its keys each has.
 KEY_SCHEMA = "chunk_id bigint, key int, h1 bigint, h2 bigint, doc_id bigint, places binary, keys binary"
 RESULT_SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text binary"
 NO_ID = np.iinfo(np.int64).max
@@ -77,7 +77,7 @@ def send_keys(batches: Iterator[pa.RecordBatch], size: int, layout: Layout) -> I
             key = np.empty(len(at), np.int32)
             key[order] = np.cumsum(new) - 1
             first = order[new]  # sorted by doc_id within a key: the least
-            yield batch_of(KEY_SCHEMA, [[chunk_id], [-1], [None], [None], [None], [squeeze(np.diff(at, prepend=0).astype(np.int32))], [squeeze(key)]])
+            yield batch_of(KEY_SCHEMA, [[chunk_id], [-1], [chunk_id], [-1], [None], [squeeze(np.diff(at, prepend=0).astype(np.int32))], [squeeze(key)]])
             for i in range(0, len(first), 1 << 16):
                 own = first[i: i + (1 << 16)]
                 none = pa.nulls(len(own), pa.binary())
@@ -129,13 +129,13 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, size: int = 13, depth
     """
     ex = Exchange(spark, docs, "substring")
     counts, layout = ex.estimate(lambda chunk: items(chunk, size), depth, 0.3)
-    keys = ex.scratch.save(ex.joined(counts).mapInArrow(lambda b: send_keys(b, size, layout), KEY_SCHEMA), "keys")
-    # exact groups; nulls aren't less than any id
-    sent = keys.filter("key >= 0").select("chunk_id", "key", "h1", "h2", "doc_id").withColumn("least", F.min("doc_id").over(W.partitionBy("h1", "h2")))
-    back = sent.filter("least IS NOT NULL AND (doc_id IS NULL OR least < doc_id)").groupBy("chunk_id").agg(
-        F.collect_list(F.col("key").cast("bigint")).alias("answered"), F.collect_list("least").alias("least"))
-    own = keys.filter("key < 0").select("chunk_id", "places", "keys")
-    return ex.joined(own, back).mapInArrow(lambda b: remove(b, size, texts), RESULT_SCHEMA)
+    keys = ex.joined(counts).mapInArrow(lambda b: send_keys(b, size, layout), KEY_SCHEMA)
+    # exact groups; nulls aren't less than any id, and a chunk's own row goes along in a group of its own
+    least = keys.withColumn("least", F.min("doc_id").over(W.partitionBy("h1", "h2")))
+    back = least.filter("key < 0 OR (least IS NOT NULL AND (doc_id IS NULL OR least < doc_id))").groupBy("chunk_id").agg(
+        F.collect_list(F.when(F.col("key") >= 0, F.col("key").cast("bigint"))).alias("answered"), F.collect_list(F.when(F.col("key") >= 0, F.col("least"))).alias("least"),
+        F.first("places", ignorenulls=True).alias("places"), F.first("keys", ignorenulls=True).alias("keys"))
+    return ex.joined(ex.scratch.save(back, "least")).mapInArrow(lambda b: remove(b, size, texts), RESULT_SCHEMA)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
