@@ -177,11 +177,14 @@ def _localized(spark, d):
     return localized(rows, locale_table(spark)).select("doc_id", "key", "value")
 
 
-@query("j11_probe_overlap", f"WITH {MESSAGES_SQL} SELECT list_id, count(*) AS n_known FROM m WHERE pos = 0 AND lower(msgid) IN (SELECT lower(msgid) FROM m WHERE conv_id % 2 = 0) GROUP BY list_id")
+@query("j11_probe_overlap", f"""WITH {MESSAGES_SQL}, {REPEATED_SQL} SELECT list_id FROM m WHERE pos = 0
+ AND EXISTS (SELECT 1 FROM r WHERE r.list_id = m.list_id AND lower(trim(r.msgid)) = lower(trim(m.msgid)))""")
 def _probe(spark, d):
-    m = messages(spark, d).withColumn("msgid_key", mail.normalize_msgid(F.col("msgid")))
-    old = m.filter("conv_id % 2 = 0").select("list_id", "msgid_key")
-    return m.filter("pos = 0").join(old, ["list_id", "msgid_key"], "left_semi").groupBy("list_id").agg(F.count(F.lit(1)).alias("n_known"))
+    """Lists of the raw messages that a state, whose ids partly differ, knows."""
+    from .plans.archive import known_lists
+
+    state = _repeated(spark, d).select("list_id", mail.normalize_msgid(F.col("msgid")).alias("msgid_key"))
+    return known_lists(raw_messages(spark, d), state)
 
 
 @query("t1_thread_walk", f"""WITH RECURSIVE {MESSAGES_SQL}, {EDGES_SQL},
@@ -210,9 +213,10 @@ def _numbers(spark, d):
     return ranking.number_messages(messages(spark, d).select("list_id", "pos"), 100, 2)
 
 
-@query("w2_dense_positions", f"WITH {MESSAGES_SQL} SELECT list_id, msgnum, row_number() OVER (PARTITION BY list_id ORDER BY pos) - 1 AS pos FROM m WHERE conv_id % 3 <> 0")
+@query("w2_dense_positions", f"WITH {MESSAGES_SQL}, {REPEATED_SQL} SELECT list_id, msgnum, row_number() OVER (PARTITION BY list_id ORDER BY pos) - 1 AS pos FROM r WHERE msgid IS NOT NULL")
 def _dense(spark, d):
-    return ranking.dense_positions(messages(spark, d).filter("conv_id % 3 <> 0").select("list_id", "pos", "msgnum"))
+    """Positions after the gate that asks for ids has left gaps."""
+    return ranking.dense_positions(filters.with_ids(_repeated(spark, d)).select("list_id", "pos", "msgnum"))
 
 
 def _index_sql(key: str, desc: str = "") -> str:
@@ -382,10 +386,11 @@ def _obfuscated(spark, d):
     return messages(spark, d).select("list_id", "msgnum", hidden.alias("hidden"), text.unobfuscate(hidden).alias("shown"))
 
 
-@query("c9_c10_c11_cleanups", """SELECT p_partkey, translate(p_name, ' #', '__') AS conv, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_brand END AS value FROM part""")
+@query("c9_c10_c11_cleanups", """SELECT p_partkey, translate(p_name, ' #', '__') AS conv, concat(p_name, ' +0100') AS bare, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_brand END AS value FROM part""")
 def _cleanups(spark, d):
     value = F.when(F.col("p_size") % 4 == 0, "none").when(F.col("p_size") % 2 == 0, " ").otherwise(F.col("p_brand"))
-    return read(spark, d, "part").select("p_partkey", text.convchars(F.col("p_name"), " #").alias("conv"), text.getvalue(value).alias("value"))
+    return read(spark, d, "part").select("p_partkey", text.convchars(F.col("p_name"), " #").alias("conv"),
+                                         text.stripzone(F.concat("p_name", F.lit(" +0100 (CET) "))).alias("bare"), text.getvalue(value).alias("value"))
 
 
 @query("c14_search_text", r"SELECT doc_id, regexp_replace(regexp_replace(text, '[^\p{L}\p{N}\s.@-]', '', 'g'), '\s', ' ', 'g') AS clean FROM documents")
@@ -405,11 +410,12 @@ def _fnv(spark, d):
 
 
 @query("c17_c19_paths", f"""WITH {MESSAGES_SQL}, f AS (SELECT *, CAST(msgnum // 20 AS VARCHAR) AS folder, concat(lpad(CAST(msgnum AS VARCHAR), greatest(4, length(CAST(msgnum AS VARCHAR)))::INTEGER, '0'), '.html') AS file FROM m)
-SELECT list_id, msgnum, concat(folder, '/', file) AS path, CASE WHEN folder = '1' THEN file ELSE concat(folder, '/', file) END AS url, false AS rooted FROM f""")
+SELECT list_id, msgnum, concat(folder, '/', file) AS path, CASE WHEN folder = '1' THEN file ELSE concat(folder, '/', file) END AS url, msgnum % 3 <> 0 AS rooted FROM f""")
 def _paths(spark, d):
     m = indexes.with_folder(messages(spark, d), 20)
     name = text.message_name(F.col("msgnum"), F.col("msgid"), F.col("date"))
-    return m.select("list_id", "msgnum", text.message_path(F.col("folder"), name).alias("path"), text.message_url(F.col("folder"), F.lit("1"), name).alias("url"), text.is_rooted_path(F.col("folder")).alias("rooted"))
+    return m.select("list_id", "msgnum", text.message_path(F.col("folder"), name).alias("path"), text.message_url(F.col("folder"), F.lit("1"), name).alias("url"),
+                    text.is_rooted_path(F.concat(F.when(F.col("msgnum") % 3 == 0, "").when(F.col("msgnum") % 3 == 1, "/").otherwise("c:"), "folder")).alias("rooted"))
 
 
 @query("c21_array_helpers", """SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') AS urgent, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE -1 END AS at,
@@ -547,10 +553,10 @@ def _age(spark, d):
     return messages(spark, d).select("list_id", "msgnum", filters.age_mask(F.col("date"), 1_610_000_000, 1_700_000_000).alias("mask"))
 
 
-@query("f13_article_states", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, CASE WHEN conv_id % 9 = 0 THEN 'none' ELSE 'full' END AS level0, CASE WHEN conv_id % 9 = 0 THEN 'stub' ELSE 'full' END AS level1, 'full' AS level3 FROM m""")
+@query("f13_article_states", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, CASE WHEN conv_id % 9 = 0 THEN 'none' ELSE 'full' END AS level0, CASE WHEN conv_id % 9 = 0 THEN 'stub' ELSE 'full' END AS level1, CASE WHEN conv_id % 9 = 0 THEN 'stub' ELSE 'full' END AS level2, 'full' AS level3 FROM m""")
 def _states(spark, d):
     gone = F.when(F.col("conv_id") % 9 == 0, 1).otherwise(0)
-    return messages(spark, d).select("list_id", "msgnum", *[filters.article_state(gone, n).alias(f"level{n}") for n in (0, 1, 3)])
+    return messages(spark, d).select("list_id", "msgnum", *[filters.article_state(gone, n).alias(f"level{n}") for n in (0, 1, 2, 3)])
 
 
 @query("f14_a11_attachments", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, conv_id % 4 = 0 AS has_attachment FROM m""")
@@ -572,10 +578,17 @@ def _gates(spark, d):
     return filters.not_written(filters.in_folders(filters.after_high_water(m, 10)), there).select("list_id", "msgnum")
 
 
-@query("u_set_operations", """SELECT n_name AS name, 'nation' AS kind FROM nation UNION ALL SELECT r_name, 'region' FROM region""")
-def _union(spark, d):
-    n = read(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit("nation").alias("kind"))
-    return n.unionByName(read(spark, d, "region").select(F.col("r_name").alias("name"), F.lit("region").alias("kind")))
+@query("u_set_operations", f"""WITH {MESSAGES_SQL}, e AS (SELECT list_id, max(msgnum) + 1 AS n FROM m GROUP BY 1)
+SELECT list_id, msgnum, pos, msgid FROM m UNION ALL SELECT m.list_id, CAST(m.msgnum + e.n AS INTEGER), m.pos + e.n, concat('again-', m.msgid) FROM m JOIN e USING (list_id)""")
+def _appended(spark, d):
+    """A state and as many new messages, which go on where each list ended."""
+    from .plans.archive import STATE_COLUMNS, appended, continued
+    from .plans.messages import parse_messages
+
+    state = parse_messages(raw_messages(spark, d)).select(*STATE_COLUMNS)
+    again = F.regexp_replace(F.decode("headers", "UTF-8"), "\nMessage-ID: ", "\nMessage-ID: again-").cast("binary")
+    new = continued(parse_messages(raw_messages(spark, d).withColumn("headers", again)), state)
+    return appended(state, new).select("list_id", "msgnum", "pos", "msgid")
 
 
 # --- search ------------------------------------------------------------------------------------
@@ -648,12 +661,7 @@ def _mailbox_scan(spark, d):
 
     from .sources.mbox import read_mailboxes
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = f"file://{tempfile.mkdtemp(prefix='postweave-')}"
-    at = f"{shared}/postweave/mail_{uuid4().hex[:12]}"
+    at = f"{ranking.shared_dir(spark)}/postweave/mail_{uuid4().hex[:12]}"
     m = messages(spark, d)
     body = F.regexp_replace(F.regexp_replace("body_text", "(?m)^From ", ">From "), "\r", "")
     whole = F.concat(F.lit("From a@b Thu Jan  1 00:00:00 1970\nMessage-ID: "), "msgid", F.lit("\nSubject: "), "subject", F.lit("\n\n"), body)
@@ -679,10 +687,14 @@ def _content_types(spark, d):
     return read(spark, d, "pages").select("page_id", kind["type"].alias("type"), kind["subtype"].alias("subtype"), kind["params"]["charset"].alias("charset"), kind["params"]["boundary"].alias("boundary"))
 
 
-@query("m3_base64", "SELECT doc_id, text AS decoded FROM documents")
+@query("m3_base64", "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN text END AS decoded FROM documents")
 def _base64(spark, d):
+    """Folded lines are decoded; what isn't well-formed is null."""
+    from .functions.register import decode_base64
+
     folded = F.regexp_replace(F.base64(F.col("text").cast("binary")), "(.{60})", "$1\n")
-    return read(spark, d, "documents").select("doc_id", F.decode(F.try_to_binary(F.regexp_replace(folded, r"\s", ""), F.lit("base64")), "UTF-8").alias("decoded"))
+    sent = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("*"), folded)).otherwise(folded)
+    return read(spark, d, "documents").select("doc_id", F.decode(decode_base64(sent.cast("binary")), "UTF-8").alias("decoded"))
 
 
 @query("m10_multipart_bodies", "SELECT doc_id, concat(text, chr(10), '[Attachment: x.pdf]', chr(10)) AS body FROM documents")
@@ -706,31 +718,123 @@ def _page_metadata(spark, d):
     return page_metadata(pages).select("page_id", "msgnum", "meta_id", "meta_subject", "date")
 
 
-@query("k3_index_rows")
-def _index_rows(spark, d):
+# the cells of index rows, in SQL
+CELLS_SQL = """c AS (SELECT *, concat(lpad(CAST(msgnum AS VARCHAR), greatest(4, length(CAST(msgnum AS VARCHAR)))::INTEGER, '0'), '.html') AS file,
+  concat(name, ' &lt;<a href="mailto:', email_addr, '">', replace(email_addr, '@', '_at_'), '</a>&gt;') AS author,
+  CASE WHEN date > 0 THEN strftime(to_timestamp(date), '%a %d %b %Y %H:%M:%S +0000') ELSE '(no date)' END AS day FROM m),
+h AS (SELECT *, concat('<li><a href="', file, '">', subject, '</a> ', author, ' ', day, '</li>') AS row_html, CAST(msgnum // 20 AS VARCHAR) AS folder FROM c)"""
+NAV_SQL = {k: "<nav>" + " ".join(f"<b>{w}</b>" if k == x else f'<a href="{"index" if x == first else x}.html">{w}</a>' for x, w in kinds) + "</nav>"
+           for first, kinds in (("thread", (("date", "Date"), ("thread", "Thread"), ("subject", "Subject"), ("author", "Author"), ("attachment", "Attachment"))),) for k in ("date", "subject", "author", "thread", "month", "Folders")}
+FOLDER_NAV_SQL = {k: "<nav>" + " ".join(f"<b>{w}</b>" if k == x else f'<a href="{"index" if x == "date" else x}.html">{w}</a>' for x, w in (("date", "Date"), ("thread", "Thread"), ("subject", "Subject"), ("author", "Author"))) + "</nav>"
+                  for k in ("date", "subject", "author", "thread")}
+HEAD_SQL = "concat('<!doctype html>\n<html lang=\"en\">\n<head>\n<meta charset=\"utf-8\">\n<title>', {title}, '</title>\n', {meta}, '</head>\n<body>\n', {nav}, '\n<main>\n')"
+FOOT_SQL = "'\n</main>\n<footer>Generated by postweave 0.1.0</footer>\n</body>\n</html>\n'"
+DAY_SQL = "CASE WHEN {0} > 0 THEN strftime(to_timestamp({0}), '%a %d %b %Y %H:%M:%S +0000') ELSE '-' END"
+
+
+def _pages_sql(rows: str, key: str, file: str, title: str, nav: str, size: int) -> str:
+    """rows: a CTE's body with list_id, key columns, ord, row_html and date."""
+    return f"""WITH {MESSAGES_SQL}, {CELLS_SQL}, o AS ({rows}), s AS (SELECT {key}, min(date) AS lo, max(date) AS hi, count(*) AS n FROM o GROUP BY {key}),
+p AS (SELECT {key}, ord // {size} AS part, string_agg(row_html, chr(10) ORDER BY ord) AS body FROM o GROUP BY ALL)
+SELECT concat(list_id, '/', {file}, CASE WHEN part = 0 THEN '' ELSE concat('-', part) END, '.html') AS path,
+ concat({HEAD_SQL.format(title=title, meta="''", nav=f"'{nav}'")}, '<p>', n, ' Messages: ', {DAY_SQL.format('lo')}, ' / ', {DAY_SQL.format('hi')}, '</p>\n<ul>\n', body, '\n</ul>', {FOOT_SQL}) AS html
+FROM p JOIN s USING ({key})"""
+
+
+def _config(**own):
     from .config import Config
+
+    return Config(gmtime=True, **own)
+
+
+@query("k3_index_rows", f"WITH {MESSAGES_SQL}, {CELLS_SQL} SELECT list_id, row_number() OVER (PARTITION BY list_id ORDER BY date, msgnum) - 1 AS ord, msgnum, row_html AS html FROM h")
+def _index_rows(spark, d):
     from .plans.render import index_rows
 
-    return index_rows(indexes.date_index(messages(spark, d)), Config())
+    return index_rows(indexes.date_index(messages(spark, d)), _config())
 
 
-@query("k8_index_pages")
+@query("k8_index_pages", _pages_sql(
+    "SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY lower(unre_subject), msgnum) - 1 AS ord FROM h", "list_id", "'subject'", "'Subject'", NAV_SQL["subject"], 50))
 def _index_pages(spark, d):
-    from .config import Config
     from .plans.render import index_rows
     from .plans.site import pages_of
 
     m = messages(spark, d)
-    return pages_of(index_rows(indexes.subject_index(m), Config()), "subject", indexes.archive_stats(m), Config(), 50)
+    return pages_of(index_rows(indexes.subject_index(m), _config()), "subject", indexes.archive_stats(m), _config(), 50)
+
+
+@query("k7_monthly_pages", _pages_sql(
+    "SELECT *, strftime(to_timestamp(date), '%Y-%m') AS month, row_number() OVER (PARTITION BY list_id, strftime(to_timestamp(date), '%Y-%m') ORDER BY date, msgnum) - 1 AS ord FROM h",
+    "list_id, month", "month", "month", NAV_SQL["month"], 20))
+def _monthly_pages(spark, d):
+    from .plans.site import calendar_pages
+
+    return calendar_pages(messages(spark, d), "month", _config(), 20)
+
+
+@query("k7_yearly_pages", _pages_sql(
+    "SELECT *, strftime(to_timestamp(date), 'year-%Y') AS year, row_number() OVER (PARTITION BY list_id, strftime(to_timestamp(date), '%Y') ORDER BY date, msgnum) - 1 AS ord FROM h",
+    "list_id, year", "year", "year", NAV_SQL["month"], 1000))
+def _yearly_pages(spark, d):
+    from .plans.site import calendar_pages
 
+    return calendar_pages(messages(spark, d), "year", _config())
 
-@query("k1_articles")
+
+@query("k6_folder_pages", " UNION ALL ".join(f"SELECT * FROM ({x})" for x in [
+    _pages_sql(f"SELECT * EXCLUDE (list_id), concat(list_id, '/', folder) AS list_id, row_number() OVER (PARTITION BY list_id, folder ORDER BY {order}, msgnum) - 1 AS ord FROM h",
+               "list_id", f"'{'index' if kind == 'date' else kind}'", f"'{word}'", FOLDER_NAV_SQL[kind], 1000)
+    for kind, word, order in (("date", "Date", "date"), ("subject", "Subject", "lower(unre_subject)"), ("author", "Author", "lower(name)"))]))
+def _folder_pages(spark, d):
+    """Of each folder the date, subject and author index; the thread index is k4's, on a list."""
+    from .plans.site import folder_pages
+
+    m = indexes.with_folder(messages(spark, d), 20)
+    return folder_pages(m, threads.reply_edges(m), _config()).filter("path NOT LIKE '%/thread%'")
+
+
+@query("k6_folders_page", f"""WITH {MESSAGES_SQL}, f AS (SELECT list_id, CAST(msgnum // 20 AS VARCHAR) AS folder, count(*) AS n, min(date) AS lo, max(date) AS hi FROM m GROUP BY 1, 2),
+l AS (SELECT list_id, string_agg(concat('<li><a href="', folder, '/index.html">', folder, '</a> (', n, ' Messages: ', {DAY_SQL.format('lo')}, ' / ', {DAY_SQL.format('hi')}, ')</li>'), chr(10) ORDER BY folder) AS body,
+ sum(n) AS n, min(lo) AS lo, max(hi) AS hi FROM f GROUP BY 1)
+SELECT concat(list_id, '/folders.html') AS path, concat({HEAD_SQL.format(title="'folders'", meta="''", nav="'" + NAV_SQL['Folders'] + "'")}, '<p>', n, ' Messages: ', {DAY_SQL.format('lo')}, ' / ', {DAY_SQL.format('hi')}, '</p>\n<ul>\n', body, '\n</ul>', {FOOT_SQL}) AS html FROM l""")
+def _folders_page(spark, d):
+    from .plans.site import folders_pages
+
+    m = messages(spark, d)
+    return folders_pages(indexes.folder_stats(indexes.with_folder(m, 20)), indexes.archive_stats(m), _config(msgsperfolder=20))
+
+
+@query("k4_thread_pages", ORACLE_SQL["t1_thread_walk"].replace("SELECT list_id, root, msgnum, depth, CAST(", f""", wk AS (SELECT list_id, root, msgnum, depth, row_number() OVER (PARTITION BY list_id, root ORDER BY path) - 1 AS n FROM walk),
+{CELLS_SQL}, o AS (SELECT h.list_id, h.date, row_number() OVER (PARTITION BY wk.list_id ORDER BY r.date, wk.root, wk.n) - 1 AS ord,
+ concat('<li class="depth-', wk.depth, '"><a href="', h.file, '">', h.subject, '</a> ', h.author, '</li>') AS row_html
+ FROM wk JOIN h ON h.list_id = wk.list_id AND h.msgnum = wk.msgnum JOIN m r ON r.list_id = wk.list_id AND r.msgnum = wk.root WHERE wk.depth <= 50),
+s AS (SELECT list_id, min(date) AS lo, max(date) AS hi, count(*) AS n FROM m GROUP BY 1), p AS (SELECT list_id, ord // 40 AS part, string_agg(row_html, chr(10) ORDER BY ord) AS body FROM o GROUP BY ALL)
+SELECT concat(list_id, '/index', CASE WHEN part = 0 THEN '' ELSE concat('-', part) END, '.html') AS path,
+ concat({HEAD_SQL.format(title="'Thread'", meta="''", nav="'" + NAV_SQL['thread'] + "'")}, '<p>', n, ' Messages: ', {DAY_SQL.format('lo')}, ' / ', {DAY_SQL.format('hi')}, '</p>\n<ul>\n', body, '\n</ul>', {FOOT_SQL}) AS html
+FROM p JOIN s USING (list_id) -- """))
+def _thread_pages(spark, d):
+    from .plans.site import pages_of, thread_rows
+
+    m = messages(spark, d)
+    walk = threads.thread_walk(spark, m, threads.reply_edges(m))
+    return pages_of(thread_rows(walk, m, _config()), "thread", indexes.archive_stats(m), _config(), 40)
+
+
+@query("k1_articles", f"""WITH {MESSAGES_SQL}, {EDGES_SQL}, {CELLS_SQL},
+l AS (SELECT list_id, msgnum, string_agg({HTML_SQL.format('line', '&#39;')}, chr(10) ORDER BY n) AS body FROM
+ (SELECT list_id, msgnum, unnest(string_split(regexp_replace(body_text, '\\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(body_text, '\\n$', ''), chr(10)), 1) AS n FROM m WHERE body_text <> '') GROUP BY 1, 2),
+a AS (SELECT e.list_id, e.parent_msgnum AS msgnum, string_agg(concat('<li><a href="', c.file, '">', c.subject, '</a></li>'), chr(10) ORDER BY e.seq) AS replies FROM edges e JOIN c ON c.list_id = e.list_id AND c.msgnum = e.child_msgnum GROUP BY 1, 2)
+SELECT list_id, msgnum, concat(list_id, '/', file) AS path, concat({HEAD_SQL.format(title="CASE WHEN conv_id % 9 = 0 THEN '(deleted message)' ELSE subject END",
+    meta="concat('<meta name=\"Author\" content=\"', name, ' (', email_addr, ')\" />', CASE WHEN date > 0 THEN concat('<meta name=\"Date\" content=\"', day, '\" />') ELSE '' END)", nav="'<nav><a href=\"index.html\">index</a></nav>'")},
+ CASE WHEN conv_id % 9 = 0 THEN '<article><h1>(deleted message)</h1></article>' ELSE concat('<article id="msg', msgnum, '">\n<h1>', subject, '</h1>\n<p>', author, ' ', day, '</p>\n',
+ CASE WHEN body IS NULL THEN '' ELSE concat('<div class="hm-pg">', body, '</div>') END, CASE WHEN replies IS NULL THEN '' ELSE concat('\n<ul class="replies">\n', replies, '\n</ul>') END, '\n</article>') END, {FOOT_SQL}) AS html
+FROM c LEFT JOIN l USING (list_id, msgnum) LEFT JOIN a USING (list_id, msgnum)""")
 def _articles(spark, d):
-    from .config import Config
     from .plans.render import articles
 
     m = messages(spark, d).withColumn("is_deleted", F.when(F.col("conv_id") % 9 == 0, 1).otherwise(0))
-    return articles(m, lines.explode_lines(m), threads.reply_edges(m), Config())
+    return articles(m, lines.explode_lines(m), threads.reply_edges(m), _config(delete_level=1))
 
 
 @query("k9_overview", f"""WITH {MESSAGES_SQL} SELECT list_id, pos, concat('<mail><file>', msgnum, '</file><date>', date, '</date><fromname>', name, '</fromname><fromemail>', email_addr, '</fromemail><subject>', subject,
@@ -741,12 +845,12 @@ def _overview(spark, d):
     return overview_xml(messages(spark, d))
 
 
-@query("k12_message_index", f"""WITH {MESSAGES_SQL} SELECT -1 AS at, concat('0000 ', max(msgnum)) AS value FROM m WHERE list_id = 'list-0' UNION ALL
- SELECT msgnum, concat(lpad(CAST(msgnum AS VARCHAR), greatest(4, length(CAST(msgnum AS VARCHAR)))::INTEGER, '0'), ' ', msgid) FROM m WHERE list_id = 'list-0'""")
+@query("k12_message_index", f"""WITH {MESSAGES_SQL} SELECT list_id, -1 AS at, concat('0000 ', max(msgnum)) AS value FROM m GROUP BY list_id UNION ALL
+ SELECT list_id, msgnum, concat(lpad(CAST(msgnum AS VARCHAR), greatest(4, length(CAST(msgnum AS VARCHAR)))::INTEGER, '0'), ' ', msgid) FROM m""")
 def _message_index(spark, d):
     from .plans.sinks import message_index_lines
 
-    return message_index_lines(messages(spark, d).filter("list_id = 'list-0'"), F.col("msgid"))
+    return message_index_lines(messages(spark, d), F.col("msgid"))
 
 
 @query("k6_folder_indexes", f"""WITH {MESSAGES_SQL}, f AS (SELECT *, concat(list_id, '/', CAST(msgnum // 20 AS VARCHAR)) AS own FROM m)
@@ -760,22 +864,33 @@ def _folder_indexes(spark, d):
 
 @query("i3_incremental_edges", f"WITH {MESSAGES_SQL}, {EDGES_SQL} SELECT * FROM edges WHERE child_msgnum > 20")
 def _incremental(spark, d):
-    """Threads over old and new rows; only edges of new messages."""
-    m = messages(spark, d)
-    both = filters.after_high_water(m, 20).unionByName(m.filter("msgnum <= 20"))
-    return threads.reply_edges(both).filter("child_msgnum > 20")
+    """An update from a state of each list's first messages; edges of what is new."""
+    from uuid import uuid4
 
+    from .config import Config
+    from .plans.archive import save_state, update_archive
+    from .plans.messages import parse_messages
+
+    path, raw = f"{ranking.shared_dir(spark)}/postweave/state_{uuid4().hex[:12]}", raw_messages(spark, d)
+    save_state(parse_messages(raw.filter("pos <= 20")), path)
+    fresh = raw.filter("pos > 20").withColumn("pos", F.col("pos") - 21)
+    return update_archive(spark, fresh, path, Config(increment=1))[0]["reply_edges"].filter("child_msgnum > 20")
 
-@query("stream_monthly_counts", f"""WITH {MESSAGES_SQL} SELECT list_id, strftime(to_timestamp(date), '%Y-%m') AS month, count(*) AS n_messages FROM m GROUP BY ALL""")
+
+@query("stream_monthly_counts", f"""WITH {MESSAGES_SQL} SELECT list_id, date // 2592000 * 2592000 AS window_start, count(*) AS n_messages FROM m GROUP BY ALL""")
 def _stream_counts(spark, d):
-    """A stream over the conversations table, run to its end."""
+    """The windowed counts over a stream of the conversations, run to its end into a table."""
     from uuid import uuid4
 
-    name, c = f"counts_{uuid4().hex[:8]}", read(spark, d, "conversations")
+    from .streaming.ingest import monthly_counts_stream
+
+    c, at = read(spark, d, "conversations"), f"{ranking.shared_dir(spark)}/postweave/stream_{uuid4().hex[:12]}"
     stream = spark.readStream.schema(c.schema).parquet(f"{d}/conversations.parquet*")
     conv, turn = F.col("conv_id"), F.col("turn")
     date = F.when((conv + turn) % 41 == 0, 0).otherwise(F.lit(1_600_000_000).cast("bigint") + conv % 900 * 200_000 + turn * 3600)
-    rows = stream.select(F.concat(F.lit("list-"), (conv % 5).cast("string")).alias("list_id"), dates.folder_month(date, True).alias("month"))
-    run = rows.groupBy("list_id", "month").agg(F.count(F.lit(1)).alias("n_messages")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    rows = stream.select(F.concat(F.lit("list-"), (conv % 5).cast("string")).alias("list_id"), F.timestamp_seconds(date).alias("sent"))
+    counts = monthly_counts_stream(rows).select("list_id", F.unix_timestamp("window.start").alias("window_start"), "n_messages")
+    run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(
+        lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/counts")).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{at}/counts")

@@ -39,8 +39,13 @@ def decode_uuencode(values: pd.Series) -> pd.Series:
     return values.map(lambda b: mime.uudecode(bytes(b)), na_action="ignore")
 
 
+@pandas_udf(BinaryType())
+def decode_base64(values: pd.Series) -> pd.Series:
+    return values.map(lambda b: mime.base64_strict(bytes(b)), na_action="ignore")
+
+
 FUNCTIONS = {
-    "parse_rfc822": parse_rfc822, "decode_mime_words": decode_mime_words,
+    "parse_rfc822": parse_rfc822, "decode_mime_words": decode_mime_words, "decode_base64": decode_base64,
     "decode_quoted_printable": decode_quoted_printable, "decode_uuencode": decode_uuencode}
 
 

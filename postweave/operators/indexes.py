@@ -82,15 +82,22 @@ def folder_stats(messages: DataFrame, reverse: bool = False) -> DataFrame:
     return by.orderBy("list_id", F.col("folder").desc() if reverse else "folder")
 
 
+def calendar_name(kind: str, utc: bool = False) -> Column:
+    """What a message's month or year page is called: 2024-01, year-2024."""
+    if kind == "month":
+        return F.coalesce(folder_month(F.col("date"), utc), F.lit("0000-00"))
+    return F.concat(F.lit("year-"), F.coalesce(folder_year(F.col("date"), utc), F.lit("0000")))
+
+
 def monthly(messages: DataFrame, utc: bool = False) -> DataFrame:
     """Messages by month; undated ones are of 1970-01."""
-    month = F.coalesce(folder_month(F.col("date"), utc), F.lit("0000-00"))
-    return _calendar(messages, month.alias("month"), F.concat(month, F.lit(".html")))
+    name = calendar_name("month", utc)
+    return _calendar(messages, name.alias("month"), F.concat(name, F.lit(".html")))
 
 
 def yearly(messages: DataFrame, utc: bool = False) -> DataFrame:
-    year = F.coalesce(folder_year(F.col("date"), utc), F.lit("0000"))
-    return _calendar(messages, year.alias("year"), F.concat(F.lit("year-"), year, F.lit(".html")))
+    name = calendar_name("year", utc)
+    return _calendar(messages, F.substring_index(name, "-", -1).alias("year"), F.concat(name, F.lit(".html")))
 
 
 def _calendar(messages: DataFrame, key: Column, file: Column) -> DataFrame:

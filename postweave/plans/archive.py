@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, check
 from ..operators import indexes, lines as line_ops, search, threads
-from ..operators.ranking import positions, written
+from ..operators.ranking import written
 from ..sources.archive import STATE, read_state
 from ..sources.mbox import read_mailboxes
 from .messages import parse_messages
@@ -47,32 +47,45 @@ def build_archive(spark: SparkSession, source: str | DataFrame, config: Config |
     return derive(spark, parse_messages(raw, config, now), config)
 
 
+def known_lists(raw: DataFrame, state: DataFrame) -> DataFrame:
+    """Lists whose first raw message the state already has."""
+    from ..functions.mail import find_header, normalize_msgid, parse_headers
+
+    head = parse_headers(F.decode(F.col("headers"), "ISO-8859-1"))
+    first = raw.filter("pos = 0").select("list_id", normalize_msgid(find_header(head, "message-id")).alias("msgid_key"))
+    return first.join(state, ["list_id", "msgid_key"], "left_semi").select("list_id")
+
+
 def update_mode(raw: DataFrame, state: DataFrame, increment: int) -> str:
     """full, append, or for -1 what the first message says: known already means a full build."""
     if increment >= 0:
         return "append" if increment else "full"
-    from ..functions.mail import find_header, normalize_msgid, parse_headers
+    return "append" if known_lists(raw, state).isEmpty() else "full"
 
-    head = parse_headers(F.decode(F.col("headers"), "ISO-8859-1"))
-    first = raw.filter("pos = 0").select("list_id", normalize_msgid(find_header(head, "message-id")).alias("msgid_key"))
-    return "append" if first.join(state, ["list_id", "msgid_key"], "left_semi").isEmpty() else "full"
+
+def continued(new: DataFrame, state: DataFrame) -> DataFrame:
+    """new with numbers and positions that go on where each list of the state ended. The ends are one
+    row a list, which Spark broadcasts only if they are few."""
+    ends = state.groupBy("list_id").agg(F.max("msgnum").alias("_last"), F.max("pos").alias("_pos"))
+    return new.join(ends, "list_id", "left").withColumn("msgnum", (F.col("msgnum") + F.coalesce(F.col("_last") + 1, F.lit(0))).cast("int")).withColumn(
+        "pos", F.col("pos") + F.coalesce(F.col("_pos") + 1, F.lit(0))).drop("_last", "_pos")
 
 
 def update_archive(spark: SparkSession, source: str | DataFrame, state_path: str, config: Config | None = None, now: int = 0) -> tuple[dict[str, DataFrame], DataFrame]:
     """Tables over old and new messages, and the new messages alone (what articles are written for).
-    Numbering goes on where each list ended; the state is not changed, see save_state."""
+    The state is not changed, see save_state."""
     config = (config or Config()).finish()
     raw = read_mailboxes(spark, source, max_message=config.max_message_size) if isinstance(source, str) else source
     state = read_state(spark, state_path)
     if update_mode(raw, state, config.increment or 1) == "full":
         new = parse_messages(raw, config, now)
         return derive(spark, new, config), new
-    ends = state.groupBy("list_id").agg(F.max("msgnum").alias("_last"), F.max("pos").alias("_pos"))
-    new = parse_messages(raw, config, now, 0, state.select("list_id", "msgid_key"))
-    new = new.join(F.broadcast(ends), "list_id", "left").withColumn("msgnum", (F.col("msgnum") + F.coalesce(F.col("_last") + 1, F.lit(0))).cast("int")).withColumn(
-        "pos", F.col("pos") + F.coalesce(F.col("_pos") + 1, F.lit(0))).drop("_last", "_pos")
-    both = state.unionByName(new.select(*STATE_COLUMNS))
-    return derive(spark, both, config), new
+    new = written(continued(parse_messages(raw, config, now, 0, state.select("list_id", "msgid_key")), state))
+    return derive(spark, appended(state, new), config), new
+
+
+def appended(state: DataFrame, new: DataFrame) -> DataFrame:
+    return state.select(*STATE_COLUMNS).unionByName(new.select(*STATE_COLUMNS))
 
 
 def save_state(messages: DataFrame, path: str, mode: str = "append") -> None:
@@ -80,14 +93,9 @@ def save_state(messages: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def folder_archive(messages: DataFrame, edges: DataFrame, reverse: bool = False) -> dict[str, DataFrame]:
-    """The index set of each folder; edges only where both ends are in it."""
+    """The index set of each folder, as of a list `list/folder`; edges only where both ends are in it."""
     own = messages.filter(F.coalesce("folder", F.lit("")) != "").withColumn("list_id", F.concat_ws("/", "list_id", "folder"))
     folders = messages.select("list_id", "msgnum", "folder")
     within = threads.folder_edges(edges, folders).withColumn("list_id", F.concat_ws("/", "list_id", "folder")).drop("folder")
-    return {"date_index": indexes.date_index(own, reverse), "subject_index": indexes.subject_index(own, reverse), "author_index": indexes.author_index(own, reverse), "reply_edges": within}
-
+    return {"messages": own, "date_index": indexes.date_index(own, reverse), "subject_index": indexes.subject_index(own, reverse), "author_index": indexes.author_index(own, reverse), "reply_edges": within}
 
-def renumbered(messages: DataFrame) -> DataFrame:
-    """pos of rows from several sources, by date then number."""
-    rows = messages.drop("pos").withColumn("_range", F.floor(F.col("date") / indexes.RANGE))
-    return positions(rows, ["list_id"], ["date", "msgnum"], "_range").drop("_range")

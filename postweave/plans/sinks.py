@@ -17,9 +17,17 @@ def _local(path: str) -> str:
     return re.sub("^file:(//)?", "", path)
 
 
-def write_pages(pages: DataFrame, root: str, mode: int = 0o644, overwrite: bool = True) -> None:
-    """One file for each row of (path, html), written where the rows are; root must be a folder that
-    all executors share. A rerun of a lost task writes the same bytes."""
+def is_local(root: str) -> bool:
+    """A folder that Python can open, which on a cluster must be one that all executors share."""
+    return ":" not in root or root.startswith("file:")
+
+
+def write_pages(pages: DataFrame, root: str, mode: int = 0o644, overwrite: bool = True, name: str = "pages", dirmode: int = 0o755) -> None:
+    """One file for each row of (path, html), written where the rows are. A rerun of a lost task writes
+    the same bytes. In a store that only Spark can write, root/name gets them as a table instead."""
+    if not is_local(root):
+        pages.select("path", "html").write.mode("overwrite").parquet(f"{root}/{name}")
+        return
     base = _local(root)
 
     def write(rows: Iterator) -> None:
@@ -29,7 +37,7 @@ def write_pages(pages: DataFrame, root: str, mode: int = 0o644, overwrite: bool
                 raise ValueError(f"{r['path']} leaves the archive")
             if not overwrite and os.path.exists(at):
                 continue
-            os.makedirs(os.path.dirname(at), exist_ok=True)
+            os.makedirs(os.path.dirname(at), mode=dirmode, exist_ok=True)
             with open(f"{at}.part", "w", encoding="utf-8") as f:
                 f.write(r["html"])
             os.chmod(f"{at}.part", mode)
@@ -54,10 +62,10 @@ def write_overview(rows: DataFrame, root: str) -> None:
 
 
 def message_index_lines(messages: DataFrame, names) -> DataFrame:
-    """`0000 MAX`, then `num name`, in order."""
-    top = messages.agg(F.lit(-1).alias("at"), F.concat(F.lit("0000 "), F.coalesce(F.max("msgnum"), F.lit(0)).cast("string")).alias("value"))
-    own = messages.select(F.col("msgnum").alias("at"), F.concat_ws(" ", F.lpad(F.col("msgnum").cast("string"), F.greatest(F.lit(4), F.length(F.col("msgnum").cast("string"))), F.lit("0")), names).alias("value"))
-    return top.unionByName(own).orderBy("at")
+    """For each list `0000 MAX`, then `num name`, in order."""
+    top = messages.groupBy("list_id").agg(F.lit(-1).alias("at"), F.concat(F.lit("0000 "), F.coalesce(F.max("msgnum"), F.lit(0)).cast("string")).alias("value"))
+    own = messages.select("list_id", F.col("msgnum").alias("at"), F.concat_ws(" ", F.lpad(F.col("msgnum").cast("string"), F.greatest(F.lit(4), F.length(F.col("msgnum").cast("string"))), F.lit("0")), names).alias("value"))
+    return top.unionByName(own).orderBy("list_id", "at")
 
 
 def append_msgids(messages: DataFrame, root: str) -> None:
@@ -76,6 +84,17 @@ def link_latest(root: str, name: str, target: str) -> None:
     os.symlink(target, at)
 
 
+def write_latest(latest: DataFrame, root: str, name: str) -> None:
+    """Each list's link to the folder of its newest message; latest: a row a list."""
+    def write(rows: Iterator) -> None:
+        for r in rows:
+            home = os.path.join(_local(root), r["list_id"])
+            if r["latest_folder"] != "." and os.path.isdir(os.path.join(home, r["latest_folder"])):
+                link_latest(home, name, r["latest_folder"])
+
+    latest.select("list_id", "latest_folder").foreachPartition(write)
+
+
 def is_empty_archive(root: str) -> bool:
     base = _local(root)
     return not os.path.isdir(base) or not any(not n.startswith(".") for n in os.listdir(base))

@@ -5,24 +5,30 @@ An index of any length becomes pages of a bounded number of rows.
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.dates import format_date
 from ..functions.text import escape_html, escape_html_attr, message_filename
+from ..operators.indexes import latest_folder
 from ..sources.locale import word
-from .render import articles, author_cell, index_rows, names, overview_xml, subject_cell
-from .sinks import append_msgids, message_index_lines, write_overview, write_pages, write_search, write_tables
+from .render import Templates, articles, author_cell, escaped, framed, href_of, index_row, index_rows, names, overview_xml, page_values, subject_cell
+from .sinks import append_msgids, is_empty_archive, is_local, locked, message_index_lines, write_latest, write_overview, write_pages, write_search, write_tables
 
 ROWS = 1000
 #: Index kinds in the order of their links, with the word that names each.
 KINDS = (("date", "Date"), ("thread", "Thread"), ("subject", "Subject"), ("author", "Author"), ("attachment", "Attachment"))
 
 
-def index_file(kind: str, config: Config, part: Column | None = None) -> Column:
+def index_file(kind: str, config: Config, part: Column | None = None, stem: Column | None = None) -> Column:
     """index.html for the default index, kind.html for others; later pages are numbered."""
-    stem = F.lit("index" if kind == config.defaultindex else kind)
+    stem = F.lit("index" if kind == config.defaultindex else kind) if stem is None else stem
     stem = stem if part is None else F.when(part == 0, stem).otherwise(F.concat(stem, F.lit("-"), part.cast("string")))
     return message_filename(stem, config.htmlsuffix)
 
@@ -41,25 +47,28 @@ def statistics(config: Config) -> Column:
     return F.concat(F.lit("<p>"), F.col("n_messages").cast("string"), F.lit(f" {word(config.language, 'Messages')}: "), escape_html(date("first_date")), F.lit(" / "), escape_html(date("last_date")), F.lit("</p>"))
 
 
-def pages_of(rows: DataFrame, kind: str, stats: DataFrame, config: Config, size: int = ROWS) -> DataFrame:
-    """rows: list_id, ord, html. One page for each size rows."""
+def pages_of(rows: DataFrame, kind: str, stats: DataFrame, config: Config, size: int = ROWS, templates: Templates = Templates(), stem: str | None = None) -> DataFrame:
+    """rows: list_id, ord, html. One page for each size rows. stem: a column that names the pages of a
+    list, such as a month, in place of the index's own name; ord then counts within it."""
     part = F.floor(F.col("ord") / size).cast("int")
-    own = rows.groupBy("list_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("ord", "html"))).alias("_rows"))
+    keys = ["list_id", *([stem] if stem else [])]
+    own = rows.groupBy(*keys, part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("ord", "html"))).alias("_rows"))
     body = F.array_join(F.transform("_rows", lambda x: x["html"]), "\n")
     wrap = ("<table>\n", "\n</table>") if config.indextable and kind != "thread" else ("<ul>\n", "\n</ul>")
-    title = F.lit(escaped_label(config, word(config.language, dict(KINDS).get(kind, kind))))
-    joined = own.join(stats, "list_id")
-    html = F.concat(F.lit("<!doctype html>\n<title>"), title, F.lit("</title>\n"), navigation(kind, config), F.lit("\n"), statistics(config), F.lit("\n" + wrap[0]), body, F.lit(wrap[1]))
-    return joined.select(F.concat_ws("/", "list_id", index_file(kind, config, F.col("part"))).alias("path"), html.alias("html"))
+    label = F.lit(escaped_label(config, word(config.language, dict(KINDS).get(kind, kind))))
+    title = F.concat_ws(" ", F.when(F.lit(bool(config.label)), escaped(config.label)), F.col(stem)) if stem else label
+    joined = own.join(stats, keys)
+    html = F.concat(statistics(config), F.lit("\n" + wrap[0]), body, F.lit(wrap[1]))
+    page = framed(html, templates.index_header, templates.index_footer, templates.index_article, config, title, F.concat(navigation(kind, config), F.lit("\n")), page_values(config, s=title))
+    file = index_file(kind, config, F.col("part"), F.col(stem) if stem else None)
+    return joined.select(F.concat_ws("/", "list_id", file).alias("path"), page.alias("html"))
 
 
 def escaped_label(config: Config, title: str) -> str:
-    from .render import escaped
-
     return f"{escaped(config.label)} {escaped(title)}".strip()
 
 
-def thread_rows(walk: DataFrame, messages: DataFrame, config: Config) -> DataFrame:
+def thread_rows(walk: DataFrame, messages: DataFrame, config: Config, within: bool = False) -> DataFrame:
     """Rows of the thread index in thread order, threads by their root's date; deeper ones indented.
     ord runs over a list, by pieces of the root's date."""
     from ..operators.indexes import RANGE
@@ -68,35 +77,87 @@ def thread_rows(walk: DataFrame, messages: DataFrame, config: Config) -> DataFra
     root = messages.select("list_id", F.col("msgnum").alias("root"), F.col("date").alias("root_date"))
     rows = walk.filter("shown").withColumnRenamed("ord", "thread_ord").join(root, ["list_id", "root"]).join(messages, ["list_id", "msgnum"])
     ranked = positions(rows, ["list_id"], ["root_date", "root", "thread_ord"], F.floor(F.col("root_date") / RANGE), "ord")
-    link = F.concat(F.lit('<a href="'), message_filename(names(config), config.htmlsuffix), F.lit('">'), subject_cell(config), F.lit("</a> "), author_cell(config))
+    link = F.concat(F.lit('<a href="'), href_of(messages, config, within), F.lit('">'), subject_cell(config), F.lit("</a> "), author_cell(config))
     return ranked.select("list_id", "ord", F.concat(F.lit('<li class="depth-'), F.least("depth", F.lit(99)).cast("string"), F.lit('">'), link, F.lit("</li>")).alias("html"))
 
 
-def folder_rows(folders: DataFrame) -> DataFrame:
-    """Links to folders with their counts."""
-    return folders.filter("folder <> ''").select("list_id", F.concat(F.lit('<li><a href="'), escape_html_attr(F.col("folder")), F.lit('/">'), escape_html(F.col("folder")), F.lit("</a> ("), F.col("n_messages").cast("string"), F.lit(")</li>")).alias("html"))
+def folder_rows(folders: DataFrame, config: Config) -> DataFrame:
+    """A link to each folder's index with its count and dates, in the order of their names; rows without a
+    folder are the list's own."""
+    date = lambda c: escape_html(F.when(F.col(c) > 0, format_date(F.col(c), config.dateformat, config.gmtime, config.eurodate, config.isodate)).otherwise("-"))
+    root = F.col("folder") == ""
+    href = F.concat(F.when(root, "").otherwise(F.concat("folder", F.lit("/"))), F.lit(f"index.{config.htmlsuffix}"))
+    count = F.concat(F.lit(" ("), F.col("n_messages").cast("string"), F.lit(f" {escaped(word(config.language, 'Messages'))}: "), date("first_date"), F.lit(" / "), date("last_date"), F.lit(")"))
+    html = F.concat(F.lit('<li><a href="'), escape_html_attr(href), F.lit('">'), escape_html(F.when(root, "(root)").otherwise(F.col("folder"))), F.lit("</a>"), count, F.lit("</li>"))
+    order = F.row_number().over(W.partitionBy("list_id").orderBy(F.col("folder").desc() if config.reverse_folders else "folder")) - 1
+    return folders.select("list_id", order.alias("ord"), html.alias("html"))
+
+
+def folders_pages(folders: DataFrame, stats: DataFrame, config: Config, size: int = ROWS, templates: Templates = Templates()) -> DataFrame:
+    """The page of a list's folders."""
+    rows = folder_rows(folders, config).withColumn("_stem", F.lit("folders"))
+    return pages_of(rows, "folders", stats.withColumn("_stem", F.lit("folders")), replace(config, indextable=False), size, templates, "_stem")
+
+
+def folder_pages(messages: DataFrame, edges: DataFrame, config: Config, size: int = ROWS, templates: Templates = Templates()) -> DataFrame:
+    """The date, subject, author and thread index of each folder, as those of a list of its own. Links
+    to messages are within the folder; edges count where both ends are in it."""
+    from ..operators import indexes, threads
+    from .archive import folder_archive
+
+    own = folder_archive(messages, edges, config.reverse)
+    inside, config = own["messages"], replace(config, defaultindex="date", attachmentsindex=False)
+    stats = indexes.archive_stats(inside)
+    walk = threads.thread_walk_general(inside, own["reply_edges"], config.thrdlevels if 1 <= config.thrdlevels <= 99 else threads.MAX_DEPTH)
+    rows = {k: index_rows(own[f"{k}_index"], config, True) for k in ("date", "subject", "author")} | {"thread": thread_rows(walk, inside, config, True)}
+    return reduce(DataFrame.unionByName, [pages_of(r, k, stats, config, size, templates) for k, r in rows.items()])
+
+
+def calendar_pages(messages: DataFrame, kind: str, config: Config, size: int = ROWS, templates: Templates = Templates()) -> DataFrame:
+    """The messages of each month or year (kind) in the order of their dates."""
+    from ..operators import indexes
+    from ..operators.ranking import positions
+
+    stats = {"month": indexes.monthly, "year": indexes.yearly}[kind](messages, config.gmtime)
+    stem = F.regexp_replace("file", r"\.html$", "")
+    named = messages.withColumn("_stem", indexes.calendar_name(kind, config.gmtime))
+    order = [F.col(c).desc() if config.reverse else F.col(c) for c in ("date", "msgnum", "pos")]
+    ranked = positions(named, ["list_id", "_stem"], order, F.floor(F.col("date") / indexes.RANGE), "ord", config.reverse)
+    rows = ranked.select("list_id", "_stem", "ord", index_row(ranked, config).alias("html"))
+    return pages_of(rows, kind, stats.withColumn("_stem", stem), config, size, templates, "_stem")
 
 
-def index_pages(tables: dict[str, DataFrame], config: Config) -> DataFrame:
+def index_pages(tables: dict[str, DataFrame], config: Config, templates: Templates = Templates()) -> DataFrame:
     """All index pages of an archive's tables."""
-    out = None
-    for kind in ("date", "subject", "author", "attachment"):
-        if f"{kind}_index" in tables:
-            own = pages_of(index_rows(tables[f"{kind}_index"], config), kind, tables["stats"], config)
-            out = own if out is None else out.unionByName(own)
-    return out.unionByName(pages_of(thread_rows(tables["thread_index"], tables["messages"], config), "thread", tables["stats"], config))
+    out = [pages_of(index_rows(tables[f"{kind}_index"], config), kind, tables["stats"], config, ROWS, templates) for kind in ("date", "subject", "author", "attachment") if f"{kind}_index" in tables]
+    out.append(pages_of(thread_rows(tables["thread_index"], tables["messages"], config), "thread", tables["stats"], config, ROWS, templates))
+    if config.msgsperfolder or config.folder_by_date:
+        out.append(folders_pages(tables["folders"], tables["stats"], config, ROWS, templates))
+        out.append(folder_pages(tables["messages"], tables["reply_edges"], config, ROWS, templates))
+    if config.monthly_index:
+        out.append(calendar_pages(tables["messages"], "month", config, ROWS, templates))
+    if config.yearly_index:
+        out.append(calendar_pages(tables["messages"], "year", config, ROWS, templates))
+    return reduce(DataFrame.unionByName, out)
 
 
 def write_archive(tables: dict[str, DataFrame], root: str, config: Config, only: DataFrame | None = None) -> None:
-    """Tables, then articles (of only, in an update), then every index, then the side files."""
-    write_tables({k: v for k, v in tables.items() if k not in ("body_lines", "postings")}, f"{root}/tables")
-    fresh = tables["messages"] if only is None else tables["messages"].join(only.select("list_id", "msgnum"), ["list_id", "msgnum"], "left_semi")
-    write_pages(articles(fresh, tables["body_lines"], tables["reply_edges"], config), root, config.filemode, config.overwrite or only is not None)
-    write_pages(index_pages(tables, config), root, config.filemode)
-    write_search(tables["messages"], root)
-    if config.writehaof:
-        write_overview(overview_xml(tables["messages"]), root)
-    if config.nonsequential:
-        message_index_lines(tables["messages"], names(config)).select("value").write.mode("overwrite").text(f"{root}/msgindex")
-    if config.append:
-        append_msgids(tables["messages"], root)
+    """Tables, then articles (of only, in an update), then every index, then the side files, then the
+    links to the newest folders; under the archive's lock where its root is a local folder."""
+    messages = tables["messages"]
+    with locked(root) if config.uselock and is_local(root) else nullcontext():
+        templates = Templates.load(messages.sparkSession, config)
+        again = config.overwrite or only is not None or is_local(root) and is_empty_archive(root)
+        write_tables({k: v for k, v in tables.items() if k not in ("body_lines", "postings")}, f"{root}/tables")
+        fresh = messages if only is None else messages.join(only.select("list_id", "msgnum"), ["list_id", "msgnum"], "left_semi")
+        write_pages(articles(fresh, tables["body_lines"], tables["reply_edges"], config, templates), root, config.filemode, again, "articles", config.dirmode)
+        write_pages(index_pages(tables, config, templates), root, config.filemode, True, "indexes", config.dirmode)
+        write_search(messages, root)
+        if config.writehaof:
+            write_overview(overview_xml(messages), root)
+        if config.nonsequential:
+            message_index_lines(messages, names(config)).select("value").write.mode("overwrite").text(f"{root}/msgindex")
+        if config.append:
+            append_msgids(messages, root)
+        if config.latest_folder and is_local(root):
+            write_latest(latest_folder(messages), root, config.latest_folder)

@@ -13,13 +13,24 @@ WORDS = {
     "de": {"Author": "Autor", "Subject": "Betreff", "Date": "Datum", "Thread": "Diskussion", "Attachment": "Anhang", "Generated by": "Erzeugt von", "Next": "Weiter", "Previous": "Zurück", "Reply": "Antwort", "Messages": "Nachrichten",
            "Mon": "Mo", "Tue": "Di", "Wed": "Mi", "Thu": "Do", "Fri": "Fr", "Sat": "Sa", "Sun": "So", "Mar": "Mär", "May": "Mai", "Oct": "Okt", "Dec": "Dez"},
     "fr": {"Author": "Auteur", "Subject": "Sujet", "Date": "Date", "Thread": "Fil", "Attachment": "Pièce jointe", "Generated by": "Généré par", "Next": "Suivant", "Previous": "Précédent", "Reply": "Réponse", "Messages": "Messages",
-           "Mon": "lun", "Tue": "mar", "Wed": "mer", "Thu": "jeu", "Fri": "ven", "Sat": "sam", "Sun": "dim"},
+           "Mon": "lun", "Tue": "mar", "Wed": "mer", "Thu": "jeu", "Fri": "ven", "Sat": "sam", "Sun": "dim",
+           "Jan": "jan", "Feb": "fév", "Mar": "mar", "Apr": "avr", "May": "mai", "Jun": "juin", "Jul": "juil", "Aug": "août", "Sep": "sep", "Oct": "oct", "Nov": "nov", "Dec": "déc"},
     "es": {"Author": "Autor", "Subject": "Asunto", "Date": "Fecha", "Thread": "Hilo", "Attachment": "Adjunto", "Generated by": "Generado por", "Next": "Siguiente", "Previous": "Anterior", "Reply": "Respuesta", "Messages": "Mensajes",
-           "Mon": "lun", "Tue": "mar", "Wed": "mié", "Thu": "jue", "Fri": "vie", "Sat": "sáb", "Sun": "dom"},
+           "Mon": "lun", "Tue": "mar", "Wed": "mié", "Thu": "jue", "Fri": "vie", "Sat": "sáb", "Sun": "dom",
+           "Jan": "ene", "Feb": "feb", "Mar": "mar", "Apr": "abr", "May": "may", "Jun": "jun", "Jul": "jul", "Aug": "ago", "Sep": "sep", "Oct": "oct", "Nov": "nov", "Dec": "dic"},
 }
 ALIASES = {"english": "en", "german": "de", "deutsch": "de", "french": "fr", "francais": "fr", "spanish": "es"}
 
 
+def load_words(spark: SparkSession, path: str) -> None:
+    """Adds words from a table of the user's: files of `lang<TAB>key<TAB>value` lines, in any store that
+    Spark reads. Its languages become known; its words win over those above. Languages are few and
+    their words a page each, so that the table is held by the driver."""
+    rows = spark.read.option("sep", "\t").option("quote", "").schema("lang string, key string, value string").csv(path)
+    for r in rows.filter("lang IS NOT NULL AND key IS NOT NULL AND value IS NOT NULL").collect():
+        WORDS.setdefault(r["lang"].strip().lower().replace("_", "-"), {})[r["key"]] = r["value"]
+
+
 def known_languages() -> list[str]:
     return sorted(WORDS)
 
@@ -28,12 +39,12 @@ def resolve(language: str) -> str:
     """Alias, then the exact tag, then its base, then English."""
     tag = language.strip().lower().replace("_", "-")
     tag = ALIASES.get(tag, tag)
-    base = re.split("[-.@]", tag)[0]
-    return tag if tag in WORDS else base if base in WORDS else "en"
+    return next((x for x in (tag, re.split("[.@]", tag)[0], re.split("[-.@]", tag)[0]) if x in WORDS), "en")
 
 
 def word(language: str, key: str) -> str:
-    return WORDS[resolve(language)].get(key, WORDS["en"].get(key, key))
+    own = resolve(language or "en")
+    return WORDS[own].get(key, WORDS.get(re.split("[-.@]", own)[0], {}).get(key, WORDS["en"].get(key, key)))
 
 
 def words_of(language: str) -> dict[str, str]:

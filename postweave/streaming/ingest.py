@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config
-from ..plans.archive import STATE_COLUMNS
+from ..plans.archive import STATE_COLUMNS, continued
 from ..plans.messages import parse_messages
 from ..sources.archive import STATE
 from ..sources.mbox import RAW_SCHEMA, MailboxSource
@@ -43,9 +43,7 @@ def append_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_pat
     overwrites its own part of the table."""
     state = spark.read.schema(f"{STATE}, batch_id bigint").parquet(state_path) if _exists(spark, state_path) else spark.createDataFrame([], f"{STATE}, batch_id bigint")
     state = state.filter(F.col("batch_id") != batch_id)
-    ends = state.groupBy("list_id").agg(F.max("msgnum").alias("_last"), F.max("pos").alias("_pos"))
-    new = parse_messages(batch, config, now, 0, state.select("list_id", "msgid_key")).join(ends, "list_id", "left")
-    new = new.withColumn("msgnum", (F.col("msgnum") + F.coalesce(F.col("_last") + 1, F.lit(0))).cast("int")).withColumn("pos", F.col("pos") + F.coalesce(F.col("_pos") + 1, F.lit(0)))
+    new = continued(parse_messages(batch, config, now, 0, state.select("list_id", "msgid_key")), state)
     new.select(*STATE_COLUMNS).write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
 
 

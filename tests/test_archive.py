@@ -143,9 +143,52 @@ def test_site(spark, box, tmp_path):
     home = tmp_path / "site" / "simple"
     assert "My &lt;list&gt;" in (home / "index.html").read_text() and 'class="depth-1"' in (home / "index.html").read_text()
     assert {"index.html", "date.html", "subject.html", "author.html", "attachment.html"} < set(os.listdir(home)) and len(os.listdir(home)) == 8
+    with sinks.locked(str(tmp_path / "site")), pytest.raises(OSError):
+        site.write_archive(archive.build_archive(spark, box, c), str(tmp_path / "site"), c)
     assert "3 Messages" in (home / "date.html").read_text() and (tmp_path / "site" / "msgindex").is_dir() and (tmp_path / "site" / "overview").is_dir()
 
 
+def test_templates_reach_the_pages(spark, box, tmp_path):
+    files = {"mh": "<M %s|%n|%e|%i|%t|%y|%q|%%>\\n", "mf": "</M %p>", "ih": "<I %l %s>", "ia": "[%ARTICLE%]%TITLE% $TITLE$ %NOPE%"}
+    for k, v in files.items():
+        (tmp_path / k).write_text(v)
+    c = config.Config(mhtmlheader=f"file://{tmp_path}/mh", mhtmlfooter=f"file://{tmp_path}/mf", ihtmlheader=f"file://{tmp_path}/ih", label="<L>", msgsperfolder=2, monthly_index=True, yearly_index=True,
+                      latest_folder="latest", gmtime=True)
+    tables = archive.build_archive(spark, box, c)
+    site.write_archive(tables, str(tmp_path / "site"), c)
+    home = tmp_path / "site" / "simple"
+    page = (home / "0" / "0000.html").read_text()
+    assert page.startswith("<M Hello World|Alice|alice@example.com|&lt;msg001@example.com&gt;|../|Author|%q|%>\n<article") and page.endswith("</article></M postweave>")
+    index = (home / "date.html").read_text()
+    assert index.startswith("<I &lt;L&gt; &lt;L&gt; Date><p>3 Messages") and 'href="0/0000.html"' in index and 'href="1/0002.html"' in index
+    # each folder has its own indexes, whose links stay within it; the folders have a page
+    assert {"index.html", "subject.html", "author.html", "thread.html", "0000.html", "0001.html"} == set(os.listdir(home / "0"))
+    inside = (home / "0" / "index.html").read_text()
+    assert 'href="0000.html"' in inside and "0002.html" not in inside and "2 Messages" in inside
+    assert '<a href="1/index.html">1</a> (1 Messages' in (home / "folders.html").read_text()
+    month, year = (home / "2024-01.html").read_text(), (home / "year-2024.html").read_text()
+    assert all(n in x for x in (month, year) for n in ("Alice", "Bob", "Carol")) and "&lt;L&gt; 2024-01" in month
+    assert os.readlink(home / "latest") == "1" and (tmp_path / "site" / ".lock").exists()
+    # the default frame, and an article template by cookies
+    c = config.Config(ihtmlhead=f"file://{tmp_path}/ia", label="L", css="a.css")
+    pages = {r.path: r.html for r in site.index_pages(tables, c, render.Templates.load(spark, c)).collect()}
+    assert "]L Date L Date %NOPE%" in pages["simple/date.html"] and '<link rel="stylesheet" href="a.css">' in pages["simple/date.html"]
+    stub = {r.msgnum: r.html for r in render.articles(tables["messages"].withColumn("is_deleted", F.lit(1)), tables["body_lines"], tables["reply_edges"], config.Config(delete_level=2)).collect()}
+    assert "(deleted message)" in stub[0] and "Hi all" not in stub[0]
+
+
+def test_pages_outside_local_folders(spark, box):
+    assert not sinks.is_local("s3a://bucket/site") and sinks.is_local("/a/b") and sinks.is_local("file:///a")
+
+
+def test_words_of_a_user_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(locale, "WORDS", {k: dict(v) for k, v in locale.WORDS.items()})
+    (tmp_path / "words.tsv").write_text("pt\tSubject\tAssunto\npt-BR\tDate\tData\nde\tSubject\tThema\nbad line\n")
+    locale.load_words(spark, f"file://{tmp_path}/words.tsv")
+    assert locale.word("pt_BR.UTF-8", "Date") == "Data" and locale.word("pt", "Date") == "Date" and locale.word("pt-br", "Subject") == "Assunto" and locale.word("de", "Subject") == "Thema"
+    assert locale.words_of("fr")["Jan"] == "jan"
+
+
 def test_read_pages(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "0007.html").write_text('<!-- id="a@b" --><!-- sent="2024-01-15T12:00:00Z" -->')
@@ -158,7 +201,8 @@ def test_read_pages(spark, tmp_path):
 def test_templates():
     page = render.Page(subject="<S>", name="N", email="n@x", language="de", label="%s", msgid="<i>")
     assert render.fill(r"%s|%n|%N|%y|%l|%%|%q|\n%i", page) == '&lt;S&gt;|N|N &lt;<a href="mailto:n@x">n@x</a>&gt;|Autor|%s|%|%q|\n&lt;i&gt;'
-    assert render.fill_cookies("$A$ $B$", {"A": "$B$"}) == "$B$ $B$"
+    assert render.fill_cookies("$A$ $B$", {"A": "$B$"}) == "$B$ $B$" and render.fill_cookies("%A%%B% 100%", {"A": "%B%", "B": "b"}) == "%B%b 100%"
+    assert render.parsed("a%%b\\nc%") == [("text", "a"), ("escape", "%"), ("text", "b\nc%")]
 
 
 def test_streaming(spark, box, tmp_path):

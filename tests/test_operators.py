@@ -88,6 +88,31 @@ def test_deep_thread(spark):
     assert got.count() == 105 and got.agg(F.max("depth")).first()[0] == 104 and got.filter("shown").count() == 51
 
 
+def test_deep_chain_and_wide_tree(spark):
+    """A chain far deeper than a recursion goes, a root with many children, and cycles beside them."""
+    n = 2600
+    rows = [{"irt": f"<{i - 1}@x>"} if 0 < i < n else {"irt": f"<{n}@x>"} if n < i < n + 300 else {} for i in range(n + 300)]
+    rows += [{"irt": f"<{n + 301}@x>"}, {"irt": f"<{n + 300}@x>"}, {"irt": f"<{n + 302}@x>"}]  # two that reply to each other, one to itself
+    m = store(spark, rows)
+    got = {r.msgnum: (r.root, r.depth, r.ord) for r in threads.thread_walk(spark, m, threads.header_edges(m)).collect()}
+    want = {i: (0, i, i) for i in range(n)} | {n: (n, 0, 0)} | {n + k: (n, 1, k) for k in range(1, 300)}
+    assert got == want
+    general = {r.msgnum: (r.root, r.depth, r.ord) for r in threads.thread_walk_general(m, threads.header_edges(m)).collect()}
+    assert {k: v for k, v in general.items() if k < n + 300} == want and general[n + 300] == (n + 300, 0, 0) and general[n + 301] == (n + 300, 1, 1) and general[n + 302] == (n + 302, 0, 0)
+
+
+def test_components_of_a_long_chain(spark):
+    m = store(spark, [{"irt": f"<{i - 1}@x>"} if i % 400 else {} for i in range(800)])
+    assert {r.component for r in threads.components(m, threads.header_edges(m)).collect()} == {0, 400}
+
+
+def test_text_order_without_known_pieces(spark):
+    """Subjects that all begin alike are ranked as a sort would, both ways, nulls and ties included."""
+    m = store(spark, [{"subject": f"[list] topic {i * 7 % 13}" if i % 9 else None} for i in range(300)])
+    rows = sorted(((r.subject or "").lower(), r.msgnum) for r in m.collect())
+    assert order(indexes.subject_index(m)) == [n for _, n in rows] and order(indexes.subject_index(m, True)) == [n for _, n in reversed(rows)]
+
+
 def test_first_by_msgid(spark):
     rows = [{"msgid": x} for x in ("<a>", "<A> ", "", " ", "<b>", "<a>")]
     got = dedup.first_by_msgid(store(spark, rows))
@@ -160,5 +185,6 @@ def test_search(spark):
     index = search.postings(docs, "k", F.col("t"))
     assert [(r.k, r.score) for r in search.search(index, "k", "hello").collect()] == [(1, 4), (4, 4)]
     assert search.search(index, "k", "h").collect() == [] and search.query_bigrams("ab ab") == ["ab", "b ", " a"] or sorted(search.query_bigrams("ab ab")) == [" a", "ab", "b "]
+    assert [(r.k, r.score) for r in search.search_texts(docs, "k", F.col("t"), "hello").collect()] == [(1, 4), (4, 4)] and search.search_texts(docs, "k", F.col("t"), "h").collect() == []
     many = search.search_many(docs, "k", F.col("t"), spark.createDataFrame([(1, "hello")], "query_id int, query string"))
     assert {(r.k, r.score) for r in many.collect()} == {(1, 4), (4, 4)}
