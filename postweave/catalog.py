@@ -697,6 +697,58 @@ def _base64(spark, d):
     return read(spark, d, "documents").select("doc_id", F.decode(decode_base64(sent.cast("binary")), "UTF-8").alias("decoded"))
 
 
+@query("m4_quoted_printable", "SELECT doc_id, text AS decoded FROM documents")
+def _quoted_printable(spark, d):
+    """Soft breaks within, and = and _ and all that isn't ASCII as =XX."""
+    from .functions.register import decode_quoted_printable
+
+    raw = F.col("text")
+    for c in ("=", "_"):
+        raw = F.regexp_replace(raw, c, f"={ord(c):02X}")
+    soft = F.regexp_replace(raw, "( [a-z]{3})", "$1=\n")
+    return read(spark, d, "documents").select("doc_id", F.decode(decode_quoted_printable(soft.cast("binary")), "UTF-8").alias("decoded"))
+
+
+@query("m7_charsets", "SELECT p_partkey, p_name AS latin, concat(p_name, ' é') AS western FROM part")
+def _charsets(spark, d):
+    """Bodies in declared charsets, an unknown one among them."""
+    from .functions.register import parse_rfc822
+
+    head = lambda c: F.concat(F.lit("Subject: x\nContent-Type: text/plain; charset="), F.lit(c), F.lit("\n")).cast("binary")
+    western = F.encode(F.concat("p_name", F.lit(" é")), "ISO-8859-1")
+    text = lambda h, b: F.regexp_replace(parse_rfc822(h, b)["body_text"], "\n$", "")
+    return read(spark, d, "part").select("p_partkey", text(head("x-unknown"), F.col("p_name").cast("binary")).alias("latin"), text(head("iso-8859-1"), western).alias("western"))
+
+
+@query("p8_quoted_words", "SELECT p_partkey, concat(p_name, ' é') AS word FROM part")
+def _quoted_words(spark, d):
+    """Q-encoded words in Latin-1, spaces as _."""
+    from .functions.register import decode_mime_words
+
+    word = F.concat(F.lit("=?iso-8859-1?Q?"), F.regexp_replace("p_name", " ", "_"), F.lit("_=E9?="))
+    return read(spark, d, "part").select("p_partkey", decode_mime_words(word).alias("word"))
+
+
+@query("p11_received_dates", """SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS secs FROM orders WHERE o_orderdate IS NOT NULL""")
+def _received(spark, d):
+    """The date after the last semicolon of a Received header."""
+    head = F.concat(F.lit("Received: no date here\nReceived: from a.example by b.example; more;\n "), F.date_format("o_orderdate", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0000\n"))
+    return read(spark, d, "orders").filter("o_orderdate IS NOT NULL").select("o_orderkey", mail.message_date(mail.parse_headers(head)).alias("secs"))
+
+
+@query("c2_c15_c23_subjects", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, trim(regexp_replace(subject, '^\\s*(re|fwd?|aw|ang|sv|vs|odp|antw)\\s*[\\[:\\]>#]*\\s*', '', 'i')) AS once, true AS same FROM m""")
+def _once(spark, d):
+    c = F.col("subject")
+    return messages(spark, d).select("list_id", "msgnum", text.oneunre(c).alias("once"), text.matches_existing(c, F.concat(F.lit(" \t"), c, F.lit("\n"))).alias("same"))
+
+
+@query("m2_dispositions", "SELECT page_id, concat('a ', page_id, '.pdf') AS filename, page_id % 2 = 0 AS attached FROM pages")
+def _dispositions(spark, d):
+    kind = F.when(F.col("page_id") % 2 == 0, "Attachment").otherwise("inline")
+    found = mail.content_disposition(F.concat(kind, F.lit('; size=9; filename="a '), F.col("page_id").cast("string"), F.lit('.pdf"')))
+    return read(spark, d, "pages").select("page_id", found["params"]["filename"].alias("filename"), (found["disposition"] == "attachment").alias("attached"))
+
+
 @query("m10_multipart_bodies", "SELECT doc_id, concat(text, chr(10), '[Attachment: x.pdf]', chr(10)) AS body FROM documents")
 def _multipart(spark, d):
     from .functions.register import parse_rfc822
@@ -837,6 +889,14 @@ def _articles(spark, d):
     return articles(m, lines.explode_lines(m), threads.reply_edges(m), _config(delete_level=1))
 
 
+@query("g9_warnings", f"""WITH {MESSAGES_SQL}, {REPEATED_SQL} SELECT list_id, count(*) FILTER (WHERE date <= 0) AS undated, count(*) FILTER (WHERE coalesce(msgid, '') = '') AS without_id,
+ count(*) FILTER (WHERE coalesce(name, '') = '') AS without_author, count(*) FILTER (WHERE coalesce(subject, '') = '') AS without_subject FROM r GROUP BY list_id""")
+def _warnings(spark, d):
+    from .plans.site import warnings
+
+    return warnings(_repeated(spark, d))
+
+
 @query("k9_overview", f"""WITH {MESSAGES_SQL} SELECT list_id, pos, concat('<mail><file>', msgnum, '</file><date>', date, '</date><fromname>', name, '</fromname><fromemail>', email_addr, '</fromemail><subject>', subject,
  '</subject><msgid>', replace(replace(msgid, '<', '&lt;'), '>', '&gt;'), '</msgid></mail>') AS xml FROM m""")
 def _overview(spark, d):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, fields
 
 ON, OFF = ("ON", "YES", "On", "Yes", "on", "yes", "1", "true"), ("OFF", "NO", "Off", "No", "off", "no", "0", "false")
@@ -204,52 +204,45 @@ class Diagnostic:
     message: str
 
 
+@dataclass(frozen=True)
+class Rule:
+    """What the options together must not be: broken by values as text, told at the key's line."""
+
+    key: str
+    broken: Callable[[Mapping[str, str]], bool]
+    says: str
+
+
+def _on(values: Mapping[str, str], key: str) -> bool:
+    return values.get(key, "").lower() in ("on", "yes", "1", "true")
+
+
+RULES = (
+    Rule("mbox_shortened", lambda v: _on(v, "mbox_shortened") and not _on(v, "usegdbm"), "needs usegdbm"),
+    Rule("mbox_shortened", lambda v: _on(v, "mbox_shortened") and v.get("increment", "0").lower() not in ("0", "off", "no", "false"), "needs an increment of 0"),
+    Rule("msgsperfolder", lambda v: v.get("folder_by_date", "") != "" and v.get("msgsperfolder", "0") != "0", "and folder_by_date exclude each other"),
+    Rule("dir", lambda v: ".." in v.get("dir", ""), "must not lead upwards"),
+    Rule("defaultindex", lambda v: v.get("defaultindex", INDEXES[0]) not in INDEXES, f"is one of {', '.join(INDEXES)}"),
+)
+
+
 def validate(text: str) -> list[Diagnostic]:
-    """What is wrong with a config file: line by line, then across fields."""
-    found, probe, seen = [], Config(), {}
+    """What is wrong with a config file: lines that can't be set, then rules that the set ones break."""
+    found, given, at = [], {}, {}
     for n, source, key, value in entries(text):
-        if key is None:
-            found.append(Diagnostic(n, "error", source, "malformed entry: neither '=' nor ':'"))
-            continue
-        bare = key.removeprefix("hm_").removeprefix("set_")
+        name = (key or "").removeprefix("hm_").removeprefix("set_")
         try:
-            probe.set(bare, value)
-            seen[bare] = (n, value)
+            if key is None:
+                raise ConfigError("is neither an assignment nor a comment")
+            Config().set(name, value)
+            given[name], at[name] = value, n
         except ConfigError as e:
-            soft = bare in DEPRECATED or probe.kind(bare) == "unknown"
-            text_ = f"unknown config key {bare!r}: ignored" if probe.kind(bare) == "unknown" and bare not in DEPRECATED else str(e)
-            found.append(Diagnostic(n, "warning" if soft else "error", source, text_))
-
-    def value_of(key: str) -> str | None:
-        return seen[key][1] if key in seen else None
-
-    def error(key: str, message: str) -> None:
-        found.append(Diagnostic(seen[key][0], "error", f"{key} = {seen[key][1]}", message))
-
-    truthy = lambda v: v is not None and v.lower() in ("on", "yes", "1", "true")
-    if truthy(value_of("mbox_shortened")):
-        if not truthy(value_of("usegdbm")):
-            error("mbox_shortened", "mbox_shortened requires usegdbm = On")
-        if value_of("increment") not in (None, "0", "off", "no", "false"):
-            error("mbox_shortened", "mbox_shortened requires increment = 0")
-    if "folder_by_date" in seen and value_of("msgsperfolder") not in (None, "0"):
-        error("msgsperfolder", "msgsperfolder and folder_by_date can't be used together")
-    if ".." in (value_of("dir") or ""):
-        error("dir", "dir holds '..'")
-    if value_of("showhtml") not in (None, "0", "1", "2"):
-        error("showhtml", "showhtml is 0, 1 or 2")
-    if value_of("defaultindex") not in (None, *INDEXES):
-        error("defaultindex", f"defaultindex is one of {', '.join(INDEXES)}")
-    return found
+            ignored = name in DEPRECATED or key is not None and Config().kind(name) == "unknown"
+            found.append(Diagnostic(n, "warning" if ignored else "error", source, str(e)))
+    return found + [Diagnostic(at[r.key], "error", f"{r.key} = {given[r.key]}", f"{r.key} {r.says}") for r in RULES if r.key in given and r.broken(given)]
 
 
 def check(config: Config) -> list[str]:
     """Combinations that can't run."""
-    out = []
-    if config.mbox_shortened and not config.usegdbm:
-        out.append("mbox_shortened requires usegdbm")
-    if config.mbox_shortened and config.increment != 0:
-        out.append("mbox_shortened requires increment = 0")
-    if config.folder_by_date and config.msgsperfolder:
-        out.append("msgsperfolder and folder_by_date can't be used together")
-    return out
+    values = {f.name: "" if (v := getattr(config, f.name)) is None else "on" if v is True else "off" if v is False else str(v) for f in fields(config)}
+    return [f"{r.key} {r.says}" for r in RULES if r.key != "dir" and r.broken(values)]

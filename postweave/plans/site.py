@@ -5,6 +5,8 @@ An index of any length becomes pages of a bounded number of rows.
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from contextlib import nullcontext
 from dataclasses import replace
 from functools import reduce
@@ -21,6 +23,7 @@ from ..sources.locale import word
 from .render import Templates, articles, author_cell, escaped, framed, href_of, index_row, index_rows, names, overview_xml, page_values, subject_cell
 from .sinks import append_msgids, is_empty_archive, is_local, locked, message_index_lines, write_latest, write_overview, write_pages, write_search, write_tables
 
+log = logging.getLogger("postweave")
 ROWS = 1000
 #: Index kinds in the order of their links, with the word that names each.
 KINDS = (("date", "Date"), ("thread", "Thread"), ("subject", "Subject"), ("author", "Author"), ("attachment", "Attachment"))
@@ -141,17 +144,32 @@ def index_pages(tables: dict[str, DataFrame], config: Config, templates: Templat
     return reduce(DataFrame.unionByName, out)
 
 
+def telling(config: Config) -> Callable[[str], None]:
+    """Says each step where progress is asked for."""
+    return (lambda step: log.info("writing %s", step)) if config.progress else lambda step: None
+
+
+def warnings(messages: DataFrame) -> DataFrame:
+    """One row a list: how many messages have no date, no id, no author or no subject."""
+    empty = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) == "")
+    return messages.groupBy("list_id").agg(F.count_if(F.col("date") <= 0).alias("undated"), empty("msgid").alias("without_id"), empty("name").alias("without_author"), empty("subject").alias("without_subject"))
+
+
 def write_archive(tables: dict[str, DataFrame], root: str, config: Config, only: DataFrame | None = None) -> None:
     """Tables, then articles (of only, in an update), then every index, then the side files, then the
     links to the newest folders; under the archive's lock where its root is a local folder."""
-    messages = tables["messages"]
+    messages, tell = tables["messages"], telling(config)
     with locked(root) if config.uselock and is_local(root) else nullcontext():
         templates = Templates.load(messages.sparkSession, config)
         again = config.overwrite or only is not None or is_local(root) and is_empty_archive(root)
+        tell("tables")
         write_tables({k: v for k, v in tables.items() if k not in ("body_lines", "postings")}, f"{root}/tables")
         fresh = messages if only is None else messages.join(only.select("list_id", "msgnum"), ["list_id", "msgnum"], "left_semi")
+        tell("articles")
         write_pages(articles(fresh, tables["body_lines"], tables["reply_edges"], config, templates), root, config.filemode, again, "articles", config.dirmode)
+        tell("indexes")
         write_pages(index_pages(tables, config, templates), root, config.filemode, True, "indexes", config.dirmode)
+        tell("side files")
         write_search(messages, root)
         if config.writehaof:
             write_overview(overview_xml(messages), root)
@@ -159,5 +177,8 @@ def write_archive(tables: dict[str, DataFrame], root: str, config: Config, only:
             message_index_lines(messages, names(config)).select("value").write.mode("overwrite").text(f"{root}/msgindex")
         if config.append:
             append_msgids(messages, root)
+        if config.show_warnings:
+            tell("warnings")
+            warnings(messages).write.mode("overwrite").parquet(f"{root}/warnings")
         if config.latest_folder and is_local(root):
             write_latest(latest_folder(messages), root, config.latest_folder)

@@ -11,13 +11,15 @@ from __future__ import annotations
 import glob
 import os
 import re
+import sys
 from collections.abc import Iterator
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from ..operators.ranking import positions
+from ..operators.ranking import positions, shared_dir
 
 RAW_SCHEMA = "list_id string, pos bigint, from_line string, headers binary, body binary"
 MAX_MESSAGE = 100 << 20
@@ -138,6 +140,20 @@ class MailboxSource(DataSource):
         return MailboxStream(self.options)
 
 
+def read_stdin(spark: SparkSession, stream=None, name: str = "stdin", form: str = "mboxo", max_message: int = MAX_MESSAGE) -> DataFrame:
+    """raw_messages of one mailbox that comes as a stream of bytes, by default standard input. It is
+    copied to the shared folder in blocks, so that tasks can share it, and is one list, `name`."""
+    path = f"{shared_dir(spark)}/postweave/in_{uuid4().hex[:12]}/{name}.mbox"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    try:
+        while block := (stream or sys.stdin.buffer).read(1 << 20):
+            out.write(bytearray(block))
+    finally:
+        out.close()
+    return read_mailboxes(spark, path, form, max_message)
+
+
 def read_mailboxes(spark: SparkSession, path: str, form: str = "mboxo", max_message: int = MAX_MESSAGE) -> DataFrame:
     """raw_messages of all mailboxes under path, one list for each file."""
     text = spark.read.option("lineSep", "\nFrom ").text(path).select(

@@ -177,6 +177,21 @@ def test_templates_reach_the_pages(spark, box, tmp_path):
     assert "(deleted message)" in stub[0] and "Hi all" not in stub[0]
 
 
+def test_standard_input(spark):
+    import io
+
+    got = mbox.read_stdin(spark, io.BytesIO(SIMPLE.encode())).collect()
+    assert len(got) == 3 and {r.list_id for r in got} == {"stdin"}
+
+
+def test_progress_and_warnings(spark, box, tmp_path, caplog):
+    c = config.Config(progress=1, show_warnings=True)
+    with caplog.at_level("INFO", "postweave"):
+        site.write_archive(archive.build_archive(spark, box, c), str(tmp_path / "s"), c)
+    assert [r.getMessage() for r in caplog.records if r.name == "postweave"] == [f"writing {x}" for x in ("tables", "articles", "indexes", "side files", "warnings")]
+    assert spark.read.parquet(f"file://{tmp_path}/s/warnings").first().undated == 0
+
+
 def test_pages_outside_local_folders(spark, box):
     assert not sinks.is_local("s3a://bucket/site") and sinks.is_local("/a/b") and sinks.is_local("file:///a")
 
