@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    # written, so that the join's sides are plain shuffles, of which a star's part can be split
+    least = scratch.save(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), f"{name}_large")
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+def _small_star(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
+    edges = scratch.save(edges, f"{name}_edges")
+    least = scratch.save(edges.groupBy("a").agg(F.min("b").alias("m")), f"{name}_small")
     moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -33,7 +35,7 @@ def connected(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         if state == before or not state[0]:
             break
         before, k = state, k + 1
-        now = scratch.save(_small_star(_large_star(now)).distinct(), f"{name}_{k}")
+        now = scratch.save(_small_star(scratch, _large_star(scratch, now, f"{name}_{k}"), f"{name}_{k}").distinct(), f"{name}_{k}")
         scratch.drop(f"{name}_{k - 1}")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -51,6 +51,8 @@ class DigestIndex:
         groupBy combines before its shuffle, so a digest with a third of the rows is one row a task.
         """
         best = batch.groupBy("digest").agg(F.max(F.struct("doc_id", "own", "row")).alias("best"))
+        # written, since the optimizer would put the join below the aggregate, and all rows into its shuffle
+        best = Scratch(self.spark, "batch").save(best, "best")
         new = best.join(self.entries().hint("merge"), "digest", "left_anti")
         self._append(new.select("digest", F.col("best.doc_id").alias("keep_id"), F.lit(self.run).alias("run"), F.col("best.row").alias("row")), "append")
         self.spark.catalog.refreshTable(self.table)

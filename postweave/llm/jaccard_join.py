@@ -10,10 +10,10 @@
    of bounded size. Each group links its own sets and stores the union of their tokens.
 4. Token-group matrix. Its rows are the rare prefix tokens that a partner must share (prefix filter:
    sampled tokens first, in ascending estimate), its columns pivots: one entry for a token and a pivot,
-   however many sets have it. Pivots that share a token and whose sizes fit meet, and so do the groups
-   of one pivot; only these pairs are expanded to groups. Each set of the one group is a query: its
-   overlap with the other group's stored union is bounded first, and only where it reaches the least
-   overlap of a link the group is opened, that is, its members are read and compared.
+   however many sets have it. A set is a query to the larger pivots that have SHARED of its prefix tokens
+   and whose sizes fit, and to the later groups of its own pivot; only then pivots are expanded to groups.
+   The query's overlap with a group's stored union is bounded first, and only where it reaches the
+   least overlap of a link the group is opened, that is, its members are read and compared.
 5. Components of all links, and how many links each document has.
 
 Every pair that may link is met once, within families too, and counts for both of its sets, weighted
@@ -33,21 +33,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, partitions
 from .components import connected
 from .kernels import U64, Words, mix, shingle_sets
 from .sketch import Chunk, Exchange, Layout, int_list
 
-#: Sets in one group, and queries that one task puts to a group: at most, and at least before it is cut.
-BLOCK_SETS, QUERY_SETS, LEAST_SETS = 1024, 2048, 128
+#: Sets in one group, queries that one task puts to a group, and tokens of either: about, at most.
+BLOCK_SETS, QUERY_SETS, BLOCK_TOKENS = 1024, 1024, 1 << 20
 SET_SCHEMA = "doc_id bigint, n bigint, set_hash binary, tokens binary, singles int, keys array<bigint>"
 #: Minimum hashes of a set; one in 2^SAMPLE_BITS shingles is counted.
 KEYS, SAMPLE_BITS = 8, 2
+#: Tokens of their prefixes that two sets must share before the one is put to the other's groups.
+SHARED = 8
 GROUP = ("pivot", "block")
 LINK_SCHEMA = "sid bigint, other bigint, n_links bigint"
 #: Also, with sid null, each group's union and sizes.
@@ -60,8 +61,16 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def shared_least(percent: int) -> Column:
+    """How many tokens the prefixes of a set (n) and of any set that it links with share at least: SHARED,
+    or fewer where the least size of a partner asks for less."""
+    return F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(F.col("n") * (percent * percent) / 10_000)))
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return n - least_overlap(n, percent) + 1
+    """A set lacks n - least_overlap of its tokens at most, so that of so many first ones as many are
+    shared as shared_least says, in whatever order all sets have."""
+    return min(n, n - least_overlap(n, percent) + SHARED)
 
 
 def linked(common, n, m, percent: int):
@@ -103,132 +112,127 @@ def describe(batches: Iterator[pa.RecordBatch], k: int, percent: int, layout: La
                 [chunk.ids(), pa.array(sizes), *[pa.array(c, t) for c, t in zip(zip(*out), types)]], ["doc_id", "n", "set_hash", "tokens", "singles", "keys"])
 
 
-class Forest:
-    """Union-find over 0..n-1; the smaller label is the root."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], step: int = 2048) -> np.ndarray:
+    """How many tokens each set of a shares with each set of b. Tokens that many sets have are counted
+    by products of dense columns, the others by their pairs of owners."""
+    na, nb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    _, token = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    owner = np.concatenate([np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)])
+    split, size = int(na.sum()), int(token.max()) + 1 if len(token) else 0
+    ca, cb = np.bincount(token[:split], minlength=size), np.bincount(token[split:], minlength=size)
+    out = np.zeros((len(a), len(b)), np.float32)
+    dense = np.flatnonzero(ca * cb * 32 >= len(a) * len(b))
+    for lo in range(0, len(dense), step):
+        place = np.full(size, -1)
+        place[dense[lo: lo + step]] = np.arange(len(dense[lo: lo + step]))
+        sides = []
+        for own, rows, n in ((slice(0, split), len(a), na), (slice(split, None), len(b), nb)):
+            x, at = np.zeros((rows, len(dense[lo: lo + step])), np.float32), place[token[own]]
+            x[owner[own][at >= 0], at[at >= 0]] = 1
+            sides.append(x)
+        out += sides[0] @ sides[1].T
+    few = (ca > 0) & (cb > 0)
+    few[dense] = False
+    # the sparse tokens of a, each with the run of its owners in b; some rows of a at a time
+    order = np.argsort(token[split:], kind="stable")
+    first, mine = np.concatenate([[0], np.cumsum(cb)]), np.flatnonzero(few[token[:split]])
+    for part in np.array_split(mine, 1 + (int(cb[token[mine]].sum()) >> 20) + (out.size >> 20)):
+        n = cb[token[part]]
+        if not n.sum():
+            continue
+        at = np.repeat(first[token[part]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        lo, hi = owner[part[0]], owner[part[-1]] + 1
+        pairs = np.repeat(owner[part] - lo, n) * len(b) + owner[split:][order[at]]
+        out[lo:hi] += np.bincount(pairs, minlength=(hi - lo) * len(b)).reshape(hi - lo, len(b))
+    return out
 
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
 
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+def links_between(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    n, m, common = np.array([len(x) for x in a]), np.array([len(x) for x in b]), overlaps(a, b)
+    out = np.empty(common.shape, bool)
+    for lo in range(0, len(a), 64):
+        out[lo: lo + 64] = linked(common[lo: lo + 64].astype(np.int64), n[lo: lo + 64, None], m, percent)
+    return out
 
-    def roots(self) -> np.ndarray:
-        return np.array([self.root(i) for i in range(len(self.up))])
 
+def merged_labels(links: np.ndarray) -> np.ndarray:
+    """A label for each column: columns that rows link with together have one label, the least column."""
+    label = np.arange(links.shape[1])
+    for row in links:
+        own = np.unique(label[row])
+        if len(own) > 1:
+            label[np.isin(label, own)] = own[0]
+    return label
 
-class Postings:
-    """Sets of one group by token: overlaps of a query with all of them in one pass."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.n = np.array([len(s) for s in sets])
-        every = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), self.n)
-        order = np.argsort(every, kind="stable")
-        self.owner = owner[order]
-        self.union, first = np.unique(every[order], return_index=True)
-        self.first = np.append(first, len(every))
+def rows_of(edges: tuple[np.ndarray, np.ndarray], ids: np.ndarray, n_links: np.ndarray) -> dict[str, np.ndarray]:
+    """Edges (sid, other) and counts (sid, sid, n_links) as columns of one table."""
+    own = n_links > 0
+    return {"sid": np.concatenate([edges[0], ids[own]]).astype(np.int64), "other": np.concatenate([edges[1], ids[own]]).astype(np.int64),
+            "n_links": np.concatenate([np.zeros(len(edges[0]), np.int64), n_links[own]]).astype(np.int64)}
 
-    def shared(self, query: np.ndarray) -> np.ndarray:
-        """Where the query's tokens stand in the union."""
-        at = np.searchsorted(self.union, query)
-        at[at == len(self.union)] = 0
-        return at[self.union[at] == query]
 
-    def overlaps(self, at: np.ndarray) -> np.ndarray:
-        lo, n = self.first[at], self.first[at + 1] - self.first[at]
-        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.bincount(self.owner[rows], minlength=len(self.n))
+def pairs_of(links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> dict[str, np.ndarray]:
+    at, other = np.nonzero(links)
+    return {"sid": rows[at].astype(np.int64), "other": columns[other].astype(np.int64), "n_links": np.zeros(len(at), np.int64)}
 
 
-def probe(index: Postings, query: np.ndarray, percent: int) -> np.ndarray:
-    """The group's sets that the query links with; none unless the bound lets the group open."""
-    at = index.shared(query)
-    if len(at) < least_overlap(len(query), percent):
-        return np.empty(0, np.int64)
-    return np.flatnonzero(linked(index.overlaps(at), len(query), index.n, percent))
+def tokens_in(table: pa.Table, name: str = "tokens") -> list[np.ndarray]:
+    return [np.frombuffer(t, U64) for t in table[name].to_pylist()]
 
 
-def edges_of(ids: np.ndarray, roots: np.ndarray) -> pd.DataFrame:
-    own = roots != np.arange(len(roots))
-    return pd.DataFrame({"a": ids[own].astype(np.int64), "b": ids[roots[own]].astype(np.int64)})
+def ints_in(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].to_numpy()
 
 
-def rows_of(edges: pd.DataFrame, ids: np.ndarray, n_links: np.ndarray) -> pd.DataFrame:
-    """Edges (sid, other) and counts (sid, sid, n_links) as rows of one table."""
-    own = n_links > 0
-    return pd.concat([
-        pd.DataFrame({"sid": edges["a"], "other": edges["b"], "n_links": np.zeros(len(edges), np.int64)}),
-        pd.DataFrame({"sid": ids[own].astype(np.int64), "other": ids[own].astype(np.int64), "n_links": n_links[own].astype(np.int64)})])
-
-
-def pairs_of(pairs: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
-    found = [np.empty(0, np.int64), *[f for _, f in pairs]]
-    sids = np.repeat(np.array([-1, *[r for r, _ in pairs]], np.int64), [len(f) for f in found])
-    return pd.DataFrame({"sid": sids, "other": np.concatenate(found).astype(np.int64), "n_links": np.zeros(len(sids), np.int64)})
-
-
-def link_block(pdf: pd.DataFrame, percent: int, listed: bool = False) -> pd.DataFrame:
-    """Links within one group: every set is probed, and what leaves is at most one edge and one
-    count for each set (or, listed, all its links once); and the group's union."""
-    pdf = pdf.sort_values(["n", "sid"])
-    sets = [np.frombuffer(t, U64) for t in pdf["tokens"]]
-    ids, copies = pdf["sid"].to_numpy(), pdf["copies"].to_numpy()
-    index, forest, n_links, pairs = Postings(sets), Forest(len(sets)), np.zeros(len(sets), np.int64), []
-    for i, query in enumerate(sets):
-        found = probe(index, query, percent)
-        n_links[i] = copies[found].sum() - copies[i]
-        if listed:
-            pairs.append((ids[i], ids[found[found > i]]))
-            continue
-        for r in {forest.root(int(j)) for j in found}:
-            forest.join(i, r)
-    links = pairs_of(pairs) if listed else rows_of(edges_of(ids, forest.roots()), ids, n_links)
-    union = pd.DataFrame({"pivot": [pdf["pivot"].iat[0]], "block": [pdf["block"].iat[0]], "n_min": [index.n.min()], "n_max": [index.n.max()], "tokens": [index.union.tobytes()]})
-    names = [f.split()[0] for f in BLOCK_SCHEMA.split(", ")]
-    return pd.concat([links.reindex(columns=names).astype(object), union.reindex(columns=names).astype(object)]).where(lambda x: x.notna(), None)
+def link_block(group: pa.Table, percent: int, listed: bool = False) -> pa.Table:
+    """Links within one group: what leaves is at most one edge and one count for each set (or, listed,
+    all its links once); and the group's union."""
+    sets, ids, copies, n = tokens_in(group), ints_in(group, "sid"), ints_in(group, "copies"), ints_in(group, "n")
+    none = np.empty(0, np.int64)
+    if listed:
+        found = pairs_of(np.triu(links_between(sets, sets, percent), 1), ids, ids)
+    elif len(sets) == 1:
+        found = rows_of((none, none), none, none)
+    else:
+        links = links_between(sets, sets, percent)
+        label = merged_labels(links)
+        own = label != np.arange(len(ids))
+        found = rows_of((ids[own], ids[label[own]]), ids, links @ copies - copies)
+    k = len(found["sid"])
+    union = (sets[0] if len(sets) == 1 else np.concatenate(sets))
+    last = {"pivot": group["pivot"][0].as_py(), "block": group["block"][0].as_py(), "n_min": int(n.min()), "n_max": int(n.max()), "tokens": np.unique(union).tobytes()}
+    columns = [pa.array(np.append(found[c], 0), mask=np.arange(k + 1) == k) for c in ("sid", "other", "n_links")]
+    columns += [pa.array([None] * k + [v], t) for v, t in zip(last.values(), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
+    return pa.table(columns, names=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
 
 
-def open_groups(queries: pd.DataFrame, unions: pd.DataFrame, percent: int) -> pd.DataFrame:
+def open_groups(queries: pa.Table, unions: pa.Table) -> pa.Table:
     """Queries whose overlap with the group's union lets a link be: only for them it is opened."""
-    out = pd.DataFrame({"g_pivot": queries["g_pivot"], "g_block": queries["g_block"], "part": queries["part"], "sid": queries["sid"]})
+    out = queries.select(["g_pivot", "g_block", "part", "sid"])
     if not len(queries) or not len(unions):
-        return out.iloc[:0]
-    union = np.frombuffer(unions["g_tokens"].iat[0], U64)
-    keep = np.zeros(len(queries), bool)
-    for i, tokens in enumerate(queries["tokens"]):
-        query = np.frombuffer(tokens, U64)
+        return out.slice(0, 0)
+    union, keep = tokens_in(unions, "g_tokens")[0], np.zeros(len(queries), bool)
+    for i, (query, least) in enumerate(zip(tokens_in(queries), ints_in(queries, "least").tolist())):
         at = np.minimum(np.searchsorted(union, query), len(union) - 1)
-        keep[i] = np.count_nonzero(union[at] == query) >= least_overlap(len(query), percent)
-    return out[keep]
+        keep[i] = np.count_nonzero(union[at] == query) >= least
+    return out.filter(pa.array(keep))
 
 
-def link_queries(queries: pd.DataFrame, members: pd.DataFrame, percent: int, listed: bool = False) -> pd.DataFrame:
-    """Queries against one opened group: every link counts for both of its sets; at most one edge and
-    one count leave for each set of either side (or, listed, all links)."""
+def link_queries(queries: pa.Table, members: pa.Table, percent: int, listed: bool = False) -> pa.Table:
+    """Queries against one opened group: every link counts for both of its sets; at most one edge and one
+    count leave for each set of either side (or, listed, all links)."""
+    none = np.empty(0, np.int64)
     if not len(queries) or not len(members):
-        return pairs_of([])
-    index = Postings([np.frombuffer(t, U64) for t in members["tokens"]])
-    ids, copies, asks, weight = (members["sid"].to_numpy(), members["copies"].to_numpy(), queries["sid"].to_numpy(), queries["copies"].to_numpy())
-    both, forest, pairs = np.concatenate([ids, asks]), Forest(len(ids) + len(asks)), []
-    n_links = np.zeros(len(both), np.int64)
-    for i, tokens in enumerate(queries["tokens"]):
-        found = probe(index, np.frombuffer(tokens, U64), percent)
-        if listed:
-            pairs.append((asks[i], ids[found]))
-            continue
-        n_links[found] += weight[i]
-        n_links[len(ids) + i] = copies[found].sum()
-        for r in {forest.root(int(j)) for j in found}:
-            forest.join(len(ids) + i, r)
-    return pairs_of(pairs) if listed else rows_of(edges_of(both, forest.roots()), both, n_links)
+        return pa.table(rows_of((none, none), none, none))
+    ids, copies, asks, weight = ints_in(members, "sid"), ints_in(members, "copies"), ints_in(queries, "sid"), ints_in(queries, "copies")
+    links = links_between(tokens_in(queries), tokens_in(members), percent)
+    if listed:
+        return pa.table(pairs_of(links, asks, ids))
+    label, some = merged_labels(links), links.any(1)
+    own = label != np.arange(len(ids))
+    edges = (np.concatenate([ids[own], asks[some]]), np.concatenate([ids[label[own]], ids[label[links[some].argmax(1)]]]))
+    return pa.table(rows_of(edges, np.concatenate([ids, asks]), np.concatenate([weight @ links, links @ copies])))
 
 
 def prefix_tokens(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -243,32 +247,29 @@ def prefix_tokens(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *rest], ["token", *rows.schema.names[2:]])
 
 
-def parts_of(count: Column, most: int) -> Column:
-    """How many parts: of at most `most` rows, and smaller where that gives more tasks something to do."""
-    size = F.least(F.lit(most), F.greatest(F.lit(LEAST_SETS), 4 * F.sqrt(count)))
-    return F.ceil(count / size)
-
-
 def blocks_of(sets: DataFrame, keys: list[str], most: int, name: str) -> DataFrame:
-    """Adds the part of its key in which each row is. Counts combine before their shuffle, and the join
-    back may be split, so that a key with a third of the sets is no hot task."""
-    n = sets.groupBy(*keys).agg(parts_of(F.count(F.lit(1)), most).alias("_parts"))
+    """Adds the part of its key in which each row (sid, n) is, and size, the rows of the key; a part has about
+    `most` rows and BLOCK_TOKENS tokens at most. Counts combine before their shuffle, and the join back
+    may be split, so that a key with a third of the sets is no hot task."""
+    rows = F.count(F.lit(1))
+    n = sets.groupBy(*keys).agg(rows.alias("size"), F.greatest(F.ceil(rows / most), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("_parts"))
     return sets.join(n, keys).withColumn(name, F.pmod(F.xxhash64("sid"), F.col("_parts")).cast("int")).drop("_parts")
 
 
 def grouped(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """sets with pivot, the key of each that most sets have, and block."""
-    keyed = sets.select("sid", F.explode("keys").alias("key"))
+    """sets with pivot, the key of each that most sets have, size, the sets of the pivot, and block. Ids
+    alone are dealt until then; the sets, bucketed by set_hash, meet them without a shuffle."""
+    keyed = sets.select("set_hash", "sid", "n", F.explode("keys").alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_c"))
-    pivots = keyed.join(counts, "key").groupBy("sid").agg(F.max_by("key", F.struct("_c", "key")).alias("pivot"))
-    own = scratch.save(sets.drop("keys").join(pivots, "sid"), "pivots")
-    return scratch.save(blocks_of(own, ["pivot"], BLOCK_SETS, "block"), "blocks")
+    pivots = keyed.join(counts, "key").groupBy("set_hash", "sid", "n").agg(F.max_by("key", F.struct("_c", "key")).alias("pivot"))
+    own = blocks_of(scratch.save(pivots, "pivots"), ["pivot"], BLOCK_SETS, "block").drop("n", "sid")
+    return scratch.save(sets.drop("keys").join(own.hint("merge"), "set_hash").drop("set_hash"), "blocks")
 
 
 def first_links(blocks: DataFrame, percent: int, listed: bool) -> DataFrame:
     """Links within each group, and its union."""
     own = blocks.select(*GROUP, "sid", "n", "tokens", "copies")
-    return own.groupBy(*GROUP).applyInPandas(lambda p: link_block(p, percent, listed), BLOCK_SCHEMA)
+    return own.groupBy(*GROUP).applyInArrow(lambda t: link_block(t, percent, listed), BLOCK_SCHEMA)
 
 
 def renamed(df: DataFrame, *names: str) -> list[Column]:
@@ -282,19 +283,25 @@ def fits(percent: int) -> Column:
 
 
 def met_groups(own: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs of groups that may have a link between them, each once: (pivot, block, g_pivot, g_block).
-
-    own: sid, n, tokens, singles, pivot and block; groups: pivot, block, n_min, n_max."""
-    spread = own.select("tokens", "singles", "pivot", "n").mapInArrow(lambda b: prefix_tokens(b, percent), "token bigint, pivot bigint, n bigint")
-    matrix = scratch.save(spread.groupBy("token", "pivot").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max")), "matrix")
-    other = matrix.select(*renamed(matrix, "pivot", "n_min", "n_max"))
-    pivots = matrix.join(other, "token").filter((F.col("pivot") < F.col("g_pivot")) & fits(percent)).select("pivot", "g_pivot").distinct()
+    """(sid, n, g_pivot, g_block): the groups that each set is put to, each pair of sets at most once.
+
+    own: sid, n, tokens, singles, pivot and block; groups: pivot, block, n_min, n_max. Sets meet pivots
+    by prefix tokens, which are as many entries as sets have them, and not more for a large family; the
+    pivots are expanded to their groups only after that."""
+    spread = scratch.save(own.select("tokens", "singles", "sid", "pivot", "size", "n").mapInArrow(
+        lambda b: prefix_tokens(b, percent), "token bigint, sid bigint, pivot bigint, size bigint, n bigint"), "prefixes")
+    matrix = scratch.save(spread.groupBy("token", "pivot", "size").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max")), "matrix")
+    matrix = matrix.select(*renamed(matrix, "pivot", "size", "n_min", "n_max"))
+    one = spread.withColumns({"n_min": F.col("n"), "n_max": F.col("n")})
+    # the few sets of a small pivot ask the large one
+    once = F.struct("size", "pivot") < F.struct("g_size", "g_pivot")
+    asked = one.join(matrix, "token").filter(once & fits(percent)).groupBy("sid", "n", "g_pivot").agg(F.count(F.lit(1)).alias("_shared")).filter(
+        F.col("_shared") >= shared_least(percent)).drop("_shared")
     groups = groups.select("pivot", "block", "n_min", "n_max")
-    others = groups.select(*renamed(groups, *groups.columns))
-    apart = pivots.join(groups, "pivot").join(others, "g_pivot")
-    together = groups.join(others, F.col("pivot") == F.col("g_pivot")).filter("block < g_block")
-    names = ["pivot", "block", "g_pivot", "g_block"]
-    return scratch.save(apart.filter(fits(percent)).select(names).unionByName(together.filter(fits(percent)).select(names)), "met")
+    groups = groups.select(*renamed(groups, *groups.columns))
+    family = own.select("sid", "n", F.col("pivot").alias("g_pivot"), "block").join(groups, "g_pivot").filter("block < g_block").drop("block")
+    both = asked.join(groups, "g_pivot").unionByName(family)
+    return both.withColumns({"n_min": F.col("n"), "n_max": F.col("n")}).filter(fits(percent)).select("sid", "n", "g_pivot", "g_block")
 
 
 def group_links(own: DataFrame, unions: DataFrame, scratch: Scratch, percent: int, listed: bool) -> DataFrame:
@@ -304,16 +311,16 @@ def group_links(own: DataFrame, unions: DataFrame, scratch: Scratch, percent: in
     a group with its sizes and its union.
     """
     g_group, key = ["g_pivot", "g_block"], ["g_pivot", "g_block", "part"]
-    met = met_groups(own, unions, scratch, percent)
-    ids = scratch.save(blocks_of(met.join(own.select(*GROUP, "sid"), list(GROUP)).select("sid", *g_group), g_group, QUERY_SETS, "part"), "queries")
+    met = scratch.save(met_groups(own, unions, scratch, percent), "met")
+    ids = scratch.save(blocks_of(met, g_group, QUERY_SETS, "part").drop("size"), "queries")
     sets, stored = own.select("sid", "tokens", "copies"), unions.select(*renamed(unions, *GROUP, "tokens")).select(*g_group, "g_tokens")
     # read anew, so that the two sides of a cogroup have columns of their own
     bounds = stored.join(scratch.load(ids, "queries").select(*key).distinct(), g_group)
-    opened = scratch.save(ids.join(sets.drop("copies"), "sid").groupBy(*key).cogroup(bounds.groupBy(*key)).applyInPandas(
-        lambda q, u: open_groups(q, u, percent), OPEN_SCHEMA), "opened")
+    asks = ids.withColumn("least", F.ceil(F.col("n") * percent / 100)).join(sets.drop("copies"), "sid").select(*key, "sid", "least", "tokens")
+    opened = scratch.save(asks.groupBy(*key).cogroup(bounds.groupBy(*key)).applyInArrow(open_groups, OPEN_SCHEMA), "opened")
     again = scratch.load(own, "blocks")
     members = again.select(*renamed(again, *GROUP)).select(*g_group, "sid", "tokens", "copies").join(scratch.load(opened, "opened").select(*key).distinct(), g_group)
-    return opened.join(sets, "sid").groupBy(*key).cogroup(members.groupBy(*key)).applyInPandas(
+    return opened.join(sets, "sid").groupBy(*key).cogroup(members.groupBy(*key)).applyInArrow(
         lambda q, m: link_queries(q, m, percent, listed), LINK_SCHEMA)
 
 
@@ -328,9 +335,9 @@ def links_of(sets: DataFrame, scratch: Scratch, percent: int, listed: bool = Fal
 
 
 def report(scratch: Scratch) -> dict[str, int]:
-    """After a join: distinct sets, entries of the matrix, pairs of groups met, queries put to a group's
-    union, and queries for which the group was opened."""
-    return {n: scratch.spark.read.parquet(scratch.path(n)).count() for n in ("distinct", "matrix", "met", "queries", "opened")}
+    """After a join: distinct sets, their prefix tokens, entries of the matrix (token, pivot), queries put to
+    the union of a group, and queries for which the group was opened."""
+    return {n: scratch.spark.read.parquet(scratch.path(n)).count() for n in ("distinct", "prefixes", "matrix", "queries", "opened")}
 
 
 def distinct_sets(spark: SparkSession, docs: DataFrame, k: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame, Scratch]:
@@ -349,14 +356,15 @@ def distinct_sets(spark: SparkSession, docs: DataFrame, k: int, percent: int, de
     first = [F.first(c).alias(c) for c in ("n", "tokens", "singles", "keys")]
     distinct = may.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *first)
     # numbered as written: two sets may share a doc_id
-    return described, scratch.save(distinct.withColumn("sid", F.monotonically_increasing_id()), "distinct"), scratch
+    numbered = distinct.withColumn("sid", F.monotonically_increasing_id())
+    return described, scratch.bucketed(numbered, "distinct", partitions(spark), "set_hash"), scratch
 
 
 def links(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, depth: int = 1) -> DataFrame:
     """(rep, other): every link between distinct sets once, each named by its least doc_id; copies
     of one set, which all link with each other, aren't listed."""
     _, distinct, scratch = distinct_sets(spark, docs, k, percent, depth)
-    found, names = links_of(distinct.drop("set_hash", "rep"), scratch, percent, True), distinct.select("sid", "rep")
+    found, names = links_of(distinct.drop("rep"), scratch, percent, True), distinct.select("sid", "rep")
     return found.join(names, "sid").join(names.select(F.col("sid").alias("other"), F.col("rep").alias("_rep")), "other").select("rep", F.col("_rep").alias("other"))
 
 
@@ -365,7 +373,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, de
     of percent/100 or more between sets of k-word shingles) and n_links: how many other rows with a
     doc_id this one links with, rows of an equal set included. counts, if given, gets the report."""
     described, distinct, scratch = distinct_sets(spark, docs, k, percent, depth)
-    found = links_of(distinct.drop("set_hash", "rep"), scratch, percent)
+    found = links_of(distinct.drop("rep"), scratch, percent)
     labels = connected(scratch, found.filter("sid <> other").select(F.col("sid").alias("a"), F.col("other").alias("b")), "links").withColumnRenamed("node", "sid")
     far = found.groupBy("sid").agg(F.sum("n_links").alias("n_far"))
     reps = scratch.save(distinct.select("set_hash", "sid", "rep", "copies").join(labels, "sid", "left").join(far, "sid", "left").select(
@@ -383,3 +391,21 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, de
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark, documents(spark, sf_dir), k=4, percent=85)
+
+
+#: Links between distinct sets, then the least doc_id that each reaches, and links weighted by copies.
+ORACLE_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS grams FROM t),
+d AS (SELECT grams, min(doc_id) AS rep, count(*) AS copies FROM g WHERE len(grams) > 0 GROUP BY grams),
+p AS (SELECT rep, len(grams) AS n, unnest(grams) AS gram FROM d),
+l AS (SELECT a.rep AS a, b.rep AS b FROM p a JOIN p b ON a.gram = b.gram AND a.rep <> b.rep
+      GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT rep, rep FROM d UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a),
+f AS (SELECT l.a AS rep, sum(d.copies) AS n FROM l JOIN d ON d.rep = l.b GROUP BY l.a)
+SELECT g.doc_id, CAST(len(g.grams) AS BIGINT) AS n_shingles, coalesce(c.component_id, g.doc_id) AS component_id, CAST(coalesce(d.copies - 1, 0) + coalesce(f.n, 0) AS BIGINT) AS n_links
+FROM g LEFT JOIN d ON d.grams = g.grams LEFT JOIN c ON c.rep = d.rep LEFT JOIN f ON f.rep = d.rep
+"""

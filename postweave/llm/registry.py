@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op5_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op9_substring_dedup": substring_dedup.ORACLE_SQL,
 }

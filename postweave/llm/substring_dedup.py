@@ -140,3 +140,16 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, size: int = 13, depth
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(spark, documents(spark, sf_dir)).drop("kept_text")
+
+
+ORACLE_SQL = """
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS pos, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS win FROM t WHERE len(w) >= 13),
+hit AS (SELECT s.doc_id, s.pos FROM s JOIN (SELECT win, min(doc_id) AS least FROM s GROUP BY win) m USING (win) WHERE m.least < s.doc_id),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM hit, range(13) r(k)),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM t),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.pos) AS text FROM x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.pos = x.pos WHERE g.pos IS NULL GROUP BY x.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

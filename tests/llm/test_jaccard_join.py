@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from postweave.llm import jaccard_join
@@ -118,5 +119,13 @@ def test_a_large_family(spark):
     assert {r.component_id for r in got if r.doc_id < 3000} == {0}
     assert {r.n_links for r in got if r.doc_id < 3000} == {2999}
     # 12 pieces of the family at least: each set queries half of them, not each other set
-    assert counts["distinct"] >= 3000 and counts["met"] < 600 and counts["opened"] <= counts["queries"] < 3000 * 20
-    assert counts["matrix"] < 20 * 3000
+    assert counts["distinct"] >= 3000 and counts["opened"] <= counts["queries"] < 3000 * 20
+    assert counts["matrix"] <= counts["prefixes"] < 30 * 3000
+
+
+def test_overlaps():
+    rng = np.random.default_rng(5)
+    for size, width in ((6, 40), (90, 12), (40, 3000)):
+        a, b = ([np.unique(rng.integers(0, width, rng.integers(1, 30))).astype(np.uint64) for _ in range(size)] for _ in range(2))
+        want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+        assert (jaccard_join.overlaps(a, b, step=7) == np.array(want)).all()
