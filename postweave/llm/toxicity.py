@@ -35,6 +35,8 @@ SAMPLE_ROWS = 20_000
 #: Terms of the machine: by their own statistic, and by how many documents have them.
 TERMS, COMMON = 2048, 2048
 LEAST_CHI2, LEAST_SHARE = 20.0, 0.001
+#: Words worked on at a time, so that arrays of terms don't grow with the longest text.
+STEP = 1 << 18
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -46,20 +48,22 @@ def below(hashed: Column, share: Column) -> Column:
     return F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53)) < share
 
 
-def terms_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hashed term) of each text, with repeats: words, and their first 4, 5 and 6 bytes,
-    which inflected forms share."""
+def terms_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, hashed term) of each text, with repeats, for some words at a time: words, and their first
+    4, 5 and 6 bytes, which inflected forms share."""
     data, offsets = text_buffer(column)
     words = Words(data, offsets, fold=True, breaks=BREAKS)
-    docs, terms, start = [words.doc], [words.hashes[0] >> U64(64 - BITS)], words.start
-    length, value = words.end - start, np.zeros(len(start), U64)
-    for k in range(1, max(PREFIXES) + 1):
-        value = value << U64(8) | FOLD[data[np.minimum(start + k - 1, len(data) - 1)]] if len(start) else value
-        if k in PREFIXES:
-            own = length >= k
-            docs.append(words.doc[own])
-            terms.append(mix(value[own] + U64(k << 56)) >> U64(64 - BITS))
-    return np.concatenate(docs), np.concatenate(terms).astype(np.int64)
+    for lo in range(0, len(words.doc), STEP):
+        doc, start, end = (x[lo: lo + STEP].astype(np.int64) for x in (words.doc, words.start, words.end))
+        docs, terms = [doc], [words.hashes[0][lo: lo + STEP] >> U64(64 - BITS)]
+        length, value = end - start, np.zeros(len(start), U64)
+        for k in range(1, max(PREFIXES) + 1):
+            value = value << U64(8) | FOLD[data[np.minimum(start + k - 1, len(data) - 1)]]
+            if k in PREFIXES:
+                own = length >= k
+                docs.append(doc[own])
+                terms.append(mix(value[own] + U64(k << 56)) >> U64(64 - BITS))
+        yield np.concatenate(docs), np.concatenate(terms).astype(np.int64)
 
 
 def distinct_pairs(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,13 +82,17 @@ class Machine:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_at"}
 
-    def kept(self, doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct pairs whose term has a weight, as (document, index), by document."""
+    def kept(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct terms of texts that have a weight, as (document, index), by document."""
         if not hasattr(self, "_at"):
             self._at = np.full(1 << BITS, -1, np.int32)
             self._at[self.terms] = np.arange(len(self.terms))
-        at = self._at[term]
-        return distinct_pairs(doc[at >= 0], at[at >= 0])
+        docs, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for doc, term in terms_of(column):
+            at = self._at[term]
+            docs.append(doc[at >= 0])
+            found.append(at[at >= 0])
+        return distinct_pairs(np.concatenate(docs), np.concatenate(found))
 
     def raw(self, doc: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Scores before the sigmoid, and the sums of vectors of each document."""
@@ -185,7 +193,8 @@ def train(rows: DataFrame, terms: int = TERMS, common: int = COMMON, factors: in
         total = np.zeros((2, 1 << BITS), np.int32)
         for b in batches:
             y = np.asarray(b.column(0).to_pylist())
-            doc, term = distinct_pairs(*terms_of(b.column(1)))
+            parts = [distinct_pairs(*part) for part in terms_of(b.column(1))]
+            doc, term = distinct_pairs(*[np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*parts)]) if parts else (np.empty(0, np.int64),) * 2
             for k in (0, 1):
                 total[k] += np.bincount(term[y[doc] == k], minlength=1 << BITS).astype(np.int32)
         at = np.flatnonzero(total.sum(0))
@@ -205,7 +214,7 @@ def train(rows: DataFrame, terms: int = TERMS, common: int = COMMON, factors: in
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, at = machine.kept(*terms_of(b.column(1)))
+            doc, at = machine.kept(b.column(1))
             ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
             out = [at[i:j].astype(np.int16).tobytes() for i, j in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["y", "at"])
@@ -223,7 +232,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).field("text")
-            doc, at = machine.kept(*terms_of(texts))
+            doc, at = machine.kept(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(machine.scores(doc, at, b.num_rows))], ["doc", "score"])
 
     rows = docs.select(whole(docs))
