@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -342,6 +343,34 @@ def _runs(spark, d):
     return lines.coalesce_runs(lines.render_lines(doc_lines(spark, d), 2)).select(F.col("msgnum").alias("doc_id"), "run", "css", "n_lines")
 
 
+@query("q11_rendered_lines", f"""WITH {LINES_SQL}, c AS (SELECT doc_id, line_no, line, CASE WHEN trim(line) = '' THEN 'hm-blank' WHEN line IN ('-- ', '--') THEN 'hm-sig' WHEN line LIKE '>%' THEN
+ concat('hm-quote-', least(9, length(replace(regexp_extract(line, '^([>|:] ?)+'), ' ', '')))) ELSE 'hm-pg' END AS css FROM l)
+SELECT doc_id, line_no, css, CASE css WHEN 'hm-blank' THEN '<div class="hm-blank"></div>' WHEN 'hm-sig' THEN '<hr class="hm-sig">' ELSE concat('<div class="', css, '">',
+ replace(replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), chr(9), '        '), '</div>') END AS html FROM c""")
+def _rendered(spark, d):
+    return lines.render_lines(doc_lines(spark, d), 2).select(F.col("msgnum").alias("doc_id"), "line_no", "css", "html")
+
+
+@query("q9_anchor_tags", "SELECT page_id, regexp_replace(concat(html, '<A name=x>\n', url, '</a>!'), '(?is)<a name.*?</a>', '', 'g') AS html FROM pages")
+def _anchors(spark, d):
+    c = F.concat("html", F.lit("<A name=x>\n"), "url", F.lit("</a>!"))
+    return read(spark, d, "pages").select("page_id", quotes.strip_anchor_tags(c).alias("html"))
+
+
+@query("q13_inline_images", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('<img src="data:image/png;base64,', to_base64(encode(url)), '" alt="inline image">') END AS html FROM pages""")
+def _inline(spark, d):
+    """Of a safe type, of another type, and of data that isn't base64."""
+    k = F.col("page_id") % 3
+    kind, data = F.when(k == 1, "image/svg+xml").otherwise("image/png"), F.base64(F.col("url").cast("binary"))
+    line = F.concat(F.lit("[INLINE_IMAGE:"), kind, F.lit(":"), F.when(k == 2, F.concat(F.lit('"'), data)).otherwise(data), F.lit("]"))
+    return read(spark, d, "pages").select("page_id", quotes.inline_image(line).alias("html"))
+
+
+@query("c18_dated_paths", "SELECT o_orderkey, strftime(o_orderdate, '/a/%Y/%m-%d/%j %b %a %%q%%') AS path FROM orders")
+def _dated_paths(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", dates.dated_path("/a/%y/%m-%d/%j %M %D %q%%", F.col("o_orderdate")).alias("path"))
+
+
 HTML_SQL = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '{1}')"
 
 
@@ -654,23 +683,72 @@ def _parsed_messages(spark, d):
     return parse_messages(raw_messages(spark, d)).select("list_id", "msgnum", "name", "email_addr", "subject", "unre_subject", "msgid", "inreplyto", "date", "charset", "body_text")
 
 
-@query("s1_mailbox_scan", f"""WITH {MESSAGES_SQL} SELECT list_id, pos, msgid, subject, CAST(length(regexp_replace(body_text, '(^|\\n)From ', '\\1>From ', 'g')) + 1 AS INTEGER) AS n_chars FROM m""")
-def _mailbox_scan(spark, d):
-    """Writes each list as a mailbox to the shared folder and scans it."""
+def _scanned(spark: SparkSession, d: str, form: str, start: str = "") -> DataFrame:
+    """Writes each list as a mailbox to the shared folder and scans it; start goes before each body."""
     from uuid import uuid4
 
     from .sources.mbox import read_mailboxes
 
     at = f"{ranking.shared_dir(spark)}/postweave/mail_{uuid4().hex[:12]}"
     m = messages(spark, d)
-    body = F.regexp_replace(F.regexp_replace("body_text", "(?m)^From ", ">From "), "\r", "")
+    body = F.regexp_replace(F.concat(F.lit(start), "body_text"), "(?m)^(>*From )" if form == "mboxrd" else "(?m)^(From )", ">$1")
     whole = F.concat(F.lit("From a@b Thu Jan  1 00:00:00 1970\nMessage-ID: "), "msgid", F.lit("\nSubject: "), "subject", F.lit("\n\n"), body)
-    m.select(whole.alias("value"), "list_id", "pos").repartition("list_id").sortWithinPartitions("list_id", "pos").select("value", "list_id").write.partitionBy("list_id").text(at)
-    # each list is one or more files; their order is that of their names
-    raw = read_mailboxes(spark, f"{at}/*")
+    # a list's messages are ranges of positions, in the order of their files' names
+    parts = m.select(whole.alias("value"), "list_id", "pos").repartitionByRange("list_id", "pos").sortWithinPartitions("list_id", "pos")
+    parts.select("value", "list_id").write.partitionBy("list_id").text(at)
+    raw = read_mailboxes(spark, f"{at}/*", form)
     head = mail.parse_headers(F.decode("headers", "ISO-8859-1"))
-    got = raw.select(mail.find_header(head, "message-id").alias("msgid"), mail.find_header(head, "subject").alias("subject"), F.length(F.decode("body", "UTF-8")).alias("n_chars"))
-    return got.join(m.select("msgid", "list_id", "pos"), "msgid").select("list_id", "pos", "msgid", "subject", "n_chars")
+    got = raw.select(mail.find_header(head, "message-id").alias("msgid"), mail.find_header(head, "subject").alias("subject"), F.decode("body", "UTF-8").alias("body"))
+    return got.join(m.select("msgid", "list_id", "pos"), "msgid")
+
+
+@query("s1_mailbox_scan", f"""WITH {MESSAGES_SQL} SELECT list_id, pos, msgid, subject, CAST(length(regexp_replace(replace(body_text, chr(13) || chr(10), chr(10)), '(^|\\n)From ', '\\1>From ', 'g')) + 1 AS INTEGER) AS n_chars FROM m""")
+def _mailbox_scan(spark, d):
+    return _scanned(spark, d, "mboxo").select("list_id", "pos", "msgid", "subject", F.length("body").alias("n_chars"))
+
+
+@query("s3_mboxrd_scan", f"""WITH {MESSAGES_SQL} SELECT list_id, pos, msgid, concat('From me', chr(10), '>From you', chr(10), replace(body_text, chr(13) || chr(10), chr(10)), chr(10)) AS body FROM m""")
+def _mboxrd_scan(spark, d):
+    """Quoted envelope marks in bodies, at two levels, come back as they were."""
+    return _scanned(spark, d, "mboxrd", "From me\n>From you\n").select("list_id", "pos", "msgid", "body")
+
+
+@query("m5_uuencoded", "SELECT doc_id, text AS decoded FROM documents")
+def _uuencoded(spark, d):
+    """Encoded by Python's own codec, 45 bytes a line; a last group keeps its padding, as zeros."""
+    import binascii
+
+    from .functions.register import decode_uuencode
+
+    def one(x: str) -> bytes:
+        data = x.encode()
+        return b"begin 644 a\n" + b"".join(binascii.b2a_uu(data[i: i + 45], backtick=True) for i in range(0, len(data), 45)) + b"`\nend\n"
+
+    @F.pandas_udf("binary")
+    def encoded(values: pd.Series) -> pd.Series:
+        return values.map(one, na_action="ignore")
+
+    return read(spark, d, "documents").select("doc_id", F.regexp_replace(F.decode(decode_uuencode(encoded("text")), "UTF-8"), r"\x00+$", "").alias("decoded"))
+
+
+@query("m11_file_names", "SELECT p_partkey, concat('[Attachment: ', p_name, ' é.pdf]') AS shown FROM part")
+def _file_names(spark, d):
+    """A name in continued, percent-encoded parts."""
+    from .functions.register import parse_rfc822
+
+    body = F.concat(F.lit("--X\nContent-Type: application/pdf\nContent-Disposition: attachment; filename*0*=utf-8''"), F.regexp_replace("p_name", " ", "%20"),
+                    F.lit("; filename*1*=%20%C3%A9; filename*2=\".pdf\"\n\nzz\n--X--\n")).cast("binary")
+    head = F.lit("Content-Type: multipart/mixed; boundary=X\n").cast("binary")
+    return read(spark, d, "part").select("p_partkey", F.trim(F.regexp_replace(parse_rfc822(head, body)["body_text"], "\n", "")).alias("shown"))
+
+
+@query("p9_raw_headers", "SELECT p_partkey, concat(p_name, ' é') AS subject FROM part")
+def _raw_headers(spark, d):
+    """A subject in raw Latin-1 bytes, by the body's charset."""
+    from .functions.register import parse_rfc822
+
+    head = F.concat(F.lit("X: y\nSubject: ").cast("binary"), F.encode(F.concat("p_name", F.lit(" é")), "ISO-8859-1"), F.lit("\nContent-Type: text/plain; charset=iso-8859-1\n").cast("binary"))
+    return read(spark, d, "part").select("p_partkey", F.trim(parse_rfc822(head, F.lit("x").cast("binary"))["subject_raw"]).alias("subject"))
 
 
 @query("p6_decoded_words", "SELECT p_partkey, p_name AS plain, concat(p_name, p_brand) AS joined FROM part")
