@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from functools import reduce
 from operator import and_
@@ -47,10 +48,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables of this process, which go when it ends: DataFrames read them until then.
+_written: list[tuple[SparkSession, str]] = []
+
+
+def drop_written() -> None:
+    while _written:
+        spark, path = _written.pop()
+        if spark.sparkContext._jsc is not None:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df from a table in the shared folder: computed once, and not lost with an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/postweave/tables/{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(drop_written)
+    _written.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
