@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,6 +32,25 @@ def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return docs.select(F.explode(bigrams(text)).alias("bigram"), key)
 
 
+def _bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
+
+
+def store(index: DataFrame, path: str, buckets: int = 64, parts: int = 4) -> None:
+    """Writes postings once, by bucket of the bigram: a search reads its bigrams' buckets alone. A bigram
+    that nearly all texts have is spread over `parts` files of its bucket."""
+    key = [c for c in index.columns if c != "bigram"]
+    dealt = index.withColumn("bucket", _bucket(F.col("bigram"), buckets)).withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts)))
+    dealt.repartition("bucket", "_part").drop("_part").sortWithinPartitions("bucket", "bigram").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, query: str, buckets: int = 64) -> DataFrame:
+    """The postings of a query's bigrams, for search: other buckets aren't read."""
+    grams = query_bigrams(query)
+    own = spark.createDataFrame([(g,) for g in grams] or [("",)], "gram string").select(_bucket(F.col("gram"), buckets)).distinct().collect()
+    return spark.read.parquet(path).filter(F.col("bucket").isin([r[0] for r in own])).drop("bucket")
+
+
 def query_bigrams(query: str) -> list[str]:
     kept = "".join(c for c in query.lower() if c.isalnum() or c.isspace())
     return sorted({kept[i: i + 2] for i in range(len(kept) - 1)})

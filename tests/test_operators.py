@@ -180,11 +180,16 @@ def test_lines(spark):
     assert [x[1:] for x in runs] == [("hm-quote-1", 2), ("hm-pg", 2), ("hm-sig", 1), ("hm-sig-text", 1), ("hm-attachment", 1)]
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Hello World"), (2, "help!"), (3, ""), (4, "HELLO")], "k int, t string")
     index = search.postings(docs, "k", F.col("t"))
     assert [(r.k, r.score) for r in search.search(index, "k", "hello").collect()] == [(1, 4), (4, 4)]
     assert search.search(index, "k", "h").collect() == [] and search.query_bigrams("ab ab") == ["ab", "b ", " a"] or sorted(search.query_bigrams("ab ab")) == [" a", "ab", "b "]
+    path = f"{tmp_path}/index"
+    search.store(index, path, 8)
+    found = search.stored(spark, path, "hello", 8)
+    assert [(r.k, r.score) for r in search.search(found, "k", "hello").collect()] == [(1, 4), (4, 4)]
+    assert "bucket" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
     assert [(r.k, r.score) for r in search.search_texts(docs, "k", F.col("t"), "hello").collect()] == [(1, 4), (4, 4)] and search.search_texts(docs, "k", F.col("t"), "h").collect() == []
     many = search.search_many(docs, "k", F.col("t"), spark.createDataFrame([(1, "hello")], "query_id int, query string"))
     assert {(r.k, r.score) for r in many.collect()} == {(1, 4), (4, 4)}
