@@ -126,7 +126,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], step: int = 2048) -> np.n
         place = np.full(size, -1)
         place[dense[lo: lo + step]] = np.arange(len(dense[lo: lo + step]))
         sides = []
-        for own, rows, n in ((slice(0, split), len(a), na), (slice(split, None), len(b), nb)):
+        for own, rows in ((slice(0, split), len(a)), (slice(split, None), len(b))):
             x, at = np.zeros((rows, len(dense[lo: lo + step])), np.float32), place[token[own]]
             x[owner[own][at >= 0], at[at >= 0]] = 1
             sides.append(x)

@@ -11,7 +11,7 @@ have is a label. Bounds of the fit: about SAMPLE_ROWS rows a language, fewer bey
 so that the sample stays as large, and SAMPLE_WORDS words a row on average, taken as runs from anywhere
 in the whole texts; beyond MAX_LANGUAGES, where the model would outgrow a driver, an error is raised,
 not a cut. All rows are labelled, whole: long texts go through the chain in segments whose transfer
-matrices are combined exactly; a worker holds a few hundred bytes for each word of a batch of texts.
+matrices are combined exactly; beside its words a worker holds 8 bytes a label for each word of a text.
 
 Defined results: `und` with score 0 for a null text, one without letters, and where nothing could
 be learned; repeated rows are labelled each; a null doc_id isn't held out nor learned from; an
@@ -37,7 +37,8 @@ SAMPLE_ROWS, SAMPLE_WORDS, LANGUAGES, MAX_LANGUAGES = 600, 160, 64, 256
 #: What a word with its space is taken to have, where words are bounded by bytes.
 WORD_BYTES = 6
 NGRAMS = (2, 3, 4)
-SEGMENT = 128
+#: Words of a segment, and segments that are worked on at a time.
+SEGMENT, SLICE = 128, 1024
 RUNS = (4, 30)
 
 
@@ -77,7 +78,7 @@ class Chain:
 
         The words are cut into segments of SEGMENT; each segment's transfer matrix is the product of
         its steps, the segments of a sequence are chained through these, and then all segments run
-        at once from their exact borders.
+        from their exact borders, SLICE segments at a time.
         """
         k, parts = scores.shape[1], -(-length // SEGMENT)
         total = int(parts.sum())
@@ -85,34 +86,47 @@ class Chain:
         rank = np.arange(total) - np.repeat(np.cumsum(parts) - parts, parts)
         begin = np.repeat(np.cumsum(length) - length, parts) + rank * SEGMENT
         size = np.minimum(SEGMENT, length[seq] - rank * SEGMENT)
-        place = begin[:, None] + np.arange(SEGMENT)
-        real = np.arange(SEGMENT) < size[:, None]
-        e = np.exp(scores - scores.max(1, keepdims=True))
-        e = np.where(real[:, :, None], e[np.minimum(place, len(e) - 1)], 1.0)
         t = np.exp(self.moves - self.moves.max())
         norm = lambda x, axes: x / x.sum(axes, keepdims=True)
+
+        def steps(lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Words of some segments, whether they are real, and their weights."""
+            place = np.minimum(begin[lo: lo + SLICE, None] + np.arange(SEGMENT), len(scores) - 1)
+            real = np.arange(SEGMENT) < size[lo: lo + SLICE, None]
+            e = scores[place].astype(np.float64)
+            e = np.exp(e - e.max(2, keepdims=True))
+            return place, real, np.where(real[:, :, None], e, 1.0)
+
+        def by(number: np.ndarray) -> list[np.ndarray]:
+            """Segments by a number, from 1 on."""
+            order = np.argsort(number, kind="stable")
+            return np.split(order, np.searchsorted(number[order], np.arange(1, int(number.max()) + 1)))[1:] if total else []
+
         # transfer of each segment: row = label before the segment, column = its last label
         through = np.broadcast_to(np.eye(k), (total, k, k)).copy()
-        for s in range(int(size.max()) if total else 0):
-            on = size > s
-            through[on] = norm((through[on] @ t) * e[on, s][:, None, :], (1, 2))
+        for lo in range(0, total, SLICE):
+            _, real, e = steps(lo)
+            own = through[lo: lo + SLICE]
+            for s in range(int(size[lo: lo + SLICE].max())):
+                on = real[:, s]
+                own[on] = norm((own[on] @ t) * e[on, s][:, None, :], (1, 2))
         into, out = np.full((total, k), 1.0 / k), np.full((total, k), 1.0 / k)  # before, and after
-        for r in range(1, int(parts.max()) if len(parts) else 0):
-            own = np.flatnonzero(rank == r)
+        for own in by(rank):
             into[own] = norm(np.einsum("ij,ijk->ik", into[own - 1], through[own - 1]), 1)
-        back = parts[seq] - 1 - rank
-        for r in range(1, int(parts.max()) if len(parts) else 0):
-            own = np.flatnonzero(back == r)
+        for own in by(parts[seq] - 1 - rank):
             out[own] = norm(np.einsum("ijk,ik->ij", through[own + 1], out[own + 1]), 1)
-        alpha, a = np.empty_like(e), into
-        for s in range(SEGMENT):
-            a = np.where(real[:, s, None], norm((a @ t) * e[:, s], 1), a)
-            alpha[:, s] = a
-        b = out
-        for s in range(SEGMENT - 1, -1, -1):
-            alpha[:, s] *= b
-            b = np.where(real[:, s, None], norm((e[:, s] * b) @ t.T, 1), b)
-        return norm(alpha, 2)[real]
+        found = np.empty(scores.shape, np.float32)
+        for lo in range(0, total, SLICE):
+            place, real, e = steps(lo)
+            alpha, a, b = np.empty_like(e), into[lo: lo + SLICE], out[lo: lo + SLICE]
+            for s in range(SEGMENT):
+                a = np.where(real[:, s, None], norm((a @ t) * e[:, s], 1), a)
+                alpha[:, s] = a
+            for s in range(SEGMENT - 1, -1, -1):
+                alpha[:, s] *= b
+                b = np.where(real[:, s, None], norm((e[:, s] * b) @ t.T, 1), b)
+            found[place[real]] = norm(alpha, 2)[real]
+        return found
 
     def fit(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, y: np.ndarray, length: int, epochs: int = 4, batch: int = 64, rate: float = 0.3, decay: float = 1e-6) -> Chain:
         """Sequences of `length` words each; Adagrad on the conditional log likelihood."""
@@ -160,9 +174,10 @@ class Chain:
 
 def has_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text has a letter: ASCII at once, others only where no ASCII letter is."""
-    lower = FOLD[data]
-    counts = np.concatenate([[0], np.cumsum((lower >= ord("a")) & (lower <= ord("z")))])
-    out = counts[offsets[1:]] > counts[offsets[:-1]]
+    lower, some = FOLD[data], offsets[1:] > offsets[:-1]
+    out = np.zeros(len(some), bool)
+    if some.any():
+        out[some] = np.logical_or.reduceat((lower >= ord("a")) & (lower <= ord("z")), offsets[:-1][some])
     for i in np.flatnonzero(~out & (offsets[1:] > offsets[:-1])):
         out[i] = any(map(str.isalpha, data[offsets[i]: offsets[i + 1]].tobytes().decode("utf-8", "replace")))
     return out
@@ -177,7 +192,7 @@ def label_batch(chain: Chain, column: pa.Array) -> tuple[list[str], np.ndarray]:
     if len(words.doc) and chain.labels:
         _, first, inverse = np.unique(words.hashes[0], return_index=True, return_inverse=True)
         word, found = features(data, words.start[first], words.end[first])
-        scores = chain.emissions(word, found, len(first))[inverse]
+        scores = chain.emissions(word, found, len(first)).astype(np.float32)[inverse]
         p = chain.marginals(scores, n[n > 0])
         sums = np.stack([np.bincount(words.doc, p[:, k], len(n)) for k in range(p.shape[1])], 1)
     mean = sums / np.maximum(1, n)[:, None]
