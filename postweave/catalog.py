@@ -611,12 +611,12 @@ def _gates(spark, d):
 SELECT list_id, msgnum, pos, msgid FROM m UNION ALL SELECT m.list_id, CAST(m.msgnum + e.n AS INTEGER), m.pos + e.n, concat('again-', m.msgid) FROM m JOIN e USING (list_id)""")
 def _appended(spark, d):
     """A state and as many new messages, which go on where each list ended."""
-    from .plans.archive import STATE_COLUMNS, appended, continued
+    from .plans.archive import STATE_COLUMNS, appended, continued, ends_of
     from .plans.messages import parse_messages
 
     state = parse_messages(raw_messages(spark, d)).select(*STATE_COLUMNS)
     again = F.regexp_replace(F.decode("headers", "UTF-8"), "\nMessage-ID: ", "\nMessage-ID: again-").cast("binary")
-    new = continued(parse_messages(raw_messages(spark, d).withColumn("headers", again)), state)
+    new = continued(parse_messages(raw_messages(spark, d).withColumn("headers", again)), ends_of(state))
     return appended(state, new).select("list_id", "msgnum", "pos", "msgid")
 
 

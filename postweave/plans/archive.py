@@ -63,12 +63,16 @@ def update_mode(raw: DataFrame, state: DataFrame, increment: int) -> str:
     return "append" if known_lists(raw, state).isEmpty() else "full"
 
 
-def continued(new: DataFrame, state: DataFrame) -> DataFrame:
-    """new with numbers and positions that go on where each list of the state ended. The ends are one
-    row a list, which Spark broadcasts only if they are few."""
-    ends = state.groupBy("list_id").agg(F.max("msgnum").alias("_last"), F.max("pos").alias("_pos"))
-    return new.join(ends, "list_id", "left").withColumn("msgnum", (F.col("msgnum") + F.coalesce(F.col("_last") + 1, F.lit(0))).cast("int")).withColumn(
-        "pos", F.col("pos") + F.coalesce(F.col("_pos") + 1, F.lit(0))).drop("_last", "_pos")
+def ends_of(state: DataFrame) -> DataFrame:
+    """list_id and the last number and position of each list."""
+    return state.groupBy("list_id").agg(F.max("msgnum").alias("last_msgnum"), F.max("pos").alias("last_pos"))
+
+
+def continued(new: DataFrame, ends: DataFrame) -> DataFrame:
+    """new with numbers and positions that go on where each list ended. The ends are one row a list, which
+    Spark broadcasts only if they are few."""
+    return new.join(ends, "list_id", "left").withColumn("msgnum", (F.col("msgnum") + F.coalesce(F.col("last_msgnum") + 1, F.lit(0))).cast("int")).withColumn(
+        "pos", F.col("pos") + F.coalesce(F.col("last_pos") + 1, F.lit(0))).drop("last_msgnum", "last_pos")
 
 
 def update_archive(spark: SparkSession, source: str | DataFrame, state_path: str, config: Config | None = None, now: int = 0) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -80,7 +84,7 @@ def update_archive(spark: SparkSession, source: str | DataFrame, state_path: str
     if update_mode(raw, state, config.increment or 1) == "full":
         new = parse_messages(raw, config, now)
         return derive(spark, new, config), new
-    new = written(continued(parse_messages(raw, config, now, 0, state.select("list_id", "msgid_key")), state))
+    new = written(continued(parse_messages(raw, config, now, 0, state.select("list_id", "msgid_key")), ends_of(state)))
     return derive(spark, appended(state, new), config), new
 
 
