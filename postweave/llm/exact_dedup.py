@@ -58,18 +58,21 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
 
 
-def dedup(spark: SparkSession, docs: DataFrame, batches: int = 2, row: str | None = None) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, batches: int = 2, row: str | None = None, index: DigestIndex | None = None) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256, and row, its key.
 
-    row: a column of docs that tells its rows apart; by default a number. The rows come in batches of
-    descending doc_id, as a corpus that grows would, so that what the index already holds is the row
-    with the larger doc_id.
+    row: a column of docs that tells its rows apart; by default a number. index: that of earlier runs,
+    which goes on: rows whose text it knows aren't kept, and keep_id names the row that it has; by
+    default an index of this run alone. The rows come in batches of descending doc_id, as a corpus that
+    grows would, so that what the index already holds is the row with the larger doc_id.
     """
     scratch = Scratch(spark, "dedup")
     own = scratch.save(digests(docs, row), "digests")
-    table = f"digest_index_{scratch.tag}"
-    scratch.tables.append(table)
-    index = DigestIndex(spark, table, scratch.path("index"), scratch.tag)
+    if index is None:
+        table = f"digest_index_{scratch.tag}"
+        scratch.tables.append(table)
+        index = DigestIndex(spark, table, scratch.path("index"), scratch.tag)
+    index.run = scratch.tag
     low, high = own.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is not None:
         cuts = [low + (high - low + 1) * k // batches for k in range(batches)]

@@ -66,3 +66,13 @@ def test_a_later_run_keeps_only_what_is_new(spark):
     index.add(batch)
     DigestIndex(spark, index.table, index.path, "second", 4).add(batch)
     assert index.entries().count() == 2 and {r.run for r in index.entries().collect()} == {"first"}
+
+
+def test_an_index_goes_on(spark):
+    scratch = Scratch(spark, "t")
+    rows = lambda *x: spark.createDataFrame(list(x), "doc_id long, text string")
+    index = lambda run: DigestIndex(spark, f"go_{scratch.tag}", scratch.path("go"), run, 4)
+    first = dedup(spark, rows((1, "a"), (2, "A"), (3, "b")), index=index("x")).collect()
+    assert {(r.doc_id, r.kept, r.keep_id) for r in first} == {(1, False, 2), (2, True, 2), (3, True, 3)}
+    again = dedup(spark, rows((2, "A"), (9, "a"), (10, "c"), (10, "c")), index=index("y")).collect()
+    assert sorted((r.doc_id, r.keep_id) for r in again) == [(2, 2), (9, 2), (10, 10), (10, 10)] and [r.doc_id for r in again if r.kept] == [10]
