@@ -80,11 +80,14 @@ class Scratch:
                     scratch.spark.sql(f"DROP TABLE IF EXISTS {table}")
                 scratch.drop("")
 
-    def drop(self, name: str) -> None:
-        """Deletes a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later plan reads."""
+        for name in names:
+            if (table := f"{name}_{self.tag}") in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+                self.tables.remove(table)
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole(docs: DataFrame) -> Column:

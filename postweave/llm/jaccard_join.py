@@ -285,22 +285,22 @@ def fits(percent: int) -> Column:
 def met_groups(own: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(sid, n, g_pivot, g_block): the groups that each set is put to, each pair of sets at most once.
 
-    own: sid, n, tokens, singles, pivot and block; groups: pivot, block, n_min, n_max. Sets meet pivots
-    by prefix tokens, which are as many entries as sets have them, and not more for a large family; the
-    pivots are expanded to their groups only after that."""
+    own: sid, n, tokens, singles, pivot, size and block; groups: pivot, block, n_min, n_max. Pivots meet by
+    prefix tokens: what is joined has one entry for a token and a pivot, however many sets have it. Pairs
+    are expanded to the sets of the smaller pivot and the groups of the larger one only after that."""
     spread = scratch.save(own.select("tokens", "singles", "sid", "pivot", "size", "n").mapInArrow(
         lambda b: prefix_tokens(b, percent), "token bigint, sid bigint, pivot bigint, size bigint, n bigint"), "prefixes")
     matrix = scratch.save(spread.groupBy("token", "pivot", "size").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max")), "matrix")
-    matrix = matrix.select(*renamed(matrix, "pivot", "size", "n_min", "n_max"))
-    one = spread.withColumns({"n_min": F.col("n"), "n_max": F.col("n")})
-    # the few sets of a small pivot ask the large one
+    other = matrix.select(*renamed(matrix, "pivot", "size", "n_min", "n_max"))
     once = F.struct("size", "pivot") < F.struct("g_size", "g_pivot")
-    asked = one.join(matrix, "token").filter(once & fits(percent)).groupBy("sid", "n", "g_pivot").agg(F.count(F.lit(1)).alias("_shared")).filter(
-        F.col("_shared") >= shared_least(percent)).drop("_shared")
+    shared = matrix.join(other, "token").filter(once & fits(percent)).groupBy("pivot", "g_pivot").agg(F.count(F.lit(1)).alias("_shared"))
+    shared = scratch.save(shared, "pairs")
     groups = groups.select("pivot", "block", "n_min", "n_max")
     groups = groups.select(*renamed(groups, *groups.columns))
-    family = own.select("sid", "n", F.col("pivot").alias("g_pivot"), "block").join(groups, "g_pivot").filter("block < g_block").drop("block")
-    both = asked.join(groups, "g_pivot").unionByName(family)
+    sets = own.select("sid", "n", "pivot", "block")
+    apart = sets.join(shared, "pivot").filter(F.col("_shared") >= shared_least(percent)).select("sid", "n", "g_pivot").join(groups, "g_pivot")
+    family = sets.withColumnRenamed("pivot", "g_pivot").join(groups, "g_pivot").filter("block < g_block").drop("block")
+    both = apart.unionByName(family)
     return both.withColumns({"n_min": F.col("n"), "n_max": F.col("n")}).filter(fits(percent)).select("sid", "n", "g_pivot", "g_block")
 
 
@@ -324,24 +324,28 @@ def group_links(own: DataFrame, unions: DataFrame, scratch: Scratch, percent: in
         lambda q, m: link_queries(q, m, percent, listed), LINK_SCHEMA)
 
 
-def links_of(sets: DataFrame, scratch: Scratch, percent: int, listed: bool = False) -> DataFrame:
+def links_of(sets: DataFrame, scratch: Scratch, percent: int, listed: bool = False, counts: dict[str, int] | None = None) -> DataFrame:
     """sets: sid, n, tokens, singles, keys, copies of distinct sets. Edges and counts of all links
-    (LINK_SCHEMA), or, listed, every link once."""
+    (LINK_SCHEMA), or, listed, every link once. Tables with tokens go as soon as nothing reads them."""
     blocks = grouped(sets, scratch)
-    near = scratch.save(first_links(blocks, percent, listed), "near")
-    unions = near.filter("sid IS NULL").select(*GROUP, "n_min", "n_max", "tokens")
-    far = scratch.save(group_links(blocks, unions, scratch, percent, listed), "far")
-    return near.filter("sid IS NOT NULL").select("sid", "other", "n_links").unionByName(far)
+    both = scratch.save(first_links(blocks, percent, listed), "near")
+    near, unions = both.filter("sid IS NOT NULL").select("sid", "other", "n_links"), both.filter("sid IS NULL").select(*GROUP, "n_min", "n_max", "tokens")
+    far = group_links(blocks, unions, scratch, percent, listed)
+    found = scratch.save(near.unionByName(far), "found")
+    if counts is not None:
+        counts.update(report(scratch))
+    scratch.drop("near", "blocks", "pivots", "prefixes", "matrix", "pairs", "met", "queries", "opened")
+    return found
 
 
 def report(scratch: Scratch) -> dict[str, int]:
-    """After a join: distinct sets, their prefix tokens, entries of the matrix (token, pivot), queries put to
+    """Of a join: distinct sets, their prefix tokens, entries of the matrix (token, pivot), queries put to
     the union of a group, and queries for which the group was opened."""
-    return {n: scratch.spark.read.parquet(scratch.path(n)).count() for n in ("distinct", "prefixes", "matrix", "queries", "opened")}
+    return {n: scratch.spark.read.schema("sid bigint").parquet(scratch.path(n)).count() for n in ("distinct", "prefixes", "matrix", "queries", "opened")}
 
 
 def distinct_sets(spark: SparkSession, docs: DataFrame, k: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame, Scratch]:
-    """All documents, and the distinct sets that may have a partner with their copies."""
+    """All documents (doc_id, n, set_hash), and the distinct sets that may have a partner with their copies."""
     ex = Exchange(spark, docs, "jaccard")
     scratch = ex.scratch
 
@@ -352,12 +356,16 @@ def distinct_sets(spark: SparkSession, docs: DataFrame, k: int, percent: int, de
 
     counts, layout = ex.estimate(tokens, depth, 2.0 ** -SAMPLE_BITS)
     described = scratch.save(ex.joined(counts).mapInArrow(lambda b: describe(b, k, percent, layout), SET_SCHEMA), "sets")
+    scratch.drop("chunks", "counts")
+    slim = scratch.save(described.select("doc_id", "n", "set_hash"), "documents")
     may = described.filter("tokens IS NOT NULL AND doc_id IS NOT NULL")
     first = [F.first(c).alias(c) for c in ("n", "tokens", "singles", "keys")]
     distinct = may.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *first)
     # numbered as written: two sets may share a doc_id
     numbered = distinct.withColumn("sid", F.monotonically_increasing_id())
-    return described, scratch.bucketed(numbered, "distinct", partitions(spark), "set_hash"), scratch
+    distinct = scratch.bucketed(numbered, "distinct", partitions(spark), "set_hash")
+    scratch.drop("sets")
+    return slim, distinct, scratch
 
 
 def links(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, depth: int = 1) -> DataFrame:
@@ -373,15 +381,15 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, de
     of percent/100 or more between sets of k-word shingles) and n_links: how many other rows with a
     doc_id this one links with, rows of an equal set included. counts, if given, gets the report."""
     described, distinct, scratch = distinct_sets(spark, docs, k, percent, depth)
-    found = links_of(distinct.drop("rep"), scratch, percent)
+    names = scratch.save(distinct.select("set_hash", "sid", "rep", "copies"), "names")
+    found = links_of(distinct.drop("rep"), scratch, percent, counts=counts)
+    scratch.drop("distinct")
     labels = connected(scratch, found.filter("sid <> other").select(F.col("sid").alias("a"), F.col("other").alias("b")), "links").withColumnRenamed("node", "sid")
     far = found.groupBy("sid").agg(F.sum("n_links").alias("n_far"))
-    reps = scratch.save(distinct.select("set_hash", "sid", "rep", "copies").join(labels, "sid", "left").join(far, "sid", "left").select(
+    reps = scratch.save(names.join(labels, "sid", "left").join(far, "sid", "left").select(
         "set_hash", "rep", F.coalesce("component", "sid").alias("component"), (F.coalesce("n_far", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labelled")
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
     reps = scratch.save(reps.join(least, "component").select("set_hash", "component_id", "n_links"), "reps")
-    if counts is not None:
-        counts.update(report(scratch))
     own = described.select("doc_id", F.col("n").alias("n_shingles"), "set_hash")
     has_id = F.col("doc_id").isNotNull()
     return own.join(reps, "set_hash", "left").select(

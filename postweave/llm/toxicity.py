@@ -35,6 +35,8 @@ SAMPLE_ROWS = 20_000
 #: Terms of the machine: by their own statistic, and by how many documents have them.
 TERMS, COMMON = 2048, 2048
 LEAST_CHI2, LEAST_SHARE = 20.0, 0.001
+#: Epochs without a better loss after which a trial ends.
+PATIENCE = 3
 #: Words worked on at a time, so that arrays of terms don't grow with the longest text.
 STEP = 1 << 18
 
@@ -114,7 +116,8 @@ class Machine:
         return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
     def fit(self, doc: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 30, batch: int = 512, rate: float = 0.1, decay: float = 1e-4, watch=None) -> Machine:
-        """Adagrad on the log loss; doc is ascending. watch(machine) is called after each epoch."""
+        """Adagrad on the log loss; doc is ascending. watch(machine) is called after each epoch and ends the fit
+        when it says so."""
         n, rng = len(y), np.random.default_rng(2)
         prior = (y.sum() + 0.5) / (n + 10)
         self.w0 = float(np.log(prior / (1 - prior)))
@@ -138,8 +141,8 @@ class Machine:
                 self.w0 -= rate * g0 / np.sqrt(seen[0])
                 self.w -= rate * gw / np.sqrt(seen[1])
                 self.v -= rate * gv / np.sqrt(seen[2])
-            if watch:
-                watch(self)
+            if watch and watch(self):
+                break
         return self
 
 
@@ -154,8 +157,13 @@ def chosen(terms: np.ndarray, telling: np.ndarray, factors: int, doc: np.ndarray
         own_doc, own_at = machine.only(keep, doc, at)
         fit_on, other = mine[own_doc], ~mine[own_doc]
         rest = (place[own_doc[other]], own_at[other], y[~mine])
+
+        def worse(m: Machine) -> bool:
+            losses.append(m.loss(*rest))  # noqa: B023
+            return len(losses) > PATIENCE + int(np.argmin(losses))  # noqa: B023
+
         if keep.any() and mine.any() and not mine.all():
-            machine.fit(place[own_doc[fit_on]], own_at[fit_on], y[mine], epochs, decay=decay, watch=lambda m: losses.append(m.loss(*rest)))
+            machine.fit(place[own_doc[fit_on]], own_at[fit_on], y[mine], epochs, decay=decay, watch=worse)
         if losses and min(losses) < best[0] * 0.98:
             best = (min(losses), keep, decay, int(np.argmin(losses)) + 1)
     _, keep, decay, n = best
