@@ -12,8 +12,9 @@
    sampled tokens first, in ascending estimate), its columns pivots: one entry for a token and a pivot,
    however many sets have it. A set is a query to the larger pivots that have SHARED of its prefix tokens
    and whose sizes fit, and to the later groups of its own pivot; only then pivots are expanded to groups.
-   The query's overlap with a group's stored union is bounded first, and only where it reaches the
-   least overlap of a link the group is opened, that is, its members are read and compared.
+   The query's overlap with a group's stored union is bounded first, by its prefix and then by all of
+   it, and only where it reaches the least overlap of a link the group is opened, that is, its members
+   are read and compared.
 5. Components of all links, and how many links each document has.
 
 Every pair that may link is met once, within families too, and counts for both of its sets, weighted
@@ -53,7 +54,7 @@ GROUP = ("pivot", "block")
 LINK_SCHEMA = "sid bigint, other bigint, n_links bigint"
 #: Also, with sid null, each group's union and sizes.
 BLOCK_SCHEMA = f"{LINK_SCHEMA}, pivot bigint, block int, n_min bigint, n_max bigint, tokens binary"
-OPEN_SCHEMA = "g_pivot bigint, g_block int, part int, sid bigint"
+OPEN_SCHEMA = "g_pivot bigint, g_block int, part int, set_hash binary, sid bigint, n bigint"
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -208,8 +209,8 @@ def link_block(group: pa.Table, percent: int, listed: bool = False) -> pa.Table:
 
 
 def open_groups(queries: pa.Table, unions: pa.Table) -> pa.Table:
-    """Queries whose overlap with the group's union lets a link be: only for them it is opened."""
-    out = queries.select(["g_pivot", "g_block", "part", "sid"])
+    """Queries that share at least so many of the tokens given with the group's union."""
+    out = queries.select(["g_pivot", "g_block", "part", "set_hash", "sid", "n"])
     if not len(queries) or not len(unions):
         return out.slice(0, 0)
     union, keep = tokens_in(unions, "g_tokens")[0], np.zeros(len(queries), bool)
@@ -263,7 +264,8 @@ def grouped(sets: DataFrame, scratch: Scratch) -> DataFrame:
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_c"))
     pivots = keyed.join(counts, "key").groupBy("set_hash", "sid", "n").agg(F.max_by("key", F.struct("_c", "key")).alias("pivot"))
     own = blocks_of(scratch.save(pivots, "pivots"), ["pivot"], BLOCK_SETS, "block").drop("n", "sid")
-    return scratch.save(sets.drop("keys").join(own.hint("merge"), "set_hash").drop("set_hash"), "blocks")
+    # bucketed again, so that whatever asks for a set's tokens by its hash doesn't move those of all sets
+    return scratch.bucketed(sets.drop("keys").join(own.hint("merge"), "set_hash"), "blocks", partitions(scratch.spark), "set_hash")
 
 
 def first_links(blocks: DataFrame, percent: int, listed: bool) -> DataFrame:
@@ -283,7 +285,7 @@ def fits(percent: int) -> Column:
 
 
 def met_groups(own: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(sid, n, g_pivot, g_block): the groups that each set is put to, each pair of sets at most once.
+    """(set_hash, sid, n, g_pivot, g_block): the groups that each set is put to, each pair of sets at most once.
 
     own: sid, n, tokens, singles, pivot, size and block; groups: pivot, block, n_min, n_max. Pivots meet by
     prefix tokens: what is joined has one entry for a token and a pivot, however many sets have it. Pairs
@@ -297,11 +299,11 @@ def met_groups(own: DataFrame, groups: DataFrame, scratch: Scratch, percent: int
     shared = scratch.save(shared, "pairs")
     groups = groups.select("pivot", "block", "n_min", "n_max")
     groups = groups.select(*renamed(groups, *groups.columns))
-    sets = own.select("sid", "n", "pivot", "block")
-    apart = sets.join(shared, "pivot").filter(F.col("_shared") >= shared_least(percent)).select("sid", "n", "g_pivot").join(groups, "g_pivot")
+    sets = own.select("set_hash", "sid", "n", "pivot", "block")
+    apart = sets.join(shared, "pivot").filter(F.col("_shared") >= shared_least(percent)).select("set_hash", "sid", "n", "g_pivot").join(groups, "g_pivot")
     family = sets.withColumnRenamed("pivot", "g_pivot").join(groups, "g_pivot").filter("block < g_block").drop("block")
     both = apart.unionByName(family)
-    return both.withColumns({"n_min": F.col("n"), "n_max": F.col("n")}).filter(fits(percent)).select("sid", "n", "g_pivot", "g_block")
+    return both.withColumns({"n_min": F.col("n"), "n_max": F.col("n")}).filter(fits(percent)).select("set_hash", "sid", "n", "g_pivot", "g_block")
 
 
 def group_links(own: DataFrame, unions: DataFrame, scratch: Scratch, percent: int, listed: bool) -> DataFrame:
@@ -313,15 +315,29 @@ def group_links(own: DataFrame, unions: DataFrame, scratch: Scratch, percent: in
     g_group, key = ["g_pivot", "g_block"], ["g_pivot", "g_block", "part"]
     met = scratch.save(met_groups(own, unions, scratch, percent), "met")
     ids = scratch.save(blocks_of(met, g_group, QUERY_SETS, "part").drop("size"), "queries")
-    sets, stored = own.select("sid", "tokens", "copies"), unions.select(*renamed(unions, *GROUP, "tokens")).select(*g_group, "g_tokens")
-    # read anew, so that the two sides of a cogroup have columns of their own
-    bounds = stored.join(scratch.load(ids, "queries").select(*key).distinct(), g_group)
-    asks = ids.withColumn("least", F.ceil(F.col("n") * percent / 100)).join(sets.drop("copies"), "sid").select(*key, "sid", "least", "tokens")
-    opened = scratch.save(asks.groupBy(*key).cogroup(bounds.groupBy(*key)).applyInArrow(open_groups, OPEN_SCHEMA), "opened")
-    again = scratch.load(own, "blocks")
-    members = again.select(*renamed(again, *GROUP)).select(*g_group, "sid", "tokens", "copies").join(scratch.load(opened, "opened").select(*key).distinct(), g_group)
-    return opened.join(sets, "sid").groupBy(*key).cogroup(members.groupBy(*key)).applyInArrow(
-        lambda q, m: link_queries(q, m, percent, listed), LINK_SCHEMA)
+    stored = unions.select(*renamed(unions, *GROUP, "tokens")).select(*g_group, "g_tokens")
+    # first the prefix of a query, a fifth of its tokens or less, then all of it for what is left
+    start, size = F.col("singles"), F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + SHARED) - F.col("singles")
+    prefix = F.substring(F.col("tokens"), start * 8 + 1, (F.greatest(size, F.lit(0)) * 8).cast("int"))
+
+    def with_tokens(rows: DataFrame, *columns: Column | str) -> DataFrame:
+        """rows with columns of their sets, which stay where they are."""
+        return rows.join(scratch.spark.table(f"blocks_{scratch.tag}").select("set_hash", *columns).hint("merge"), "set_hash")
+
+    def bounded(asked: DataFrame, name: str, tokens: Column, least: Column, to: str) -> DataFrame:
+        """The queries that share so many of the tokens with the group's union."""
+        asks = with_tokens(asked, tokens.alias("tokens")).select(*key, "set_hash", "sid", "n", least.alias("least"), "tokens")
+        # read anew, so that the two sides of a cogroup have columns of their own
+        unions_of = stored.join(scratch.load(asked, name).select(*key).distinct(), g_group)
+        return scratch.save(asks.groupBy(*key).cogroup(unions_of.groupBy(*key)).applyInArrow(open_groups, OPEN_SCHEMA), to)
+
+    hinted = bounded(ids, "queries", prefix, shared_least(percent), "hinted")
+    opened = bounded(hinted, "hinted", F.col("tokens"), F.ceil(F.col("n") * percent / 100), "opened")
+    groups = scratch.load(opened, "opened").select(*key).distinct()
+    member = scratch.spark.table(f"blocks_{scratch.tag}").select("set_hash", "sid", *[F.col(c).alias(f"g_{c}") for c in GROUP])
+    members = with_tokens(member.join(groups, g_group), "tokens", "copies")
+    queries = with_tokens(opened.select("set_hash", "sid", *key), "tokens", "copies")
+    return queries.groupBy(*key).cogroup(members.groupBy(*key)).applyInArrow(lambda q, m: link_queries(q, m, percent, listed), LINK_SCHEMA)
 
 
 def links_of(sets: DataFrame, scratch: Scratch, percent: int, listed: bool = False, counts: dict[str, int] | None = None) -> DataFrame:
@@ -334,14 +350,14 @@ def links_of(sets: DataFrame, scratch: Scratch, percent: int, listed: bool = Fal
     found = scratch.save(near.unionByName(far), "found")
     if counts is not None:
         counts.update(report(scratch))
-    scratch.drop("near", "blocks", "pivots", "prefixes", "matrix", "pairs", "met", "queries", "opened")
+    scratch.drop("near", "blocks", "pivots", "prefixes", "matrix", "pairs", "met", "queries", "hinted", "opened")
     return found
 
 
 def report(scratch: Scratch) -> dict[str, int]:
     """Of a join: distinct sets, their prefix tokens, entries of the matrix (token, pivot), queries put to
-    the union of a group, and queries for which the group was opened."""
-    return {n: scratch.spark.read.schema("sid bigint").parquet(scratch.path(n)).count() for n in ("distinct", "prefixes", "matrix", "queries", "opened")}
+    the union of a group, those whose prefix shares enough with it, and those that opened the group."""
+    return {n: scratch.spark.read.schema("sid bigint").parquet(scratch.path(n)).count() for n in ("distinct", "prefixes", "matrix", "queries", "hinted", "opened")}
 
 
 def distinct_sets(spark: SparkSession, docs: DataFrame, k: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame, Scratch]:
