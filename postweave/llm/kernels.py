@@ -185,3 +185,13 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
         else:
             out.append(np.empty(0, U64))
     return out
+
+
+def letter_stretches(data: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
+    """Parts of about limit bytes, cut before a space only."""
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + limit)
+        end = len(data) if end < 0 else end
+        yield data[at:end]
+        at = end

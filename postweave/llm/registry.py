@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, jaccard_join, language, mixing, packing, secrets, sharding, substring_dedup, toxicity
+from . import (decontamination, divergence, exact_dedup, fingerprints, jaccard_join, language, mixing, packing, secrets, sharding, spelling,
+               substring_dedup, toxicity)
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,10 +16,16 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_decontamination": decontamination.op13_decontamination,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_spelling_variants": spelling.ORACLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
+    "op13_decontamination": decontamination.ORACLE_SQL,
 }
