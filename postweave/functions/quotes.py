@@ -22,7 +22,8 @@ def unquote(line: Column) -> Column:
 
 
 def quote_depth(line: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_extract(line, "^([>|:] ?)+", 0), " ", ""))
+    """Marks before the text. Groups repeat possessively: a greedy one takes a frame of the stack at each turn."""
+    return F.length(F.replace(F.regexp_extract(line, "^(?:[>|:] ?)++", 0), F.lit(" "), F.lit("")))
 
 
 def quote_class(line: Column) -> Column:

@@ -17,7 +17,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..operators.ranking import positions, shared_dir
 
@@ -83,8 +83,10 @@ def paths_of(path: str) -> list[str]:
 
 
 class MailboxFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A mailbox, of which the messages that begin before byte `after` are known."""
+
+    def __init__(self, path: str, after: int = 0):
+        self.path, self.after = path, after
 
 
 class MailboxReader(DataSourceReader):
@@ -98,29 +100,62 @@ class MailboxReader(DataSourceReader):
         return [MailboxFile(p) for p in paths_of(self.path)]
 
     def read(self, partition: MailboxFile) -> Iterator[tuple]:
+        begins: list[int] = []
         with open(partition.path, "rb") as f:
-            for pos, (envelope, headers, body) in enumerate(read_messages(f, self.form, self.limit)):
-                yield list_name(partition.path), pos, envelope, headers, body
+            for pos, (envelope, headers, body) in enumerate(read_messages(noted(f, begins), self.form, self.limit)):
+                if begins[pos] >= partition.after:
+                    yield list_name(partition.path), pos, envelope, headers, body
+
+
+def noted(lines: Iterator[bytes], begins: list[int]) -> Iterator[bytes]:
+    """The lines, while begins gets the byte where each message begins."""
+    at = 0
+    for line in lines:
+        if at == 0 or is_envelope(line.rstrip(b"\r\n")):
+            begins.append(at)
+        at += len(line)
+        yield line
+
 
+class MailboxStream(DataSourceStreamReader):
+    """Mailbox files of a folder as they land, in any order of names: a partition for each, read on executors.
 
-class MailboxStream(SimpleDataSourceStreamReader):
-    """New mailbox files of a folder, by name."""
+    An offset is a ledger, the (size, time) of each file that the folder holds then, so that it has a row a file:
+    move files away that are done with. The driver lists files and opens none. Of a file that has grown, the messages
+    that begin in its new part follow, numbered on; a file that was replaced (it shrank, or has another time at its
+    old size) is new. A file that is removed leaves the ledger."""
 
     def __init__(self, options: dict):
         self.reader = MailboxReader(options)
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"files": {}}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        new = [p for p in paths_of(self.reader.path) if os.path.basename(p) > start["after"]]
-        rows = [r for p in new for r in self.reader.read(MailboxFile(p))]
-        return iter(rows), {"after": os.path.basename(new[-1]) if new else start["after"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+    def latestOffset(self) -> dict:
+        files = {}
         for p in paths_of(self.reader.path):
-            if start["after"] < os.path.basename(p) <= end["after"]:
-                yield from self.reader.read(MailboxFile(p))
+            try:
+                at = os.stat(p)
+            except FileNotFoundError:
+                continue  # moved away meanwhile
+            files[p] = [at.st_size, at.st_mtime_ns]
+        return {"files": files}
+
+    def partitions(self, start: dict, end: dict) -> list[MailboxFile]:
+        out = []
+        for p, (size, time) in sorted(end["files"].items()):
+            was = start["files"].get(p)
+            if was is None or size < was[0] or size == was[0] and time != was[1]:
+                out.append(MailboxFile(p))
+            elif size > was[0]:
+                out.append(MailboxFile(p, was[0]))
+        return out
+
+    def read(self, partition: MailboxFile) -> Iterator[tuple]:
+        return self.reader.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class MailboxSource(DataSource):
@@ -136,7 +171,7 @@ class MailboxSource(DataSource):
     def reader(self, schema) -> MailboxReader:
         return MailboxReader(self.options)
 
-    def simpleStreamReader(self, schema) -> MailboxStream:
+    def streamReader(self, schema) -> MailboxStream:
         return MailboxStream(self.options)
 
 
