@@ -37,40 +37,37 @@ from .sketch import batch_of
 #: UTF-8 bytes: ASCII letters, of which A-Z are lower-cased, and all bytes above ASCII; all else breaks terms.
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0x80 else 32 for b in range(256))
 COUNT_SCHEMA = "lang string, source string, term string, n bigint, docs bigint"
-HELD_BYTES = 32 << 20
+#: Distinct terms of groups that a task holds, and those of one batch more, before it sends their counts.
+HELD_TERMS = 400_000
 SCALE = 1_000_000_000
 #: Cells of a dense tile, and sources in a block of one.
-TILE_CELLS, SOURCE_BLOCK = 1 << 18, 256
+TILE_CELLS, SOURCE_BLOCK = 1 << 16, 256
 #: Parts into which the sources of a language are repeated, so that a language is no single task.
 SALTS = 32
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of occurrences and of documents by group and term; the term '' stands for the group itself."""
-    counts, held = defaultdict(Counter), 0
+    counts, docs = defaultdict(Counter), defaultdict(Counter)
 
     def sent() -> Iterator[pa.RecordBatch]:
-        for (lang, source), seen in counts.items():
-            terms = [t for t in seen if not isinstance(t, tuple)]
+        for (lang, source), seen in docs.items():
+            terms, n = list(seen), counts[lang, source]
             for i in range(0, len(terms), 1 << 14):
                 part = terms[i: i + (1 << 14)]
-                yield batch_of(COUNT_SCHEMA, [[lang] * len(part), [source] * len(part), [t.decode() for t in part], [seen[t] for t in part], [seen[t, 1] for t in part]])
+                yield batch_of(COUNT_SCHEMA, [[lang] * len(part), [source] * len(part), [t.decode() for t in part], [n[t] for t in part], [seen[t] for t in part]])
 
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            own = Counter()
+            own = {b""}
             for part in letter_stretches(text.as_py().encode().translate(TERMS)):
-                own.update(part.split())
-            own[b""] = 1
-            group = counts[lang, source]
-            for term, n in own.items():
-                if term not in group:
-                    held += 2 * len(term) + 300
-                group[term] += n
-                group[term, 1] += 1
-            if held > HELD_BYTES:
-                yield from sent()
-                counts, held = defaultdict(Counter), 0
+                terms = part.split()
+                counts[lang, source].update(terms)
+                own.update(terms)
+            docs[lang, source].update(own)
+        if sum(map(len, docs.values())) > HELD_TERMS:
+            yield from sent()
+            counts, docs = defaultdict(Counter), defaultdict(Counter)
     yield from sent()
 
 
@@ -183,7 +180,9 @@ def audit(spark: SparkSession, docs: DataFrame, least_docs: int = 3, top: int =
     scratch = Scratch(spark, "divergence")
     arrow_limits(spark)
     rows = docs.select(*[text_or_empty(c).cast("string").alias(c) for c in ("lang", "source", "text")])
-    counts = rows.mapInArrow(count_terms, COUNT_SCHEMA).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # dealt before they are added up: a task's own counts have no repeats to combine
+    sent = rows.mapInArrow(count_terms, COUNT_SCHEMA).repartition("lang", "source", "term")
+    counts = sent.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     counts = scratch.save(counts, "counts")
     one = W.partitionBy("lang", "term")  # at most a row a source
     seen = counts.filter("term <> ''").select(
