@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ascii_lower, documents, partitions, text_or_empty
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words. A split costs a tenth of collecting the words by their own pattern.
+BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The term that ends each document, at the position after its last word; words are never empty.
 END = ""
 #: Postings of a term in one slice, about.
@@ -35,7 +36,7 @@ DOC = ["d1", "d2"]
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(text), BREAKS, -1), "")
 
 
 def term(word: Column) -> Column:
