@@ -1,7 +1,7 @@
 """Secret scans: known shapes, and a sliding window of Shannon entropy over candidate strings.
 
 Native. A candidate is a maximal run of token characters, split at '=' and, where it is a path or holds a
-placeholder, at '/'; the class of each part (hex, upper, mixed, letters) sets the window and the threshold. The fold over a candidate holds the window's counts: the entropy of each window
+placeholder, at "/"; the class of each part (hex, upper, mixed, letters) sets the window and the threshold. The entropy of each window
 follows from that of the one before by the counts of the character that leaves and of the one that enters.
 A candidate gives one span, from the first to the end of the last window over the threshold; what lies
 between them belongs to it, cold or not. Parts on the allow-list give no entropy span; base spans always stay.
@@ -9,7 +9,7 @@ between them belongs to it, cold or not. Parts on the allow-list give no entropy
 Defined results: a null or empty text has no spans (the digest of the empty string); offsets are
 code points, ends exclusive; repeated rows give repeated results; an empty table gives no rows;
 columns other than doc_id and text are ignored. Whole texts of any length are scanned: offsets
-come from running sums over blocks, linear in the text.
+come from running sums over blocks of matches.
 """
 
 from __future__ import annotations
@@ -46,11 +46,14 @@ IDS = (
 #: The same for values that are judged by their parts between slashes then: alphabets, placeholders, paths.
 PARTED = (
     r"(?i)example|placeholder|x{6,}|abcdefghij|0123456789",
-    r"^[A-Za-z0-9_=-]*(/[a-z]{2,}[A-Za-z0-9_=-]*){1,}(/[A-Za-z0-9_+-]*)*$",
+    r"^[A-Za-z0-9_=-]*+(?:/[a-z]{2,}[A-Za-z0-9_=-]*+(?=/|$))++(?:/[A-Za-z0-9_+-]*+)*+$",
 )
-#: Names made of words, such as CamelCase.
-NAME = r"^[A-Z]{0,4}[a-z]{2,}([A-Z]{1,4}[a-z]{2,})*[A-Z]{0,4}$"
+#: Names made of words, such as CamelCase. Groups repeat possessively: a greedy one takes a frame of the stack at
+#: each turn, which a long run doesn't leave.
+NAME = r"^[A-Z]{0,4}[a-z]{2,}(?:[A-Z]{1,4}[a-z]{2,})*+[A-Z]{0,4}$"
 BLOCK = 256
+#: Characters of a value that are taken apart at a time.
+STRETCH = 4096
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -100,34 +103,38 @@ def where(hint: Column, spans: Column) -> Column:
 def hot_window(value: Column, window: int, bits: float) -> Column:
     """(first, last, window): starts of the first and last windows with so many bits; -1 if none.
 
-    With S the sum of n*log2(n) over the window's counts n, its entropy is log2(window) - S/window. The
-    state holds the count of each character of the value: a step adds one to that which enters and takes
-    one from that which leaves, and S follows from these two counts.
+    With S the sum of n*log2(n) over the window's counts n, its entropy is log2(window) - S/window. A step
+    changes the counts of two characters, that which enters and that which leaves, by one, and S by what follows from
+    their counts in the window before. Values are walked through in stretches, each with the window before it.
     """
     g = F.array(*[F.lit(0.0 if n == 0 else n * log2(n)) for n in range(window + 2)])
     most = (log2(window) - bits) * window + 1e-9
 
-    def step(s: Column, i: Column, codes: Column) -> Column:
-        enters = F.get(codes, i)
-        leaves = F.when(i >= window, F.get(codes, F.greatest(i - window, F.lit(0)))).otherwise(F.lit(-1))
-        counts = s["counts"]
-        n_in, n_out = F.get(counts, enters), F.when(leaves >= 0, F.get(counts, F.greatest(leaves, F.lit(0))))
-        change = F.when(enters == leaves, F.lit(0.0)).otherwise(
-            F.get(g, n_in + 1) - F.get(g, n_in) + F.coalesce(F.get(g, n_out - F.lit(1)) - F.get(g, n_out), F.lit(0.0)))
-        after = F.transform(counts, lambda n, k: n + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
-        return let(s["s"] + change, lambda t: let((i >= window - 1) & (t <= F.lit(most)), lambda hot: F.struct(
-            t.alias("s"), after.alias("counts"),
-            F.when(hot & (s["first"] < 0), i - window + 1).otherwise(s["first"]).alias("first"),
-            F.when(hot, i - window + 1).otherwise(s["last"]).alias("last"))))
-
-    def walked(chars: Column) -> Column:
-        return let(F.array_distinct(chars), lambda own: let(F.transform(chars, lambda c: (F.array_position(own, c) - 1).cast("int")), lambda codes: F.aggregate(
-            F.sequence(F.lit(0), F.size(codes) - 1),
-            F.struct(F.lit(0.0).alias("s"), F.array_repeat(F.lit(0), F.size(own)).alias("counts"), F.lit(-1).alias("first"), F.lit(-1).alias("last")),
-            lambda s, i: step(s, i, codes),
-            lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.lit(window).alias("window")))))
-
-    return let(F.split(value, ""), lambda chars: walked(F.filter(chars, lambda c: c != "")))
+    def step(s: Column, k: Column, codes: Column) -> Column:
+        # codes: a full window before the stretch (0 where there is none), then the stretch; k counts from 1 in it
+        def entered(held: Column) -> Column:
+            enters, leaves = F.get(codes, window + k - 1), F.get(codes, k - 1)
+            count = lambda c: F.lit(window) - F.size(F.array_remove(held, c))
+            more = let(count(enters), lambda n: F.get(g, n + 1) - F.get(g, n))
+            less = F.when(leaves > 0, let(count(leaves), lambda n: F.get(g, n - 1) - F.get(g, n))).otherwise(F.lit(0.0))
+            change = F.when(enters == leaves, F.lit(0.0)).otherwise(more + less)
+            return let(s["s"] + change, lambda t: let((leaves >= 0) & (s["at"] + k >= window) & (t <= F.lit(most)), lambda hot: F.struct(
+                t.alias("s"), s["at"].alias("at"),
+                F.when(hot & (s["first"] < 0), s["at"] + k - window).otherwise(s["first"]).alias("first"),
+                F.when(hot, s["at"] + k - window).otherwise(s["last"]).alias("last"), s["tail"].alias("tail"))))
+
+        return let(F.slice(codes, k, F.lit(window)), entered)
+
+    def stretch(s: Column, part: Column) -> Column:
+        chars = F.filter(F.split(part, ""), lambda c: c != "")
+        return let(F.concat(s["tail"], F.transform(chars, F.ascii)), lambda codes: let(F.aggregate(
+            F.sequence(F.lit(1), F.size(codes) - window), s, lambda a, k: step(a, k, codes)), lambda done: F.struct(
+                done["s"].alias("s"), (s["at"] + F.size(codes) - window).alias("at"), done["first"].alias("first"), done["last"].alias("last"),
+                F.slice(codes, F.size(codes) - window + 1, F.lit(window)).alias("tail"))))
+
+    begin = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("at"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.array_repeat(F.lit(0), window).alias("tail"))
+    return F.aggregate(F.regexp_extract_all(value, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)), begin, stretch, lambda s: F.struct(
+        s["first"].alias("first"), s["last"].alias("last"), F.lit(window).alias("window")))
 
 
 def matches_any(v: Column, patterns: tuple[str, ...]) -> Column:
