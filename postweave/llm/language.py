@@ -9,9 +9,10 @@ Learned from text and lang of rows whose crc32(doc_id) mod 4 is not 2. Training
 of words from rows of different languages, so that switches are seen. Every language that these rows
 have is a label. Bounds of the fit: about SAMPLE_ROWS rows a language, fewer beyond LANGUAGES languages
 so that the sample stays as large, and SAMPLE_WORDS words a row on average, taken as runs from anywhere
-in the whole texts; beyond MAX_LANGUAGES, where the model would outgrow a driver, an error is raised,
-not a cut. All rows are labelled, whole: long texts go through the chain in segments whose transfer
-matrices are combined exactly; beside its words a worker holds 8 bytes a label for each word of a text.
+in the whole texts; the model's size doesn't grow with the number of languages, for which its features are hashed
+more coarsely beyond LANGUAGES of them (transitions take 8 bytes a pair of labels). All rows are labelled, whole: long
+texts go through the chain in segments whose transfer matrices are combined exactly. Beside the words a worker holds scores of
+each distinct word, two distributions for each SEGMENT words, and CELLS cells of what it works on.
 
 Defined results: `und` with score 0 for a null text, one without letters, and where nothing could
 be learned; repeated rows are labelled each; a null doc_id isn't held out nor learned from; an
@@ -20,7 +21,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +34,18 @@ from .toxicity import below, fold
 
 BITS = 17
 FOLDS, HELD = 4, 2
-SAMPLE_ROWS, SAMPLE_WORDS, LANGUAGES, MAX_LANGUAGES = 600, 160, 64, 256
+SAMPLE_ROWS, SAMPLE_WORDS, LANGUAGES = 600, 160, 64
 #: What a word with its space is taken to have, where words are bounded by bytes.
 WORD_BYTES = 6
 NGRAMS = (2, 3, 4)
 #: Words of a segment, and segments that are worked on at a time.
 SEGMENT, SLICE = 128, 1024
+#: Cells (of words by labels, or of transfer matrices) that are held at a time.
+CELLS = 1 << 21
 RUNS = (4, 30)
 
 
-def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(word, feature) of the words data[start:end]: n-grams of ^word$, which hold the affixes,
     and the whole word."""
     n = end - start + 2
@@ -60,7 +63,7 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
         inside = word[: len(h)] == word[k - 1:]
         words.append(word[: len(h)][inside])
         found.append(mix(h[inside]))
-    return np.concatenate(words), (np.concatenate(found) >> U64(64 - BITS)).astype(np.int64)
+    return np.concatenate(words), (np.concatenate(found) >> U64(64 - bits)).astype(np.int64)
 
 
 class Chain:
@@ -68,65 +71,87 @@ class Chain:
 
     def __init__(self, labels: list[str]):
         n = len(labels)
-        self.labels, self.weights, self.moves = labels, np.zeros((1 << BITS, n), np.float32), np.zeros((n, n))
+        # fewer features for more labels than LANGUAGES, so that the model stays as large
+        self.bits = BITS - max(0, (n - 1) // LANGUAGES).bit_length()
+        self.labels, self.weights, self.moves = labels, np.zeros((1 << self.bits, n), np.float32), np.zeros((n, n))
 
     def emissions(self, word: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(word, self.weights[found, k], n) for k in range(len(self.labels))], 1)
 
     def marginals(self, scores: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Word distributions of sequences laid out one after another (scores: words x labels).
+        """Word distributions of sequences laid out one after another (scores: words x labels)."""
+        found = np.empty(scores.shape, np.float32)
+        for place, p in self.distributions(lambda at: scores[at], length):
+            found[place] = p
+        return found
 
-        The words are cut into segments of SEGMENT; each segment's transfer matrix is the product of
-        its steps, the segments of a sequence are chained through these, and then all segments run
-        from their exact borders, SLICE segments at a time.
+    def distributions(self, scores: Callable[[np.ndarray], np.ndarray], length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(words, their distributions), some at a time; scores gives the scores of words by their places.
+
+        The words are cut into segments of SEGMENT. A sequence of several segments is chained through their transfer
+        matrices, each the product of its steps, of which CELLS cells are held at a time, first forwards and then
+        backwards; then all segments run from their exact borders, so many at a time that their words have CELLS cells.
         """
-        k, parts = scores.shape[1], -(-length // SEGMENT)
+        k, parts = len(self.labels), -(-length // SEGMENT)
         total = int(parts.sum())
         seq = np.repeat(np.arange(len(length)), parts)
         rank = np.arange(total) - np.repeat(np.cumsum(parts) - parts, parts)
         begin = np.repeat(np.cumsum(length) - length, parts) + rank * SEGMENT
-        size = np.minimum(SEGMENT, length[seq] - rank * SEGMENT)
+        size, last = np.minimum(SEGMENT, length[seq] - rank * SEGMENT), int(length.sum()) - 1
         t = np.exp(self.moves - self.moves.max())
+        some, held = max(1, min(SLICE, CELLS // (SEGMENT * k))), max(1, CELLS // (k * k))
         norm = lambda x, axes: x / x.sum(axes, keepdims=True)
 
-        def steps(lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def steps(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Words of some segments, whether they are real, and their weights."""
-            place = np.minimum(begin[lo: lo + SLICE, None] + np.arange(SEGMENT), len(scores) - 1)
-            real = np.arange(SEGMENT) < size[lo: lo + SLICE, None]
-            e = scores[place].astype(np.float64)
+            place = np.minimum(begin[own, None] + np.arange(SEGMENT), last)
+            real = np.arange(SEGMENT) < size[own, None]
+            e = scores(place).astype(np.float64)
             e = np.exp(e - e.max(2, keepdims=True))
             return place, real, np.where(real[:, :, None], e, 1.0)
 
+        def transfers(own: np.ndarray) -> np.ndarray:
+            """Row: label before the segment, column: its last label."""
+            through = np.broadcast_to(np.eye(k), (len(own), k, k)).copy()
+            for lo in range(0, len(own), some):
+                _, real, e = steps(own[lo: lo + some])
+                part = through[lo: lo + some]
+                for s in range(int(size[own[lo: lo + some]].max())):
+                    on = real[:, s]
+                    part[on] = norm((part[on] @ t) * e[on, s][:, None, :], (1, 2))
+            return through
+
         def by(number: np.ndarray) -> list[np.ndarray]:
-            """Segments by a number, from 1 on."""
+            """Places of a number, from 1 on."""
             order = np.argsort(number, kind="stable")
-            return np.split(order, np.searchsorted(number[order], np.arange(1, int(number.max()) + 1)))[1:] if total else []
-
-        # transfer of each segment: row = label before the segment, column = its last label
-        through = np.broadcast_to(np.eye(k), (total, k, k)).copy()
-        for lo in range(0, total, SLICE):
-            _, real, e = steps(lo)
-            own = through[lo: lo + SLICE]
-            for s in range(int(size[lo: lo + SLICE].max())):
-                on = real[:, s]
-                own[on] = norm((own[on] @ t) * e[on, s][:, None, :], (1, 2))
+            return np.split(order, np.searchsorted(number[order], np.arange(1, int(number.max(initial=0)) + 1)))[1:]
+
         into, out = np.full((total, k), 1.0 / k), np.full((total, k), 1.0 / k)  # before, and after
-        for own in by(rank):
-            into[own] = norm(np.einsum("ij,ijk->ik", into[own - 1], through[own - 1]), 1)
-        for own in by(parts[seq] - 1 - rank):
-            out[own] = norm(np.einsum("ijk,ik->ij", through[own + 1], out[own + 1]), 1)
-        found = np.empty(scores.shape, np.float32)
-        for lo in range(0, total, SLICE):
-            place, real, e = steps(lo)
-            alpha, a, b = np.empty_like(e), into[lo: lo + SLICE], out[lo: lo + SLICE]
+        chained = np.flatnonzero(parts[seq] > 1)
+        blocks = [chained[lo: lo + held] for lo in range(0, len(chained), held)]
+        kept = transfers(blocks[0]) if len(blocks) == 1 else None
+        left = parts[seq] - 1 - rank
+        for own in blocks:  # the first of a sequence has nothing before it; what follows a segment is in this block or the next
+            through = transfers(own) if kept is None else kept
+            for at in [np.flatnonzero(rank[own] == 0), *by(np.where(rank[own] > 0, np.minimum(rank[own], np.arange(len(own)) + 1), 0))]:
+                go = at[left[own[at]] > 0]
+                into[own[go] + 1] = norm(np.einsum("ij,ijk->ik", into[own[go]], through[go]), 1)
+        for own in blocks[::-1]:
+            through = transfers(own) if kept is None else kept
+            back = len(own) - np.arange(len(own))
+            for at in [np.flatnonzero(left[own] == 0), *by(np.where(left[own] > 0, np.minimum(left[own], back), 0))]:
+                go = at[rank[own[at]] > 0]
+                out[own[go] - 1] = norm(np.einsum("ijk,ik->ij", through[go], out[own[go]]), 1)
+        for lo in range(0, total, some):
+            place, real, e = steps(np.arange(lo, min(total, lo + some)))
+            alpha, a, b = np.empty_like(e), into[lo: lo + some], out[lo: lo + some]
             for s in range(SEGMENT):
                 a = np.where(real[:, s, None], norm((a @ t) * e[:, s], 1), a)
                 alpha[:, s] = a
             for s in range(SEGMENT - 1, -1, -1):
                 alpha[:, s] *= b
                 b = np.where(real[:, s, None], norm((e[:, s] * b) @ t.T, 1), b)
-            found[place[real]] = norm(alpha, 2)[real]
-        return found
+            yield place[real], norm(alpha, 2)[real].astype(np.float32)
 
     def fit(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, y: np.ndarray, length: int, epochs: int = 4, batch: int = 64, rate: float = 0.3, decay: float = 1e-6) -> Chain:
         """Sequences of `length` words each; Adagrad on the conditional log likelihood."""
@@ -136,11 +161,11 @@ class Chain:
             order = rng.permutation(n)
             for lo in range(0, n, batch):
                 rows = (order[lo: lo + batch, None] * length + np.arange(length)).ravel()
-                word, found = features(data, start[rows], end[rows])
+                word, found = features(data, start[rows], end[rows], self.bits)
                 scores, truth = self.emissions(word, found, len(rows)), np.eye(k)[y[rows]]
                 p, pair = self.pairs(scores.reshape(-1, length, k))
                 miss = ((p.reshape(-1, k) - truth) / len(rows)).astype(np.float32)
-                g = np.stack([np.bincount(found, miss[word, j], 1 << BITS) for j in range(k)], 1).astype(np.float32) + decay * self.weights
+                g = np.stack([np.bincount(found, miss[word, j], 1 << self.bits) for j in range(k)], 1).astype(np.float32) + decay * self.weights
                 steps = y[rows].reshape(-1, length)
                 have = np.zeros((k, k))
                 np.add.at(have, (steps[:, :-1].ravel(), steps[:, 1:].ravel()), 1)
@@ -168,8 +193,10 @@ class Chain:
             b = (e[:, s] * b) @ t.T
             b = b / b.sum(1, keepdims=True)
         p = alpha * beta
-        joint = alpha[:, :-1, :, None] * t * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
-        return p / p.sum(2, keepdims=True), (joint / joint.sum((2, 3), keepdims=True)).sum((0, 1))
+        # a pair's weights are a product, so that sums over all steps are one of matrices
+        before, after = alpha[:, :-1].reshape(-1, k), (e[:, 1:] * beta[:, 1:]).reshape(-1, k)
+        weight = ((before @ t) * after).sum(1, keepdims=True)
+        return p / p.sum(2, keepdims=True), t * ((before / weight).T @ after)
 
 
 def has_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -191,10 +218,11 @@ def label_batch(chain: Chain, column: pa.Array) -> tuple[list[str], np.ndarray]:
     sums = np.zeros((len(n), max(1, len(chain.labels))))
     if len(words.doc) and chain.labels:
         _, first, inverse = np.unique(words.hashes[0], return_index=True, return_inverse=True)
-        word, found = features(data, words.start[first], words.end[first])
-        scores = chain.emissions(word, found, len(first)).astype(np.float32)[inverse]
-        p = chain.marginals(scores, n[n > 0])
-        sums = np.stack([np.bincount(words.doc, p[:, k], len(n)) for k in range(p.shape[1])], 1)
+        word, found = features(data, words.start[first], words.end[first], chain.bits)
+        scores = chain.emissions(word, found, len(first)).astype(np.float32)
+        for place, p in chain.distributions(lambda at: scores[inverse[at]], n[n > 0]):
+            doc = words.doc[place]
+            np.add.at(sums, np.unique(doc), np.add.reduceat(p, np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), axis=0))
     mean = sums / np.maximum(1, n)[:, None]
     best = mean.argmax(1)
     known = letters & (n > 0) & bool(chain.labels)
@@ -207,11 +235,9 @@ def sample(spark: SparkSession, docs: DataFrame, rows: int, languages: int) -> t
     runs are taken by a hash that SAMPLE_WORDS words a row are expected."""
     may = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD))
-    found = may.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    found = may.groupBy("lang").count().orderBy("lang").collect()  # the labels of the model
     if not found:
         return [], []
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rows = min(rows, rows * languages / len(found))
     share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
     some = Scratch(spark, "language").save(may.filter(below(F.xxhash64("doc_id"), F.try_element_at(share, F.col("lang")))), "sample")

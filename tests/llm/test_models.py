@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,17 +131,29 @@ def test_language_on_held_out_rows(spark):
     assert sum(out) / len(out) > 0.97 and all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_every_language_is_a_label(spark, monkeypatch):
-    """Rare ones too; the sample stays bounded, and what can't be held is an error."""
+def test_every_language_is_a_label(spark):
+    """Rare ones too; the sample and the model stay bounded."""
     rows = [(i, f"wort{i % 80} text", f"l{i % 80 if i % 3 else i % 2}") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     want = {lang for i, _, lang in rows if held(i, 4) != 2}
     labels, got = language.sample(spark, docs, 600, language.LANGUAGES)
     assert len(want) > language.LANGUAGES and set(labels) == want == {lang for lang, _ in got}
     assert len(language.sample(spark, docs, 8, 10)[1]) < 300
-    monkeypatch.setattr(language, "MAX_LANGUAGES", 70)
-    with pytest.raises(ValueError):
-        language.sample(spark, docs, 600, language.LANGUAGES)
+    assert Chain([str(k) for k in range(1000)]).weights.size < 2 * Chain([str(k) for k in range(64)]).weights.size
+
+
+def test_many_labels_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    chain = Chain([f"l{k}" for k in range(300)])
+    chain.weights[:] = rng.normal(0, 1, chain.weights.shape)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9000, 10)) for _ in range(4096)] + [" ".join(f"w{x}" for x in rng.integers(0, 9000, 3000))]
+    tracemalloc.start()
+    found, _ = language.label_batch(chain, pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 4097 and peak < 500e6
 
 
 def test_sampled_words_are_of_whole_texts(spark):
@@ -169,9 +182,11 @@ def test_words_of_mixed_text():
     assert (chain.marginals(scores, np.array([len(words)])).argmax(1) == np.array(y)).mean() > 0.98
 
 
-@pytest.mark.parametrize("lengths", [[1], [128], [129], [5, 300, 1, 128, 700]])
-def test_segments_give_exact_marginals(lengths, monkeypatch):
+@pytest.mark.parametrize("cells", [9, 27, 1 << 21])
+@pytest.mark.parametrize("lengths", [[1], [128], [129], [5, 300, 1, 128, 1500, 400]])
+def test_segments_give_exact_marginals(lengths, cells, monkeypatch):
     monkeypatch.setattr(language, "SLICE", 3)
+    monkeypatch.setattr(language, "CELLS", cells)
     rng = np.random.default_rng(4)
     chain = Chain(["a", "b", "c"])
     chain.moves = rng.normal(0, 1, (3, 3))
