@@ -1002,17 +1002,11 @@ def _folder_indexes(spark, d):
 
 @query("i3_incremental_edges", f"WITH {MESSAGES_SQL}, {EDGES_SQL} SELECT * FROM edges WHERE child_msgnum > 20")
 def _incremental(spark, d):
-    """An update from a state of each list's first messages; edges of what is new."""
-    from uuid import uuid4
-
-    from .config import Config
-    from .plans.archive import save_state, update_archive
+    """What an update adds to the edges of each list's first messages: joins of what is new, old messages by their ids."""
     from .plans.messages import parse_messages
 
-    path, raw = f"{ranking.shared_dir(spark)}/postweave/state_{uuid4().hex[:12]}", raw_messages(spark, d)
-    save_state(parse_messages(raw.filter("pos <= 20")), path)
-    fresh = raw.filter("pos > 20").withColumn("pos", F.col("pos") - 21)
-    return update_archive(spark, fresh, path, Config(increment=1))[0]["reply_edges"].filter("child_msgnum > 20")
+    m = ranking.written(parse_messages(raw_messages(spark, d)))
+    return threads.edge_delta(m.filter("pos <= 20"), m.filter("pos > 20"))[1]
 
 
 @query("stream_monthly_counts", f"""WITH {MESSAGES_SQL} SELECT list_id, date // 2592000 * 2592000 AS window_start, count(*) AS n_messages FROM m GROUP BY ALL""")
@@ -1032,3 +1026,6 @@ def _stream_counts(spark, d):
         lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/counts")).start()
     run.awaitTermination()
     return spark.read.parquet(f"{at}/counts")
+
+
+from . import stored_queries  # noqa: E402,F401  (registers its queries here)

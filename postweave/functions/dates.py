@@ -86,7 +86,7 @@ def normalize_zone(c: Column) -> Column:
 
 
 def without_comments(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s*\([^)]*\)\s*", " "))
+    return strip(F.regexp_replace(c, r"(?:\G|(?<!\s))\s*+\([^)]*\)\s*", " "))
 
 
 def parse_mail_date(c: Column, local_offset: int = 0) -> Column:

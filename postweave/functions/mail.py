@@ -12,7 +12,7 @@ from .text import ascii_lower, strip
 def parse_headers(raw: Column) -> Column:
     """Array of (name, value) in order: names lower-case, folded lines joined, up to a blank line."""
     text = F.regexp_replace(F.regexp_replace(raw, "\r\n", "\n"), r"(?s)\n\n.*$", "")
-    lines = F.split(F.regexp_replace(text, r"[ \t]*\n[ \t]+", " "), "\n")
+    lines = F.split(F.regexp_replace(text, r"(?:\G|(?<![ \t]))[ \t]*+\n[ \t]+", " "), "\n")
     cut = F.transform(F.filter(lines, lambda x: F.instr(x, ":") > 0), lambda x: F.struct(
         F.lower(strip(F.substring_index(x, ":", 1))).alias("name"),
         strip(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))

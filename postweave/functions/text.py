@@ -28,8 +28,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+#: The same characters, to be trimmed: a pattern that looks for white space before the end would begin at each of a long run.
+SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def cap_bytes(c: Column, limit: int) -> Column:
@@ -144,7 +148,7 @@ def convchars(c: Column, chars: str) -> Column:
 
 
 def stripzone(c: Column) -> Column:
-    return F.regexp_replace(strip(c), r"\s+\([^)]*\)\s*$", "")
+    return F.regexp_replace(strip(c), r"(?<!\s)\s++\([^)]*\)\s*$", "")
 
 
 def getvalue(c: Column) -> Column:

@@ -13,7 +13,8 @@ from ..functions.dates import folder_month, folder_year, strftime_pattern
 from ..functions.text import safe_folder
 from .ranking import ordered_positions, positions
 
-RANGE = 30 * 86400
+#: A piece of the order by date: a day, and of undated rows so many numbers.
+RANGE, UNDATED = 86400, 100_000
 
 
 def subject_key() -> Column:
@@ -32,7 +33,10 @@ def _order(key: Column, tie: str, reverse: bool) -> list[Column]:
 
 
 def date_index(messages: DataFrame, reverse: bool = False) -> DataFrame:
-    return positions(messages, ["list_id"], _order(F.col("date"), "pos", reverse), F.floor(F.col("date") / RANGE), "ord", reverse)
+    """Pieces are days; rows without a date (0), which come first of their day by number, are pieces of numbers."""
+    undated = F.col("date") == 0
+    part = F.struct(F.floor(F.col("date") / RANGE), (~undated).cast("int"), F.when(undated, F.floor(F.col("msgnum") / UNDATED)).otherwise(0))
+    return positions(messages, ["list_id"], _order(F.col("date"), "pos", reverse), part, "ord", reverse)
 
 
 def _by_text(messages: DataFrame, key: Column, reverse: bool) -> DataFrame:

@@ -67,12 +67,12 @@ def search(index: DataFrame, key: str, query: str) -> DataFrame:
 
 def search_texts(docs: DataFrame, key: str, text: Column, query: str) -> DataFrame:
     """As search, over texts without a stored index: each is looked through in place, and only hits
-    are sorted."""
+    are sorted. The kept text stands in an array of one, so that it is made once for all bigrams and
+    the limit on the score, which the optimizer would otherwise repeat it for."""
     grams = query_bigrams(query)
-    kept = docs.select(key, kept_text(text).alias("_kept"))
-    score = reduce(add, [F.col("_kept").contains(g).cast("int") for g in grams]) if grams else F.lit(0)
-    scored = kept.select(key, score.alias("score"))
-    return scored.filter((F.col("score") >= len(grams) - 1) & (F.col("score") > 0)).orderBy(F.desc("score"), key)
+    score = lambda t: reduce(add, [t.contains(g).cast("int") for g in grams]) if grams else F.lit(0)
+    hits = F.filter(F.transform(F.array(kept_text(text)), score), lambda n: (n >= len(grams) - 1) & (n > 0))
+    return docs.select(key, F.explode(hits).alias("score")).orderBy(F.desc("score"), key)
 
 
 def search_many(docs: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFrame:
@@ -93,6 +93,101 @@ def search_many(docs: DataFrame, key: str, text: Column, queries: DataFrame) ->
     return scored.filter(F.col("score") >= F.col("_n") - 1).drop("_n")
 
 
+#: Ids of one block: a bigram that all texts have is a block for so many.
+BLOCK_IDS = 1 << 16
+BLOCKS = "bigram string, generation bigint, scope string, first bigint, n int, gaps array<int>"
+
+
+def posting_blocks(docs: DataFrame, text: Column) -> DataFrame:
+    """(bigram, scope, first, n, gaps): the ascending ids of a bigram in blocks, each its first id and the gaps to
+    those that follow. docs: scope (a list, or ''), id. A block is of one range of ids, so that it is bounded
+    whatever the bigram."""
+    rows = docs.select("scope", F.col("id").cast("bigint").alias("id"), F.explode(bigrams(text)).alias("bigram"))
+    lists = rows.groupBy("bigram", "scope", F.floor(F.col("id") / BLOCK_IDS).alias("_range")).agg(F.sort_array(F.collect_list("id")).alias("_ids"))
+    gaps = F.transform(F.slice("_ids", 2, F.size("_ids")), lambda x, i: (x - F.get("_ids", i)).cast("int"))
+    return lists.select("bigram", "scope", F.get("_ids", F.lit(0)).alias("first"), F.size("_ids").alias("n"), gaps.alias("gaps"))
+
+
+class SearchIndex:
+    """Posting blocks under a path, by bucket of the bigram, in generations: each addition is one, and merging makes one
+    of all. A search looks up how many texts its bigrams have, reads the blocks of the two rarest, and of the others only
+    blocks that can hold one of the candidates these give."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _path(self) -> str:
+        """Where the blocks are: the last complete merge, else those of additions alone."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        at = path(f"{self.root}/merged")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        done = sorted(int(f.getPath().getName()) for f in fs.listStatus(at) if fs.exists(path(f.getPath(), "_SUCCESS"))) if fs.exists(at) else []
+        return f"{self.root}/merged/{done[-1]}" if done else f"{self.root}/blocks"
+
+    def blocks(self) -> DataFrame:
+        return self.spark.read.schema(f"{BLOCKS}, bucket int").parquet(self._path())
+
+    def add(self, docs: DataFrame, text: Column, generation: int) -> None:
+        """docs: scope, id, of texts that the index lacks. An addition that is run again replaces its own blocks."""
+        rows = posting_blocks(docs, text).withColumn("generation", F.lit(generation).cast("bigint"))
+        self._write(rows, self._path(), "overwrite")
+
+    def _write(self, rows: DataFrame, path: str, mode: str) -> None:
+        dealt = rows.withColumn("bucket", _bucket(F.col("bigram"), self.buckets)).hint("rebalance", F.col("bucket"))
+        out = dealt.select("bigram", "scope", "first", "n", "gaps", "generation", "bucket").sortWithinPartitions("bucket", "bigram", "scope", "first")
+        out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("generation", "bucket").parquet(path)
+
+    def merge(self, generation: int) -> None:
+        """All generations as one, written beside them; searches take it once it is complete."""
+        old = self.blocks()
+        ids = old.select("bigram", "scope", F.explode(ids_of()).alias("id"))
+        lists = ids.groupBy("bigram", "scope", F.floor(F.col("id") / BLOCK_IDS).alias("_range")).agg(F.sort_array(F.collect_set("id")).alias("_ids"))
+        gaps = F.transform(F.slice("_ids", 2, F.size("_ids")), lambda x, i: (x - F.get("_ids", i)).cast("int"))
+        rows = lists.select("bigram", "scope", F.get("_ids", F.lit(0)).alias("first"), F.size("_ids").alias("n"), gaps.alias("gaps"), F.lit(generation).cast("bigint").alias("generation"))
+        self._write(rows, f"{self.root}/merged/{generation}", "overwrite")
+
+    def of(self, grams: list[str]) -> DataFrame:
+        """The blocks of some bigrams: other buckets aren't opened, and a file is read where its bigrams can be."""
+        own = self.spark.createDataFrame([(g,) for g in grams], "gram string").select(_bucket(F.col("gram"), self.buckets)).distinct().collect()
+        return self.blocks().filter(F.col("bucket").isin([r[0] for r in own]) & F.col("bigram").isin(grams))
+
+    def frequencies(self, grams: list[str]) -> dict[str, int]:
+        """In how many texts each bigram is; of blocks only their counts are read."""
+        found = {r.bigram: r.n for r in self.of(grams).groupBy("bigram").agg(F.sum("n").alias("n")).collect()} if grams else {}
+        return {g: found.get(g, 0) for g in grams}
+
+    def search(self, query: str) -> DataFrame:
+        """(scope, id, score): texts that have all of the query's bigrams but one at most."""
+        grams = query_bigrams(query)
+        if not grams:
+            return self.spark.createDataFrame([], "scope string, id bigint, score int")
+        counts = self.frequencies(grams)
+        by_count = sorted(grams, key=lambda g: (counts[g], g))
+        # a hit lacks one bigram at most, so that it has one of the two rarest
+        listed = lambda own: self.of(own).select("bigram", "scope", F.explode(ids_of()).alias("id"))
+        rare = written(listed(by_count[:2]))
+        parts = [rare]
+        if by_count[2:]:
+            reach = rare.select("scope", F.floor(F.col("id") / BLOCK_IDS).alias("_range")).distinct()
+            near = self.of(by_count[2:]).withColumn("_range", F.floor(F.col("first") / BLOCK_IDS)).join(reach, ["scope", "_range"], "left_semi")
+            parts.append(near.select("bigram", "scope", F.explode(ids_of()).alias("id")).join(rare.select("scope", "id").distinct(), ["scope", "id"], "left_semi").select("bigram", "scope", "id"))
+        scored = reduce(DataFrame.unionByName, parts).groupBy("scope", "id").agg(F.count_distinct("bigram").cast("int").alias("score"))
+        return scored.filter(F.col("score") >= len(grams) - 1)
+
+
+def ids_of() -> Column:
+    """A block's ids again: running sums of its gaps, by pieces, so that a long block isn't copied for each."""
+    piece = 256
+    gaps = F.col("gaps")
+    starts = F.sequence(F.lit(0), F.floor(F.size(gaps) / piece).cast("int"))
+    sums = F.transform(starts, lambda k: F.aggregate(F.slice(gaps, k * piece + 1, F.lit(piece)), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    bases = F.aggregate(sums, F.array(F.lit(0).cast("bigint")), lambda a, x: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + x)))
+    within = lambda base, part: F.aggregate(part, F.array(base), lambda a, x: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + x)))
+    runs = F.transform(starts, lambda k: within(F.get(bases, k), F.slice(gaps, k * piece + 1, F.lit(piece))))
+    # each run begins with the last id of the one before
+    return F.transform(F.flatten(F.transform(runs, lambda r, k: F.when(k == 0, r).otherwise(F.slice(r, 2, F.size(r))))), lambda x: F.col("first") + x)
+
+
 def search_lines(messages: DataFrame) -> DataFrame:
     """The flat search file: msgnum|text, one line a message."""
     text = sanitize_for_search(searchable_text(F.col("subject"), F.col("name"), F.col("email_addr"), F.col("body_text")))

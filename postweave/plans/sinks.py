@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import shutil
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import groupby
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..operators.search import search_lines
+from ..sources.archive import cache_record, cache_trailer
 
 
 def _local(path: str) -> str:
@@ -22,28 +28,102 @@ def is_local(root: str) -> bool:
     return ":" not in root or root.startswith("file:")
 
 
+class PageWritten(WriterCommitMessage):
+    """The list of what one task has staged, and how many files that are."""
+
+    def __init__(self, listing: str, pages: int):
+        self.listing, self.pages = listing, pages
+
+
+class PageWriter(DataSourceWriter):
+    """Files of (path, html) under a root, all or none.
+
+    Tasks stage files under .staging/<run>, each attempt in a folder of its own, and list them; the commit first writes which listings
+    count, then moves the files to their places. A run that fails before that leaves no page; one that is
+    killed while files are moved is finished by the next (`finish`), before it writes its own."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.base, self.run = os.path.abspath(_local(options["path"])), uuid4().hex
+        self.mode, self.dirmode, self.keep = int(options.get("filemode", 0o644)), int(options.get("dirmode", 0o755)), options.get("keep", "false") == "true"
+        self.home = os.path.join(self.base, STAGING, self.run)
+        finish(self.base)
+
+    def write(self, rows: Iterator) -> PageWritten:
+        from pyspark import TaskContext
+
+        own = os.path.join(self.home, f"{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}")
+        os.makedirs(own, exist_ok=True)
+        n, listing = 0, os.path.join(own, "listing")
+        with open(listing, "w", encoding="utf-8") as out:
+            for r in rows:
+                at = os.path.abspath(os.path.join(self.base, r["path"]))
+                if os.path.commonpath([self.base, at]) != self.base or STAGING in os.path.relpath(at, self.base).split(os.sep):
+                    raise ValueError(f"{r['path']} leaves the archive")
+                if self.keep and os.path.exists(at):
+                    continue
+                staged = os.path.join(own, f"{n}.page")
+                with open(staged, "w", encoding="utf-8") as f:
+                    f.write(r["html"])
+                os.chmod(staged, self.mode)
+                out.write(json.dumps([staged, at, self.dirmode]) + "\n")
+                n += 1
+        return PageWritten(listing, n)
+
+    def commit(self, messages: list[PageWritten | None]) -> None:
+        os.makedirs(self.home, exist_ok=True)
+        with open(f"{self.home}/commit.part", "w", encoding="utf-8") as f:
+            f.writelines(f"{m.listing}\n" for m in messages if m)
+        os.replace(f"{self.home}/commit.part", f"{self.home}/commit")
+        finish(self.base)
+
+    def abort(self, messages: list[PageWritten | None]) -> None:
+        shutil.rmtree(self.home, ignore_errors=True)
+
+
+STAGING = ".staging"
+
+
+def finish(base: str) -> int:
+    """Moves what committed runs have staged to its place, also if some of it was moved before, and
+    drops what they leave; returns how many files were moved. Runs that haven't committed stay as they are."""
+    moved, home = 0, os.path.join(base, STAGING)
+    for run in sorted(os.listdir(home)) if os.path.isdir(home) else []:
+        commit = os.path.join(home, run, "commit")
+        if not os.path.exists(commit):
+            continue
+        with open(commit, encoding="utf-8") as listings:
+            for listing in listings.read().splitlines():
+                with open(listing, encoding="utf-8") as f:
+                    for line in f:
+                        staged, at, dirmode = json.loads(line)
+                        if os.path.exists(staged):
+                            os.makedirs(os.path.dirname(at), mode=dirmode, exist_ok=True)
+                            os.replace(staged, at)
+                            moved += 1
+        shutil.rmtree(os.path.join(home, run))
+    return moved
+
+
+class PageSink(DataSource):
+    """pages.write.format("pages").mode("append").save(root); options: filemode, dirmode (numbers), keep (existing files stay)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "pages"
+
+    def writer(self, schema, overwrite: bool) -> PageWriter:
+        return PageWriter(self.options, overwrite)
+
+
 def write_pages(pages: DataFrame, root: str, mode: int = 0o644, overwrite: bool = True, name: str = "pages", dirmode: int = 0o755) -> None:
-    """One file for each row of (path, html), written where the rows are. A rerun of a lost task writes
-    the same bytes. In a store that only Spark can write, root/name gets them as a table instead."""
+    """One file for each row of (path, html), staged where the rows are and put in place when all are whole.
+    In a store that only Spark can write, root/name gets them as a table instead."""
     if not is_local(root):
         pages.select("path", "html").write.mode("overwrite").parquet(f"{root}/{name}")
         return
-    base = _local(root)
-
-    def write(rows: Iterator) -> None:
-        for r in rows:
-            at = os.path.join(base, r["path"])
-            if os.path.commonpath([os.path.abspath(base), os.path.abspath(at)]) != os.path.abspath(base):
-                raise ValueError(f"{r['path']} leaves the archive")
-            if not overwrite and os.path.exists(at):
-                continue
-            os.makedirs(os.path.dirname(at), mode=dirmode, exist_ok=True)
-            with open(f"{at}.part", "w", encoding="utf-8") as f:
-                f.write(r["html"])
-            os.chmod(f"{at}.part", mode)
-            os.replace(f"{at}.part", at)
-
-    pages.select("path", "html").foreachPartition(write)
+    pages.sparkSession.dataSource.register(PageSink)
+    (pages.select("path", "html").write.format("pages").mode("append").option("filemode", str(mode)).option("dirmode", str(dirmode))
+     .option("keep", str(not overwrite).lower()).save(_local(root)))
 
 
 def write_tables(tables: dict[str, DataFrame], root: str) -> None:
@@ -69,7 +149,32 @@ def message_index_lines(messages: DataFrame, names) -> DataFrame:
 
 
 def append_msgids(messages: DataFrame, root: str) -> None:
-    messages.filter("msgid IS NOT NULL").select(F.concat(F.lit("Message-ID: "), F.col("msgid")).alias("value")).write.mode("append").text(f"{root}/msgids")
+    """Adds the lines of ids that the files under root/msgids lack: a run that is repeated adds none."""
+    spark, path = messages.sparkSession, f"{root}/msgids"
+    lines = messages.filter("msgid IS NOT NULL").select(F.concat(F.lit("Message-ID: "), F.col("msgid")).alias("value")).distinct()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        lines = lines.join(spark.read.text(path), "value", "left_anti")
+    lines.write.mode("append").text(path)
+
+
+def write_header_cache(messages: DataFrame, root: str, name: str = "headers.idx", delete_level: int = 0) -> None:
+    """Each list's header cache, root/list/name: records by number, then the largest number. A file is written by one task, row by
+    row, beside its place and moved there when it is whole."""
+    base = _local(root)
+    last = messages.groupBy("list_id").agg(F.coalesce(F.max("msgnum"), F.lit(0)).alias("_max"))
+    ends = last.select("list_id", F.lit(None).cast("int").alias("msgnum"), cache_trailer(F.col("_max"), delete_level).alias("record"))
+    rows = cache_record(messages).unionByName(ends).repartition("list_id").sortWithinPartitions("list_id", F.col("msgnum").asc_nulls_last())
+
+    def write(parts: Iterator) -> None:
+        for list_id, own in groupby(parts, lambda r: r["list_id"]):
+            at = os.path.join(base, list_id, name)
+            os.makedirs(os.path.dirname(at), exist_ok=True)
+            with open(f"{at}.part", "wb") as f:
+                f.writelines(bytes(r["record"]) for r in own)
+            os.replace(f"{at}.part", at)
+
+    rows.foreachPartition(write)
 
 
 def link_latest(root: str, name: str, target: str) -> None:
