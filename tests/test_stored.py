@@ -13,7 +13,7 @@ from postweave.sources.mbox import RAW_SCHEMA
 TABLES = ("messages", "reply_edges", "unresolved", "thread_index", "date_index", "subject_index", "author_index", "stats", "folders", "monthly")
 
 
-def raw_rows(seed, lists=("a", "b", "c d"), n=60):
+def raw_rows(seed, lists=("a", "b", "c d"), n=24):
     """Replies to earlier and to later messages, repeated ids, quoted ids, plain subjects, self references, loops."""
     rng, out = random.Random(seed), []
     for name in lists:
@@ -42,15 +42,15 @@ def parts_of(rows, cuts, lo, hi):
 
 
 def test_updates_give_what_a_full_build_gives(spark, tmp_path):
-    config = lambda: Config(discard_dup_msgids=False, monthly_index=True, searchbackmsgnum=9, msgsperfolder=25)
-    rows, cuts = raw_rows(3), {"a": (0, 20, 40, 60), "b": (0, 35, 60, 60), "c d": (0, 60, 60, 60)}
+    config = lambda: Config(discard_dup_msgids=False, monthly_index=True, searchbackmsgnum=9, msgsperfolder=10)
+    rows, cuts = raw_rows(3), {"a": (0, 8, 16, 24), "b": (0, 14, 24, 24), "c d": (0, 24, 24, 24)}
     whole = StoredArchive(spark, f"file://{tmp_path}/whole", config())
     parts = StoredArchive(spark, f"file://{tmp_path}/parts", config())
     whole.build(spark.createDataFrame(rows, RAW_SCHEMA))
     parts.build(spark.createDataFrame(parts_of(rows, cuts, 0, 1), RAW_SCHEMA))
     for k in (1, 2):
         new = parts.update(spark.createDataFrame(parts_of(rows, cuts, k, k + 1), RAW_SCHEMA))
-    assert new.count() == 20
+    assert new.count() == 8
     got, want = shown(parts), shown(whole)
     for t in want:
         assert got[t] == want[t], t
@@ -59,7 +59,7 @@ def test_updates_give_what_a_full_build_gives(spark, tmp_path):
 def test_an_update_touches_its_lists_alone_and_can_be_repeated(spark, tmp_path, monkeypatch):
     """With quoted ids and ids that come again. The first try fails halfway; nobody can open files of other lists."""
     config = lambda: Config(linkquotes=True, discard_dup_msgids=False, monthly_index=True)
-    rows, cuts = raw_rows(8), {"a": (0, 30, 30), "b": (0, 30, 60), "c d": (0, 30, 30)}
+    rows, cuts = raw_rows(8), {"a": (0, 12, 12), "b": (0, 12, 24), "c d": (0, 12, 12)}
     store = StoredArchive(spark, f"file://{tmp_path}/s", config())
     store.build(spark.createDataFrame(parts_of(rows, cuts, 0, 1), RAW_SCHEMA))
     others = [p for p in glob.glob(f"{tmp_path}/s/*/list_id=*/*.parquet") if "list_id=b" not in p]
@@ -86,7 +86,7 @@ def test_an_update_touches_its_lists_alone_and_can_be_repeated(spark, tmp_path,
         with open(p, "wb") as f:
             f.write(data)
     whole = StoredArchive(spark, f"file://{tmp_path}/w", config())
-    whole.build(spark.createDataFrame([r for r in rows if r[1] < 30 or r[0] == "b"], RAW_SCHEMA))
+    whole.build(spark.createDataFrame([r for r in rows if r[1] < 12 or r[0] == "b"], RAW_SCHEMA))
     got, want = shown(store), shown(whole)
     for t in want:
         assert got[t] == want[t], t

@@ -50,7 +50,7 @@ def found(spark, nodes, edges):
 
 
 def test_second_parents_in_many_tasks_as_the_loop_visits_them(spark):
-    nodes, edges = graphs(1, 8, 60, 0)
+    nodes, edges = graphs(1, 6, 30, 0)
     assert found(spark, nodes, edges) == plain(nodes, edges)
     # none of them is left for one task
     real = spark.createDataFrame(edges, "list_id string, p long, c long, seq long").groupBy("list_id", "p", "c").agg(F.min("seq").alias("seq"))
@@ -59,14 +59,14 @@ def test_second_parents_in_many_tasks_as_the_loop_visits_them(spark):
 
 
 def test_cycles_and_late_parents(spark):
-    nodes, edges = graphs(2, 8, 30, 0.1)
+    nodes, edges = graphs(2, 6, 20, 0.1)
     assert found(spark, nodes, edges) == plain(nodes, edges)
 
 
 def test_each_reply_quotes_all_before_it(spark):
-    nodes = [("a", i, i) for i in range(25)]
-    edges = [("a", p, i, (0 if p == i - 1 else 2 * threads.PASS) + i) for i in range(25) for p in range(i)]
+    nodes = [("a", i, i) for i in range(16)]
+    edges = [("a", p, i, (0 if p == i - 1 else 2 * threads.PASS) + i) for i in range(16) for p in range(i)]
     # and the other way round: the header names the oldest, so that the first guess is wrong at each step
-    edges += [("b", p, i, (0 if p == 0 else (2 + i - p) * threads.PASS) + i) for i in range(12) for p in range(i)]
-    nodes += [("b", i, i) for i in range(12)]
+    edges += [("b", p, i, (0 if p == 0 else (2 + i - p) * threads.PASS) + i) for i in range(8) for p in range(i)]
+    nodes += [("b", i, i) for i in range(8)]
     assert found(spark, nodes, edges) == plain(nodes, edges)
