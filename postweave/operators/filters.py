@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,21 +17,26 @@ from ..functions.text import ascii_lower, cap_bytes
 # Bits of the verdict, caps of patterns and inputs in bytes.
 DELETED, EXPIRED, FILTERED_OUT, REQUIRED, TOO_OLD, TOO_NEW = 1, 2, 4, 8, 16, 32
 PATTERN_BYTES, INPUT_BYTES = 512, 65536
+#: More patterns of one kind than this are matched in one pass (operators/patterns.py), with the same results.
+MANY = 16
 
 
 def usable(pattern: str) -> bool:
-    """Whether a pattern is short and well-formed enough to be used; others are ignored."""
+    """Whether a pattern is short enough, and well-formed for the engine that matches it; others are ignored."""
     if len(pattern.encode()) > PATTERN_BYTES:
         return False
     try:
+        if (context := SparkContext._active_spark_context) is not None:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+            return True
         re.compile(pattern)
         return True
-    except re.error:
+    except (re.error, IllegalArgumentException):
         return False
 
 
 def capped(c: Column) -> Column:
-    return cap_bytes(c, INPUT_BYTES)
+    return F.when(F.octet_length(c) <= INPUT_BYTES, c).otherwise(cap_bytes(c, INPUT_BYTES))
 
 
 def _any(parts: list[Column]) -> Column:
@@ -107,14 +114,25 @@ class Rules:
     now: int = 0
 
 
+def _each(where: Column, patterns: tuple[str, ...], in_headers: bool, needed: str) -> list[Column]:
+    """Whether each pattern matches; of many, one column: whether any or all (needed) do, which is the same to a verdict."""
+    if len(patterns) <= MANY:
+        return [header_matches(where, p) if in_headers else body_matches(where, p) for p in patterns]
+    from .patterns import PatternSet
+
+    own = PatternSet(list(patterns))
+    n = F.size(own.header_hits(where) if in_headers else own.hits(where))
+    return [n > 0 if needed == "any" else n == len(patterns)]
+
+
 def verdict(rules: Rules, msgnum: Column, headers: Column, raw_body: Column, date: Column) -> Column:
     """The bit mask; 0 keeps the message. raw_body is undecoded text."""
     lines = body_lines(raw_body)
     deleted = marked_deleted(headers, rules.deleted)
     if rules.delete_msgnum:
         deleted = deleted | msgnum.isin(list(rules.delete_msgnum))
-    out = _any([header_matches(headers, p) for p in rules.filter_out] + [body_matches(lines, p) for p in rules.filter_out_full_body])
-    require = [header_matches(headers, p) for p in rules.filter_require] + [body_matches(lines, p) for p in rules.filter_require_full_body]
+    out = _any(_each(headers, rules.filter_out, True, "any") + _each(lines, rules.filter_out_full_body, False, "any"))
+    require = _each(headers, rules.filter_require, True, "all") + _each(lines, rules.filter_require_full_body, False, "all")
     bit = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
     mask = bit(deleted, DELETED) + bit(expired(headers, rules.expires, rules.now), EXPIRED) + bit(out, FILTERED_OUT)
     mask = mask + age_mask(date, rules.delete_older, rules.delete_newer)

@@ -164,3 +164,53 @@ def _mailbox_stream(spark, d):
 def _index_subjects(spark, d):
     """Subjects of index rows, without the list's own prefix."""
     return messages(spark, d).select("list_id", "msgnum", text.strip_configured_prefix(F.col("subject"), "Re: ").alias("shown"))
+
+
+#: 240 patterns: words by their first three letters.
+STARTS = [f" {a}{b}{c}[a-z]*[ .,?]" for a in "bcdfhlmnprst" for b in "aeiou" for c in "lnrs"]
+_STARTS_SQL = ", ".join(f"'{p}'" for p in STARTS)
+
+
+@query("f4_many_patterns", f"""WITH {MESSAGES_SQL}, p AS (SELECT unnest([{_STARTS_SQL}]) AS pattern, unnest(range({len(STARTS)})) AS i)
+SELECT list_id, msgnum, CAST(i AS INTEGER) AS pattern FROM m JOIN p ON regexp_matches(body_text, pattern)""")
+def _many_patterns(spark, d):
+    """One pass over each body for all patterns."""
+    from .functions.mail import body_lines
+    from .operators.patterns import PatternSet
+
+    m = messages(spark, d)
+    return m.select("list_id", "msgnum", F.explode(PatternSet(STARTS).hits(body_lines(F.col("body_text")))).alias("pattern"))
+
+
+def _streamed_replies(spark: SparkSession, d: str) -> str:
+    """The messages as a stream in three runs, turns 2, 5, ... first, so that most parents come after their replies; then
+    a message a hundred days later, at which all that waits has expired."""
+    from .streaming.replies import ingest_edges
+
+    at = folder(spark, "replies")
+    m = messages(spark, d).select("list_id", "pos", "msgnum", "msgid", "inreplyto", "turn")
+    m = ranking.written(m)
+    for k in range(3):
+        rows = m.filter(F.col("turn") % 3 == 2 - k).drop("turn").withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * k)))
+        if k == 2:
+            tick = spark.range(1).select(F.lit("").alias("list_id"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).alias("msgnum"), F.lit("<tick@x>").alias("msgid"),
+                                         F.lit(None).cast("string").alias("inreplyto"), F.timestamp_seconds(F.lit(1_700_000_000 + 8_640_000)).alias("arrived"))
+            rows = rows.unionByName(tick)
+        rows.write.parquet(f"{at}/land/{k}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/land/*")
+        ingest_edges(spark, stream, f"{at}/answers", f"{at}/checkpoint").awaitTermination()
+    return f"{at}/answers"
+
+
+@query("j1_streamed_edges", ORACLE_SQL["j1_header_edges"])
+def _streamed_edges(spark, d):
+    from .streaming.replies import edges_of
+
+    return edges_of(spark, _streamed_replies(spark, d))
+
+
+@query("j2_streamed_expired", ORACLE_SQL["j2_unresolved_replies"])
+def _streamed_expired(spark, d):
+    from .streaming.replies import expired_of
+
+    return expired_of(spark, _streamed_replies(spark, d))
