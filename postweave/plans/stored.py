@@ -11,6 +11,7 @@ already written is written again.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import Config, check
-from ..operators import indexes, lines as line_ops, threads
+from ..operators import indexes, lines as line_ops, search, threads
 from ..operators.ranking import written
 from ..sources.mbox import read_mailboxes
 from .archive import STATE_COLUMNS, continued, ends_of
@@ -30,7 +31,8 @@ ROW = ["list_id", "msgnum", "pos", "date_str", "date", "name", "email_addr", "su
 
 class StoredArchive:
     """Tables under root: messages, tokens (ids quoted in texts), reply_edges, unresolved, thread_index, date_index,
-    subject_index, author_index, stats, folders, and monthly and yearly where they are configured."""
+    subject_index, author_index, stats, folders, and monthly and yearly where they are configured; and a search index,
+    to which an update adds the new messages alone."""
 
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
         self.spark, self.root, self.config = spark, root.rstrip("/"), (config or Config()).finish()
@@ -53,13 +55,13 @@ class StoredArchive:
         return json.loads(text)
 
     def _write(self, name: str, rows: DataFrame, lists: list[str] | None = None, mode: str = "overwrite") -> None:
-        """Replaces the parts of the lists in rows. Parts are split by size, not one task a list. Of lists, those without
+        """Replaces the parts of the lists in rows; without lists the whole table. Parts are split by size, not one task a list. Of lists, those without
         rows lose their part."""
         own = [f for f in rows.schema.fields if f.name != "list_id"]
         if lists is None:
             self.spark.createDataFrame([(StructType([*own, StructField("list_id", StringType())]).json(),)], "value string").coalesce(1).write.mode("overwrite").text(self.path(f"schema/{name}"))
         out = rows.select(*[f.name for f in own], "list_id").hint("rebalance", F.col("list_id"))
-        out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("list_id").parquet(self.path(name))
+        out.write.mode(mode).option("partitionOverwriteMode", "static" if lists is None else "dynamic").partitionBy("list_id").parquet(self.path(name))
         if lists and mode == "overwrite":
             left = {r[0] for r in rows.select("list_id").distinct().collect()}
             for gone in set(lists) - left:
@@ -91,6 +93,19 @@ class StoredArchive:
     def _tokens(self, messages: DataFrame) -> DataFrame:
         return threads.quoted_tokens(messages, line_ops.explode_lines(messages))
 
+    @property
+    def index(self) -> search.SearchIndex:
+        """Posting blocks by list and number; `merge` makes one generation of all."""
+        return search.SearchIndex(self.spark, self.path("search"))
+
+    def _add_to_index(self, new: DataFrame, generation: int) -> None:
+        text = search.searchable_text(F.col("subject"), F.col("name"), F.col("email_addr"), F.col("body_text"))
+        self.index.add(new.select(F.col("list_id").alias("scope"), F.col("msgnum").alias("id"), text.alias("text")), F.col("text"), generation)
+
+    def search(self, query: str) -> DataFrame:
+        """(list_id, msgnum, score) of messages with all of the query's bigrams but one at most, from the index alone."""
+        return self.index.search(query).select(F.col("scope").alias("list_id"), F.col("id").cast("int").alias("msgnum"), "score")
+
     def build(self, source: str | DataFrame, now: int = 0) -> None:
         """All tables from mailboxes (a path, or raw_messages). Overwrites what is there."""
         messages = written(parse_messages(self._raw(source), self.config, now).select(*STATE_COLUMNS))
@@ -104,6 +119,9 @@ class StoredArchive:
         self._write("thread_index", self._walk(messages, edges))
         for name, rows in self._projections(messages).items():
             self._write(name, rows)
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path("search"))
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self._add_to_index(messages, 0)
         self._write("messages", messages)
 
     def update(self, source: str | DataFrame, now: int = 0) -> DataFrame:
@@ -113,7 +131,12 @@ class StoredArchive:
         raw = self._raw(source)
         lists = sorted(r[0] for r in raw.select("list_id").distinct().collect())
         old = self.read("messages", lists)
-        new = written(continued(parse_messages(raw, self.config, now, 0, old.select("list_id", "msgid_key")), ends_of(old)).select(*STATE_COLUMNS))
+        ends = written(ends_of(old))
+        new = written(continued(parse_messages(raw, self.config, now, 0, old.select("list_id", "msgid_key")), ends).select(*STATE_COLUMNS))
+        # the same when the update is repeated, another for each later one: lists and where they ended (a row a list)
+        known = {r.list_id: r.last_msgnum for r in ends.select("list_id", "last_msgnum").collect()}
+        state = "\n".join(f"{name}\t{known.get(name, -1)}" for name in lists)
+        generation = int.from_bytes(hashlib.sha256(state.encode()).digest()[:7], "big") + 1
         quoting = self.config.linkquotes
         new_tokens = written(self._tokens(new)) if quoting else None
         # a failed run may have left its own rows behind: children and tokens of new messages are dropped first
@@ -145,5 +168,6 @@ class StoredArchive:
         tables |= {name: written(rows) for name, rows in self._projections(old.unionByName(new)).items()}
         for name, rows in tables.items():
             self._write(name, rows, lists)
+        self._add_to_index(new, generation)
         self._write("messages", new, lists, "append")
         return new

@@ -5,8 +5,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from postweave.config import Config
+from postweave.operators import search
 from postweave.plans.stored import StoredArchive
 from postweave.sources.mbox import RAW_SCHEMA
 
@@ -100,3 +102,36 @@ def test_a_list_whose_last_open_reply_is_answered_loses_its_part(spark, tmp_path
     store.update(spark.createDataFrame([("a", 0, "From x", b"Message-ID: <2@a>\n", b"y\n")], RAW_SCHEMA))
     assert [r.list_id for r in store.read("unresolved").collect()] == ["b"]
     assert [(r.parent_msgnum, r.child_msgnum) for r in store.read("reply_edges").collect()] == [(1, 0)]
+
+
+def test_the_search_index_follows_updates(spark, tmp_path):
+    """Equal to a look through all texts, after a build, updates (one failed at its end and repeated), a merge and a second build."""
+    rows, cuts = raw_rows(6), {"a": (0, 8, 24), "b": (0, 24, 24), "c d": (0, 0, 24)}
+    store = StoredArchive(spark, f"file://{tmp_path}/s", Config(discard_dup_msgids=False))
+
+    def same(query):
+        m = store.read("messages").withColumn("key", F.struct("list_id", "msgnum"))
+        text = search.searchable_text(F.col("subject"), F.col("name"), F.col("email_addr"), F.col("body_text"))
+        want = sorted((r.key.list_id, r.key.msgnum, r.score) for r in search.search_texts(m, "key", text, query).collect())
+        assert sorted(tuple(r) for r in store.search(query).collect()) == want and want
+
+    store.build(spark.createDataFrame(parts_of(rows, cuts, 0, 1), RAW_SCHEMA))
+    same("topic 3")
+    more, real = spark.createDataFrame(parts_of(rows, cuts, 1, 2), RAW_SCHEMA), StoredArchive._write
+
+    def failing(name, *args):
+        if name == "messages":
+            raise RuntimeError("lost")
+        real(store, name, *args)
+
+    store._write = failing
+    with pytest.raises(RuntimeError):
+        store.update(more)
+    del store._write
+    store.update(more)
+    assert store.index.blocks().select("generation").distinct().count() == 2
+    same("text 12")
+    store.index.merge(1)
+    same("text 12")
+    store.build(spark.createDataFrame(parts_of(rows, cuts, 0, 1), RAW_SCHEMA))
+    same("topic 3")
