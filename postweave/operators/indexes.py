@@ -32,11 +32,14 @@ def _order(key: Column, tie: str, reverse: bool) -> list[Column]:
     return [c.desc() for c in order] if reverse else order
 
 
-def date_index(messages: DataFrame, reverse: bool = False) -> DataFrame:
-    """Pieces are days; rows without a date (0), which come first of their day by number, are pieces of numbers."""
+def date_pieces() -> Column:
+    """Pieces of the order by date and number: days; rows without a date (0), which come first of their day by number, are pieces of numbers."""
     undated = F.col("date") == 0
-    part = F.struct(F.floor(F.col("date") / RANGE), (~undated).cast("int"), F.when(undated, F.floor(F.col("msgnum") / UNDATED)).otherwise(0))
-    return positions(messages, ["list_id"], _order(F.col("date"), "pos", reverse), part, "ord", reverse)
+    return F.struct(F.floor(F.col("date") / RANGE), (~undated).cast("int"), F.when(undated, F.floor(F.col("msgnum") / UNDATED)).otherwise(0))
+
+
+def date_index(messages: DataFrame, reverse: bool = False) -> DataFrame:
+    return positions(messages, ["list_id"], _order(F.col("date"), "pos", reverse), date_pieces(), "ord", reverse)
 
 
 def _by_text(messages: DataFrame, key: Column, reverse: bool) -> DataFrame:

@@ -125,7 +125,7 @@ def calendar_pages(messages: DataFrame, kind: str, config: Config, size: int = R
     stem = F.regexp_replace("file", r"\.html$", "")
     named = messages.withColumn("_stem", indexes.calendar_name(kind, config.gmtime))
     order = [F.col(c).desc() if config.reverse else F.col(c) for c in ("date", "msgnum", "pos")]
-    ranked = positions(named, ["list_id", "_stem"], order, F.floor(F.col("date") / indexes.RANGE), "ord", config.reverse)
+    ranked = positions(named, ["list_id", "_stem"], order, indexes.date_pieces(), "ord", config.reverse)
     rows = ranked.select("list_id", "_stem", "ord", index_row(ranked, config).alias("html"))
     return pages_of(rows, kind, stats.withColumn("_stem", stem), config, size, templates, "_stem")
 

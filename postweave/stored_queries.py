@@ -7,9 +7,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import EDGES_SQL, GRAMS_SQL, MESSAGES_SQL, ORACLE_SQL, messages, query, raw_messages, read
-from .functions import register, text
-from .operators import ranking, search
+from .catalog import EDGES_SQL, GRAMS_SQL, LINES_SQL, MESSAGES_SQL, ORACLE_SQL, doc_lines, messages, query, raw_messages, read
+from .functions import quotes, register, text
+from .operators import ranking, search, threads
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -85,6 +85,29 @@ def _sql_subjects(spark, d):
 count_if(quote_depth(concat(CASE WHEN turn % 2 = 1 THEN '> > ' ELSE '' END, text)) >= 2 AND turn % 2 = 1) AS n_quoted FROM conversations GROUP BY 1""")
 
 
+def _archive_views(spark: SparkSession, d: str) -> None:
+    from .plans.sql import create_views
+
+    m = messages(spark, d)
+    edges = threads.reply_edges(m)
+    create_views(spark, {"messages": m, "reply_edges": edges, "thread_index": threads.thread_walk(spark, m, edges)})
+
+
+@query("sql_thread_walk", ORACLE_SQL["t1_thread_walk"])
+def _sql_walk(spark, d):
+    _archive_views(spark, d)
+    return spark.sql("SELECT * FROM thread_walk()")
+
+
+@query("sql_replies", f"""WITH {MESSAGES_SQL}, {EDGES_SQL} SELECT e.list_id, e.parent_msgnum, e.child_msgnum, e.kind, e.seq, m.subject, m.name, m.date
+FROM edges e JOIN m ON m.list_id = e.list_id AND m.msgnum = e.child_msgnum""")
+def _sql_replies(spark, d):
+    """A table function called for each message."""
+    _archive_views(spark, d)
+    return spark.sql("""SELECT m.list_id, m.msgnum AS parent_msgnum, r.msgnum AS child_msgnum, r.kind, r.seq, r.subject, r.name, r.date
+FROM messages m, LATERAL replies_to(m.list_id, m.msgnum) r""")
+
+
 @query("s10_k11_header_cache", f"""WITH {MESSAGES_SQL} SELECT list_id, msgnum, name, email_addr, subject, msgid, inreplyto, date, CAST(max(msgnum) OVER (PARTITION BY list_id) AS BIGINT) AS max_msgnum FROM m""")
 def _header_cache(spark, d):
     """Written as files of records, one a list, and read back."""
@@ -166,6 +189,15 @@ def _index_subjects(spark, d):
     return messages(spark, d).select("list_id", "msgnum", text.strip_configured_prefix(F.col("subject"), "Re: ").alias("shown"))
 
 
+@query("q12_body_lines", f"""WITH {LINES_SQL}, h AS (SELECT *, replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'\'', '&#39;') AS escaped FROM l)
+SELECT doc_id, line_no, escaped, CASE WHEN trim(line) = '' THEN '<div class="hm-blank"></div>' WHEN line IN ('-- ', '--') THEN '<hr class="hm-sig">' ELSE concat('<div class="',
+ CASE WHEN line LIKE '>%' THEN concat('hm-quote-', least(9, length(replace(regexp_extract(line, '^([>|:] ?)+'), ' ', '')))) ELSE 'hm-pg' END, '">', replace(escaped, chr(9), '        '), '</div>') END AS by_class FROM h""")
+def _body_lines(spark, d):
+    """Each line on its own, escaped and by class; what a signature is followed by isn't known to it."""
+    own = doc_lines(spark, d)
+    return own.select(F.col("msgnum").alias("doc_id"), "line_no", quotes.render_stateless(F.col("line"), 0).alias("escaped"), quotes.render_stateless(F.col("line"), 2).alias("by_class"))
+
+
 #: 240 patterns: words by their first three letters.
 STARTS = [f" {a}{b}{c}[a-z]*[ .,?]" for a in "bcdfhlmnprst" for b in "aeiou" for c in "lnrs"]
 _STARTS_SQL = ", ".join(f"'{p}'" for p in STARTS)
