@@ -189,7 +189,7 @@ def _index_subjects(spark, d):
     return messages(spark, d).select("list_id", "msgnum", text.strip_configured_prefix(F.col("subject"), "Re: ").alias("shown"))
 
 
-@query("q12_body_lines", f"""WITH {LINES_SQL}, h AS (SELECT *, replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'\'', '&#39;') AS escaped FROM l)
+@query("q_single_lines", f"""WITH {LINES_SQL}, h AS (SELECT *, replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'\'', '&#39;') AS escaped FROM l)
 SELECT doc_id, line_no, escaped, CASE WHEN trim(line) = '' THEN '<div class="hm-blank"></div>' WHEN line IN ('-- ', '--') THEN '<hr class="hm-sig">' ELSE concat('<div class="',
  CASE WHEN line LIKE '>%' THEN concat('hm-quote-', least(9, length(replace(regexp_extract(line, '^([>|:] ?)+'), ' ', '')))) ELSE 'hm-pg' END, '">', replace(escaped, chr(9), '        '), '</div>') END AS by_class FROM h""")
 def _body_lines(spark, d):
