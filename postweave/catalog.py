@@ -359,9 +359,9 @@ def _anchors(spark, d):
 
 @query("q13_inline_images", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('<img src="data:image/png;base64,', to_base64(encode(url)), '" alt="inline image">') END AS html FROM pages""")
 def _inline(spark, d):
-    """Of a safe type, of another type, and of data that isn't base64."""
+    """Of a safe type, of another type, and of data that isn't base64. Spark folds base64 into lines of 76; a marker is one line."""
     k = F.col("page_id") % 3
-    kind, data = F.when(k == 1, "image/svg+xml").otherwise("image/png"), F.base64(F.col("url").cast("binary"))
+    kind, data = F.when(k == 1, "image/svg+xml").otherwise("image/png"), F.translate(F.base64(F.col("url").cast("binary")), "\r\n", "")
     line = F.concat(F.lit("[INLINE_IMAGE:"), kind, F.lit(":"), F.when(k == 2, F.concat(F.lit('"'), data)).otherwise(data), F.lit("]"))
     return read(spark, d, "pages").select("page_id", quotes.inline_image(line).alias("html"))
 

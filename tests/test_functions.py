@@ -1,5 +1,7 @@
 """Scalar functions, as tables of input and expected value."""
 
+import base64
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +140,17 @@ def test_quotes(spark):
     check(spark, quotes.is_signature_start, [("-- ", True), ("--\r", True), ("---", False)])
     check(spark, quotes.strip_anchor_tags, [('x<a name="1">gone</a>y', "xy")])
     check(spark, quotes.inline_image, [("[INLINE_IMAGE:image/png:QUJD]", '<img src="data:image/png;base64,QUJD" alt="inline image">'), ("[INLINE_IMAGE:image/svg+xml:QUJD]", None), ("[INLINE_IMAGE:image/png:\"x]", None)])
+    check(spark, quotes.inline_image, [("[INLINE_IMAGE:image/png:QU\r\nJD]", None), ("[INLINE_IMAGE:image/png:QUJD\n]", None)])
+
+
+def test_long_inline_images(spark, tmp_path):
+    """Data of more than 57 bytes, which Spark folds."""
+    from postweave import catalog
+
+    url = "http://example.org/" + "a" * 100
+    spark.createDataFrame([(3, url)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = f'<img src="data:image/png;base64,{base64.b64encode(url.encode()).decode()}" alt="inline image">'
+    assert [r.html for r in catalog.QUERIES["q13_inline_images"](spark, str(tmp_path)).collect()] == [want]
 
 
 @pytest.mark.parametrize("raw,want", [
