@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,22 +116,32 @@ def link_urls(line: Column) -> Column:
 
 def obfuscate(c: Column) -> Column:
     """Each ASCII letter, digit and @ as a numeric entity."""
+    hidden = lambda x: x.between("@", "Z") | x.between("a", "z") | x.between("0", "9")
     return F.array_join(F.transform(F.split(c, ""), lambda x: F.when(
-        x.rlike("^[a-zA-Z0-9@]$"), F.concat(F.lit("&#"), F.ascii(x).cast("string"), F.lit(";"))).otherwise(x)), "")
+        hidden(x), F.concat(F.lit("&#"), F.ascii(x).cast("string"), F.lit(";"))).otherwise(x)), "")
+
+
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is computed once: the optimizer doesn't put an element of an array in each place that f has it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def unobfuscate(c: Column) -> Column:
     """Numeric entities as characters; those that name none vanish."""
     pattern = r"&#(\d+);"
-    gaps = F.split(c, pattern, -1)
-    codes = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
 
     def char(x: Column) -> Column:
         n = x.try_cast("bigint")
         legal = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
-        return F.when(legal, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("")
+        wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(legal & (n < 128), F.char(n)).when(legal, wide).otherwise("")
+
+    def woven(own: Column) -> Column:
+        # a code for each gap but the last
+        return F.array_join(F.zip_with(own["gaps"], own["codes"], lambda g, x: F.concat(g, F.coalesce(once(x, char), F.lit("")))), "")
 
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.when(i < F.size(codes), char(F.get(codes, i))), F.lit("")))), "")
+    parts = lambda x: F.struct(F.split(x, pattern, -1).alias("gaps"), F.regexp_extract_all(x, F.lit(pattern), F.lit(1)).alias("codes"))
+    return once(c, lambda x: once(parts(x), woven))
 
 
 def spamify(c: Column, at: str = "_at_", domain: str | None = None, protect: bool = True, protect_id: bool = True) -> Column:

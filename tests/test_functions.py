@@ -50,6 +50,10 @@ def test_escapes(spark):
 
 def test_addresses_hidden_and_shown(spark):
     check(spark, text.obfuscate, [("a@b.c", "&#97;&#64;&#98;.&#99;"), ("é!", "é!")])
+    check(spark, text.unobfuscate, [(None, None), ("&#0;a&#127;&#128;", "a\x7f\x80"), ("é&#64;", "é@")])
+    # one computation of what is hidden, however many entities it has
+    plan = spark.range(1).select(text.unobfuscate(text.obfuscate(F.col("id").cast("string"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(cast(id") == 1
     check(spark, text.unobfuscate, [("&#97;&#64;x", "a@x"), ("&#128578;", "🙂"), ("&#55296;|&#99999999999;", "|"), ("&#x41;", "&#x41;")])
     check(spark, text.spamify, [("mail joe@x.org now", "mail joe_at_x.org now"), ("no address", "no address")])
     check(spark, lambda c: text.spamify(c, domain="d.e"), [("joe@x.org", "joe@d.e")])
