@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.text import SPACE, sanitize_for_search
 from .ranking import written
@@ -27,6 +31,18 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(kept_text(text), F.lit(r"(?s)(?=(..))."), F.lit(1)))
 
 
+def codes_in(kept: str) -> np.ndarray:
+    """The distinct pairs of neighbouring characters, ascending, each as one number."""
+    points = np.frombuffer(kept.encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.unique(points[:-1] << 21 | points[1:])
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def bigram_codes(kept: pa.Array) -> pa.Array:
+    """As bigrams of a kept text, in numbers, which compare and hash in one step."""
+    return pa.array([None if t is None else codes_in(t) for t in kept.to_pylist()], pa.list_(pa.int64()))
+
+
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(bigram, key), one row for each distinct bigram of a row: the inverted index."""
     return docs.select(F.explode(bigrams(text)).alias("bigram"), key)
@@ -75,21 +91,28 @@ def search_texts(docs: DataFrame, key: str, text: Column, query: str) -> DataFra
     return docs.select(key, F.explode(hits).alias("score")).orderBy(F.desc("score"), key)
 
 
+#: How many of a query's rarest bigrams choose its candidates.
+RARE = 6
+
+
 def search_many(docs: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFrame:
     """queries: (query_id, query). Scores of all of them over texts, all but one bigram at least.
 
-    A hit lacks one bigram at most, so that it has one of any two: only texts with one of a query's two
-    rarest bigrams are candidates, whose scores are then counted."""
-    grams = written(docs.select(key, bigrams(text).alias("_own")))
-    wanted = written(queries.select("query_id", bigrams(F.col("query")).alias("_wanted")))
-    asked = wanted.select("query_id", F.explode("_wanted").alias("bigram"))
+    A hit lacks one bigram at most, so that of any RARE it has all but one: only texts with as many of a query's
+    rarest bigrams are candidates, whose scores are then counted. A text's bigrams move once, to all of its queries."""
+    grams = written(docs.select(key, bigram_codes(kept_text(text)).alias("_own")))
+    wanted = written(queries.select("query_id", bigram_codes(kept_text(F.col("query"))).alias("_wanted")))
+    asked = wanted.select("query_id", F.size("_wanted").alias("_n"), F.explode("_wanted").alias("bigram"))
     found = grams.select(key, F.explode("_own").alias("bigram"))
     # counts combine before their shuffle: a row for each bigram and task
-    frequency = found.groupBy("bigram").agg(F.count(F.lit(1)).alias("_n"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.coalesce("_n", F.lit(0)), "bigram"))
-    rare = asked.join(frequency, "bigram", "left").withColumn("_rank", rank).filter("_rank <= 2").select("query_id", "bigram")
-    pairs = found.join(rare, "bigram").select("query_id", key).distinct()
-    scored = pairs.join(grams, key).join(wanted, "query_id").select("query_id", key, F.size("_wanted").alias("_n"), F.size(F.array_intersect("_own", "_wanted")).alias("score"))
+    frequency = found.groupBy("bigram").agg(F.count(F.lit(1)).alias("_docs"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.coalesce("_docs", F.lit(0)), "bigram"))
+    rare = asked.join(frequency, "bigram", "left").withColumn("_rank", rank).filter(F.col("_rank") <= RARE)
+    rare = written(rare.select("query_id", "bigram", F.greatest(F.lit(1), F.least(F.lit(RARE), "_n") - 1).alias("_least")))
+    pairs = found.join(rare, "bigram").repartition(key).groupBy("query_id", key).agg(F.count(F.lit(1)).alias("_c"), F.first("_least").alias("_least"))
+    asking = pairs.filter("_c >= _least").groupBy(key).agg(F.collect_list("query_id").alias("_queries"))
+    met = asking.join(grams, key).select(key, "_own", F.explode("_queries").alias("query_id")).join(wanted, "query_id")
+    scored = met.select("query_id", key, F.size("_wanted").alias("_n"), F.size(F.array_intersect("_own", "_wanted")).alias("score"))
     return scored.filter(F.col("score") >= F.col("_n") - 1).drop("_n")
 
 
@@ -98,14 +121,39 @@ BLOCK_IDS = 1 << 16
 BLOCKS = "bigram string, generation bigint, scope string, first bigint, n int, gaps array<int>"
 
 
+def partial_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(bigram, scope, _range, ids) of the texts of one batch: what is dealt is a row for a bigram, not for each of its texts."""
+    for batch in batches:
+        own = batch.filter(batch.column("kept").is_valid()).sort_by([("scope", "ascending"), ("id", "ascending")])
+        scopes, ids = own.column("scope").dictionary_encode(), own.column("id").to_numpy()
+        codes = [codes_in(t) for t in own.column("kept").to_pylist()]
+        if not sum(map(len, codes)):
+            continue
+        row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        code = np.concatenate(codes)
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        # rows ascend within a bigram, and with them scopes and ids
+        scope, part = scopes.indices.fill_null(-1).to_numpy()[row], ids[row] // size
+        new = np.flatnonzero(np.diff(code, prepend=-1).astype(bool) | np.diff(scope, prepend=-2).astype(bool) | np.diff(part, prepend=part[0] - 1).astype(bool))
+        grams = pa.array([chr(c >> 21) + chr(c & 0x1FFFFF) for c in code[new].tolist()])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)), pa.int32()), pa.array(ids[row]))
+        yield pa.RecordBatch.from_arrays([grams, own.column("scope").take(pa.array(row[new])), pa.array(part[new]), lists], ["bigram", "scope", "_range", "ids"])
+
+
+def in_blocks(lists: DataFrame) -> DataFrame:
+    """(bigram, scope, first, n, gaps) of all ids, once each, of (bigram, scope, _range, ids)."""
+    merged = lists.groupBy("bigram", "scope", "_range").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("_ids"))
+    gaps = F.transform(F.slice("_ids", 2, F.size("_ids")), lambda x, i: (x - F.get("_ids", i)).cast("int"))
+    return merged.select("bigram", "scope", F.get("_ids", F.lit(0)).alias("first"), F.size("_ids").alias("n"), gaps.alias("gaps"))
+
+
 def posting_blocks(docs: DataFrame, text: Column) -> DataFrame:
     """(bigram, scope, first, n, gaps): the ascending ids of a bigram in blocks, each its first id and the gaps to
     those that follow. docs: scope (a list, or ''), id. A block is of one range of ids, so that it is bounded
     whatever the bigram."""
-    rows = docs.select("scope", F.col("id").cast("bigint").alias("id"), F.explode(bigrams(text)).alias("bigram"))
-    lists = rows.groupBy("bigram", "scope", F.floor(F.col("id") / BLOCK_IDS).alias("_range")).agg(F.sort_array(F.collect_list("id")).alias("_ids"))
-    gaps = F.transform(F.slice("_ids", 2, F.size("_ids")), lambda x, i: (x - F.get("_ids", i)).cast("int"))
-    return lists.select("bigram", "scope", F.get("_ids", F.lit(0)).alias("first"), F.size("_ids").alias("n"), gaps.alias("gaps"))
+    rows = docs.select("scope", F.col("id").cast("bigint").alias("id"), kept_text(text).alias("kept"))
+    return in_blocks(rows.mapInArrow(lambda b, size=BLOCK_IDS: partial_blocks(b, size), "bigram string, scope string, _range bigint, ids array<bigint>"))
 
 
 class SearchIndex:
@@ -140,10 +188,8 @@ class SearchIndex:
     def merge(self, generation: int) -> None:
         """All generations as one, written beside them; searches take it once it is complete."""
         old = self.blocks()
-        ids = old.select("bigram", "scope", F.explode(ids_of()).alias("id"))
-        lists = ids.groupBy("bigram", "scope", F.floor(F.col("id") / BLOCK_IDS).alias("_range")).agg(F.sort_array(F.collect_set("id")).alias("_ids"))
-        gaps = F.transform(F.slice("_ids", 2, F.size("_ids")), lambda x, i: (x - F.get("_ids", i)).cast("int"))
-        rows = lists.select("bigram", "scope", F.get("_ids", F.lit(0)).alias("first"), F.size("_ids").alias("n"), gaps.alias("gaps"), F.lit(generation).cast("bigint").alias("generation"))
+        lists = old.select("bigram", "scope", F.floor(F.col("first") / BLOCK_IDS).alias("_range"), ids_of().alias("ids"))
+        rows = in_blocks(lists).withColumn("generation", F.lit(generation).cast("bigint"))
         self._write(rows, f"{self.root}/merged/{generation}", "overwrite")
 
     def of(self, grams: list[str]) -> DataFrame:
@@ -175,17 +221,22 @@ class SearchIndex:
         return scored.filter(F.col("score") >= len(grams) - 1)
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def _running(first: pa.Array, gaps: pa.Array) -> pa.Array:
+    sizes = np.diff(gaps.offsets.to_numpy()) + 1
+    at = np.cumsum(sizes) - sizes
+    steps = np.zeros(int(sizes.sum()), np.int64)
+    inner = np.ones(len(steps), bool)
+    inner[at] = False
+    steps[inner] = gaps.flatten().to_numpy()
+    sums = np.cumsum(steps)
+    ids = sums + np.repeat(first.to_numpy() - sums[at], sizes)
+    return pa.ListArray.from_arrays(pa.array(np.append(at, len(steps)), pa.int32()), pa.array(ids))
+
+
 def ids_of() -> Column:
-    """A block's ids again: running sums of its gaps, by pieces, so that a long block isn't copied for each."""
-    piece = 256
-    gaps = F.col("gaps")
-    starts = F.sequence(F.lit(0), F.floor(F.size(gaps) / piece).cast("int"))
-    sums = F.transform(starts, lambda k: F.aggregate(F.slice(gaps, k * piece + 1, F.lit(piece)), F.lit(0).cast("bigint"), lambda a, x: a + x))
-    bases = F.aggregate(sums, F.array(F.lit(0).cast("bigint")), lambda a, x: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + x)))
-    within = lambda base, part: F.aggregate(part, F.array(base), lambda a, x: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + x)))
-    runs = F.transform(starts, lambda k: within(F.get(bases, k), F.slice(gaps, k * piece + 1, F.lit(piece))))
-    # each run begins with the last id of the one before
-    return F.transform(F.flatten(F.transform(runs, lambda r, k: F.when(k == 0, r).otherwise(F.slice(r, 2, F.size(r))))), lambda x: F.col("first") + x)
+    """A block's ids again: running sums of its gaps, in one pass over a batch of blocks."""
+    return _running(F.col("first"), F.col("gaps"))
 
 
 def search_lines(messages: DataFrame) -> DataFrame:

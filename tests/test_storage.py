@@ -47,6 +47,32 @@ def test_a_long_block_gives_its_ids(spark):
     assert spark.createDataFrame([(9, [])], "first long, gaps array<int>").select(search.ids_of().alias("x")).first().x == [9]
 
 
+def test_many_blocks_give_their_ids_in_one_pass(spark):
+    """Blocks as long as they get, and an addition deals a row for a bigram, not for each of its texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    blocks = spark.range(64).select(F.col("id").alias("first"), F.array_repeat(F.lit(1), search.BLOCK_IDS - 1).alias("gaps"))
+    ids = search.ids_of()
+    assert "aggregate" not in blocks.select(ids)._jdf.queryExecution().optimizedPlan().toString()
+    last = blocks.select("first", F.element_at(ids, -1).alias("last")).collect()
+    assert all(r.last == r.first + search.BLOCK_IDS - 1 for r in last)
+    texts = pa.RecordBatch.from_pydict({"scope": ["a"] * 50 + ["b"] * 50, "id": np.arange(100), "kept": ["abc", "é🙂"] * 49 + ["", None]})
+    out = next(search.partial_blocks(iter([texts]), 64)).to_pylist()
+    assert [(r["bigram"], r["scope"], r["_range"], len(r["ids"])) for r in out if r["bigram"] == "é🙂"] == [("é🙂", "a", 0, 25), ("é🙂", "b", 0, 7), ("é🙂", "b", 1, 17)]
+    assert len(out) == 9
+
+
+def test_many_queries_find_what_each_finds(spark):
+    """Queries of fewer and more bigrams than choose candidates; of a query's rarest all but one are asked for."""
+    docs = spark.createDataFrame([(i, TEXTS[i % len(TEXTS)]) for i in range(40)], "id long, text string")
+    asked = ["qu", "quick", "the quick brown fox jumps", "brown the fox quick", "zzz", "", "q"]
+    found = search.search_many(docs, "id", F.col("text"), spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"))
+    assert "array<bigint>" in {t for _, t in found.sparkSession.range(1).select(search.bigram_codes(F.lit("ab"))).dtypes}
+    want = {(i, r.id, r.score) for i, q in enumerate(asked) if len(q) > 1 for r in search.search_texts(docs, "id", F.col("text"), q).collect()}
+    assert {tuple(r) for r in found.select("query_id", "id", "score").collect()} == want
+
+
 def test_a_search_makes_the_kept_text_once(spark):
     docs = spark.createDataFrame([(1, "and the z")], "doc_id long, text string")
     plan = search.search_texts(docs, "doc_id", F.col("text"), "and the z")._jdf.queryExecution().optimizedPlan().toString()
