@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -31,19 +32,30 @@ def decode_mime_words(values: pd.Series) -> pd.Series:
     return values.map(mime.decode_words, na_action="ignore")
 
 
-@pandas_udf(BinaryType())
-def decode_quoted_printable(values: pd.Series) -> pd.Series:
-    return values.map(lambda b: mime.quoted_printable(bytes(b)), na_action="ignore")
+#: Rows that a function holds results of at once: a batch from Spark may have 10,000.
+PIECE = 256
 
 
-@pandas_udf(BinaryType())
-def decode_uuencode(values: pd.Series) -> pd.Series:
-    return values.map(lambda b: mime.uudecode(bytes(b)), na_action="ignore")
+def in_pieces(batches: Iterator[pa.Array], f: Callable[[bytes], bytes | None]) -> Iterator[pa.Array]:
+    """f of each value. What is decoded leaves by pieces, so that of a batch only its input is held."""
+    for batch in batches:
+        for at in range(0, len(batch), PIECE):
+            yield pa.array([None if b is None else f(b) for b in batch.slice(at, PIECE).to_pylist()], pa.binary())
 
 
-@pandas_udf(BinaryType())
-def decode_base64(values: pd.Series) -> pd.Series:
-    return values.map(lambda b: mime.base64_strict(bytes(b)), na_action="ignore")
+@F.arrow_udf(BinaryType())
+def decode_quoted_printable(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from in_pieces(values, mime.quoted_printable)
+
+
+@F.arrow_udf(BinaryType())
+def decode_uuencode(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from in_pieces(values, mime.uudecode)
+
+
+@F.arrow_udf(BinaryType())
+def decode_base64(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from in_pieces(values, mime.base64_strict)
 
 
 FUNCTIONS = {

@@ -157,6 +157,20 @@ def test_long_inline_images(spark, tmp_path):
     assert [r.html for r in catalog.QUERIES["q13_inline_images"](spark, str(tmp_path)).collect()] == [want]
 
 
+def test_decoders_hold_a_piece_of_a_batch(spark):
+    """However many rows a batch has, what is decoded leaves before the rest is."""
+    import pyarrow as pa
+
+    from postweave.functions import register
+
+    done = []
+    out = register.in_pieces(iter([pa.array([b"a", None] * 1000), pa.array([], pa.binary())]), lambda b: done.append(b) or b)
+    assert len(next(out)) == register.PIECE and len(done) == register.PIECE // 2
+    rows = spark.range(0, 3000, 1, 2).select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("=41_"), F.col("id").cast("string"))).cast("binary").alias("v"))
+    found = rows.select("id", F.decode(register.decode_quoted_printable("v"), "UTF-8").alias("x")).collect()
+    assert all(r.x == (f"A {r.id}" if r.id % 5 else None) for r in found) and len(found) == 3000
+
+
 @pytest.mark.parametrize("raw,want", [
     ("=?utf-8?B?SGVsbG8=?=", "Hello"), ("=?iso-8859-1?Q?caf=E9_x?=", "café x"), ("a =?utf-8?Q?b?= =?utf-8?Q?c?= d", "a bc d"), ("=?utf-8?B?w6k=?=\n =?utf-8?Q?=C3?= =?utf-8?Q?=A9?=", "éé"),
     ("=?utf-8?B?!!!?=", "!!!"), ("plain", "plain"), ("=?utf-8?Q?a?= b =?utf-8?Q?c?=", "a b c"), ("=?iso-8859-7?B?0OHp5A==?=", "Παιδ"), ("=?windows-1252?Q?=80?=", "€"), ("=?x-unknown?Q?=41?=", "A")])
