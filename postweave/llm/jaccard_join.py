@@ -8,11 +8,13 @@
 3. Groups. Each set has a few minimum hashes, as keys; its pivot is that of its keys which most sets
    have, so that a family of near copies has one or few pivots. The sets of a pivot are cut into groups
    of bounded size. Each group links its own sets and stores the union of their tokens.
-4. Token-group matrix. Its rows are the rare prefix tokens that a partner must share (prefix filter:
-   sampled tokens first, in ascending estimate), its columns pivots: one entry for a token and a pivot,
-   however many sets have it. A set is a query to the larger pivots that have SHARED of its prefix tokens
-   and whose sizes fit, and to the later groups of its own pivot; only then pivots are expanded to groups.
-   The query's overlap with a group's stored union is bounded first, by its prefix and then by all of
+4. Token-group matrix. Tokens of the unions are counted: those of one pivot alone can't be shared with
+   another, and a set with more of them than a link may miss has no partner outside its pivot and goes
+   no further. The matrix's rows are the prefix tokens of the other sets (prefix filter: of the tokens that
+   several pivots have, those that fewest have come first), its columns pivots: one entry for a token and
+   a pivot, however many sets have it. A set is a query to the larger pivots that have SHARED of its own
+   prefix tokens and whose sizes fit, and to the later groups of its own pivot; only then pivots are expanded to
+   groups. The query's overlap with a group's stored union is bounded first, by its prefix and then by all of
    it, and only where it reaches the least overlap of a link the group is opened, that is, its members
    are read and compared.
 5. Components of all links, and how many links each document has.
@@ -54,6 +56,7 @@ GROUP = ("pivot", "block")
 LINK_SCHEMA = "sid bigint, other bigint, n_links bigint"
 #: Also, with sid null, each group's union and sizes.
 BLOCK_SCHEMA = f"{LINK_SCHEMA}, pivot bigint, block int, n_min bigint, n_max bigint, tokens binary"
+PREFIX_SCHEMA = "token bigint, set_hash binary, sid bigint, n bigint, pivot bigint, size bigint"
 OPEN_SCHEMA = "g_pivot bigint, g_block int, part int, set_hash binary, sid bigint, n bigint"
 
 
@@ -182,6 +185,11 @@ def tokens_in(table: pa.Table, name: str = "tokens") -> list[np.ndarray]:
     return [np.frombuffer(t, U64) for t in table[name].to_pylist()]
 
 
+def ints_of(table: pa.Table, name: str) -> np.ndarray:
+    """All integers of a column of lists."""
+    return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(table) else np.empty(0, np.int64)
+
+
 def ints_in(table: pa.Table, name: str) -> np.ndarray:
     return table[name].to_numpy()
 
@@ -236,16 +244,36 @@ def link_queries(queries: pa.Table, members: pa.Table, percent: int, listed: boo
     return pa.table(rows_of(edges, np.concatenate([ids, asks]), np.concatenate([weight @ links, links @ copies])))
 
 
-def prefix_tokens(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(token, and what names the set) for the tokens of each set's prefix; those that no other
-    set can have come first and are left out."""
+def union_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, pivot, block) for the tokens of each group's union."""
     for batch in batches:
-        for rows in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-            tokens = [np.frombuffer(t, U64)[s: prefix_length(len(t) // 8, percent)].astype(np.int64)
-                      for t, s in zip(rows.column("tokens").to_pylist(), rows.column("singles").to_pylist())]
-            take = pa.array(np.repeat(np.arange(rows.num_rows), [len(t) for t in tokens]))
-            rest = [rows.column(i).take(take) for i in range(2, rows.num_columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *rest], ["token", *rows.schema.names[2:]])
+        for row in range(batch.num_rows):
+            pivot, block, tokens = (batch.column(i)[row].as_py() for i in range(3))
+            tokens = np.frombuffer(tokens, np.int64)
+            for i in range(0, len(tokens), 1 << 17):
+                part = tokens[i: i + (1 << 17)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part), pa.array(np.full(len(part), pivot, np.int64)), pa.array(np.full(len(part), block, np.int32))], ["token", *GROUP])
+
+
+def outward(sets: pa.Table, shared: pa.Table, percent: int) -> pa.Table:
+    """Prefixes (PREFIX_SCHEMA) of those sets of a group that may link with sets of other pivots; shared: the
+    group's tokens that other pivots have too, and how many have them. All others come first in the
+    order and are left out."""
+    names = [f.split()[0] for f in PREFIX_SCHEMA.split(", ")]
+    found, seen = ints_of(shared, "shared").view(U64), ints_of(shared, "seen")
+    order = np.argsort(found)
+    found, seen, prefixes = found[order], seen[order], []
+    for own in tokens_in(sets):
+        at = np.minimum(np.searchsorted(found, own), len(found) - 1) if len(found) else np.empty(0, np.int64)
+        at = at[found[at] == own] if len(found) else at
+        if len(at) < least_overlap(len(own), percent):
+            at = at[:0]
+        # a place in found is a token's rank by hash
+        prefixes.append(found[at[np.lexsort((at, seen[at]))][: max(0, prefix_length(len(own), percent) - (len(own) - len(at)))]].view(np.int64))
+    take = pa.array(np.repeat(np.arange(len(sets)), [len(p) for p in prefixes]))
+    tokens = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
+    return pa.table([pa.array(tokens), *[sets[c].take(take) for c in names[1:]]], names=names)
 
 
 def blocks_of(sets: DataFrame, keys: list[str], most: int, name: str) -> DataFrame:
@@ -284,23 +312,42 @@ def fits(percent: int) -> Column:
     return (F.col("g_n_max") * 100 >= F.col("n_min") * percent) & (F.col("g_n_min") * percent <= F.col("n_max") * 100)
 
 
-def met_groups(own: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def outward_prefixes(own: DataFrame, unions: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """PREFIX_SCHEMA, of sets that may link with sets of other pivots.
+
+    A token is counted by the pivots whose first group has it, which only orders tokens; that more
+    than one pivot has it is exact. Counts combine before their shuffle; what they are joined to may be split.
+    """
+    entries = unions.select(*GROUP, "tokens").mapInArrow(union_tokens, "token bigint, pivot bigint, block int")
+    counted = entries.groupBy("token").agg(F.count_if(F.col("block") == 0).alias("seen"), F.min("pivot").alias("_lo"), F.max("pivot").alias("_hi"))
+    counted = scratch.save(counted.filter("_lo < _hi").select("token", "seen"), "counted")
+    lists = entries.join(counted, "token").groupBy(*GROUP).agg(F.collect_list("token").alias("shared"), F.collect_list("seen").alias("seen"))
+    # a group whose sets all are larger than its shared tokens allow sends nothing on
+    lists = lists.join(unions.select(*GROUP, "n_min"), list(GROUP)).filter(F.size("shared") * 100 >= F.col("n_min") * percent)
+    lists = scratch.save(lists.drop("n_min"), "shared")
+    ids = own.select("set_hash", "sid", *GROUP).join(lists.select(*GROUP), list(GROUP)).select("set_hash")
+    sets = own.select("set_hash", "sid", "n", "size", "tokens", *GROUP).hint("merge").join(ids, "set_hash")
+    listed = scratch.load(lists, "shared")
+    return scratch.save(sets.groupBy(*GROUP).cogroup(listed.groupBy(*GROUP)).applyInArrow(lambda s, t: outward(s, t, percent), PREFIX_SCHEMA), "prefixes")
+
+
+def met_groups(own: DataFrame, unions: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(set_hash, sid, n, g_pivot, g_block): the groups that each set is put to, each pair of sets at most once.
 
-    own: sid, n, tokens, singles, pivot, size and block; groups: pivot, block, n_min, n_max. Pivots meet by
-    prefix tokens: what is joined has one entry for a token and a pivot, however many sets have it. Pairs
-    are expanded to the sets of the smaller pivot and the groups of the larger one only after that."""
-    spread = scratch.save(own.select("tokens", "singles", "sid", "pivot", "size", "n").mapInArrow(
-        lambda b: prefix_tokens(b, percent), "token bigint, sid bigint, pivot bigint, size bigint, n bigint"), "prefixes")
+    own: set_hash, sid, n, tokens, pivot, size and block; unions: pivot, block, n_min, n_max, tokens. Sets meet pivots by
+    prefix tokens: what they are joined to has one entry for a token and a pivot, however many sets have it.
+    Pivots are expanded to the groups of the larger one only after that."""
+    spread = outward_prefixes(own, unions, scratch, percent)
     matrix = scratch.save(spread.groupBy("token", "pivot", "size").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max")), "matrix")
     other = matrix.select(*renamed(matrix, "pivot", "size", "n_min", "n_max"))
     once = F.struct("size", "pivot") < F.struct("g_size", "g_pivot")
-    shared = matrix.join(other, "token").filter(once & fits(percent)).groupBy("pivot", "g_pivot").agg(F.count(F.lit(1)).alias("_shared"))
-    shared = scratch.save(shared, "pairs")
-    groups = groups.select("pivot", "block", "n_min", "n_max")
+    asks = spread.withColumns({"n_min": F.col("n"), "n_max": F.col("n")})
+    shared = asks.join(other, "token").filter(once & fits(percent)).groupBy("set_hash", "sid", "n", "g_pivot").agg(F.count(F.lit(1)).alias("_shared"))
+    shared = scratch.save(shared.filter(F.col("_shared") >= shared_least(percent)).drop("_shared"), "pairs")
+    groups = unions.select("pivot", "block", "n_min", "n_max")
     groups = groups.select(*renamed(groups, *groups.columns))
     sets = own.select("set_hash", "sid", "n", "pivot", "block")
-    apart = sets.join(shared, "pivot").filter(F.col("_shared") >= shared_least(percent)).select("set_hash", "sid", "n", "g_pivot").join(groups, "g_pivot")
+    apart = shared.join(groups, "g_pivot")
     family = sets.withColumnRenamed("pivot", "g_pivot").join(groups, "g_pivot").filter("block < g_block").drop("block")
     both = apart.unionByName(family)
     return both.withColumns({"n_min": F.col("n"), "n_max": F.col("n")}).filter(fits(percent)).select("set_hash", "sid", "n", "g_pivot", "g_block")
@@ -341,23 +388,25 @@ def group_links(own: DataFrame, unions: DataFrame, scratch: Scratch, percent: in
 
 
 def links_of(sets: DataFrame, scratch: Scratch, percent: int, listed: bool = False, counts: dict[str, int] | None = None) -> DataFrame:
-    """sets: sid, n, tokens, singles, keys, copies of distinct sets. Edges and counts of all links
+    """sets: sid, n, tokens, singles, keys, copies of distinct sets, the scratch table `distinct`, which goes. Edges and counts of all links
     (LINK_SCHEMA), or, listed, every link once. Tables with tokens go as soon as nothing reads them."""
     blocks = grouped(sets, scratch)
+    scratch.drop("distinct")
     both = scratch.save(first_links(blocks, percent, listed), "near")
     near, unions = both.filter("sid IS NOT NULL").select("sid", "other", "n_links"), both.filter("sid IS NULL").select(*GROUP, "n_min", "n_max", "tokens")
     far = group_links(blocks, unions, scratch, percent, listed)
     found = scratch.save(near.unionByName(far), "found")
     if counts is not None:
         counts.update(report(scratch))
-    scratch.drop("near", "blocks", "pivots", "prefixes", "matrix", "pairs", "met", "queries", "hinted", "opened")
+    scratch.drop("near", "blocks", "pivots", "counted", "shared", "prefixes", "matrix", "pairs", "met", "queries", "hinted", "opened")
     return found
 
 
 def report(scratch: Scratch) -> dict[str, int]:
-    """Of a join: distinct sets, their prefix tokens, entries of the matrix (token, pivot), queries put to
-    the union of a group, those whose prefix shares enough with it, and those that opened the group."""
-    return {n: scratch.spark.read.schema("sid bigint").parquet(scratch.path(n)).count() for n in ("distinct", "prefixes", "matrix", "queries", "hinted", "opened")}
+    """Of a join: distinct sets, prefix tokens of those that may link with other pivots, entries of the matrix
+    (token, pivot), pairs of a set and a pivot that share enough of them, queries put to the union of a group, those whose prefix shares enough with it, and those that opened the group."""
+    tables = {"distinct": "blocks"} | {n: n for n in ("prefixes", "matrix", "pairs", "queries", "hinted", "opened")}
+    return {n: scratch.spark.read.schema("sid bigint").parquet(scratch.path(t)).count() for n, t in tables.items()}
 
 
 def distinct_sets(spark: SparkSession, docs: DataFrame, k: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame, Scratch]:
@@ -388,7 +437,8 @@ def links(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, d
     """(rep, other): every link between distinct sets once, each named by its least doc_id; copies
     of one set, which all link with each other, aren't listed."""
     _, distinct, scratch = distinct_sets(spark, docs, k, percent, depth)
-    found, names = links_of(distinct.drop("rep"), scratch, percent, True), distinct.select("sid", "rep")
+    names = scratch.save(distinct.select("sid", "rep"), "names")
+    found = links_of(distinct.drop("rep"), scratch, percent, True)
     return found.join(names, "sid").join(names.select(F.col("sid").alias("other"), F.col("rep").alias("_rep")), "other").select("rep", F.col("_rep").alias("other"))
 
 
@@ -399,7 +449,6 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, de
     described, distinct, scratch = distinct_sets(spark, docs, k, percent, depth)
     names = scratch.save(distinct.select("set_hash", "sid", "rep", "copies"), "names")
     found = links_of(distinct.drop("rep"), scratch, percent, counts=counts)
-    scratch.drop("distinct")
     labels = connected(scratch, found.filter("sid <> other").select(F.col("sid").alias("a"), F.col("other").alias("b")), "links").withColumnRenamed("node", "sid")
     far = found.groupBy("sid").agg(F.sum("n_links").alias("n_far"))
     reps = scratch.save(names.join(labels, "sid", "left").join(far, "sid", "left").select(

@@ -129,3 +129,16 @@ def test_overlaps():
         a, b = ([np.unique(rng.integers(0, width, rng.integers(1, 30))).astype(np.uint64) for _ in range(size)] for _ in range(2))
         want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
         assert (jaccard_join.overlaps(a, b, step=7) == np.array(want)).all()
+
+
+def test_a_common_footer_makes_no_pairs(spark):
+    """Texts of their own with one footer and one near copy each: what is put to other pivots follows the near copies,
+    not the pairs of pivots that the footer's tokens make."""
+    rng, footer, rows = random.Random(4), " ".join(f"f{i}" for i in range(12)), []
+    for i in range(1500):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        rows += [" ".join(words) + " " + footer, " ".join(words[:-1] + ["z"]) + " " + footer]
+    counts = {}
+    got = join(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4), k=4, percent=80, counts=counts).collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in got} == {i: (i - i % 2, 1) for i in range(3000)}
+    assert counts["matrix"] <= counts["distinct"] and counts["pairs"] <= 1500
