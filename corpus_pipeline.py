@@ -1,8 +1,8 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a
-DataFrame, which run() writes as Parquet in the shared folder and reads again. All but the last
-return the columns of documents.
+DataFrame, which run() writes as Parquet in the shared folder and reads again; what the stage wrote for it
+and what it read then go. All but the last return the columns of documents.
 
 The columns of docs travel in one struct beside what a stage adds, so that extra columns may have any
 name. Dedup stages decide by row, not by doc_id: rows are numbered and written first, and of repeated
@@ -75,5 +75,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage_{k}")
+        with Scratch.passing():
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage_{k}")
+        scratch.drop(*[f"stage_{i}" for i in range(k)])
     return docs

@@ -5,12 +5,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python; one longer row still travels alone.
 ARROW_BYTES = 4 << 20
+#: What is opened within Scratch.passing().
+_passing: ContextVar[list[Scratch] | None] = ContextVar("passing", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +53,8 @@ class Scratch:
         if not Scratch._open:
             atexit.register(Scratch.drop_all)
         Scratch._open.append(self)
+        if (held := _passing.get()) is not None:
+            held.append(self)
         self.spark, self.tables = spark, []
         self.tag = f"{name}_{uuid.uuid4().hex[:12]}"
         self.root = f"{shared_dir(spark)}/postweave/{self.tag}"
@@ -74,11 +81,27 @@ class Scratch:
     def drop_all(cls) -> None:
         """Drops what all queries of this process have written, where their session still lives."""
         while cls._open:
-            scratch = cls._open.pop()
-            if scratch.spark.sparkContext._jsc is not None:
-                for table in scratch.tables:
-                    scratch.spark.sql(f"DROP TABLE IF EXISTS {table}")
-                scratch.drop("")
+            cls._open.pop().drop_own()
+
+    @classmethod
+    @contextmanager
+    def passing(cls) -> Iterator[None]:
+        """Drops at its end what queries have written within it; their results must be written by then."""
+        token = _passing.set([])
+        try:
+            yield
+        finally:
+            held = _passing.get()
+            _passing.reset(token)
+            for scratch in held:
+                cls._open.remove(scratch)
+                scratch.drop_own()
+
+    def drop_own(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            for table in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            self.drop("")
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no later plan reads."""

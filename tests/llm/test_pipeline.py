@@ -115,3 +115,13 @@ def test_repeated_rows_and_shared_ids(spark, tables):
 def test_no_guard_in_the_pipeline():
     source = open(os.path.join(os.path.dirname(corpus_pipeline.__file__), "corpus_pipeline.py")).read()
     assert "except" not in source
+
+
+def test_run_leaves_the_last_stage_alone(spark, tables):
+    """What earlier stages wrote, their results included, is gone when the pipeline has run."""
+    at = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/postweave"
+    files = lambda: {f"{d}/{x}" for d, _, names in os.walk(at) for x in names if x.endswith(".parquet")}
+    before = files()
+    out = corpus_pipeline.run(spark, tables)
+    left = {f.rsplit("/", 2)[1] for f in files() - before}
+    assert left == {"stage_4"} and out.count() > 0
