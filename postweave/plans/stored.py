@@ -7,13 +7,19 @@ neither read nor written.
 
 Messages are written last. An update that fails before is repeated as it was, with the same numbers: what it had
 already written is written again.
+
+What doesn't depend on each other (edges with their walk, each sorted index, the search index) is run side by side, since
+each is many jobs of which the small ones leave most cores free.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -28,6 +34,19 @@ from .messages import parse_messages
 #: What an index row needs of its message.
 ROW = ["list_id", "msgnum", "pos", "date_str", "date", "name", "email_addr", "subject", "unre_subject", "msgid", "is_deleted", "folder", "rel_path_to_top"]
 
+#: Tables of which an update may take a list's last row; those of messages only grow.
+MAY_LOSE = ("tokens", "reply_edges", "unresolved", "thread_index")
+#: Jobs that run side by side.
+AT_ONCE = 4
+
+
+def at_once(spark: SparkSession, jobs: list[Callable[[], None]]) -> None:
+    """Runs all jobs, the first ones first; the first error is raised when all have ended."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        runs = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    for run in runs:
+        run.result()
+
 
 class StoredArchive:
     """Tables under root: messages, tokens (ids quoted in texts), reply_edges, unresolved, thread_index, date_index,
@@ -56,13 +75,14 @@ class StoredArchive:
 
     def _write(self, name: str, rows: DataFrame, lists: list[str] | None = None, mode: str = "overwrite") -> None:
         """Replaces the parts of the lists in rows; without lists the whole table. Parts are split by size, not one task a list. Of lists, those without
-        rows lose their part."""
+        rows lose their part; rows are computed twice for that, where a table may lose some."""
         own = [f for f in rows.schema.fields if f.name != "list_id"]
         if lists is None:
-            self.spark.createDataFrame([(StructType([*own, StructField("list_id", StringType())]).json(),)], "value string").coalesce(1).write.mode("overwrite").text(self.path(f"schema/{name}"))
+            schema = StructType([*own, StructField("list_id", StringType())]).json()
+            self.spark.range(1).select(F.lit(schema).alias("value")).coalesce(1).write.mode("overwrite").text(self.path(f"schema/{name}"))
         out = rows.select(*[f.name for f in own], "list_id").hint("rebalance", F.col("list_id"))
         out.write.mode(mode).option("partitionOverwriteMode", "static" if lists is None else "dynamic").partitionBy("list_id").parquet(self.path(name))
-        if lists and mode == "overwrite":
+        if lists and mode == "overwrite" and name in MAY_LOSE:
             left = {r[0] for r in rows.select("list_id").distinct().collect()}
             for gone in set(lists) - left:
                 at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
@@ -109,19 +129,23 @@ class StoredArchive:
     def build(self, source: str | DataFrame, now: int = 0) -> None:
         """All tables from mailboxes (a path, or raw_messages). Overwrites what is there."""
         messages = written(parse_messages(self._raw(source), self.config, now).select(*STATE_COLUMNS))
-        tokens = written(self._tokens(messages)) if self.config.linkquotes else None
-        edges = written(threads.header_edges(messages).unionByName(threads.subject_edges(messages, self.config.searchbackmsgnum)))
-        if tokens is not None:
-            edges = written(edges.unionByName(threads._token_edges(tokens, threads._holders(messages, F.col("msgid")))))
-            self._write("tokens", tokens)
-        self._write("reply_edges", edges)
-        self._write("unresolved", threads.unresolved_replies(messages).select("list_id", "msgnum", "inreplyto"))
-        self._write("thread_index", self._walk(messages, edges))
-        for name, rows in self._projections(messages).items():
-            self._write(name, rows)
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path("search"))
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        self._add_to_index(messages, 0)
+
+        def linked() -> None:
+            tokens = written(self._tokens(messages)) if self.config.linkquotes else None
+            edges = written(threads.header_edges(messages).unionByName(threads.subject_edges(messages, self.config.searchbackmsgnum)))
+            if tokens is not None:
+                edges = written(edges.unionByName(threads._token_edges(tokens, threads._holders(messages, F.col("msgid")))))
+                self._write("tokens", tokens)
+            self._write("reply_edges", edges)
+            self._write("thread_index", self._walk(messages, edges))
+
+        def unresolved() -> None:
+            self._write("unresolved", threads.unresolved_replies(messages).select("list_id", "msgnum", "inreplyto"))
+
+        sorted_ones = [partial(self._write, name, rows) for name, rows in self._projections(messages).items()]
+        at_once(self.spark, [linked, partial(self._add_to_index, messages, 0), unresolved, *sorted_ones])
         self._write("messages", messages)
 
     def update(self, source: str | DataFrame, now: int = 0) -> DataFrame:
@@ -137,6 +161,14 @@ class StoredArchive:
         known = {r.list_id: r.last_msgnum for r in ends.select("list_id", "last_msgnum").collect()}
         state = "\n".join(f"{name}\t{known.get(name, -1)}" for name in lists)
         generation = int.from_bytes(hashlib.sha256(state.encode()).digest()[:7], "big") + 1
+        # of what they write, these read messages alone, which come last
+        sorted_ones = [partial(self._write, name, rows, lists) for name, rows in self._projections(old.unionByName(new)).items()]
+        at_once(self.spark, [partial(self._relink, old, new, lists), partial(self._add_to_index, new, generation), *sorted_ones])
+        self._write("messages", new, lists, "append")
+        return new
+
+    def _relink(self, old: DataFrame, new: DataFrame, lists: list[str]) -> None:
+        """Edges, open replies, walks and tokens of the lists, by what new messages change of them."""
         quoting = self.config.linkquotes
         new_tokens = written(self._tokens(new)) if quoting else None
         # a failed run may have left its own rows behind: children and tokens of new messages are dropped first
@@ -165,9 +197,5 @@ class StoredArchive:
         tables = {"reply_edges": now_edges, "unresolved": written(still.unionByName(orphans)), "thread_index": walk}
         if quoting:
             tables["tokens"] = written(old_tokens.unionByName(new_tokens))
-        tables |= {name: written(rows) for name, rows in self._projections(old.unionByName(new)).items()}
         for name, rows in tables.items():
             self._write(name, rows, lists)
-        self._add_to_index(new, generation)
-        self._write("messages", new, lists, "append")
-        return new

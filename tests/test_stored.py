@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,25 @@ def test_the_search_index_follows_updates(spark, tmp_path):
     same("text 12")
     store.build(spark.createDataFrame(parts_of(rows, cuts, 0, 1), RAW_SCHEMA))
     same("topic 3")
+
+
+def test_what_is_independent_runs_side_by_side(spark, tmp_path, monkeypatch):
+    """In a build and in an update the search index and a sorted index wait for each other."""
+    rows = [("a", k, "From x", f"Message-ID: <{k}@a>\nSubject: t\n".encode(), b"x\n") for k in range(2)]
+    store, real, index, meet = StoredArchive(spark, f"file://{tmp_path}/s"), StoredArchive._write, StoredArchive._add_to_index, threading.Barrier(2, timeout=60)
+
+    def write(self, name, *args):
+        if name == "date_index":
+            meet.wait()
+        real(self, name, *args)
+
+    def add(self, *args):
+        meet.wait()
+        index(self, *args)
+
+    monkeypatch.setattr(StoredArchive, "_write", write)
+    monkeypatch.setattr(StoredArchive, "_add_to_index", add)
+    store.build(spark.createDataFrame(rows, RAW_SCHEMA))
+    store.update(spark.createDataFrame([("a", 0, "From x", b"Message-ID: <9@a>\nIn-Reply-To: <1@a>\n", b"y\n")], RAW_SCHEMA))
+    assert sorted(r.msgnum for r in store.read("date_index").collect()) == [0, 1, 2]
+    assert store.read("thread_index").count() == 3
