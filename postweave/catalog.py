@@ -829,11 +829,12 @@ def _dispositions(spark, d):
 
 @query("m10_multipart_bodies", "SELECT doc_id, concat(text, chr(10), '[Attachment: x.pdf]', chr(10)) AS body FROM documents")
 def _multipart(spark, d):
+    """A missing text is sent as an empty part, which is a part all the same."""
     from .functions.register import parse_rfc822
 
     head = F.lit("Content-Type: multipart/mixed; boundary=XX\n").cast("binary")
     body = F.concat(F.lit("--XX\nContent-Type: multipart/alternative;\n boundary=YY\n\n--YY\nContent-Type: text/html\n\n<b>no</b>\n--YY\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"),
-                    F.base64(F.col("text").cast("binary")), F.lit("\n--YY--\n--XX\nContent-Type: application/pdf; name=x.pdf\n\nzz\n--XX--\n")).cast("binary")
+                    F.base64(F.coalesce("text", F.lit("")).cast("binary")), F.lit("\n--YY--\n--XX\nContent-Type: application/pdf; name=x.pdf\n\nzz\n--XX--\n")).cast("binary")
     return read(spark, d, "documents").select("doc_id", parse_rfc822(head, body)["body_text"].alias("body"))
 
 

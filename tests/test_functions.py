@@ -219,6 +219,19 @@ def test_multipart():
     assert mime.decode_body([], "Ελληνικά".encode("iso-8859-7"))[0] == "Ελληνικά"
 
 
+def test_empty_part_before_a_file(spark, tmp_path):
+    """An empty text is a part as others are; the file's line is set off from it, unless switched off."""
+    from postweave import catalog
+
+    empty, file = part("text/plain", "", "Content-Transfer-Encoding: base64"), part("application/pdf; name=x.pdf", "zz")
+    assert multi("mixed", empty, file)[0] == "\n[Attachment: x.pdf]\n" and multi("mixed", file, empty)[0] == "[Attachment: x.pdf]\n"
+    body = b"--B\n" + empty + b"\n--B\n" + file + b"\n--B--\n"
+    assert mime.decode_body([("content-type", "multipart/mixed; boundary=B")], body, mime.Options(part_breaks=False))[0] == "[Attachment: x.pdf]\n"
+    spark.createDataFrame([(1, None), (2, ""), (3, "a\n"), (4, "\x00")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["m10_multipart_bodies"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.body for r in got} == {n: t + "\n[Attachment: x.pdf]\n" for n, t in ((1, ""), (2, ""), (3, "a\n"), (4, "\x00"))}
+
+
 def test_media_types(spark):
     m = mime.MediaType.parse('Text/Plain; Charset="utf-8"; charset=x; format=flowed')
     assert (m.kind, m.subtype, m.params) == ("text", "plain", {"charset": "x", "format": "flowed"})
