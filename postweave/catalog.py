@@ -715,7 +715,7 @@ def _mboxrd_scan(spark, d):
 
 @query("m5_uuencoded", "SELECT doc_id, text AS decoded FROM documents")
 def _uuencoded(spark, d):
-    """Encoded by Python's own codec, 45 bytes a line; a last group keeps its padding, as zeros."""
+    """Encoded by Python's own codec, 45 bytes a line; a last group keeps its padding, as zeros, which alone are cut."""
     import binascii
 
     from .functions.register import decode_uuencode
@@ -728,7 +728,8 @@ def _uuencoded(spark, d):
     def encoded(values: pd.Series) -> pd.Series:
         return values.map(one, na_action="ignore")
 
-    return read(spark, d, "documents").select("doc_id", F.regexp_replace(F.decode(decode_uuencode(encoded("text")), "UTF-8"), r"\x00+$", "").alias("decoded"))
+    data = read(spark, d, "documents").select("doc_id", F.pmod(-F.octet_length("text"), F.lit(3)).alias("padding"), decode_uuencode(encoded("text")).alias("data"))
+    return data.select("doc_id", F.decode(F.substring("data", F.lit(1), F.octet_length("data") - F.col("padding")), "UTF-8").alias("decoded"))
 
 
 @query("m11_file_names", "SELECT p_partkey, concat('[Attachment: ', p_name, ' é.pdf]') AS shown FROM part")

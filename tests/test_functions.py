@@ -185,6 +185,18 @@ def test_transfer_encodings():
     assert mime.uudecode(b"begin 644 x\n#0V%T\n`\nend\n") == b"Cat" and mime.uudecode(b"nothing") is None
 
 
+def test_uuencoded_nothing_and_zero_bytes(spark, tmp_path):
+    """A block of nothing is one; of zero bytes only the padding goes."""
+    from postweave import catalog
+
+    assert mime.uudecode(b"begin 644 x\n`\nend\n") == b"" and mime.uudecode(b"begin 644 x\nend\n") == b""
+    assert mime.uudecode(b"begin with this\n") is None and mime.uudecode(b"end\n`\n") is None and mime.uudecode(b"") is None
+    texts = [None, "", "\x00", "a\x00", "ab\x00\n", "abc\x00\x00", "x" * 45, "é" * 23 + "\x00" * 91]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["m5_uuencoded"](spark, str(tmp_path)).collect()
+    assert [r.decoded for r in sorted(got)] == texts
+
+
 def test_file_names():
     name = lambda v: mime.file_name([("content-disposition", v)])
     assert name('attachment; filename="a b.pdf"') == "a b.pdf"
